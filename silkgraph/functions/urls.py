@@ -100,31 +100,40 @@ def url_split(url: Column) -> Column:
     )
 
 
-def _unsplit(scheme_, netloc_, path_, params_, query_, fragment_) -> Column:
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for an expression that uses it many times (Column API only; operators on
+    whole tables keep the parts in a column of their own, which stays inside code generation)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def unsplit(parts: Column, *, lower_host=False, with_query=True, with_fragment=False) -> Column:
+    """URL text of a struct of parts."""
+    scheme_, path_, params_ = (parts.getField(f) for f in ("scheme", "path", "params"))
+    netloc_ = F.lower(parts.getField("netloc")) if lower_host else parts.getField("netloc")
+    query_, fragment_ = parts.getField("query"), parts.getField("fragment")
+    slash = F.lit("//")
     full = F.concat(path_, params_)
     body = (
         F.when(
             netloc_ != "",
             F.concat(
-                F.lit("//"),
-                netloc_,
-                F.when((full != "") & ~full.startswith("/"), "/").otherwise(""),
-                full,
+                slash, netloc_,
+                F.when((full != "") & ~full.startswith("/"), "/").otherwise(""), full,
             ),
         )
-        .when(full.startswith("//"), F.concat(F.lit("//"), full))
         .when(
-            scheme_.isin(NETLOC_SCHEMES) & ((full == "") | full.startswith("/")),
-            F.concat(F.lit("//"), full),
+            full.startswith("//")
+            | (scheme_.isin(NETLOC_SCHEMES) & ((full == "") | full.startswith("/"))),
+            F.concat(slash, full),
         )
         .otherwise(full)
     )
-    return F.concat(
-        F.when(scheme_ != "", F.concat(scheme_, F.lit(":"))).otherwise(""),
-        body,
-        F.when(query_ != "", F.concat(F.lit("?"), query_)).otherwise(""),
-        F.when(fragment_ != "", F.concat(F.lit("#"), fragment_)).otherwise(""),
-    )
+    out = [F.when(scheme_ != "", F.concat(scheme_, F.lit(":"))).otherwise(""), body]
+    if with_query:
+        out.append(F.when(query_ != "", F.concat(F.lit("?"), query_)).otherwise(""))
+    if with_fragment:
+        out.append(F.when(fragment_ != "", F.concat(F.lit("#"), fragment_)).otherwise(""))
+    return F.concat(*out)
 
 
 def _remove_dots(path_: Column) -> Column:
@@ -153,66 +162,54 @@ def _merged_path(base_path: Column, rel: Column) -> Column:
     return _dots_if_any(F.regexp_replace(F.concat(directory, rel), "/{2,}", "/"))
 
 
-def url_resolve(
-    base: Column, href: Column, *, keep_fragment: bool = False, storage_form: bool = False
-) -> Column:
-    """Absolute URL of ``href`` on a page whose URL has the parts ``base`` (``url_parts``).
-
-    The query stays; the fragment goes unless ``keep_fragment``. ``storage_form`` also lower-cases
-    the host, which gives the key under which the URL is stored, without a second split.
-    """
-    h = url_parts(href)
-    part = {f: h.getField(f) for f in ("scheme", "netloc", "path", "params", "query", "fragment")}
-    b = {f: base.getField(f) for f in ("url", "scheme", "netloc", "path", "params", "query")}
-    frag = part["fragment"] if keep_fragment else F.lit("")
-    case = F.lower if storage_form else (lambda c: c)
-    foreign = (part["scheme"] != "") & (part["scheme"] != b["scheme"])
-    own_base = _unsplit(
-        b["scheme"], case(b["netloc"]), b["path"], b["params"], b["query"],
-        base.getField("fragment") if keep_fragment else F.lit(""),
+def join_parts(b: Column, h: Column) -> Column:
+    """Parts of the absolute URL for a reference with parts ``h`` on a page with parts ``b``."""
+    foreign = (
+        ((h["scheme"] != "") & (h["scheme"] != b["scheme"]))
+        | ~b["scheme"].isin(RELATIVE_SCHEMES)
+        | (b["url"] == "")
     )
-    whole = _unsplit(
-        part["scheme"], case(part["netloc"]), part["path"], part["params"], part["query"], frag
+    whole = foreign | (h["netloc"] != "")
+    pathless = (h["path"] == "") & (h["params"] == "")
+    return F.struct(
+        F.when(foreign, h["scheme"]).otherwise(b["scheme"]).alias("scheme"),
+        F.when(whole, h["netloc"]).otherwise(b["netloc"]).alias("netloc"),
+        F.when(whole, h["path"])
+        .when(pathless, b["path"])
+        .when(h["path"].startswith("/"), _dots_if_any(h["path"]))
+        .otherwise(_merged_path(b["path"], h["path"]))
+        .alias("path"),
+        F.when(~whole & pathless, b["params"]).otherwise(h["params"]).alias("params"),
+        F.when(~whole & pathless & (h["query"] == ""), b["query"])
+        .otherwise(h["query"])
+        .alias("query"),
+        F.when(h["url"] == "", b["fragment"]).otherwise(h["fragment"]).alias("fragment"),
     )
-    return (
-        F.when(href == "", own_base)
-        .when(foreign | ~b["scheme"].isin(RELATIVE_SCHEMES) | (b["url"] == ""), whole)
-        .when(
-            part["netloc"] != "",
-            _unsplit(
-                b["scheme"], case(part["netloc"]), part["path"], part["params"], part["query"], frag
-            ),
-        )
-        .when(
-            (part["path"] == "") & (part["params"] == ""),
-            _unsplit(
-                b["scheme"], case(b["netloc"]), b["path"], b["params"],
-                F.when(part["query"] == "", b["query"]).otherwise(part["query"]), frag,
-            ),
-        )
-        .when(
-            part["path"].startswith("/"),
-            _unsplit(
-                b["scheme"], case(b["netloc"]), _dots_if_any(part["path"]), part["params"],
-                part["query"], frag,
-            ),
-        )
-        .otherwise(
-            _unsplit(
-                b["scheme"], case(b["netloc"]), _merged_path(b["path"], part["path"]),
-                part["params"], part["query"], frag,
-            )
-        )
+
+
+def bare_parts(h: Column) -> Column:
+    """The parts without query and fragment."""
+    return F.struct(
+        F.concat(h["scheme"], h["netloc"], h["path"], h["params"]).alias("url"),
+        *[h[f].alias(f) for f in ("scheme", "netloc", "path", "params")],
+        F.lit("").alias("query"),
+        F.lit("").alias("fragment"),
+    )
+
+
+def url_resolve(base: Column, href: Column, *, keep_fragment: bool = False) -> Column:
+    """Absolute URL of ``href`` on the page ``base``; the query stays, the fragment goes."""
+    return let(
+        F.struct(url_parts(base).alias("b"), url_parts(href).alias("h")),
+        lambda v: let(
+            join_parts(v["b"], v["h"]), lambda t: unsplit(t, with_fragment=keep_fragment)
+        ),
     )
 
 
 def url_normalize_storage(url: Column) -> Column:
     """Key form: scheme and host in lower case, no fragment; path, params and query as they are."""
-    p = url_parts(url)
-    return _unsplit(
-        p.getField("scheme"), F.lower(p.getField("netloc")), p.getField("path"),
-        p.getField("params"), p.getField("query"), F.lit(""),
-    )
+    return unsplit(url_parts(url), lower_host=True)
 
 
 def url_kind(content_type: Column, url: Column) -> Column:
@@ -234,14 +231,16 @@ def bare_host(domain: Column) -> Column:
     return F.when(low.startswith("www."), F.substring(low, F.lit(5), F.length(low))).otherwise(low)
 
 
-def url_classification(url: Column, base_domain: Column, from_sitemap: Column | None = None) -> Column:
+def host_classification(
+    netloc_: Column, base_domain: Column, from_sitemap: Column | None = None
+) -> Column:
     """social, internal, network or external, seen from ``base_domain``.
 
     Every social domain has two labels, so comparing the last two labels of the host covers the
     domain and its subdomains with one set lookup.
     """
     sitemap = F.lit(False) if from_sitemap is None else F.coalesce(from_sitemap, F.lit(False))
-    own = bare_host(netloc(url))
+    own = bare_host(netloc_)
     return (
         F.when(F.substring_index(own, ".", -2).isin(SOCIAL_DOMAINS), "social")
         .when(own == bare_host(base_domain), "internal")
@@ -250,6 +249,11 @@ def url_classification(url: Column, base_domain: Column, from_sitemap: Column |
     )
 
 
+def url_classification(url: Column, base_domain: Column, from_sitemap: Column | None = None) -> Column:
+    """``host_classification`` of a URL text."""
+    return host_classification(netloc(url), base_domain, from_sitemap)
+
+
 def _decoded(text: Column) -> Column:
     return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
 
@@ -268,22 +272,27 @@ def _parameters(query_: Column) -> Column:
     return F.array_join(F.transform(first, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
 
 
-def url_components(href: Column, base: Column) -> Column:
-    """Struct (href, url_fragment, url_parameters): the href without query and fragment, made
-    absolute if it has no host; fragment and parameters are NULL when absent."""
-    h = url_parts(href)
-    bare = _unsplit(
-        h.getField("scheme"), h.getField("netloc"), h.getField("path"), h.getField("params"),
-        F.lit(""), F.lit(""),
-    )
-    frag = h.getField("fragment")
-    q = h.getField("query")
+def components_from(h: Column, joined: Column) -> Column:
+    """Struct (href, url_fragment, url_parameters) from the parts of an href and the parts of its
+    bare form joined to the base."""
     return F.struct(
-        F.when(h.getField("netloc") != "", bare)
-        .otherwise(url_resolve(base, bare, keep_fragment=True))
+        F.when(h["netloc"] != "", unsplit(h, with_query=False))
+        .otherwise(unsplit(joined, with_fragment=True))
         .alias("href"),
-        F.when(frag != "", frag).alias("url_fragment"),
-        F.when(q != "", _parameters(q)).alias("url_parameters"),
+        F.when(h["fragment"] != "", h["fragment"]).alias("url_fragment"),
+        F.when(h["query"] != "", _parameters(h["query"])).alias("url_parameters"),
+    )
+
+
+def url_components(href: Column, base: Column) -> Column:
+    """Href without query and fragment (absolute if it has no host), fragment, parameters; the
+    last two are NULL when absent."""
+    return let(
+        F.struct(url_parts(base).alias("b"), url_parts(href).alias("h")),
+        lambda v: let(
+            F.struct(v["h"].alias("h"), join_parts(v["b"], bare_parts(v["h"])).alias("j")),
+            lambda w: components_from(w["h"], w["j"]),
+        ),
     )
 
 
