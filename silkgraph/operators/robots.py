@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silkgraph.functions.text import strip
-from silkgraph.functions.urls import netloc, path
+from silkgraph.functions.urls import let, netloc, path
 
 # Fixed value: the characters that end a line of a robots file.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 RULES = "array<struct<agent:string,kind:string,path:string>>"
 
 
@@ -50,25 +50,30 @@ def rules_array(content: Column) -> Column:
         lambda l: F.struct(_key(l).alias("k"), _value(l).alias("v")),
     )
     known = F.filter(pairs, lambda p: p["k"].isin("user-agent", "allow", "disallow"))
-    numbered = F.transform(known, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
-    starts = F.filter(numbered, lambda p: p["k"] == "user-agent")
-    groups = F.transform(
-        starts,
-        lambda s, g: F.slice(
-            numbered,
-            s["i"] + 2,
-            F.coalesce(F.try_element_at(starts, g + 2)["i"], F.size(numbered)) - s["i"] - 1,
-        ),
+    numbered = F.transform(
+        known, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))
     )
-    labelled = F.zip_with(
-        starts,
-        groups,
-        lambda s, rules: F.transform(
-            F.when(s["v"] != "", rules).otherwise(F.slice(rules, 1, 0)),
-            lambda r: F.struct(s["v"].alias("agent"), r["k"].alias("kind"), r["v"].alias("path")),
+
+    def group(rows: Column, starts: Column, start: Column, g: Column) -> Column:
+        stop = F.coalesce(F.try_element_at(starts, g + 2)["i"], F.size(rows))
+        length = F.when(start["v"] != "", stop - start["i"] - 1).otherwise(0)
+        return F.transform(
+            F.slice(rows, start["i"] + 2, length),
+            lambda r: F.struct(
+                start["v"].alias("agent"), r["k"].alias("kind"), r["v"].alias("path")
+            ),
+        )
+
+    grouped = let(
+        numbered,
+        lambda rows: let(
+            F.filter(rows, lambda p: p["k"] == "user-agent"),
+            lambda starts: F.flatten(
+                F.transform(starts, lambda start, g: group(rows, starts, start, g))
+            ),
         ),
     )
-    return F.coalesce(F.flatten(labelled), F.array().cast(RULES))
+    return F.coalesce(grouped, F.array().cast(RULES))
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:

@@ -8,14 +8,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer partitions than there are cores.
+    """Give every core a share of a small input, which may sit in a single file.
 
-    A scan of many files stays as it is: moving page bodies only pays off for small inputs.
+    An input of more than one scan split per core stays as it is: it has enough partitions, and
+    moving page bodies through a shuffle would cost more than it gains. The size is the planner's
+    estimate, so nothing is run to find it.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * split else df
 
 
 def cut(df: DataFrame) -> DataFrame:

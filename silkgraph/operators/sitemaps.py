@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silkgraph.functions.text import strip
-from silkgraph.functions.urls import url_classification, url_normalize_storage
+from silkgraph.functions.urls import netloc, url_classification, url_normalize_storage
 from silkgraph.operators.robots import robots_files, robots_sitemaps
 from silkgraph.operators.scale import cut, row_ranks
 
@@ -36,11 +36,8 @@ def _repaired(content: Column) -> Column:
 
 
 def _root(content: Column) -> Column:
-    return F.lower(
-        F.regexp_extract(
-            content, r"(?s)\A﻿?(?:\s|<\?.*?\?>|<!--.*?-->|<![^>-][^>]*>)*<([^\s/>]+)", 1
-        )
-    )
+    prolog = r"(?s)\A\uFEFF?(?:\s|<\?.*?\?>|<!--.*?-->|<![^>-][^>]*>)*<([^\s/>]+)"
+    return F.lower(F.regexp_extract(content, prolog, 1))
 
 
 def sitemap_files(files: DataFrame) -> DataFrame:
@@ -63,16 +60,15 @@ def sitemap_kind(files: DataFrame) -> DataFrame:
 
 def sitemap_locs(files: DataFrame) -> DataFrame:
     """(url, kind, position, loc) of a sitemap met inside the crawl: nothing if unreadable."""
-    parsed = files.select("url", "content", _document(F.col("content")).alias("doc")).filter(
-        _readable(F.col("doc"))
-    )
+    parsed = files.select("url", "content", _document(F.col("content")).alias("doc"))
     index = _root(F.col("content")).endswith("sitemapindex")
-    locs = F.when(index, F.transform("doc.sitemap", lambda s: strip(s["loc"]))).otherwise(
-        F.transform("doc.url", lambda u: strip(u["loc"]))
+    readable = _readable(F.col("doc"))
+    locs = F.when(readable & index, F.transform("doc.sitemap", lambda s: strip(s["loc"]))).when(
+        readable, F.transform("doc.url", lambda u: strip(u["loc"]))
     )
     return parsed.select(
         "url",
-        F.when(index, "sitemap_index").otherwise("sitemap").alias("kind"),
+        F.when(readable & index, "sitemap_index").otherwise("sitemap").alias("kind"),
         F.posexplode(F.filter(locs, lambda l: F.coalesce(l, F.lit("")) != "")).alias("position", "loc"),
     )
 
@@ -91,7 +87,6 @@ def read_files(files: DataFrame) -> DataFrame:
             F.col("url").alias("sitemap_url"),
             F.when(_readable(doc), doc).otherwise(_document(_repaired(F.col("content")))).alias("doc"),
         )
-        .filter(doc.isNotNull())
     )
     nested = F.filter(
         F.transform("doc.sitemap", lambda s: strip(s["loc"])), lambda l: F.coalesce(l, F.lit("")) != ""
@@ -256,8 +251,6 @@ def hreflang_sitemap(entries: DataFrame, urls: DataFrame) -> DataFrame:
 def hreflang_new_urls(hreflang: DataFrame, urls: DataFrame) -> DataFrame:
     """(url, kind, classification) of alternate targets missing in ``urls``. A target is classified
     against its own host."""
-    from silkgraph.functions.urls import netloc
-
     target = F.col("href_url")
     return (
         hreflang.select(target.alias("url"))

@@ -125,21 +125,18 @@ def element_items(nodes: Column, scope: str, type_attribute: str, properties: Co
         lambda n, i: F.struct(n.alias("n"), i.alias("position")),
     )
     typed = F.filter(numbered, lambda e: _attr(e["n"], type_attribute) != "")
-    return F.transform(
-        typed,
-        lambda e: F.struct(
-            bare_type(_attr(e["n"], type_attribute)).alias("type"),
+
+    def item(e: Column, all_properties: Column) -> Column:
+        kind = bare_type(_attr(e["n"], type_attribute))
+        mine = F.filter(all_properties, lambda p: F.array_contains(p["scopes"], e["n"]["ord"]))
+        return F.struct(
+            kind.alias("type"),
             e["n"]["raw"].alias("raw_data"),
             e["position"].alias("position"),
-            _with_type(
-                let(
-                    F.filter(properties, lambda p: F.array_contains(p["scopes"], e["n"]["ord"])),
-                    _grouped,
-                ),
-                bare_type(_attr(e["n"], type_attribute)),
-            ).alias("values"),
-        ),
-    )
+            let(let(mine, _grouped), lambda fields: _with_type(fields, kind)).alias("values"),
+        )
+
+    return let(properties, lambda held: F.transform(typed, lambda e: item(e, held)))
 
 
 def _as_record(item: Column) -> Column:
