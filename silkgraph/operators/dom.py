@@ -10,13 +10,28 @@ from silkgraph.functions.element_rows import scan_batches
 from silkgraph.functions.text import joined_text
 from silkgraph.operators.scale import spread
 
-NODE_TYPE = (
-    "ord int, parent_ord int, subtree_end int, tag string, attrs map<string,string>, "
-    "text_pieces array<string>, xpath string, scopes array<int>, raw string"
-)
-DOM_FIELDS = T.StructType.fromDDL(
-    f"nodes array<struct<{NODE_TYPE}>>, word_count int, parsed boolean"
-)
+DOM_COLUMNS = ("nodes", "word_count", "parsed")
+
+
+def dom_fields() -> list[T.StructField]:
+    """Columns the scan adds: the elements of a page, its word count, whether it could be read."""
+    node = T.StructType(
+        [
+            T.StructField("ord", T.IntegerType()),
+            T.StructField("parent_ord", T.IntegerType()),
+            T.StructField("subtree_end", T.IntegerType()),
+            T.StructField("tag", T.StringType()),
+            T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("text_pieces", T.ArrayType(T.StringType())),
+            T.StructField("xpath", T.StringType()),
+            T.StructField("scopes", T.ArrayType(T.IntegerType())),
+            T.StructField("raw", T.StringType()),
+        ]
+    )
+    types = [T.ArrayType(node), T.IntegerType(), T.BooleanType()]
+    return [T.StructField(n, t) for n, t in zip(DOM_COLUMNS, types)]
+
+
 TEXT_TAGS = ("title", "h1", "h2", "a")
 CONTENT_TAGS = ("title", "meta", "link", "html", "h1", "h2")
 ITEM_ATTRIBUTES = ("itemscope", "typeof", "itemprop", "property")
@@ -51,14 +66,14 @@ def scan_html(pages: DataFrame, want: dict, html: str = "html") -> DataFrame:
     a shuffle. Only the wanted elements leave the Python worker.
     """
     source = pages.select(*[c for c in pages.columns if c != html], html)
-    schema = T.StructType(source.schema.fields[:-1] + DOM_FIELDS.fields)
+    schema = T.StructType(source.schema.fields[:-1] + dom_fields())
     return spread(source).mapInArrow(partial(scan_batches, want=want), schema)
 
 
 def html_nodes(pages: DataFrame, want: dict | None = None, html: str = "html") -> DataFrame:
-    """One row per element with the columns of ``NODE_TYPE``."""
+    """One row per element: ord, parent_ord, subtree_end, tag, attrs, text_pieces, xpath, scopes, raw."""
     scanned = scan_html(pages, want or wanted(), html)
-    keys = [c for c in scanned.columns if c not in DOM_FIELDS.names]
+    keys = [c for c in scanned.columns if c not in DOM_COLUMNS]
     return scanned.select(*keys, F.explode("nodes").alias("node")).select(*keys, "node.*")
 
 

@@ -13,7 +13,6 @@ from silkgraph.functions.urls import (
     join_parts,
     unsplit,
     url_classification,
-    url_normalize_storage,
     url_parts,
 )
 from silkgraph.operators.dom import LINKS, LINKS_WITH_PATH, scan_html
@@ -27,16 +26,15 @@ def _anchors(scanned: DataFrame, base: str) -> DataFrame:
         scanned.select(
             *keys,
             url_parts(F.col(base)).alias("base_parts"),
-            F.explode(
+            F.posexplode(
                 F.filter(
                     "nodes",
                     lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"),
                 )
-            ).alias("a"),
+            ).alias("link_no", "a"),
         )
         .select(
-            *keys, "base_parts",
-            F.col("a.ord").alias("ord"),
+            *keys, "base_parts", "link_no",
             F.col("a.attrs")["href"].alias("href"),
             F.col("a.text_pieces").alias("text_pieces"),
             F.col("a.xpath").alias("xpath"),
@@ -53,9 +51,9 @@ def _scan(pages: DataFrame, base: str, want: dict) -> DataFrame:
 
 
 def extract_links(pages: DataFrame, base: str = "url") -> DataFrame:
-    """(source_url, ord, target_url): every ``<a href>``, resolved, in document order."""
+    """(source_url, link_no, target_url): every ``<a href>``, resolved, in document order."""
     return _anchors(_scan(pages, base, LINKS), "_from").select(
-        "source_url", "ord", unsplit(F.col("target_parts")).alias("target_url")
+        "source_url", "link_no", unsplit(F.col("target_parts")).alias("target_url")
     )
 
 
@@ -64,7 +62,7 @@ def extract_links_detailed(pages: DataFrame, base: str = "url", xpath: bool = Tr
     want = LINKS_WITH_PATH if xpath else LINKS
     return _anchors(_scan(pages, base, want), "_from").select(
         "source_url",
-        "ord",
+        "link_no",
         unsplit(F.col("target_parts")).alias("target_url"),
         stripped_pieces(F.col("text_pieces")).alias("anchor_text"),
         "xpath",
@@ -91,7 +89,7 @@ def links_of_scan(scanned: DataFrame) -> DataFrame:
         .withColumn("bare_joined", join_parts(F.col("base_parts"), bare_parts(F.col("href_parts"))))
         .select(
             "source_url",
-            "ord",
+            "link_no",
             F.col("href").alias("raw_href"),
             unsplit(F.col("target_parts")).alias("link_url"),
             unsplit(F.col("target_parts"), lower_host=True).alias("target_key"),
@@ -104,7 +102,7 @@ def links_of_scan(scanned: DataFrame) -> DataFrame:
             "_site",
         )
         .select(
-            "source_url", "ord", "raw_href", "link_url", "target_key", "anchor_text", "xpath",
+            "source_url", "link_no", "raw_href", "link_url", "target_key", "anchor_text", "xpath",
             "c.href", "c.url_fragment", "c.url_parameters", "classification",
             url_classification(F.col("c.href"), F.col("_site")).alias("href_classification"),
         )
@@ -122,8 +120,8 @@ def internal_links(links: DataFrame, urls: DataFrame) -> DataFrame:
         .groupBy("source_url", "xpath")
         .agg(
             F.min_by(
-                F.struct("href", "href_classification", "anchor_text", "url_fragment", "url_parameters", "ord"),
-                "ord",
+                F.struct("href", "href_classification", "anchor_text", "url_fragment", "url_parameters", "link_no"),
+                "link_no",
             ).alias("l")
         )
         .select("source_url", "xpath", "l.*")
@@ -131,7 +129,7 @@ def internal_links(links: DataFrame, urls: DataFrame) -> DataFrame:
     known = urls.select(F.col("url").alias("target_url"))
     return first.join(known, first["href"] == known["target_url"], "left").select(
         "source_url", "target_url", "anchor_text", "xpath", "href", "href_classification",
-        "url_fragment", "url_parameters", "ord",
+        "url_fragment", "url_parameters", "link_no",
     )
 
 
@@ -175,12 +173,3 @@ def crawl_depth(urls: DataFrame, frontier: DataFrame) -> DataFrame:
     return urls.select("url").join(
         frontier.select("url", F.col("depth").alias("crawl_depth")), "url", "left"
     )
-
-
-def storage_targets(links: DataFrame) -> DataFrame:
-    """Links with both ends in storage form."""
-    return links.select(
-        url_normalize_storage(F.col("source_url")).alias("source_url"),
-        url_normalize_storage(F.col("target_url")).alias("target_url"),
-        "ord",
-    )

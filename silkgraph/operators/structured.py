@@ -27,9 +27,6 @@ REQUIRED = {
 }
 MEDIA_TAGS = ["img", "audio", "video", "source"]
 
-_page_items = F.pandas_udf(page_items, f"array<{RECORD}>")
-
-
 def bare_type(name: Column) -> Column:
     """Type or property name without the schema.org prefix."""
     for prefix in PREFIXES:
@@ -210,7 +207,8 @@ def items_of_scan(scanned: DataFrame, formats=FORMATS) -> DataFrame:
     nodes, base = F.col("nodes"), F.col("base")
     staged, parts = [], []
     if "json-ld" in formats:
-        staged.append(_page_items(json_ld_scripts(nodes), F.col("url")).alias("json_ld"))
+        read_scripts = F.pandas_udf(page_items, f"array<{RECORD}>")
+        staged.append(read_scripts(json_ld_scripts(nodes), F.col("url")).alias("json_ld"))
         parts.append(
             _labelled(
                 F.transform(

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-FETCH_LOG = T.StructType.fromDDL(
+FETCH_LOG = (
     "url string, status int, final_url string, headers map<string,string>, text string, "
     "redirect_chain array<struct<url:string,status:int,headers:map<string,string>>>, "
     "fetched_at timestamp, seq bigint"
 )
-PAGES = T.StructType.fromDDL(
+PAGES = (
     "site string, url string, final_url string, status int, fetched_at timestamp, "
     "headers map<string,string>, html string"
 )
-ROBOTS_TXT = T.StructType.fromDDL("domain string, status int, content string")
-SITEMAP_FILES = T.StructType.fromDDL("url string, status int, content string")
+ROBOTS_TXT = ("domain string, status int, content string")
+SITEMAP_FILES = ("url string, status int, content string")
 
 
 def scan_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -109,15 +109,20 @@ def stream_retry_state(
     row when the event time passes next_retry_at. Needs the RocksDB state store."""
     events = (
         log.filter(is_success(F.col("status")) | is_retryable(F.col("status")))
-        .select("url", "status", "fetched_at", "seq")
         .withWatermark("fetched_at", watermark)
+        .select("url", "status", "fetched_at", "seq", F.unix_micros("fetched_at").alias("us"))
     )
-    return events.groupBy("url").transformWithStateInPandas(
+    changes = events.groupBy("url").transformWithStateInPandas(
         statefulProcessor=RetryProcessor(delay, factor),
         outputStructType=STATE_OUTPUT,
         outputMode="Update",
         timeMode="EventTime",
     )
+    return changes.select(
+        "url", "event", "status_code", "retry_count",
+        F.timestamp_seconds("last_s").alias("last_retry_at"),
+        F.timestamp_seconds("next_s").alias("next_retry_at"),
+    )
 
 
 def status_counts(log: DataFrame, width: str = "10 minutes") -> DataFrame:

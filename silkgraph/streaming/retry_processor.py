@@ -12,8 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_OUTPUT = (
-    "url string, event string, status_code int, retry_count bigint, last_retry_at timestamp, "
-    "next_retry_at timestamp"
+    "url string, event string, status_code int, retry_count bigint, last_s bigint, next_s bigint"
 )
 STATE = "failed boolean, status int, retry_count bigint, last_s bigint, next_s bigint, seen_us bigint, seen_seq bigint"
 
@@ -30,14 +29,12 @@ class RetryProcessor(StatefulProcessor):
         self.state = handle.getValueState("retry", STATE)
 
     def _row(self, url, event, held):
-        failed, status, count, last, due = held[:5]
-        stamp = lambda s: None if s is None else pd.Timestamp(s, unit="s")
-        return {
-            "url": [url], "event": [event],
-            "status_code": pd.array([status], dtype="Int32"),
-            "retry_count": pd.array([count], dtype="Int64"),
-            "last_retry_at": [stamp(last)], "next_retry_at": [stamp(due)],
-        }
+        _, status, count, last, due = held[:5]
+        row = {"url": [url], "event": [event]}
+        row["status_code"] = pd.array([status], dtype="Int32")
+        for name, value in (("retry_count", count), ("last_s", last), ("next_s", due)):
+            row[name] = pd.array([value], dtype="Int64")
+        return row
 
     def _timer(self, due):
         for old in list(self.handle.listTimers()):
@@ -49,9 +46,9 @@ class RetryProcessor(StatefulProcessor):
         held = self.state.get() if self.state.exists() else None
         held = tuple(held) if held is not None else (False, None, None, None, None, -1, -1)
         before = held
-        frame = pd.concat(rows).sort_values(["fetched_at", "seq"])
-        for at, seq, status in zip(frame["fetched_at"], frame["seq"], frame["status"]):
-            us, seq, status = int(pd.Timestamp(at).value // 1000), int(seq), int(status)
+        frame = pd.concat(rows).sort_values(["us", "seq"])
+        for us, seq, status in zip(frame["us"], frame["seq"], frame["status"]):
+            us, seq, status = int(us), int(seq), int(status)
             if (us, seq) <= held[5:]:
                 continue
             if 200 <= status <= 299:
