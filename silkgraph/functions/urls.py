@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from silkgraph.functions.text import strip
-
 # Schemes with a ``//host`` part, and those against which relative links resolve.
 NETLOC_SCHEMES = [
     "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp",
@@ -31,6 +29,9 @@ IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "gif", "webp", "svg", "avif"]
 ASSET_EXTENSIONS = ["css", "js", "pdf", "zip", "woff", "woff2", "ttf"]
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
+_PATH = f"^(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)"
+_QUERY = r"^[^?#]*\?([^#]*)"
+_FRAGMENT = r"(?s)^[^#]*#(.*)\z"
 _LEADING_JUNK = "".join(map(chr, range(0x21)))
 
 
@@ -48,15 +49,15 @@ def netloc(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(_clean(url), f"^(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.regexp_extract(_clean(url), _PATH, 1)
 
 
 def query(url: Column) -> Column:
-    return F.regexp_extract(_clean(url), r"^[^?#]*\?([^#]*)", 1)
+    return F.regexp_extract(_clean(url), _QUERY, 1)
 
 
 def fragment(url: Column) -> Column:
-    return F.regexp_extract(_clean(url), r"(?s)^[^#]*#(.*)\z", 1)
+    return F.regexp_extract(_clean(url), _FRAGMENT, 1)
 
 
 def host(url: Column) -> Column:
@@ -75,17 +76,28 @@ def _without_params(full_path: Column) -> Column:
     ).otherwise(full_path)
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for an expression that uses it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def url_parts(url: Column) -> Column:
     """Struct (url, scheme, netloc, path, params, query, fragment)."""
-    full = path(url)
-    return F.struct(
-        url.alias("url"),
-        scheme(url).alias("scheme"),
-        netloc(url).alias("netloc"),
-        _without_params(full).alias("path"),
-        _params(full).alias("params"),
-        query(url).alias("query"),
-        fragment(url).alias("fragment"),
+
+    def parts(text: Column, full: Column) -> Column:
+        return F.struct(
+            url.alias("url"),
+            F.lower(F.regexp_extract(text, f"^({_SCHEME}):", 1)).alias("scheme"),
+            F.regexp_extract(text, f"^(?:{_SCHEME}:)?//([^/?#]*)", 1).alias("netloc"),
+            _without_params(full).alias("path"),
+            _params(full).alias("params"),
+            F.when(text.contains("?"), F.regexp_extract(text, _QUERY, 1)).otherwise("").alias("query"),
+            F.when(text.contains("#"), F.regexp_extract(text, _FRAGMENT, 1)).otherwise("").alias("fragment"),
+        )
+
+    return let(
+        _clean(url),
+        lambda text: let(F.regexp_extract(text, _PATH, 1), lambda full: parts(text, full)),
     )
 
 
@@ -100,12 +112,6 @@ def url_split(url: Column) -> Column:
     )
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once for an expression that uses it many times (Column API only; operators on
-    whole tables keep the parts in a column of their own, which stays inside code generation)."""
-    return F.transform(F.array(value), body)[0]
-
-
 def unsplit(parts: Column, *, lower_host=False, with_query=True, with_fragment=False) -> Column:
     """URL text of a struct of parts."""
     scheme_, path_, params_ = (parts.getField(f) for f in ("scheme", "path", "params"))
@@ -208,8 +214,26 @@ def url_resolve(base: Column, href: Column, *, keep_fragment: bool = False) -> C
 
 
 def url_normalize_storage(url: Column) -> Column:
-    """Key form: scheme and host in lower case, no fragment; path, params and query as they are."""
-    return unsplit(url_parts(url), lower_host=True)
+    """Key form: scheme and host in lower case, no fragment; path, params and query as they are.
+
+    Works on the text in two cuts (up to the path, then up to the fragment), which keeps the
+    expression small enough to be repeated inside joins and filters.
+    """
+    text = _clean(url)
+    head = F.regexp_extract(text, f"^(?:{_SCHEME}:)?(?://[^/?#]*)?", 0)
+    tail = F.substring_index(F.substring(text, F.length(head) + 1, F.length(text)), "#", 1)
+    # A query or params mark with nothing behind it goes.
+    neat = F.when(
+        tail.contains(";") | tail.endswith("?"),
+        F.regexp_replace(
+            F.regexp_replace(tail, r"\A([^?]*)\?\z", "$1"),
+            r"\A((?:[^?]*/)?[^/;?]*);(?=\?|\z)", "$1",
+        ),
+    ).otherwise(tail)
+    hostless = F.lower(head).isin([f"{s}:" for s in NETLOC_SCHEMES]) & (
+        (tail == "") | tail.startswith("/")
+    )
+    return F.concat(F.lower(head), F.when(hostless, "//").otherwise(""), neat)
 
 
 def url_kind(content_type: Column, url: Column) -> Column:
@@ -320,8 +344,3 @@ def crawl_policy(
 
 def looks_like_xml(url: Column) -> Column:
     return F.lower(url).endswith(".xml")
-
-
-def trimmed_or_null(text: Column) -> Column:
-    """Stripped text, NULL when blank."""
-    return F.when(strip(text) != "", strip(text))

@@ -52,6 +52,7 @@ def wanted(
 
 
 LINKS = wanted(tags=("a",))
+LINKS_WITHOUT_TEXT = wanted(tags=("a",), text_tags=())
 LINKS_WITH_PATH = wanted(tags=("a",), xpath=True)
 CONTENT = wanted(tags=CONTENT_TAGS)
 ITEMS = wanted(tags=(), attributes=ITEM_ATTRIBUTES, json_ld=True, raw=True)

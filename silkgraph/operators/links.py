@@ -11,36 +11,34 @@ from silkgraph.functions.urls import (
     host,
     host_classification,
     join_parts,
+    let,
     unsplit,
     url_classification,
     url_parts,
 )
-from silkgraph.operators.dom import LINKS, LINKS_WITH_PATH, scan_html
+from silkgraph.operators.dom import LINKS, LINKS_WITHOUT_TEXT, LINKS_WITH_PATH, scan_html
 
 
-def _anchors(scanned: DataFrame, base: str) -> DataFrame:
-    """One row per ``<a href>`` with ``base_parts`` (taken apart once per page), ``href_parts``
-    and ``target_parts``. Every stage is a column of its own, so nothing is computed twice."""
-    keys = [c for c in scanned.columns if c not in ("nodes", "word_count", "parsed")]
-    return (
-        scanned.select(
-            *keys,
-            url_parts(F.col(base)).alias("base_parts"),
-            F.posexplode(
-                F.filter(
-                    "nodes",
-                    lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"),
-                )
-            ).alias("link_no", "a"),
-        )
-        .select(
-            *keys, "base_parts", "link_no",
-            F.col("a.attrs")["href"].alias("href"),
-            F.col("a.text_pieces").alias("text_pieces"),
-            F.col("a.xpath").alias("xpath"),
-        )
-        .withColumn("href_parts", url_parts(F.col("href")))
-        .withColumn("target_parts", join_parts(F.col("base_parts"), F.col("href_parts")))
+def _link_rows(scanned: DataFrame, keys: list[str], base: Column, describe) -> DataFrame:
+    """One row per ``<a href>``: keys, ``link_no`` and the fields ``describe`` gives for an element
+    and the parts of the base and of the href.
+
+    The links of a page are described inside its row and exploded last. The base is taken apart
+    once per page and an href once per link, and filters of later steps stop at the explode
+    instead of repeating the URL work below it.
+    """
+    anchors = F.filter(
+        "nodes", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")
+    )
+    described = let(
+        url_parts(base),
+        lambda b: F.transform(
+            anchors,
+            lambda n: let(url_parts(n["attrs"]["href"]), lambda h: describe(n, b, h)),
+        ),
+    )
+    return scanned.select(*keys, F.posexplode(described).alias("link_no", "l")).select(
+        *keys, "link_no", "l.*"
     )
 
 
@@ -50,23 +48,28 @@ def _scan(pages: DataFrame, base: str, want: dict) -> DataFrame:
     )
 
 
+def _target(b: Column, h: Column) -> Column:
+    return let(join_parts(b, h), lambda t: unsplit(t))
+
+
 def extract_links(pages: DataFrame, base: str = "url") -> DataFrame:
     """(source_url, link_no, target_url): every ``<a href>``, resolved, in document order."""
-    return _anchors(_scan(pages, base, LINKS), "_from").select(
-        "source_url", "link_no", unsplit(F.col("target_parts")).alias("target_url")
+    return _link_rows(
+        _scan(pages, base, LINKS_WITHOUT_TEXT), ["source_url"], F.col("_from"),
+        lambda n, b, h: F.struct(_target(b, h).alias("target_url")),
     )
 
 
 def extract_links_detailed(pages: DataFrame, base: str = "url", xpath: bool = True) -> DataFrame:
     """As ``extract_links`` with anchor text, raw href and XPath."""
-    want = LINKS_WITH_PATH if xpath else LINKS
-    return _anchors(_scan(pages, base, want), "_from").select(
-        "source_url",
-        "link_no",
-        unsplit(F.col("target_parts")).alias("target_url"),
-        stripped_pieces(F.col("text_pieces")).alias("anchor_text"),
-        "xpath",
-        "href",
+    return _link_rows(
+        _scan(pages, base, LINKS_WITH_PATH if xpath else LINKS), ["source_url"], F.col("_from"),
+        lambda n, b, h: F.struct(
+            _target(b, h).alias("target_url"),
+            stripped_pieces(n["text_pieces"]).alias("anchor_text"),
+            n["xpath"].alias("xpath"),
+            n["attrs"]["href"].alias("href"),
+        ),
     )
 
 
@@ -84,29 +87,30 @@ def page_links(pages: DataFrame, base_domain: Column | None = None, base: str =
 
 def links_of_scan(scanned: DataFrame) -> DataFrame:
     """``page_links`` for a table scanned already (columns source_url, _from, _site, nodes)."""
-    return (
-        _anchors(scanned, "_from")
-        .withColumn("bare_joined", join_parts(F.col("base_parts"), bare_parts(F.col("href_parts"))))
-        .select(
-            "source_url",
-            "link_no",
-            F.col("href").alias("raw_href"),
-            unsplit(F.col("target_parts")).alias("link_url"),
-            unsplit(F.col("target_parts"), lower_host=True).alias("target_key"),
-            stripped_pieces(F.col("text_pieces")).alias("anchor_text"),
-            "xpath",
-            components_from(F.col("href_parts"), F.col("bare_joined")).alias("c"),
-            host_classification(F.col("target_parts")["netloc"], F.col("_site")).alias(
-                "classification"
+    site = F.col("_site")
+
+    def describe(n: Column, b: Column, h: Column) -> Column:
+        joined = F.struct(join_parts(b, h).alias("t"), join_parts(b, bare_parts(h)).alias("j"))
+        return let(
+            joined,
+            lambda v: let(
+                components_from(h, v["j"]),
+                lambda c: F.struct(
+                    n["attrs"]["href"].alias("raw_href"),
+                    unsplit(v["t"]).alias("link_url"),
+                    unsplit(v["t"], lower_host=True).alias("target_key"),
+                    stripped_pieces(n["text_pieces"]).alias("anchor_text"),
+                    n["xpath"].alias("xpath"),
+                    c["href"].alias("href"),
+                    c["url_fragment"].alias("url_fragment"),
+                    c["url_parameters"].alias("url_parameters"),
+                    host_classification(v["t"]["netloc"], site).alias("classification"),
+                    url_classification(c["href"], site).alias("href_classification"),
+                ),
             ),
-            "_site",
         )
-        .select(
-            "source_url", "link_no", "raw_href", "link_url", "target_key", "anchor_text", "xpath",
-            "c.href", "c.url_fragment", "c.url_parameters", "classification",
-            url_classification(F.col("c.href"), F.col("_site")).alias("href_classification"),
-        )
-    )
+
+    return _link_rows(scanned, ["source_url"], F.col("_from"), describe)
 
 
 def internal_links(links: DataFrame, urls: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ ANALYSIS = f""", indexability AS ({INDEX}), counts AS ({COUNTS}),
   analysis AS (SELECT u.url, u.kind, u.classification, f.page_id, f.title, f.meta_description, f.h1 AS h1_tags, f.word_count + 3 AS word_count, f.html_lang,
          c.internal_links_count, c.external_links_count, c.internal_links_unique_count, c.external_links_unique_count,
          i.robots_txt_allows, i.html_meta_allows, i.http_header_allows, i.overall_indexable, i.robots_txt_directives, i.html_meta_directives, i.http_header_directives,
-         CASE WHEN f.canonical_url = f.url THEN f.key_url ELSE f.canonical_url END AS canonical_urls,
+         f.canonical_url AS canonical_urls,
          CASE WHEN f.canonical_url IS NOT NULL THEN 'html_head' END AS canonical_sources,
          CASE WHEN f.page_id % 2 = 0 AND f.url = f.key_url THEN 'en' WHEN f.page_id % 10 = 3 AND f.url = f.key_url THEN 'fr'
               WHEN f.page_id % 2 = 0 AND f.url = f.key_url || '/' THEN 'en' END AS self_hreflang
