@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # No call-site capture for every Column made in Python: these plans hold many of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Page bodies go to the Python workers in small batches.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     # transformWithState keeps its state in RocksDB.
