@@ -32,7 +32,10 @@ def crawl_reachability(
     seen, left, out = level.select("url"), max_pages, None
     for depth in range(max_depth + 1):
         queued = level.filter(~F.col("recorded"))
-        if max_pages > 0:
+        capped = max_pages > 0 and left <= 0
+        if capped:
+            done = queued.select("url").limit(0)
+        elif max_pages > 0:
             done = cut(first_pages(queued.select("url"), [F.col("url")], left))
             left -= done.count()
         else:
@@ -41,7 +44,7 @@ def crawl_reachability(
             "crawled", F.coalesce("crawled", F.lit(False))
         )
         out = marked if out is None else out.unionByName(marked)
-        if depth == max_depth or (max_pages > 0 and left <= 0):
+        if capped or depth == max_depth:
             break
         found = (
             edges.join(done.withColumnRenamed("url", "source_url"), "source_url")

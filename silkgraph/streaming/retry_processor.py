@@ -38,7 +38,7 @@ class RetryProcessor(StatefulProcessor):
 
     def _timer(self, due):
         for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0])
+            self.handle.deleteTimer(old)
         if due is not None:
             self.handle.registerTimer(due * 1000)
 
