@@ -19,6 +19,12 @@ from silkgraph.functions.urls import (
 from silkgraph.operators.dom import LINKS, LINKS_WITHOUT_TEXT, LINKS_WITH_PATH, scan_html
 
 
+def _anchor_nodes() -> Column:
+    return F.filter(
+        "nodes", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")
+    )
+
+
 def _link_rows(scanned: DataFrame, keys: list[str], base: Column, describe) -> DataFrame:
     """One row per ``<a href>``: keys, ``link_no`` and the fields ``describe`` gives for an element
     and the parts of the base and of the href.
@@ -27,13 +33,10 @@ def _link_rows(scanned: DataFrame, keys: list[str], base: Column, describe) -> D
     once per page and an href once per link, and filters of later steps stop at the explode
     instead of repeating the URL work below it.
     """
-    anchors = F.filter(
-        "nodes", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")
-    )
     described = let(
         url_parts(base),
         lambda b: F.transform(
-            anchors,
+            _anchor_nodes(),
             lambda n: let(url_parts(n["attrs"]["href"]), lambda h: describe(n, b, h)),
         ),
     )
@@ -114,31 +117,67 @@ def links_of_scan(scanned: DataFrame) -> DataFrame:
 
 
 def internal_links(links: DataFrame, urls: DataFrame) -> DataFrame:
-    """Internal links, one per (source, xpath), with the target filled in when the URL is known.
+    """Internal links with the target filled in when the URL is known.
 
-    The rows of one source come from one page, so the first link per XPath is a map-side reduced
-    aggregate; the known URLs join on their unique key, where a hot target is split by AQE.
+    One page row per source makes (source, XPath) unique by construction, because every element has
+    its own path; so nothing has to be grouped. The known URLs join on their unique key, and no
+    aggregation follows, so AQE may split a target that very many links share.
     """
-    first = (
-        links.filter(F.col("classification") == "internal")
-        .groupBy("source_url", "xpath")
-        .agg(
-            F.min_by(
-                F.struct("href", "href_classification", "anchor_text", "url_fragment", "url_parameters", "link_no"),
-                "link_no",
-            ).alias("l")
-        )
-        .select("source_url", "xpath", "l.*")
-    )
     known = urls.select(F.col("url").alias("target_url"))
-    return first.join(known, first["href"] == known["target_url"], "left").select(
+    own = links.filter(F.col("classification") == "internal")
+    return own.join(known, own["href"] == known["target_url"], "left").select(
         "source_url", "target_url", "anchor_text", "xpath", "href", "href_classification",
         "url_fragment", "url_parameters", "link_no",
     )
 
 
+COUNTS = (
+    "internal_links_count", "external_links_count", "internal_links_unique_count",
+    "external_links_unique_count",
+)
+
+
+def count_columns(base: Column, site: Column) -> Column:
+    """Struct of the four link counts of a scanned page (needs ``nodes``), computed in its row."""
+
+    def counts(seen: Column) -> Column:
+        own = F.transform(F.filter(seen, lambda s: s["internal"]), lambda s: s["href"])
+        other = F.transform(F.filter(seen, lambda s: ~s["internal"]), lambda s: s["href"])
+        sizes = [F.size(own), F.size(other), F.size(F.array_distinct(own)), F.size(F.array_distinct(other))]
+        return F.struct(*[v.cast("bigint").alias(n) for n, v in zip(COUNTS, sizes)])
+
+    def seen(b: Column, h: Column) -> Column:
+        joined = F.struct(join_parts(b, h).alias("t"), join_parts(b, bare_parts(h)).alias("j"))
+        return let(
+            joined,
+            lambda v: F.struct(
+                (host_classification(v["t"]["netloc"], site) == "internal").alias("internal"),
+                components_from(h, v["j"])["href"].alias("href"),
+            ),
+        )
+
+    return let(
+        let(
+            url_parts(base),
+            lambda b: F.transform(
+                _anchor_nodes(),
+                lambda n: let(url_parts(n["attrs"]["href"]), lambda h: seen(b, h)),
+            ),
+        ),
+        counts,
+    )
+
+
+def page_link_counts(pages: DataFrame, base: str = "url") -> DataFrame:
+    """(source_url, four counts) straight from the pages: no explode, no shuffle."""
+    scanned = _scan(pages, base, LINKS_WITHOUT_TEXT)
+    return scanned.select(
+        "source_url", count_columns(F.col("_from"), host(F.col("source_url"))).alias("c")
+    ).select("source_url", "c.*")
+
+
 def link_counts(links: DataFrame) -> DataFrame:
-    """Internal and external links per source, total and unique by href without query.
+    """The four counts from a stored link table, unique ones by href without query.
 
     Equal hrefs of a source are counted first, so a source with very many links spreads over the
     (source, href) partitions before its totals meet.

@@ -263,6 +263,11 @@ COUNTS = """SELECT source_url, count(*) FILTER (WHERE classification = 'internal
 
 @query("link_counts", oracle("page_urls nav_links variant_links", COUNTS))
 def link_counts(spark, sf):
+    return links.page_link_counts(d.stored_variants(spark, sf))
+
+
+@query("link_counts_of_table", oracle("page_urls nav_links variant_links", COUNTS))
+def link_counts_of_table(spark, sf):
     return links.link_counts(_links(spark, sf))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silkgraph.operators import links, redirects, robots, structured
-from silkgraph.operators.content import content_columns, has_content, page_content
+from silkgraph.operators.content import content_columns, has_content, page_facts
 from silkgraph.operators.dom import CONTENT, scan_html
+from silkgraph.operators.scale import cut
 from silkgraph.functions.urls import host, url_classification, url_normalize_storage
 from silkgraph.plans import documented, views
 from silkgraph.plans.catalog_html import ALL_ITEMS, COUNTS, LINKS
@@ -40,12 +41,11 @@ def page_frontier(spark, sf):
 
 
 def page_analysis_table(spark, sf):
-    variants = d.stored_variants(spark, sf)
-    content = page_content(variants.select("url", "html", "headers"))
-    counted = links.link_counts(links.page_links(variants)).withColumnRenamed("source_url", "url")
+    # The page table is written once; the three inputs below read it instead of the HTML.
+    content = cut(page_facts(d.stored_variants(spark, sf).select("url", "html", "headers")))
     return views.page_analysis(
         d.site_urls(spark, sf),
-        content.join(counted, "url", "left"),
+        content,
         robots.indexability(content, d.robots_txt(spark, sf)),
         robots.canonicals(content),
         hreflang_table(spark, sf),
@@ -112,7 +112,7 @@ def sitemap_statistics(spark, sf):
 
 
 def schema_table(spark, sf):
-    items = structured.structured_data(d.part_pages(spark, sf))
+    items = cut(structured.structured_data(d.part_pages(spark, sf)))
     k = F.regexp_extract("url", r"(\d+)\z", 1).cast("bigint")
     urls = d.part_pages(spark, sf).select(
         "url", F.when(k % 3 == 0, "network").when(k % 3 == 1, "internal").otherwise("external").alias("classification")

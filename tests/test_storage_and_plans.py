@@ -60,7 +60,7 @@ def test_no_cartesian_product(spark, name):
         assert "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["page_overview", "page_content", "extract_links", "structured_data", "robots_directives", "canonicals"])
+@pytest.mark.parametrize("name", ["page_overview", "page_content", "extract_links", "structured_data", "robots_directives", "canonicals", "link_counts"])
 def test_page_work_needs_no_keyed_shuffle(spark, name):
     assert "hashpartitioning" not in plan_of(QUERIES[name](spark, SMALL))
 
