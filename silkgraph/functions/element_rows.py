@@ -1,15 +1,17 @@
 """Task-side helper of the HTML scan: one pass of the standard HTML parser over a page.
 
 It only turns markup into element records; everything that is looked up in them is a Column
-expression or a DataFrame operator. The functions travel to the executors by value, so the workers
-need no copy of this package.
+expression or a DataFrame operator. Plain markup is cut by one regular expression; a page with
+anything unusual goes through the standard parser as a whole, and both give the same records where
+the expression applies. The functions travel to the executors by value, so the workers need no copy
+of this package.
 """
 
 from __future__ import annotations
 
+import re
 import sys
-from collections import Counter
-from html import unescape
+from html import parser as html_parser, unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -27,6 +29,31 @@ SIDE_TEXT = frozenset(["script", "style", "template", "rt", "rp"])
 KEEP_SPACE = frozenset(["pre", "textarea"])
 SPACES = " \n\t\f\r"
 
+# Plain markup: what is not matched here is left to the standard parser.
+TOKEN = re.compile(
+    r"""
+    (?P<text>[^<&]+)
+    | <(?P<start>[a-zA-Z][a-zA-Z0-9:-]*+)
+      (?P<attrs>(?:[ \t\n\r\f]++[a-zA-Z_:@][^\s/=>"'<&\x00]*+
+                   (?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]*[^\s"'=<>`/](?=[ \t\n\r\f>])))?)*+)
+      [ \t\n\r\f]*+(?P<void>/?)>
+    | </(?P<end>[a-zA-Z][a-zA-Z0-9:-]*+)[ \t\n\r\f]*+>
+    | &(?P<entity>[a-zA-Z][a-zA-Z0-9]*+)(?:;|(?=[^a-zA-Z0-9.;-]))
+    | &\#(?P<number>[0-9]++|[xX][0-9a-fA-F]++);
+    | (?P<sign>&(?=[^a-zA-Z\#])|<(?=[^a-zA-Z/!?]))
+    | <!--(?P<comment>(?!-?>)(?:[^-]|-(?!-))*+)-->
+    | <!(?P<decl>[dD][oO][cC][tT][yY][pP][eE][^>]*+)>
+    """,
+    re.X,
+)
+ATTRIBUTE = re.compile(
+    r"""[ \t\n\r\f]+([^\s/=>"'<&\x00]+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""
+)
+RAW_END = {t: re.compile(rf"</\s*{t}", re.I) for t in ("script", "style")}
+# Elements whose inside parser versions read differently unless it is text.
+TEXT_ONLY = frozenset(["title", "textarea", "iframe", "noembed", "noframes", "xmp"])
+unescape_value = getattr(html_parser, "_unescape_attrvalue", unescape)
+
 NODE = pa.struct(
     [
         ("ord", pa.int32()),
@@ -49,11 +76,11 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
-        self.tags, self.parents, self.ends, self.attrs = [], [], [], []
-        self.nth, self.siblings = [], Counter()
-        self.texts, self.text_from, self.text_to, self.side = [], [], [], {}
-        self.starts, self.stops = [], {}
-        self.stack, self.open, self.side_stack, self.space_depth = [], Counter(), [], 0
+        # One list per element: tag, parent, subtree end, attributes, number among its like
+        # siblings, first and last text. (Lists, because this is the inner loop of the scan.)
+        self.nodes, self.siblings, self.texts, self.side = [], {}, [], {}
+        self.starts, self.stops, self.html, self.lines, self.at = {}, {}, "", None, None
+        self.stack, self.open, self.side_stack, self.space_depth = [], {}, [], 0
         self.pending = []
 
     def flush(self):
@@ -88,88 +115,157 @@ class Tree(HTMLParser):
             self.pending.append(data[6:])
             self.flush()
 
+    def where(self):
+        """Offset of the token being handled."""
+        if self.at is not None:
+            return self.at
+        if self.lines is None:
+            self.lines = [0] + [m.end() for m in re.finditer("\n", self.html)]
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
     def handle_starttag(self, tag, attrs):
-        self.flush()
-        me, parent = len(self.tags), self.stack[-1] if self.stack else -1
-        self.siblings[parent, tag] += 1
-        self.tags.append(tag)
-        self.parents.append(parent)
-        self.nth.append(self.siblings[parent, tag])
-        self.attrs.append({k: v or "" for k, v in attrs})
-        self.ends.append(me)
-        self.text_from.append(len(self.texts))
-        self.text_to.append(len(self.texts))
-        self.starts.append(self.getpos())
+        self.begin(tag, {k: v or "" for k, v in attrs})
+
+    def begin(self, tag, attrs):
+        if self.pending:
+            self.flush()
+        nodes, stack = self.nodes, self.stack
+        me, parent = len(nodes), stack[-1] if stack else -1
+        like = (parent, tag)
+        nth = self.siblings[like] = self.siblings.get(like, 0) + 1
+        texts = len(self.texts)
+        nodes.append([tag, parent, me, attrs, nth, texts, texts])
+        if attrs and (is_item(attrs) or is_json_ld(tag, attrs)):
+            self.starts[me] = self.where()
         if tag in VOID:
             return
-        self.stack.append(me)
-        self.open[tag] += 1
+        stack.append(me)
+        self.open[tag] = self.open.get(tag, 0) + 1
         if tag in SIDE_TEXT:
             self.side_stack.append(me)
-        self.space_depth += tag in KEEP_SPACE
+        elif tag in KEEP_SPACE:
+            self.space_depth += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.flush()
-        if tag in VOID or not self.open[tag]:
-            return
-        while self.pop(tag) != tag:
-            pass
+        if self.pending:
+            self.flush()
+        if self.open.get(tag):
+            while self.pop(tag) != tag:
+                pass
 
     def pop(self, closing=None):
         me = self.stack.pop()
-        tag = self.tags[me]
+        node = self.nodes[me]
+        tag = node[0]
         self.open[tag] -= 1
-        if self.side_stack and self.side_stack[-1] == me:
+        node[2] = len(self.nodes) - 1
+        node[6] = len(self.texts)
+        if tag in SIDE_TEXT:
             self.side_stack.pop()
-        self.space_depth -= tag in KEEP_SPACE
-        self.ends[me] = len(self.tags) - 1
-        self.text_to[me] = len(self.texts)
-        self.stops[me] = (self.getpos(), tag == closing)
+        elif tag in KEEP_SPACE:
+            self.space_depth -= 1
+        if me in self.starts:
+            self.stops[me] = (self.where(), tag == closing)
         return tag
 
     def read(self, html):
+        self.html = html
         self.feed(html)
         self.close()
+        return self.finish()
+
+    def finish(self):
         self.flush()
         while self.stack:
             self.pop()
         return self
 
+    def read_plain(self, html):
+        """As ``read`` by the token expression; None as soon as the markup is not plain."""
+        self.html, self.at, end, match, inside = html, 0, len(html), TOKEN.match, None
+        while self.at < end:
+            token = match(html, self.at)
+            if token is None:
+                return None
+            kind = token.lastgroup
+            if inside and kind != "text" and not (kind == "end" and token["end"].lower() == inside):
+                return None
+            if kind == "text":
+                self.pending.append(token["text"])
+            elif kind == "void":
+                tag, attrs = token["start"].lower(), token["attrs"]
+                found = {}
+                if attrs:
+                    for name, double, single, bare in ATTRIBUTE.findall(attrs):
+                        value = double or single or bare
+                        found[name.lower()] = unescape_value(value) if "&" in value else value
+                self.begin(tag, found)
+                if token["void"]:
+                    self.handle_endtag(tag)
+                elif tag in RAW_END:
+                    close = RAW_END[tag].search(html, token.end())
+                    if close is None:
+                        return None
+                    last = match(html, close.start())
+                    body = html[token.end() : close.start()]
+                    if last is None or last.lastgroup != "end" or "<!--" in body:
+                        return None
+                    if body:
+                        self.pending.append(body)
+                    self.at = close.start()
+                    self.handle_endtag(tag)
+                    token = last
+                elif tag in TEXT_ONLY:
+                    inside = tag
+                elif tag == "plaintext":
+                    return None
+            elif kind == "end":
+                inside = None
+                self.handle_endtag(token["end"].lower())
+            elif kind == "entity":
+                self.handle_entityref(token["entity"])
+            elif kind == "number":
+                self.handle_charref(token["number"])
+            elif kind == "sign":
+                self.pending.append(token["sign"])
+            else:
+                self.flush()
+            self.at = token.end()
+        return self.finish()
+
     def pieces(self, me):
-        if self.tags[me] in SIDE_TEXT:
-            return self.side.get(me, [])
-        return self.texts[self.text_from[me] : self.text_to[me]]
+        node = self.nodes[me]
+        return self.side.get(me, []) if node[0] in SIDE_TEXT else self.texts[node[5] : node[6]]
 
     def xpaths(self):
         """Path of every element; a step is numbered when the parent has more of that tag."""
         out = []
-        for tag, parent, nth in zip(self.tags, self.parents, self.nth):
+        for tag, parent, _, _, nth, _, _ in self.nodes:
             step = f"{tag}[{nth}]" if self.siblings[parent, tag] > 1 else tag
             out.append(f"{out[parent] if parent >= 0 else '/[document]'}/{step}")
         return out
 
     def scopes(self, me):
         """Enclosing structured-data items, outermost first."""
-        found, up = [], self.parents[me]
+        found, up = [], self.nodes[me][1]
         while up >= 0:
-            if "itemscope" in self.attrs[up] or "typeof" in self.attrs[up]:
+            if is_item(self.nodes[up][3]):
                 found.append(up)
-            up = self.parents[up]
+            up = self.nodes[up][1]
         return found[::-1]
 
-    def source(self, html, lines, me):
-        """Source slice of an element, end tag included when it closed it."""
-        line, col = self.starts[me]
-        begin = lines[line - 1] + col
+    def source(self, me):
+        """Source slice of an item, end tag included when it closed the element."""
+        begin = self.starts[me]
         if me not in self.stops:
-            return html[begin : html.find(">", begin) + 1]
-        (line, col), own = self.stops[me]
-        end = lines[line - 1] + col
-        return html[begin : html.find(">", end) + 1 if own and html[end : end + 1] == "<" else end]
+            return self.html[begin : self.html.find(">", begin) + 1]
+        end, own = self.stops[me]
+        return self.html[begin : self.html.find(">", end) + 1 if own and self.html[end : end + 1] == "<" else end]
 
 
 def is_item(attrs):
@@ -186,33 +282,29 @@ def is_json_ld(tag, attrs):
 
 def page_record(html, want):
     """(node dicts, word count, parsed) of one page; no nodes if the parser gives up."""
+    html = html or ""
     try:
-        tree = Tree().read(html or "")
+        tree = Tree().read_plain(html) or Tree().read(html)
     except AssertionError:
         return [], 0, False
     words = len("".join(tree.texts).split())
     paths = tree.xpaths() if want["xpath"] else None
-    lines = None
-    nodes = []
-    for me, (tag, attrs) in enumerate(zip(tree.tags, tree.attrs)):
+    nodes, any_tag, tags, names = [], want["tags"] is None, want["tags"] or (), want["attrs"]
+    for me, (tag, parent, end, attrs, _, _, _) in enumerate(tree.nodes):
+        block = bool(attrs) and is_json_ld(tag, attrs)
         if not (
-            want["tags"] is None
-            or tag in want["tags"]
-            or any(a in attrs for a in want["attrs"])
-            or (want["json_ld"] and is_json_ld(tag, attrs))
+            any_tag
+            or tag in tags
+            or (attrs and names and any(a in attrs for a in names))
+            or (block and want["json_ld"])
         ):
             continue
-        prop, block = is_property(attrs), is_json_ld(tag, attrs)
-        texts = raw = None
-        if tag in want["text_tags"] or prop or block:
-            texts = tree.pieces(me)
-        if want["raw"] and (is_item(attrs) or block):
-            if lines is None:
-                lines = [0] + [i + 1 for i, c in enumerate(html) if c == "\n"]
-            raw = tree.source(html, lines, me)
+        prop = is_property(attrs)
+        texts = tree.pieces(me) if tag in want["text_tags"] or prop or block else None
+        raw = tree.source(me) if want["raw"] and me in tree.starts else None
         nodes.append(
             (
-                me, tree.parents[me], tree.ends[me], tag, list(attrs.items()), texts,
+                me, parent, end, tag, list(attrs.items()), texts,
                 paths[me] if paths else None, tree.scopes(me) if prop else None, raw,
             )
         )

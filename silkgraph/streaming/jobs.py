@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from silkgraph.functions.http import is_retryable, is_success, status_class
-from silkgraph.operators.content import page_content
-from silkgraph.operators.links import internal_links, page_links
+from silkgraph.functions.http import header, is_retryable, is_success, status_class
+from silkgraph.operators.content import content_columns, has_content
+from silkgraph.operators.dom import CONTENT, LINKS_WITH_PATH, scan_html
+from silkgraph.operators.links import internal_links, links_of_scan
 from silkgraph.operators.redirects import redirect_records
 from silkgraph.operators.state import newest, url_upsert
 from silkgraph.functions.urls import host, url_classification, url_kind, url_normalize_storage
-from silkgraph.functions.http import header
 from silkgraph.sources.readers import pages_from_log
 from silkgraph.streaming.retry_processor import STATE_OUTPUT, RetryProcessor
 
 
-def batch_tables(log: DataFrame) -> dict[str, DataFrame]:
-    """What a set of fetch results adds to the tables: the batch operators, side by side."""
-    pages = pages_from_log(log)
+def batch_tables(
+    log: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> dict[str, DataFrame]:
+    """What a set of fetch results adds to the tables: the batch operators, side by side.
+
+    ``hold`` is applied to the two intermediate results that several tables share, the settled page
+    rows and their scan; the ingest job persists them so that the HTML is read once.
+    """
+    pages = hold(pages_from_log(log))
     target = url_normalize_storage(F.coalesce("final_url", "url"))
     url = url_normalize_storage(F.col("url"))
     observed = log.filter(~is_retryable(F.col("status"))).select(
@@ -32,17 +40,28 @@ def batch_tables(log: DataFrame) -> dict[str, DataFrame]:
         "fetched_at",
         "seq",
     )
-    links = page_links(pages.select("url", "final_url", "html"), base="final_url")
+    scanned = hold(
+        scan_html(
+            pages.select(
+                "url",
+                F.col("url").alias("source_url"),
+                F.col("final_url").alias("_from"),
+                host(F.col("url")).alias("_site"),
+                F.create_map(F.lit("x-robots-tag"), "x_robots_tag").alias("headers"),
+                "html",
+            ),
+            {**LINKS_WITH_PATH, "tags": CONTENT["tags"] | {"a"}},
+        )
+    )
+    content = content_columns(scanned.drop("source_url", "_from", "_site"))
     chains = log.filter(F.size("redirect_chain") > 1).select(
         "url", F.coalesce("final_url", "url").alias("final_url"), "status", "redirect_chain", "fetched_at"
     )
     return {
         "pages": pages,
         "urls": url_upsert(observed, ("fetched_at", "seq")),
-        "content": page_content(
-            pages.select("url", F.create_map(F.lit("x-robots-tag"), "x_robots_tag").alias("headers"), "html")
-        ),
-        "links": internal_links(links, pages.select("url")),
+        "content": has_content(content),
+        "links": internal_links(links_of_scan(scanned), pages.select("url")),
         "redirects": redirect_records(chains, "fetched_at"),
     }
 
@@ -58,12 +77,18 @@ def stream_ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        held = [batch.persist()]
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
         try:
-            for name, df in batch_tables(batch).items():
+            for name, df in batch_tables(batch, hold).items():
                 df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
 
     return (
         log.writeStream.foreachBatch(write)
