@@ -21,12 +21,10 @@ def encode_dictionary(
         return row_ranks(unseen, [F.col("value")], name="_r").select(
             (F.col("_r") + 1).alias("id"), "value"
         )
-    last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    fresh = (
-        row_ranks(unseen.join(known, "value", "left_anti"), [F.col("value")], name="_r")
-        .crossJoin(F.broadcast(last))
-        .select((F.col("_r") + F.col("_last") + 1).alias("id"), "value")
-    )
+    last = known.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    fresh = row_ranks(
+        unseen.join(known, "value", "left_anti"), [F.col("value")], name="_r"
+    ).select((F.col("_r") + 1 + last).alias("id"), "value")
     return known.select("id", "value").unionByName(fresh)
 
 

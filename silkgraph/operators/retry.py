@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silkgraph.functions.http import failure_reason, is_retryable, is_success
-from silkgraph.operators.scale import hot_keys, salted_left_join
+from silkgraph.operators.scale import cut, hot_keys, salted_left_join
 
 
 def next_retry_at(last: Column, retry_count: Column, delay: float, factor: float) -> Column:
@@ -20,13 +20,16 @@ def retry_state(log: DataFrame, delay: float = 1.0, factor: float = 2.0) -> Data
     A success forgets the failures before it, so a URL is failed iff a retryable answer follows its
     last success; retry_count is the number of those minus one. That needs two aggregates, not a
     running window. The rows of URLs that hold more than 1/1000 of the log are spread over salts
-    between them, so no task ever sees all rows of one URL.
+    between them, so no task ever sees all rows of one URL. The summary is written once, so the log
+    is read twice in all.
     """
     at = F.struct("fetched_at", "seq")
     log = log.filter(is_success(F.col("status")) | is_retryable(F.col("status")))
-    summary = log.groupBy("url").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max(F.when(is_success(F.col("status")), at)).alias("last_ok"),
+    summary = cut(
+        log.groupBy("url").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.max(F.when(is_success(F.col("status")), at)).alias("last_ok"),
+        )
     )
     failures = log.filter(is_retryable(F.col("status")))
     open_failures = salted_left_join(

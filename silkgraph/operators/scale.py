@@ -70,12 +70,8 @@ def row_ranks(df: DataFrame, order: list, by: list[str] | None = None, name: str
 def hot_keys(counts: DataFrame, key: str, rows: str, share: int = 1000) -> DataFrame:
     """Keys holding at least 1/``share`` of all rows: by arithmetic never more than ``share`` rows,
     so the result may be broadcast whatever the size of the data."""
-    total = counts.agg(F.sum(rows).alias("_total"))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .filter(F.col(rows) * share >= F.col("_total"))
-        .select(key)
-    )
+    total = counts.agg(F.sum(rows)).scalar()
+    return counts.filter(F.col(rows) * share >= total).select(key)
 
 
 def salted_left_join(

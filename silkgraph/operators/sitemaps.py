@@ -131,8 +131,10 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
 
 
 def sitemap_index_edges(files: DataFrame) -> DataFrame:
-    """(parent, position, child) of the sitemap indexes."""
-    return read_files(files).select(
+    """(parent, position, child) of the sitemap indexes. Only files with a ``<sitemap>`` tag are
+    parsed, which leaves the many plain sitemaps to the pass that reads their entries."""
+    indexes = files.filter(F.col("content").rlike(r"<(\w+:)?sitemap[\s/>]"))
+    return read_files(indexes).select(
         F.col("sitemap_url").alias("parent"), F.posexplode("nested").alias("position", "child")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from silkgraph.operators import robots, sitemaps
 from silkgraph.operators.content import page_content
+from silkgraph.operators.scale import cut
 from silkgraph.plans.catalog_urls import ALLOWED
 from silkgraph.plans.registry import bars, long, query
 from silkgraph.sources import derived as d
@@ -137,15 +138,18 @@ def sitemap_entries(spark, sf):
     )
 
 
-def starts(spark, sf):
-    return sitemaps.sitemap_discovery(
-        d.page_hosts(spark, sf), d.robots_txt(spark, sf), d.sitemap_files(spark, sf)
-    )
+def starts(spark, sf, files):
+    return sitemaps.sitemap_discovery(d.page_hosts(spark, sf), d.robots_txt(spark, sf), files)
+
+
+def closure_table(spark, sf):
+    files = cut(d.sitemap_files(spark, sf))
+    return sitemaps.sitemap_closure(starts(spark, sf, files), files)
 
 
 @query("sitemap_discovery", oracle("page_urls hosts", f"SELECT domain AS site, 0 AS position, {START} AS sitemap_url FROM hosts"))
 def sitemap_discovery(spark, sf):
-    return starts(spark, sf).withColumn("position", long("position"))
+    return starts(spark, sf, d.sitemap_files(spark, sf)).withColumn("position", long("position"))
 
 
 VISITS = f""", files AS (
@@ -164,8 +168,7 @@ VISITS = f""", files AS (
         FROM sitemap_rows JOIN visits USING (sitemap_url)""", recursive=True),
 )
 def sitemap_closure(spark, sf):
-    closure = sitemaps.sitemap_closure(starts(spark, sf), d.sitemap_files(spark, sf))
-    return closure.select(
+    return closure_table(spark, sf).select(
         "site", "loc", "sitemap_url", long("level").alias("level"), long("position").alias("position")
     )
 
@@ -177,9 +180,7 @@ LISTING = VISITS + """, listing AS (
 
 
 def listing_table(spark, sf):
-    return sitemaps.sitemap_listing(
-        sitemaps.sitemap_closure(starts(spark, sf), d.sitemap_files(spark, sf))
-    )
+    return sitemaps.sitemap_listing(closure_table(spark, sf))
 
 
 @query("sitemap_listing", oracle(MAPS, LISTING + "SELECT * FROM listing", recursive=True))
