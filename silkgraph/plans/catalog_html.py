@@ -33,14 +33,14 @@ def extract_links(spark, sf):
 
 @query(
     "extract_links_detailed",
-    oracle("page_urls nav_links variant_links", "SELECT source_url, link_no, link_url AS target_url, anchor_text, raw_href AS href FROM variant_links"),
+    oracle("stored_urls nav_links variant_links", "SELECT source_url, link_no, link_url AS target_url, anchor_text, raw_href AS href FROM variant_links"),
 )
 def extract_links_detailed(spark, sf):
     rows = links.extract_links_detailed(d.stored_variants(spark, sf), xpath=False)
     return rows.withColumn("link_no", long("link_no")).drop("xpath")
 
 
-@query("element_xpath", oracle("page_urls nav_links variant_links", "SELECT source_url, link_no, xpath FROM variant_links"))
+@query("element_xpath", oracle("stored_urls nav_links variant_links", "SELECT source_url, link_no, xpath FROM variant_links"))
 def element_xpath(spark, sf):
     return links.extract_links_detailed(d.stored_variants(spark, sf)).select(
         "source_url", long("link_no").alias("link_no"), "xpath"
@@ -236,7 +236,7 @@ def schema_error_counts(spark, sf):
 
 # --- links -----------------------------------------------------------------------------------
 
-LINKS = "page_urls nav_links variant_links site_urls"
+LINKS = "stored_urls nav_links variant_links site_urls"
 
 
 def _links(spark, sf):
@@ -261,19 +261,19 @@ COUNTS = """SELECT source_url, count(*) FILTER (WHERE classification = 'internal
         FROM variant_links GROUP BY source_url"""
 
 
-@query("link_counts", oracle("page_urls nav_links variant_links", COUNTS))
+@query("link_counts", oracle("stored_urls nav_links variant_links", COUNTS))
 def link_counts(spark, sf):
     return links.page_link_counts(d.stored_variants(spark, sf))
 
 
-@query("link_counts_of_table", oracle("page_urls nav_links variant_links", COUNTS))
+@query("link_counts_of_table", oracle("stored_urls nav_links variant_links", COUNTS))
 def link_counts_of_table(spark, sf):
     return links.link_counts(_links(spark, sf))
 
 
 @query(
     "inlink_counts",
-    oracle("page_urls nav_links variant_links", """SELECT href AS url, count(*) AS inlinks_count, count(DISTINCT source_url) AS inlinks_unique_count
+    oracle("stored_urls nav_links variant_links", """SELECT href AS url, count(*) AS inlinks_count, count(DISTINCT source_url) AS inlinks_unique_count
         FROM variant_links WHERE classification = 'internal' GROUP BY href"""),
 )
 def inlink_counts(spark, sf):

@@ -13,7 +13,7 @@ from silkgraph.sources import derived as d
 from silkgraph.sources.derived import oracle
 
 ROBOTS = "page_urls hosts robots_txt"
-MAPS = "page_urls hosts sitemap_rows"
+MAPS = "page_urls hosts all_urls sitemap_rows"
 START = "CASE WHEN length(domain) % 5 IN (0, 2, 3) THEN 'https://' || domain || '/sitemap_index.xml' WHEN length(domain) % 3 = 0 THEN 'https://' || domain || '/sitemap_index.xml' ELSE 'https://' || domain || '/sitemap.xml' END"
 
 
@@ -82,7 +82,7 @@ def indexability_table(spark, sf):
     return robots.indexability(page_content(d.stored_variants(spark, sf)), d.robots_txt(spark, sf))
 
 
-@query("indexability", oracle("page_urls page_fields", f"SELECT * EXCLUDE (page_id) FROM ({INDEX})"))
+@query("indexability", oracle("stored_urls page_fields", f"SELECT * EXCLUDE (page_id) FROM ({INDEX})"))
 def indexability(spark, sf):
     table = indexability_table(spark, sf)
     for name in ("robots_txt_directives", "html_meta_directives", "http_header_directives"):

@@ -133,12 +133,12 @@ def url_upsert(spark, sf):
 
 @query(
     "url_discovery_log",
-    oracle("page_urls nav_links", """SELECT key_url AS url, 'html' AS kind, origin || '/' AS discovered_from, 'upsert' AS op FROM page_urls
+    oracle("stored_urls nav_links", """SELECT key_url AS url, 'html' AS kind, origin || '/' AS discovered_from, 'upsert' AS op FROM page_urls
         UNION ALL SELECT origin || href, CASE WHEN n % 2 = 0 THEN NULL ELSE 'other' END, CASE WHEN n % 2 = 0 THEN NULL ELSE key_url END,
                CASE WHEN n % 2 = 0 THEN 'touch' ELSE 'upsert' END FROM nav_links"""),
 )
 def url_discovery_log(spark, sf):
-    pages = d.pages(spark, sf).withColumn("url", F.substring_index("url", "#", 1))
+    pages = d.settled(d.pages(spark, sf))
     found = links.extract_links(pages).select(
         "source_url", "target_url", F.col("link_no").alias("ord"), (F.col("link_no") % 2 == 0).alias("crawlable")
     )

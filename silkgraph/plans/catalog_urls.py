@@ -23,7 +23,7 @@ def url_split(spark, sf):
     return d.pages(spark, sf).select("page_id", urls.url_split(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
-@query("url_resolve", oracle("page_urls nav_links variant_links", "SELECT source_url, link_no, raw_href, link_url FROM variant_links"))
+@query("url_resolve", oracle("stored_urls nav_links variant_links", "SELECT source_url, link_no, raw_href, link_url FROM variant_links"))
 def url_resolve(spark, sf):
     from silkgraph.operators.links import page_links
 

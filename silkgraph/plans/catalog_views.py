@@ -25,8 +25,8 @@ STATUS = "CASE page_id % 6 WHEN 5 THEN 404 WHEN 4 THEN 500 ELSE 200 END"
 def stored_pages(spark, sf):
     """(url, status, fetched_at): one row per page URL; every seventh page was not fetched."""
     k = F.col("page_id")
-    return d.pages(spark, sf).filter(k % 7 != 6).select(
-        F.substring_index("url", "#", 1).alias("url"),
+    return d.page_keys(spark, sf).filter(k % 7 != 6).select(
+        "url",
         F.when(k % 6 == 5, 404).when(k % 6 == 4, 500).otherwise(200).alias("status"),
         F.timestamp_seconds(F.lit(1_700_000_000) + k).alias("fetched_at"),
     )
@@ -34,8 +34,8 @@ def stored_pages(spark, sf):
 
 def page_frontier(spark, sf):
     k = F.col("page_id")
-    return d.pages(spark, sf).filter(k % 8 != 7).select(
-        F.substring_index("url", "#", 1).alias("url"),
+    return d.page_keys(spark, sf).filter(k % 8 != 7).select(
+        "url",
         F.when(k % 3 == 0, "queued").otherwise("done").alias("status"),
     )
 
@@ -52,15 +52,15 @@ def page_analysis_table(spark, sf):
     )
 
 
-ANALYSIS_INPUTS = "page_urls hosts sitemap_rows sitemap_alternates site_urls nav_links variant_links page_fields"
+ANALYSIS_INPUTS = "stored_urls hosts all_urls sitemap_rows sitemap_alternates site_urls nav_links variant_links page_fields"
 ANALYSIS = f""", indexability AS ({INDEX}), counts AS ({COUNTS}),
   analysis AS (SELECT u.url, u.kind, u.classification, f.page_id, f.title, f.meta_description, f.h1 AS h1_tags, f.word_count + 3 AS word_count, f.html_lang,
          c.internal_links_count, c.external_links_count, c.internal_links_unique_count, c.external_links_unique_count,
          i.robots_txt_allows, i.html_meta_allows, i.http_header_allows, i.overall_indexable, i.robots_txt_directives, i.html_meta_directives, i.http_header_directives,
          f.canonical_url AS canonical_urls,
          CASE WHEN f.canonical_url IS NOT NULL THEN 'html_head' END AS canonical_sources,
-         CASE WHEN f.page_id % 2 = 0 AND f.url = f.key_url THEN 'en' WHEN f.page_id % 10 = 3 AND f.url = f.key_url THEN 'fr'
-              WHEN f.page_id % 2 = 0 AND f.url = f.key_url || '/' THEN 'en' END AS self_hreflang
+         (SELECT min(lang) FROM sitemap_alternates a WHERE a.url = u.url AND lang <> 'x-default'
+             AND (href_url = u.url OR href_url = u.url || '/' OR u.url = href_url || '/')) AS self_hreflang
   FROM site_urls u JOIN page_fields f ON f.key_url = u.url JOIN counts c ON c.source_url = u.url JOIN indexability i ON i.page_id = f.page_id
   WHERE u.classification IN ('internal', 'network'))"""
 
@@ -91,7 +91,7 @@ def internal_links_analysis(spark, sf):
 @query(
     "sitemap_statistics",
     oracle(MAPS, LISTING + f""", rows AS (SELECT l.sitemap_url, l.url, p.page_id, l.sitemap_position FROM listing l
-          JOIN (SELECT split_part(url, '#', 1) AS url, page_id FROM pages) p USING (url))
+          JOIN (SELECT split_part(url, '#', 1) AS url, max(page_id) AS page_id FROM pages GROUP BY 1) p USING (url))
         SELECT sitemap_url, count(*) AS total_urls, count(DISTINCT url) AS unique_urls,
           {stamp_sql("min(make_timestamp((1700000000 + sitemap_position) * 1000000))")} AS first_discovered,
           {stamp_sql("max(make_timestamp((1700000000 + sitemap_position) * 1000000))")} AS last_discovered,
@@ -170,7 +170,7 @@ def q_hreflang(spark, sf):
 
 @query(
     "q_disallowed",
-    oracle("page_urls page_fields", f"SELECT url, robots_txt_allows, html_meta_allows, overall_indexable FROM ({INDEX}) WHERE NOT robots_txt_allows"),
+    oracle("stored_urls page_fields", f"SELECT url, robots_txt_allows, html_meta_allows, overall_indexable FROM ({INDEX}) WHERE NOT robots_txt_allows"),
 )
 def q_disallowed(spark, sf):
     return documented.ask(documented.DISALLOWED, indexability=indexability_table(spark, sf))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from silkgraph.functions.urls import host
+from silkgraph.operators.state import newest
 
 ENTRIES_PER_SITEMAP = 50_000  # Fixed value: the sitemap protocol allows no more per file.
 
@@ -223,19 +224,34 @@ def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.unionByName(indexes).unionByName(tops)
 
 
+def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, page_id): the storage keys of the pages; of several pages under one key the last
+    counts."""
+    return (
+        pages(spark, sf_dir)
+        .groupBy(F.substring_index("url", "#", 1).alias("url"))
+        .agg(F.max("page_id").alias("page_id"))
+    )
+
+
 def site_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, kind, classification): the URL registry of the pages, keys in storage form."""
     k = F.col("page_id")
-    return pages(spark, sf_dir).select(
-        F.substring_index("url", "#", 1).alias("url"),
+    return page_keys(spark, sf_dir).select(
+        "url",
         F.lit("html").alias("kind"),
         F.when(k % 5 == 4, "external").when(k % 5 == 3, "network").otherwise("internal").alias("classification"),
     )
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Page rows under their storage keys, one row per key."""
+    return newest(rows.withColumn("url", F.substring_index("url", "#", 1)), ["url"], ["page_id"])
+
+
 def stored_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``page_variants`` under their storage keys."""
-    return page_variants(spark, sf_dir).withColumn("url", F.substring_index("url", "#", 1))
+    """``page_variants`` as they are stored."""
+    return settled(page_variants(spark, sf_dir))
 
 
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,6 +334,12 @@ def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PAGE_URLS = r"""
+        SELECT page_id, url, html, split_part(url, '#', 1) AS key_url,
+               regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain,
+               regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin,
+               regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages"""
+
 ORACLE_INPUTS = {
     "fetch_log": """
         SELECT 'https://s' || (user_id % 10) || '.example.com/p/' || user_id AS url,
@@ -336,11 +358,10 @@ ORACLE_INPUTS = {
                CASE WHEN seq % 5 <> 0 THEN 'https://s0.example.com/from/' || (seq % 100) END AS parent,
                CASE WHEN status IN (200, 404) THEN 'done' ELSE 'enqueue' END AS op,
                fetched_at AS at_time, seq FROM fetch_log""",
-    "page_urls": r"""
-        SELECT page_id, url, html, split_part(url, '#', 1) AS key_url,
-               regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain,
-               regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin,
-               regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages""",
+    "page_urls": PAGE_URLS,
+    "all_urls": PAGE_URLS,
+    # Stands in for page_urls where the pages are stored: one per key.
+    "stored_urls": PAGE_URLS + " QUALIFY row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY page_id DESC) = 1",
     "hosts": "SELECT DISTINCT domain FROM page_urls",
     "robots_txt": """
         SELECT domain, length(domain) % 5 AS form, CASE WHEN length(domain) % 5 = 4 THEN 404 ELSE 200 END AS status
@@ -357,15 +378,15 @@ ORACLE_INPUTS = {
         SELECT domain, page_id // 50000 AS chunk, page_id, url,
                'https://' || domain || '/sitemap-' || (page_id // 50000) || '.xml' AS sitemap_url,
                row_number() OVER (PARTITION BY domain, page_id // 50000 ORDER BY page_id) - 1 AS position,
-               page_id % 10 = 3 AS twice, page_id % 2 = 0 AS even FROM page_urls""",
+               page_id % 10 = 3 AS twice, page_id % 2 = 0 AS even FROM all_urls""",
     "sitemap_alternates": """
         SELECT sitemap_url, url AS loc, split_part(url, '#', 1) AS url, 'fr' AS lang, url || '/' AS href_url FROM sitemap_rows WHERE twice
         UNION ALL SELECT sitemap_url, url, split_part(url, '#', 1), 'en', url FROM sitemap_rows WHERE even
         UNION ALL SELECT sitemap_url, url, split_part(url, '#', 1), 'x-default', 'https://' || domain || '/' FROM sitemap_rows WHERE even""",
     "site_urls": """
         SELECT split_part(url, '#', 1) AS url, 'html' AS kind,
-               CASE page_id % 5 WHEN 4 THEN 'external' WHEN 3 THEN 'network' ELSE 'internal' END AS classification
-        FROM pages""",
+               CASE max(page_id) % 5 WHEN 4 THEN 'external' WHEN 3 THEN 'network' ELSE 'internal' END AS classification
+        FROM pages GROUP BY split_part(url, '#', 1)""",
     "nav_links": """
         SELECT page_id, url, key_url, domain, origin, path, unnest(hrefs) AS href, unnest(anchors) AS anchor,
                unnest(range(len(hrefs))) AS n, len(hrefs) AS links
@@ -416,7 +437,8 @@ ORACLE_INPUTS = {
 
 def oracle(inputs: str, body: str, recursive: bool = False) -> str:
     """DuckDB SQL with the named inputs, in order, as common table expressions."""
-    ctes = [f"{name} AS ({ORACLE_INPUTS[name].strip()})" for name in inputs.split()]
+    called = {"stored_urls": "page_urls"}
+    ctes = [f"{called.get(n, n)} AS ({ORACLE_INPUTS[n].strip()})" for n in inputs.split()]
     head = f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)}" if ctes else ""
     if body.lstrip().upper().startswith("WITH "):
         raise ValueError("give further common table expressions with a leading comma")
