@@ -415,9 +415,9 @@ ORACLE_INPUTS = {
     "page_fields": r"""
         SELECT page_id, url, key_url, domain, path, form, title, meta_description, h1, word_count, meta_robots, header_robots, canonical_url, html_lang
         FROM (SELECT *, length(domain) % 5 AS form,
-               trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')) AS title,
+               trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g')) AS title,
                CASE WHEN page_id % 4 IN (0, 2) THEN 'About page ' || page_id END AS meta_description,
-               trim(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')) AS h1,
+               trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g')) AS h1,
                CASE page_id % 4 WHEN 1 THEN 'noindex|follow' WHEN 2 THEN 'index|follow' ELSE '' END AS meta_robots,
                CASE page_id % 5 WHEN 0 THEN 'noindex' WHEN 1 THEN 'noarchive|nofollow' ELSE '' END AS header_robots,
                CASE page_id % 4 WHEN 0 THEN url WHEN 2 THEN '/c' END AS canonical_url,

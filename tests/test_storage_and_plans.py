@@ -73,3 +73,25 @@ def test_scans_read_only_what_they_need(spark):
 
 def test_every_query_has_an_oracle():
     assert set(ORACLES) == set(QUERIES)
+
+
+def test_only_small_inputs_are_spread(spark):
+    def moved():
+        return "RoundRobinPartitioning" in plan_of(QUERIES["word_count"](spark, SMALL))
+
+    assert moved()
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1024")
+    try:
+        assert not moved()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_entry_runs(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.entry(spark)
+    assert rows.columns == ["url", "classification", "title", "html_lang", "h1", "word_count", "links"]
+    assert rows.count() == 50 and set(entry.queries()) == set(entry.oracle_sql())
