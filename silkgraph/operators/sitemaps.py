@@ -243,8 +243,8 @@ def hreflang_sitemap(entries: DataFrame, urls: DataFrame) -> DataFrame:
         url_normalize_storage(F.col("loc")).alias("url"), F.explode("alternates").alias("a")
     ).select("url", "a.lang", "a.href_url")
     return (
-        rows.join(urls.select("url"), "url", "left_semi")
-        .dropDuplicates(["url", "lang", "href_url"])
+        rows.distinct()
+        .join(urls.select("url"), "url", "left_semi")
         .withColumn("href_key", url_normalize_storage(F.col("href_url")))
         .withColumn("source", F.lit("sitemap"))
     )

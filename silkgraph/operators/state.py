@@ -78,13 +78,14 @@ def frontier_enqueue(
 ) -> DataFrame:
     """(url, depth, parent, status) of newly queued URLs: the first enqueue fixes depth and parent,
     URLs already in ``frontier`` are left alone."""
-    if frontier is not None:
-        children = children.join(frontier.select("url"), "url", "left_anti")
-    return (
+    first_seen = (
         children.groupBy("url")
         .agg(F.min_by(F.struct("depth", "parent"), F.struct(*order)).alias("f"))
         .select("url", "f.*", F.lit("queued").alias("status"))
     )
+    if frontier is None:
+        return first_seen
+    return first_seen.join(frontier.select("url"), "url", "left_anti")
 
 
 def url_get_or_create(candidates: DataFrame, urls: DataFrame, base_domain: Column) -> DataFrame:

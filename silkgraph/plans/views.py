@@ -71,37 +71,34 @@ def internal_links_analysis(internal_links: DataFrame) -> DataFrame:
 def sitemap_statistics(listing: DataFrame, frontier: DataFrame, pages: DataFrame) -> DataFrame:
     """Per sitemap: listed and unique URLs, first and last sight, crawl and HTTP outcome.
 
-    ``frontier`` and ``pages`` have one row per URL. Rows are first counted per (sitemap, URL), so
-    a sitemap with very many URLs is spread over them.
+    ``frontier`` and ``pages`` have one row per URL. Listings are counted per (sitemap, URL) first,
+    which spreads a sitemap with very many URLs; the joins by URL come between two aggregations by
+    other keys, so AQE may split a URL that very many sitemaps list.
     """
-    rows = (
-        listing.select("url", "sitemap_url", "discovered_at")
-        .join(frontier.select("url", F.col("status").alias("queue")), "url", "left")
-        .join(pages.select("url", F.col("status").alias("http")), "url", "left")
-    )
-
-    def hits(condition: Column, name: str) -> Column:
-        return F.count_if(condition).alias(name)
-
-    names = ["crawled_urls", "queued_urls", "not_in_frontier", "successful_urls", "error_urls"]
-    per_url = rows.groupBy("sitemap_url", "url").agg(
+    per_url = listing.groupBy("sitemap_url", "url").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("discovered_at").alias("first"),
         F.max("discovered_at").alias("last"),
-        hits(F.col("queue") == "done", names[0]),
-        hits(F.col("queue") == "queued", names[1]),
-        hits(F.col("queue").isNull(), names[2]),
-        hits(F.col("http") == 200, names[3]),
-        hits(F.col("http") >= 400, names[4]),
     )
+    rows = per_url.join(
+        frontier.select("url", F.col("status").alias("queue")), "url", "left"
+    ).join(pages.select("url", F.col("status").alias("http")), "url", "left")
+
+    def hits(condition: Column, name: str) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0)).alias(name)
+
     return (
-        per_url.groupBy("sitemap_url")
+        rows.groupBy("sitemap_url")
         .agg(
             F.sum("n").alias("total_urls"),
             F.count(F.lit(1)).alias("unique_urls"),
             F.min("first").alias("first_discovered"),
             F.max("last").alias("last_discovered"),
-            *[F.sum(n).alias(n) for n in names],
+            hits(F.col("queue") == "done", "crawled_urls"),
+            hits(F.col("queue") == "queued", "queued_urls"),
+            hits(F.col("queue").isNull(), "not_in_frontier"),
+            hits(F.col("http") == 200, "successful_urls"),
+            hits(F.col("http") >= 400, "error_urls"),
         )
         .orderBy(F.desc("total_urls"), "sitemap_url")
     )
