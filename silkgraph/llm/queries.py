@@ -4,13 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import languages, licenses
+from . import languages, licenses, quality, similar, toxicity
 from .registry import ORACLES, QUERIES, query
-from .shared import held_out, table
+from .shared import held_out, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(quality.with_statistics(docs, "text").drop("text"), "quality-statistics")
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5))
+    rules = quality.learn(stats, labels)
+    found = stats.select("doc_id", held_out("doc_id", 5).alias("held_out"), quality.score(rules).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5)))
+    found = toxicity.score_toxicity(docs, model, out="score").select("doc_id", held_out("doc_id", 5).alias("held_out"), "score")
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -20,6 +38,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similarity_classes(table(spark, sf_dir, "documents")).drop("text_hash", "fp")
+
+
 @query("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``score``: certainty that a licence is stated, halving the doubt with each finding."""
