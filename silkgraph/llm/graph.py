@@ -12,7 +12,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Each round hooks every neighbour to the smallest node around (large star, then small star) and writes
     the new edges; it ends when they no longer change. Minima are pre-aggregated before the shuffle and
-    both joins are plain equi-joins that may be split where a node has very many edges.
+    written, so that both joins are plain equi-joins over tables, which adaptive execution splits where a
+    node has very many edges.
     """
     now = written(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = None
@@ -24,9 +25,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             )
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), name)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         now = written(
             small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter(F.col("u") != F.col("v")).distinct(), name

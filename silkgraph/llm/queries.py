@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import languages, licenses, quality, similar, toxicity
+from . import decontaminate, languages, licenses, mixing, quality, similar, toxicity
 from .registry import ORACLES, QUERIES, query
 from .shared import held_out, table, written
 
@@ -21,6 +21,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query("op4_source_mix")
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_position", "mix_tokens")
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,3 +59,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "found.n_words", "found.n_base", "found.first_word", "found.last_word", "found.base_labels",
         "found.labels", (1 - F.pow(F.lit(0.5), hits)).alias("score"), "found.permitted", "found.expressions",
     )
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contaminated document and test item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), out="hits")
+    return found.select("doc_id", F.explode("hits").alias("h")).select(
+        "doc_id", F.col("h.item").alias("item_id"), "h.first_word", "h.words", "h.score", "h.question", "h.answer"
+    )

@@ -81,12 +81,20 @@ def line_fit(rows: list[tuple[list[float], int]], weights: list[float], rounds:
     scale = np.maximum(x[:, :-1].std(axis=0), 1e-9)
     x[:, :-1] /= scale
     beta = np.zeros(x.shape[1])
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (beta**2).sum())
+
+    now = loss(beta)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         gradient = x.T @ (w * (y - p)) - ridge * beta
         hessian = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -2, 2)
-        if abs(step).max() < 1e-9:
+        while (then := loss(beta + step)) > now and abs(step).max() > 1e-9:
+            step /= 2
+        if abs(step).max() <= 1e-9:
             break
+        beta, now = beta + step, then
     return [*(beta[:-1] / scale), float(beta[-1])]

@@ -1,13 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One bigram model is learned from toxic rows and one from ordinary rows. Both back off from the class's
-bigrams to the class's words and from there to continuation counts over both classes, so that an
-expression that was rarely seen weighs alike on both sides. The difference of the two log-likelihoods is a
-sum over the words of a text: every known bigram and word adds its own share and every known context its
-backoff weight, so that scoring is a look-up in two sorted arrays of bounded size.
-
-A text is judged by its length-normalised difference, as a whole and in its most suspicious window of
-``WINDOW`` words (the single insult in a long page), calibrated on labelled rows that the models have not seen.
+One model is learned from toxic rows and one from ordinary rows, from as many rows of each, every bigram
+counted once per text. A word's probability backs off from the class's bigrams to the class's words, and at
+last to shared continuation counts: in how many contexts a word stands in both classes. Discounts are those
+of modified Kneser-Ney, estimated from the counts. Bigrams of fewer than ``CUT`` texts, or whose first word
+either class hardly knows, leave it to the words, and no word or bigram falls below half a count; so an
+expression that was rarely seen weighs nearly alike on both sides.
+
+The difference of the two log-likelihoods is a sum over the words of a text: every known bigram and word
+adds its own share and every known context its backoff weight, so that scoring is a look-up in sorted
+arrays of bounded size. A text is judged by its length-normalised difference, as a whole, in its most
+suspicious window of ``WINDOW`` words and in its most suspicious words (the single insult in a long page),
+calibrated on labelled rows that the models have not seen.
 """
 
 from __future__ import annotations
@@ -22,14 +26,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import line_fit, sampled, sigmoid, written
 from .tokens import SYMBOLS, looked_up, rows_of, slices, words
 
-DISCOUNT = 0.75
 WINDOW = 5
+LIKELY, SURE = 2.0, 3.5
+CUT = 5
+NAMES = ["mean", "top", "likely", "sure", "words"]
 PAIR = np.uint64(0x2545F4914F6CDD1D)
 
 
 @dataclass
 class Difference:
-    """Sorted hashes of words and bigrams with what each adds to toxic minus ordinary log-likelihood."""
+    """Sorted hashes of words and bigrams with what each adds to the toxic minus the ordinary log-likelihood."""
 
     words: np.ndarray
     word_weight: np.ndarray
@@ -57,136 +63,169 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             before = np.concatenate([[np.uint64(0)], h[:-1]])
             before[first[:-1][np.diff(first) > 0]] = 0
-            key = np.rec.fromarrays([flags[i:j][rows_of(first)], before.view(np.int64), h.view(np.int64)], names="t,a,b")
-            seen, n = np.unique(key, return_counts=True)
+            # once per text: a word that one text repeats is no sign of its class
+            row = rows_of(first)
+            order = np.lexsort((h, before, row))
+            again = np.zeros(len(h), dtype=bool)
+            again[1:] = (row[order][1:] == row[order][:-1]) & (before[order][1:] == before[order][:-1]) & (h[order][1:] == h[order][:-1])
+            own = order[~again]
+            h, before, flag = h[own], before[own], flags[i:j][row[own]]
+            order = np.lexsort((h, before, flag))
+            columns = [flag, before.view(np.int64), h.view(np.int64)]
+            columns = [x[order] for x in columns]
+            fresh = np.ones(len(h), dtype=bool)
+            fresh[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
+            places = np.flatnonzero(fresh)
+            n = np.diff(np.append(places, len(h)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seen.t), pa.array(seen.a), pa.array(seen.b), pa.array(n.astype(np.int64))],
-                names=["toxic", "a", "b", "n"],
+                [*(pa.array(x[places]) for x in columns), pa.array(n)], names=["toxic", "a", "b", "n"]
             )
 
 
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What modified Kneser-Ney takes off counts of 1, 2 and more; of 0 nothing."""
+    ones, twos, threes, fours = (max(1.0, float((n == k).sum())) for k in range(1, 5))
+    y = ones / (ones + 2 * twos)
+    kinds = np.clip([0, 1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes], 0, [0, 0.95, 1.9, 2.8])
+    return kinds[np.minimum(n, 3).astype(int)]
+
+
 def fitted(counts: dict[str, np.ndarray]) -> Difference:
     """Both models from the bigram counts of a bounded sample, folded into weights."""
-    t, a, b, n = (counts[k] for k in ("toxic", "a", "b", "n"))
-    vocabulary, place = np.unique(np.concatenate([b, a]).view(np.uint64), return_inverse=True)
+    t, n = counts["toxic"], counts["n"].astype(float)
+    a, b = counts["a"].view(np.uint64), counts["b"].view(np.uint64)
+    vocabulary, place = np.unique(np.concatenate([b, a]), return_inverse=True)
     size = len(vocabulary)
     b_at, a_at = place[: len(b)], place[len(b) :]
-    pair, pair_at = np.unique((a.view(np.uint64) * PAIR + b.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), return_inverse=True)
+    pair, pair_at = np.unique((a * PAIR + b) * np.uint64(0x9E3779B97F4A7C15), return_inverse=True)
     pair_a, pair_b = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
     pair_a[pair_at], pair_b[pair_at] = a_at, b_at
-    # shared level: in how many contexts a word follows, over both classes
-    follows = np.bincount(pair_b, minlength=size).astype(float)
-    kinds = (follows > 0).sum()
-    types = follows.sum()
-    uniform = 1 / (size + 1)
-    shared = np.maximum(follows - DISCOUNT, 0) / max(types, 1) + DISCOUNT * kinds / max(types, 1) * uniform
-    shared_unseen = DISCOUNT * kinds / max(types, 1) * uniform if types else uniform
-    logs = []
+
+    def smoothed(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, float]:
+        off = discounts(n)
+        rest = max(off.sum(), 1e-6) / max(n.sum(), 1.0)
+        return (n - off) / max(n.sum(), 1.0) + rest * lower, rest
+
+    follows = [np.bincount(b_at[t == flag], minlength=size).astype(float) for flag in (1, 0)]
+    shared, shared_rest = smoothed(np.minimum(*follows), np.full(size, 1 / (size + 1)))
+    counted = [np.bincount(pair_at[t == flag], weights=n[t == flag], minlength=len(pair)) for flag in (1, 0)]
+    context = [np.bincount(pair_a, weights=x, minlength=size) for x in counted]
+    used = (np.minimum(*context)[pair_a] >= CUT) & (sum(counted) >= CUT)
+    pair, pair_a, pair_b = pair[used], pair_a[used], pair_b[used]
+    kinds = np.bincount(pair_a, minlength=size)
+    found = []
     for flag in (1, 0):
         own = t == flag
         word_n = np.bincount(b_at[own], weights=n[own], minlength=size)
         total = max(word_n.sum(), 1.0)
-        # absolute discounting keeps the token counts of the class at word level, so that a word typical of
-        # one class stays typical; rare ones fall back to the shared level
-        rest = DISCOUNT * (word_n > 0).sum() / total
-        word = np.maximum(word_n - DISCOUNT, 0) / total + max(rest, 1e-6) * shared
-        pair_n = np.bincount(pair_at[own], weights=n[own], minlength=len(pair))
-        context_n = np.bincount(pair_a, weights=pair_n, minlength=size)
-        context_kinds = np.bincount(pair_a, weights=pair_n > 0, minlength=size)
-        backoff = np.where(context_n > 0, DISCOUNT * context_kinds / np.maximum(context_n, 1), 1.0)
-        both = np.maximum(pair_n - DISCOUNT, 0) / np.maximum(context_n[pair_a], 1) + backoff[pair_a] * word[pair_b]
-        logs.append((np.log(word), np.log(backoff), np.log(both), np.log(max(rest, 1e-6) * shared_unseen)))
-    (tw, tb, tp, tu), (ow, ob, op, ou) = logs
-    word_weight, context_weight = tw - ow, tb - ob
-    pair_weight = (tp - op) - context_weight[pair_a] - word_weight[pair_b]
+        word, rest = smoothed(word_n, shared)
+        word = (total * word + 0.5) / (total + 0.5 * (size + 1))
+        unseen = (total * rest * shared_rest / (size + 1) + 0.5) / (total + 0.5 * (size + 1))
+        pair_n, context_n = counted[1 - flag][used], np.maximum(context[1 - flag], 1)
+        off = discounts(counted[1 - flag])[used]
+        backoff = 1 - np.bincount(pair_a, weights=pair_n - off, minlength=size) / context_n
+        both = (pair_n - off) / context_n[pair_a] + backoff[pair_a] * word[pair_b]
+        both = (context_n[pair_a] * both + 0.5) / (context_n + 0.5 * kinds)[pair_a]
+        backoff *= context_n / (context_n + 0.5 * kinds)
+        found.append((np.log(word), np.log(backoff), np.log(both), np.log(unseen)))
+    word, context_weight, both, unseen = (x - y for x, y in zip(*found, strict=True))
+    pair_weight = both - context_weight[pair_a] - word[pair_b]
     kept = np.abs(pair_weight) > 1e-4
     return Difference(
-        vocabulary, word_weight.astype(np.float32), context_weight.astype(np.float32),
-        pair[kept], pair_weight[kept].astype(np.float32), float(tu - ou), [],
+        vocabulary, word.astype(np.float32), context_weight.astype(np.float32),
+        pair[kept], pair_weight[kept].astype(np.float32), float(unseen), [],
     )
 
 
-def statistics(texts: pa.Array, m: Difference) -> tuple[np.ndarray, np.ndarray]:
-    """Mean difference of each whole text, and the largest mean of ``WINDOW`` words in a row (0 without words)."""
-    means, tops = [], []
-    start_at, start_known = looked_up(m.words, np.zeros(1, np.uint64))
-    start = float(m.context_weight[start_at[0]]) if start_known[0] else 0.0
+def values_of(h: np.ndarray, first: np.ndarray, m: Difference) -> np.ndarray:
+    """What each word adds to the difference."""
+    value, context = np.full(len(h), m.unseen), np.zeros(len(h))
+    if len(m.words):
+        where, known = looked_up(m.words, h)
+        value[known] = m.word_weight[where[known]]
+        context[1:] = np.where(known, m.context_weight[where], 0)[:-1]
+        start, there = looked_up(m.words, np.zeros(1, np.uint64))
+        context[first[:-1][np.diff(first) > 0]] = m.context_weight[start[0]] if there[0] else 0
+        value += context
+    if len(m.pairs):
+        where, known = looked_up(m.pairs, pairs_of(h, first))
+        value[known] += m.pair_weight[where[known]]
+    return value
+
+
+def statistics(texts: pa.Array, m: Difference) -> tuple[np.ndarray, ...]:
+    """Mean difference of each whole text, the largest mean of ``WINDOW`` words in a row, and the logarithms
+    of what is beyond ``LIKELY`` and ``SURE`` in distinct words and of the number of distinct words (0 without words)."""
+    out: list[np.ndarray] = []
     for _, _, raw, at in slices(texts):
         h, _, first = words(raw, at, SYMBOLS)
         counts = np.diff(first)
-        if not len(h):
-            means.append(np.zeros(len(counts)))
-            tops.append(np.zeros(len(counts)))
-            continue
-        where, known = looked_up(m.words, h)
-        value = np.full(len(h), m.unseen)
-        value[known] = m.word_weight[where[known]] if len(m.words) else 0
-        context = np.zeros(len(h))
-        context[known] = m.context_weight[where[known]] if len(m.words) else 0
-        value[1:] += context[:-1]
-        heads = first[:-1][counts > 0]
-        value[heads[heads > 0]] -= context[heads[heads > 0] - 1]
-        value[heads] += start
-        where, known = looked_up(m.pairs, pairs_of(h, first))
-        value[known] += m.pair_weight[where[known]] if len(m.pairs) else 0
-        sums = np.concatenate([[0.0], np.cumsum(value)])
-        means.append((sums[first[1:]] - sums[first[:-1]]) / np.maximum(counts, 1))
-        end = np.minimum(np.arange(len(h)) + WINDOW, first[1:][rows_of(first)])
-        window = (sums[end] - sums[:-1]) / WINDOW
-        top = np.zeros(len(counts))
-        top[counts > 0] = np.maximum.reduceat(window, heads)
-        tops.append(top)
-    if not means:
-        return np.zeros(0), np.zeros(0)
-    return np.concatenate(means), np.concatenate(tops)
+        found = np.zeros((5, len(counts)))
+        if len(h):
+            value = values_of(h, first, m)
+            heads = first[:-1][counts > 0]
+            sums = np.concatenate([[0.0], np.cumsum(value)])
+            found[0] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(counts, 1)
+            end = np.minimum(np.arange(len(h)) + WINDOW, first[1:][rows_of(first)])
+            found[1, counts > 0] = np.maximum.reduceat((sums[end] - sums[:-1]) / WINDOW, heads)
+            row = rows_of(first)
+            order = np.lexsort((-value, h, row))  # of a repeated word the most suspicious place
+            single = np.ones(len(h), dtype=bool)
+            single[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
+            place = order[single]
+            found[2] = np.log1p(np.bincount(row[place], np.maximum(value[place] - LIKELY, 0), len(counts)))
+            found[3] = np.log1p(np.bincount(row[place], np.maximum(value[place] - SURE, 0), len(counts)))
+            found[4] = np.log1p(np.bincount(row[place], minlength=len(counts)))
+        out.append(found)
+    if not out:
+        return tuple(np.zeros((5, 0)))
+    return tuple(np.concatenate(out, axis=1))
 
 
 def _statistic_columns(text: Column, model: Difference, spark) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     def both(texts: pa.Array) -> pa.Array:
-        mean, top = statistics(texts, shared.value)
-        return pa.StructArray.from_arrays([pa.array(mean), pa.array(top)], names=["mean", "top"])
+        return pa.StructArray.from_arrays([pa.array(x) for x in statistics(texts, shared.value)], names=NAMES)
 
-    return F.arrow_udf(both, "mean double, top double")(text)
+    return F.arrow_udf(both, ", ".join(f"{n} double" for n in NAMES))(F.lower(text))
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = 2500) -> Difference:
     """Models and calibration from labelled rows.
 
-    ``bound`` is the documented size of the sample of each class. Two thirds of the sample (by key hash)
+    ``bound`` is the documented size of the sample of each class (the size of the smaller class, if less, so
+    that both models rest on as much text). Two thirds of the sample (by key hash)
     teach the models, the rest the calibration. Labels other than 0 and 1 are passed over; a key labelled
     twice counts once, as its larger label. Without rows of both classes every text gets the same low score.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic"))
     marks = marks.filter(F.col("key").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("key").agg(F.max("toxic").alias("toxic"))
-    picked = sampled(marks, "key", "toxic", bound)
+    share = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    picked = sampled(marks, "key", "toxic", min(bound, max(1, min(share.get(0, 0), share.get(1, 0)))))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col(text).isNotNull())
-    sample = written(rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]), "toxicity-sample")
+    sample = written(rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]).dropDuplicates(["text"]), "toxicity-sample")
     part = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(3))
     counted = (
-        sample.filter(part != 0).mapInArrow(_counted, "toxic long, a long, b long, n long")
+        sample.filter(part != 0).select("toxic", F.lower("text").alias("text")).mapInArrow(_counted, "toxic long, a long, b long, n long")
         .groupBy("toxic", "a", "b").agg(F.sum("n").alias("n"))
     ).toArrow()
     model = fitted({c: counted.column(c).to_numpy() for c in counted.column_names})
     found = sample.filter(part == 0).select("toxic", _statistic_columns(F.col("text"), model, spark).alias("s")).select("toxic", "s.*").collect()
-    share = marks.groupBy("toxic").count().collect()
-    share = {r["toxic"]: r["count"] for r in share}
     taken = {c: max(1, sum(r["toxic"] == c for r in found)) for c in (0, 1)}
     total = max(1, sum(share.values()))
     weights = [share[r["toxic"]] / total * len(found) / taken[r["toxic"]] for r in found]
-    model.line = line_fit([([r["mean"], r["top"]], r["toxic"]) for r in found], weights)
-    if len(model.line) != 3:
-        model.line = [0.0, 0.0, -3.0]
+    model.line = line_fit([([r[n] for n in NAMES], r["toxic"]) for r in found], weights)
+    if len(model.line) != len(NAMES) + 1:
+        model.line = [0.0] * len(NAMES) + [-3.0]
     return model
 
 
 def toxicity(text: Column, model: Difference, spark) -> Column:
     """Probability that a text is toxic; NULL and empty texts count as texts without words."""
     found = _statistic_columns(text, model, spark)
-    mean, top, constant = model.line
-    return sigmoid(found["mean"] * mean + found["top"] * top + constant)
+    return sigmoid(sum((found[n] * w for n, w in zip(NAMES, model.line, strict=False)), F.lit(model.line[-1])))
 
 
 def score_toxicity(docs: DataFrame, model: Difference, text: str = "text", out: str = "toxicity") -> DataFrame:
