@@ -215,6 +215,13 @@ _hits = pa.list_(
 HITS = "array<struct<item:long,first_word:long,words:long,score:double,question:double,answer:double>>"
 
 
+def _looked(shared, threshold: float, overlap: float):
+    def look(texts: pa.Array) -> pa.Array:
+        return pa.array(hits_of(texts, shared.value, threshold, overlap), type=_hits)
+
+    return F.arrow_udf(look, HITS)
+
+
 def contamination(text: Column, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.6, most: int = 1000) -> Column:
     """Array of the test items found in a text: item, passage (first word and length), scores.
 
@@ -232,12 +239,7 @@ def contamination(text: Column, benchmark: DataFrame, item: str = "item_id", ite
         index = build(sorted((r["item"], r["text"]) for r in own))
         if index is None:
             continue
-        shared = spark.sparkContext.broadcast(index)
-
-        def look(texts: pa.Array, shared=shared) -> pa.Array:
-            return pa.array(hits_of(texts, shared.value, threshold, overlap), type=_hits)
-
-        found.append(F.arrow_udf(look, HITS)(F.lower(text)))
+        found.append(_looked(spark.sparkContext.broadcast(index), threshold, overlap)(F.lower(text)))
     if not found:
         return F.array().cast(HITS)
     return F.concat(*found) if len(found) > 1 else found[0]

@@ -36,7 +36,7 @@ def token_count(text: Column) -> Column:
 def exponent(sources: DataFrame, tokens: str, entropy_share: float, most_passes: float, ratio: float) -> tuple[float, float]:
     """Exponent and the sum of powered shares, for ``sources`` with positive ``tokens``."""
     share = F.col("share")
-    total = sources.agg(F.sum(tokens)).scalar()
+    total = sources.agg(F.sum(tokens)).first()[0]
     table = sources.select((F.col(tokens) / F.lit(total)).alias("share"))
 
     def measured(exponents: list[float]) -> list[tuple[float, float, float]]:
@@ -91,7 +91,7 @@ def mixture(
     sources = counted.groupBy("source").agg(F.sum("tokens").alias("total"))
     some = sources.filter("total > 0")
     names = [prefix + c for c in ("epoch", "block", "position", "tokens")]
-    corpus = some.agg(F.sum("total")).scalar() if not some.isEmpty() else 0
+    corpus = some.agg(F.sum("total")).first()[0] if not some.isEmpty() else 0
     if corpus:
         power, norm = exponent(some, "total", entropy_share, most_passes, ratio)
         quota = F.pow(F.col("total") / corpus, F.lit(power)) / norm * (ratio * corpus)
