@@ -129,22 +129,24 @@ def mixture(
     last = taken.filter(F.col("done") < F.col("rest")).groupBy("s").agg(F.max("spot").alias("last"))
     plan = sources.join(cut, sources["source"].eqNullSafe(cut["s"]), "left").select("source", "passes", "full", "rest", "blocks", "turn", F.col("block").alias("cut"))
     plan = plan.join(last, plan["source"].eqNullSafe(last["s"]), "left").select(
-        F.struct("source", "passes", "full", "rest", "blocks", "turn", "cut", "last").alias("_plan")
+        F.struct("source", "passes", "full", "rest", "blocks", "turn", "cut", "last").alias("plan")
     )
     plan = written(plan, "mix-plan")
-    rows = docs.drop(*names).join(plan, F.col(source).eqNullSafe(F.col("_plan.source")))
-    rows = rows.withColumn("_spot", unit(F.col(key))).withColumn("_block", F.floor(F.col("_spot") * F.col("_plan.blocks")).cast("int"))
-    turn = unit(F.col(source), F.col("_plan.full"), F.col("_block"))
+    # the row stands in a struct of its own, so that no column of it can clash with those used here
+    rows = docs.drop(*names).select(F.struct("*").alias("own"))
+    own_source, own_key = F.col("own")[source], F.col("own")[key]
+    rows = rows.join(plan, own_source.eqNullSafe(F.col("plan.source")))
+    rows = rows.withColumn("spot", unit(own_key)).withColumn("block", F.floor(F.col("spot") * F.col("plan.blocks")).cast("int"))
+    turn = unit(own_source, F.col("plan.full"), F.col("block"))
     part = F.coalesce(
-        (F.col("_plan.rest") > 0)
-        & ((turn < F.col("_plan.turn")) | ((turn == F.col("_plan.turn")) & (F.col("_block") < F.col("_plan.cut")))
-           | ((F.col("_block") == F.col("_plan.cut")) & (F.col("_spot") <= F.col("_plan.last")))),
+        (F.col("plan.rest") > 0)
+        & ((turn < F.col("plan.turn")) | ((turn == F.col("plan.turn")) & (F.col("block") < F.col("plan.cut")))
+           | ((F.col("block") == F.col("plan.cut")) & (F.col("spot") <= F.col("plan.last")))),
         F.lit(False),
     )
-    epochs = F.col("_plan.full") + part.cast("int")
-    rows = rows.withColumn("_epochs", epochs).filter(F.col("_epochs") > 0).withColumn(names[0], F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
-    position = (F.col(names[0]) + unit(F.col(source), F.col(names[0]), F.col("_block"))) / F.greatest(F.ceil(F.col("_plan.passes") - 1e-9), F.lit(1))
-    return (
-        rows.withColumn(names[1], F.col("_block")).withColumn(names[2], position).withColumn(names[3], token_count(F.col(text)))
-        .drop("_plan", "_spot", "_block", "_epochs")
+    rows = rows.withColumn("epochs", F.col("plan.full") + part.cast("int")).filter(F.col("epochs") > 0)
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    position = (F.col("epoch") + unit(own_source, F.col("epoch"), F.col("block"))) / F.greatest(F.ceil(F.col("plan.passes") - 1e-9), F.lit(1))
+    return rows.select(
+        "own.*", F.col("epoch").alias(names[0]), F.col("block").alias(names[1]), position.alias(names[2]), token_count(F.col("own")[text]).alias(names[3])
     )

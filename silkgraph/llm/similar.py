@@ -279,19 +279,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **sett
     """Rows of ``docs`` that stay when one row of each class of near duplicates is kept: that with the
     smallest key (the smallest text hash, if keys repeat). All blank texts and all rows without n-grams stay."""
     classes = written(similarity_classes(docs, key, text, **settings), "similar-rows")
-    mark = F.struct(F.col(key), F.col("text_hash"))
+    classes = classes.select(F.col(key).alias("key"), "text_hash", "class_id", "n_links")
+    mark = F.struct("key", "text_hash")
     tied = classes.filter(F.col("n_links") > 0)
-    first = tied.groupBy("class_id").agg(F.min(mark).alias("stays"))
-    keyed = tied.groupBy("class_id", key, "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-    keyed = keyed.join(first, keyed["class_id"].eqNullSafe(first["class_id"])).select(
-        F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "rows",
-        (F.col(key).eqNullSafe(F.col("stays")[key]) & (F.col("text_hash") == F.col("stays.text_hash"))).alias("stays"),
+    first = tied.groupBy("class_id").agg(F.min(mark).alias("first")).withColumnRenamed("class_id", "id")
+    keyed = tied.groupBy("class_id", "key", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    keyed = keyed.join(first, keyed["class_id"].eqNullSafe(first["id"])).select(
+        "key", "text_hash", "rows", (F.col("key").eqNullSafe(F.col("first.key")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays")
     )
-    out = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_hash") == F.col("_hash"))
-    gone = keyed.filter(~F.col("stays") | (F.col("rows") > 1))
-    kept = out.join(gone, same, "left_anti").drop("_text_hash")
-    again = keyed.filter(F.col("stays") & (F.col("rows") > 1))
+    # the row stands in a struct of its own, so that no column of it can clash with those used here
+    out = docs.select(F.struct("*").alias("own")).withColumn("hash", F.xxhash64(F.coalesce(F.col("own")[text], F.lit(""))))
+    same = F.col("own")[key].eqNullSafe(F.col("key")) & (F.col("hash") == F.col("text_hash"))
+    kept = out.join(keyed.filter(~F.col("stays") | (F.col("rows") > 1)), same, "left_anti")
     # rows that repeat key and text: few, and only they are compared as a whole
-    repeated = out.join(again.select("_key", "_hash"), same, "left_semi").dropDuplicates([key, "_text_hash"]).drop("_text_hash")
-    return kept.unionByName(repeated)
+    again = out.join(keyed.filter(F.col("stays") & (F.col("rows") > 1)), same, "left_semi")
+    again = again.withColumn("key", F.col("own")[key]).dropDuplicates(["key", "hash"])
+    return kept.select("own.*").unionByName(again.select("own.*"))

@@ -16,8 +16,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rule ensemble does not reject."""
     stats = written(quality.with_statistics(docs.select("doc_id", "text"), "text", "stats").drop("text"), "quality-statistics")
     rules = quality.learn(stats, table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5)))
-    scored = quality.with_statistics(docs, "text", "_stats").filter(quality.score(rules, "_stats") >= 0.3)
-    return scored.select(*docs.columns)
+    own = docs.select(F.struct("*").alias("own"), F.col("text").alias("text"))
+    return quality.with_statistics(own, "text", "stats").filter(quality.score(rules) >= 0.3).select("own.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

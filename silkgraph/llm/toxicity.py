@@ -123,7 +123,7 @@ def fitted(counts: dict[str, np.ndarray]) -> Difference:
         unseen = (total * rest * shared_rest / (size + 1) + 0.5) / (total + 0.5 * (size + 1))
         pair_n, context_n = counted[1 - flag][used], np.maximum(context[1 - flag], 1)
         off = discounts(counted[1 - flag])[used]
-        backoff = 1 - np.bincount(pair_a, weights=pair_n - off, minlength=size) / context_n
+        backoff = np.maximum(1 - np.bincount(pair_a, weights=pair_n - off, minlength=size) / context_n, 1e-4)
         both = (pair_n - off) / context_n[pair_a] + backoff[pair_a] * word[pair_b]
         both = (context_n[pair_a] * both + 0.5) / (context_n + 0.5 * kinds)[pair_a]
         backoff *= context_n / (context_n + 0.5 * kinds)
