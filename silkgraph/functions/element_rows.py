@@ -1,9 +1,7 @@
 """Task-side helper of the HTML scan: one pass of the standard HTML parser over a page.
 
 It only turns markup into element records; everything that is looked up in them is a Column
-expression or a DataFrame operator. Plain markup is cut by one regular expression; a page with
-anything unusual goes through the standard parser as a whole, and both give the same records where
-the expression applies. The functions travel to the executors by value, so the workers need no copy
+expression or a DataFrame operator. The functions travel to the executors by value, so the workers need no copy
 of this package.
 """
 
@@ -11,7 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
-from html import parser as html_parser, unescape
+from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -29,31 +27,6 @@ SIDE_TEXT = frozenset(["script", "style", "template", "rt", "rp"])
 KEEP_SPACE = frozenset(["pre", "textarea"])
 SPACES = " \n\t\f\r"
 
-# Plain markup: what is not matched here is left to the standard parser.
-TOKEN = re.compile(
-    r"""
-    (?P<text>[^<&]+)
-    | <(?P<start>[a-zA-Z][a-zA-Z0-9:-]*+)
-      (?P<attrs>(?:[ \t\n\r\f]++[a-zA-Z_:@][^\s/=>"'<&\x00]*+
-                   (?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]*[^\s"'=<>`/](?=[ \t\n\r\f>])))?)*+)
-      [ \t\n\r\f]*+(?P<void>/?)>
-    | </(?P<end>[a-zA-Z][a-zA-Z0-9:-]*+)[ \t\n\r\f]*+>
-    | &(?P<entity>[a-zA-Z][a-zA-Z0-9]*+)(?:;|(?=[^a-zA-Z0-9.;-]))
-    | &\#(?P<number>[0-9]++|[xX][0-9a-fA-F]++);
-    | (?P<sign>&(?=[^a-zA-Z\#])|<(?=[^a-zA-Z/!?]))
-    | <!--(?P<comment>(?!-?>)(?:[^-]|-(?!-))*+)-->
-    | <!(?P<decl>[dD][oO][cC][tT][yY][pP][eE][^>]*+)>
-    """,
-    re.X,
-)
-ATTRIBUTE = re.compile(
-    r"""[ \t\n\r\f]+([^\s/=>"'<&\x00]+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""
-)
-RAW_END = {t: re.compile(rf"</\s*{t}", re.I) for t in ("script", "style")}
-# Elements whose inside parser versions read differently unless it is text.
-TEXT_ONLY = frozenset(["title", "textarea", "iframe", "noembed", "noframes", "xmp"])
-unescape_value = getattr(html_parser, "_unescape_attrvalue", unescape)
-
 NODE = pa.struct(
     [
         ("ord", pa.int32()),
@@ -79,7 +52,7 @@ class Tree(HTMLParser):
         # One list per element: tag, parent, subtree end, attributes, number among its like
         # siblings, first and last text. (Lists, because this is the inner loop of the scan.)
         self.nodes, self.siblings, self.texts, self.side = [], {}, [], {}
-        self.starts, self.stops, self.html, self.lines, self.at = {}, {}, "", None, None
+        self.starts, self.stops, self.html, self.lines = {}, {}, "", None
         self.stack, self.open, self.side_stack, self.space_depth = [], {}, [], 0
         self.pending = []
 
@@ -117,8 +90,6 @@ class Tree(HTMLParser):
 
     def where(self):
         """Offset of the token being handled."""
-        if self.at is not None:
-            return self.at
         if self.lines is None:
             self.lines = [0] + [m.end() for m in re.finditer("\n", self.html)]
         line, column = self.getpos()
@@ -185,59 +156,6 @@ class Tree(HTMLParser):
             self.pop()
         return self
 
-    def read_plain(self, html):
-        """As ``read`` by the token expression; None as soon as the markup is not plain."""
-        self.html, self.at, end, match, inside = html, 0, len(html), TOKEN.match, None
-        while self.at < end:
-            token = match(html, self.at)
-            if token is None:
-                return None
-            kind = token.lastgroup
-            if inside and kind != "text" and not (kind == "end" and token["end"].lower() == inside):
-                return None
-            if kind == "text":
-                self.pending.append(token["text"])
-            elif kind == "void":
-                tag, attrs = token["start"].lower(), token["attrs"]
-                found = {}
-                if attrs:
-                    for name, double, single, bare in ATTRIBUTE.findall(attrs):
-                        value = double or single or bare
-                        found[name.lower()] = unescape_value(value) if "&" in value else value
-                self.begin(tag, found)
-                if token["void"]:
-                    self.handle_endtag(tag)
-                elif tag in RAW_END:
-                    close = RAW_END[tag].search(html, token.end())
-                    if close is None:
-                        return None
-                    last = match(html, close.start())
-                    body = html[token.end() : close.start()]
-                    if last is None or last.lastgroup != "end" or "<!--" in body:
-                        return None
-                    if body:
-                        self.pending.append(body)
-                    self.at = close.start()
-                    self.handle_endtag(tag)
-                    token = last
-                elif tag in TEXT_ONLY:
-                    inside = tag
-                elif tag == "plaintext":
-                    return None
-            elif kind == "end":
-                inside = None
-                self.handle_endtag(token["end"].lower())
-            elif kind == "entity":
-                self.handle_entityref(token["entity"])
-            elif kind == "number":
-                self.handle_charref(token["number"])
-            elif kind == "sign":
-                self.pending.append(token["sign"])
-            else:
-                self.flush()
-            self.at = token.end()
-        return self.finish()
-
     def pieces(self, me):
         node = self.nodes[me]
         return self.side.get(me, []) if node[0] in SIDE_TEXT else self.texts[node[5] : node[6]]
@@ -284,7 +202,7 @@ def page_record(html, want):
     """(node dicts, word count, parsed) of one page; no nodes if the parser gives up."""
     html = html or ""
     try:
-        tree = Tree().read_plain(html) or Tree().read(html)
+        tree = Tree().read(html)
     except AssertionError:
         return [], 0, False
     words = len("".join(tree.texts).split())

@@ -340,7 +340,3 @@ def crawl_policy(
         .when(classification == "external", F.lit(allow_external))
         .otherwise(False)
     )
-
-
-def looks_like_xml(url: Column) -> Column:
-    return F.lower(url).endswith(".xml")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from silkgraph.functions.element_rows import scan_batches
 from silkgraph.functions.text import joined_text
-from silkgraph.operators.scale import spread
 
 DOM_COLUMNS = ("nodes", "word_count", "parsed")
 
@@ -68,7 +67,7 @@ def scan_html(pages: DataFrame, want: dict, html: str = "html") -> DataFrame:
     """
     source = pages.select(*[c for c in pages.columns if c != html], html)
     schema = T.StructType(source.schema.fields[:-1] + dom_fields())
-    return spread(source).mapInArrow(partial(scan_batches, want=want), schema)
+    return source.mapInArrow(partial(scan_batches, want=want), schema)
 
 
 def html_nodes(pages: DataFrame, want: dict | None = None, html: str = "html") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from silkgraph.operators.scale import cut
@@ -9,13 +11,14 @@ from silkgraph.operators.state import first_pages
 
 
 def crawl_reachability(
-    seeds: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 0
+    seeds: DataFrame, links: DataFrame, max_depth: int | None = None, max_pages: int = 0
 ) -> DataFrame:
     """(url, depth, parent, crawled, recorded): what a crawl from ``seeds`` (url) meets.
 
-    ``links`` is (source_url, target_url, crawlable). Pages with depth below ``max_depth`` are
-    expanded; a link that may not be crawled is recorded and not queued. ``max_pages`` cuts the
-    processed pages in queue order (depth, then URL); queued pages beyond it have crawled = false.
+    ``links`` is (source_url, target_url, crawlable). Levels follow until no new page turns up, or, if
+    the caller sets ``max_depth``, pages of lesser depth are expanded. A link that may not be crawled is
+    recorded and not queued. ``max_pages`` cuts the processed pages in queue order (depth, then URL);
+    queued pages beyond it have crawled = false.
     The smallest parent URL wins a tie. Edges are reduced to one per (source, target) and stored
     once; a round joins only the pages found by the round before.
     """
@@ -30,7 +33,7 @@ def crawl_reachability(
     ).dropDuplicates(["url"])
     level = cut(level)
     seen, left, out = level.select("url"), max_pages, None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         queued = level.filter(~F.col("recorded"))
         capped = max_pages > 0 and left <= 0
         if capped:

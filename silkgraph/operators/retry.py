@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silkgraph.functions.http import failure_reason, is_retryable, is_success
-from silkgraph.operators.scale import cut, hot_keys, salted_left_join
+from silkgraph.operators.scale import cut
+
+#: A URL with one part in so many of the log is joined where its rows are.
+SHARE = 1000
 
 
 def next_retry_at(last: Column, retry_count: Column, delay: float, factor: float) -> Column:
@@ -19,9 +22,9 @@ def retry_state(log: DataFrame, delay: float = 1.0, factor: float = 2.0) -> Data
 
     A success forgets the failures before it, so a URL is failed iff a retryable answer follows its
     last success; retry_count is the number of those minus one. That needs two aggregates, not a
-    running window. The rows of URLs that hold more than 1/1000 of the log are spread over salts
-    between them, so no task ever sees all rows of one URL. The summary is written once, so the log
-    is read twice in all.
+    running window. URLs that hold at least one thousandth of the log (by arithmetic never more than a
+    thousand of them) get their last success by a broadcast where their rows are; only the rows of the
+    others move for the join. The final aggregate combines on the map side. The summary is written once.
     """
     at = F.struct("fetched_at", "seq")
     log = log.filter(is_success(F.col("status")) | is_retryable(F.col("status")))
@@ -32,29 +35,17 @@ def retry_state(log: DataFrame, delay: float = 1.0, factor: float = 2.0) -> Data
         )
     )
     failures = log.filter(is_retryable(F.col("status")))
-    open_failures = salted_left_join(
-        failures,
-        summary.select("url", "last_ok"),
-        "url",
-        hot_keys(summary, "url", "rows"),
-        spread_by=F.col("seq"),
-    ).filter(F.col("last_ok").isNull() | (at > F.col("last_ok")))
-
-    def parts(count: Column) -> list[Column]:
-        return [
-            count.alias("n"),
-            F.max_by("status", "last_at").alias("status"),
-            F.max("last_at").alias("last_at"),
-            F.min("first_at").alias("first_at"),
-        ]
-
-    per_salt = (
-        open_failures.withColumn("last_at", at)
-        .withColumn("first_at", F.col("fetched_at"))
-        .groupBy("url", "salt")
-        .agg(*parts(F.count(F.lit(1))))
+    total = summary.agg(F.sum("rows")).scalar()
+    often = F.col("rows") * SHARE >= total
+    hot = F.broadcast(summary.filter(often).select("url", "last_ok", F.lit(True).alias("hot")))
+    marked = failures.join(hot, "url", "left")
+    here = marked.filter(F.col("hot")).select("url", "status", "fetched_at", "seq", "last_ok")
+    away = marked.filter(F.col("hot").isNull()).select("url", "status", "fetched_at", "seq")
+    away = away.join(summary.filter(~often & F.col("last_ok").isNotNull()).select("url", "last_ok"), "url", "left")
+    open_failures = here.unionByName(away).filter(F.col("last_ok").isNull() | (at > F.col("last_ok")))
+    total = open_failures.groupBy("url").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("status", at).alias("status"), F.max(at).alias("last_at"), F.min("fetched_at").alias("first_at")
     )
-    total = per_salt.groupBy("url").agg(*parts(F.sum("n")))
     count = F.col("n") - 1
     last = F.date_trunc("second", F.col("last_at.fetched_at"))
     return total.select(

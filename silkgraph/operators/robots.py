@@ -86,9 +86,13 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 
 def rules_for_agent(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(domain, rules): the rules that decide for ``agent``, in the order in which they are tried:
-    those of the exact agent, then those of everyone. Files without such rules drop out."""
-    rules = F.filter(F.col("rules"), lambda r: ~((r["kind"] == "disallow") & (r["path"] == "")))
+    """(domain, rules): the rules that decide for ``agent``, with their positions in the file, in the
+    order in which they are tried: those of the exact agent, then those of everyone. Files without such
+    rules drop out."""
+    placed = F.transform(
+        "rules", lambda r, i: F.struct(i.alias("position"), r["agent"].alias("agent"), r["kind"].alias("kind"), r["path"].alias("path"))
+    )
+    rules = F.filter(placed, lambda r: ~((r["kind"] == "disallow") & (r["path"] == "")))
     everyone = F.filter(rules, lambda r: r["agent"] == "*")
     mine = F.filter(rules, lambda r: r["agent"] == agent)
     ordered = everyone if agent == "*" else F.concat(mine, everyone)
@@ -97,6 +101,7 @@ def rules_for_agent(robots: DataFrame, agent: str = "*") -> DataFrame:
         lambda r: F.struct(
             (r["kind"] == "allow").alias("allow"),
             F.regexp_replace(r["path"], r"\*\z", "").alias("prefix"),
+            r["position"].alias("position"),
         ),
     )
     return (

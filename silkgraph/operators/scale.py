@@ -1,39 +1,41 @@
-"""Partitioning helpers: input spreading, lineage cuts, distributed ranking, hot keys."""
+"""Helpers for large tables: lineage cuts, written tables, distributed ranking."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input, which may sit in a single file.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share. Only under a local
+    master without that setting a temporary folder is made and set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
-    An input of more than one scan split per core stays as it is: it has enough partitions, and
-    moving page bodies through a shuffle would cost more than it gains. The size is the planner's
-    estimate, so nothing is run to find it.
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and go on from the written table.
+
+    Cuts lineage, survives lost executors, and gives the planner the true size of what follows.
     """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from the written rows."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Write ``df`` to the reliable checkpoint folder and go on from the written rows. The files go when
+    the result is no longer referenced (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -65,38 +67,3 @@ def row_ranks(df: DataFrame, order: list, by: list[str] | None = None, name: str
         .withColumn(name, F.col("_at") - F.col("_first") + F.col("_start"))
         .drop("_at", "_part", "_first", "_start")
     )
-
-
-def hot_keys(counts: DataFrame, key: str, rows: str, share: int = 1000) -> DataFrame:
-    """Keys holding at least 1/``share`` of all rows: by arithmetic never more than ``share`` rows,
-    so the result may be broadcast whatever the size of the data."""
-    total = counts.agg(F.sum(rows)).scalar()
-    return counts.filter(F.col(rows) * share >= total).select(key)
-
-
-def salted_left_join(
-    facts: DataFrame, side: DataFrame, key: str, hot: DataFrame, spread_by: Column, salts: int = 32
-) -> DataFrame:
-    """Left join on ``key`` in which the rows of a hot key are spread over ``salts`` partitions.
-
-    ``hot`` has at most a bounded number of keys (``hot_keys``). The result keeps the column
-    ``salt``, so that a following aggregation by (key, salt) needs no further shuffle.
-    """
-    marks = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    salted = (
-        facts.join(marks, key, "left")
-        .withColumn("salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0).cast("bigint")))
-        .drop("_hot")
-    )
-    copies = (
-        side.join(marks, key, "left")
-        .withColumn(
-            "salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-                .otherwise(F.array(F.lit(0).cast("bigint")))
-            ),
-        )
-        .drop("_hot")
-    )
-    return salted.join(copies, [key, "salt"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silkgraph.functions.text import strip
@@ -9,30 +11,39 @@ from silkgraph.functions.urls import netloc, url_classification, url_normalize_s
 from silkgraph.operators.robots import robots_files, robots_sitemaps
 from silkgraph.operators.scale import cut, row_ranks
 
-_LINK = "`xhtml:link`:array<struct<_hreflang:string,_href:string>>"
-_SCHEMA = (
-    "sitemap array<struct<loc:string>>, "
-    f"url array<struct<loc:string,{_LINK}>>, unreadable string"
-)
+# One entry, prefixes taken off its tags.
+_ENTRY = "loc string, link array<struct<_hreflang:string,_href:string>>, unreadable string"
 _OPTIONS = {"columnNameOfCorruptRecord": "unreadable", "mode": "PERMISSIVE"}
+_OPEN = r"<(?:[\w.-]+:)?(?:url|sitemap)(?:\s[^>]*)?>"
+_CLOSE = r"</(?:[\w.-]+:)?(?:url|sitemap)\s*>"
 
 # Where a sitemap is looked for when robots.txt names none.
 USUAL_PLACES = ["/sitemap.xml", "/sitemap_index.xml", "/sitemaps.xml"]
 
 
-def _document(content: Column) -> Column:
-    return F.from_xml(content, F.lit(_SCHEMA), _OPTIONS)
-
-
-def _readable(doc: Column) -> Column:
-    return doc.isNotNull() & doc["unreadable"].isNull()
+def _entries(content: Column) -> Column:
+    """All ``<url>`` and ``<sitemap>`` entries: array of (kind, loc, link, unreadable).
 
+    The text is cut at the opening tags, whatever their prefix, and every entry is read on its own, a
+    lone ``&`` in it standing for itself; so what is wrong in one entry, or behind the last whole one,
+    leaves the others alone. An entry that cannot be read has no loc.
+    """
+    bare = F.regexp_replace(content, r"(?s)<!--.*?-->", "")
+    chunks = F.filter(F.split(bare, f"(?={_OPEN})"), lambda c: c.rlike(rf"\A{_OPEN}"))
+
+    def read(chunk: Column) -> Column:
+        body = F.regexp_extract(chunk, rf"(?s)\A{_OPEN}(.*?){_CLOSE}", 1)
+        plain = F.regexp_replace(F.regexp_replace(body, r"<(/?)[\w.-]+:", "<$1"), r"&(?!#?\w+;)", "&amp;")
+        return F.struct(
+            F.regexp_extract(chunk, r"\A<(?:[\w.-]+:)?(url|sitemap)", 1).alias("kind"),
+            F.from_xml(F.concat(F.lit("<entry>"), plain, F.lit("</entry>")), F.lit(_ENTRY), _OPTIONS).alias("e"),
+        )
 
-def _repaired(content: Column) -> Column:
-    """A cut-off file up to its last whole entry, closed again."""
-    root = F.regexp_extract(content, r"<((?:\w+:)?(?:urlset|sitemapindex))\b", 1)
-    body = F.regexp_extract(content, r"(?s)\A(.*</(?:url|sitemap)>)", 1)
-    return F.when((root != "") & (body != ""), F.concat(body, F.lit("</"), root, F.lit(">")))
+    return F.transform(F.transform(chunks, read), lambda x: F.struct(
+        x["kind"].alias("kind"),
+        F.when(x["e"]["unreadable"].isNull(), F.nullif(strip(x["e"]["loc"]), F.lit(""))).alias("loc"),
+        F.coalesce(x["e"]["link"], F.array().cast("array<struct<_hreflang:string,_href:string>>")).alias("link"),
+    ))
 
 
 def _root(content: Column) -> Column:
@@ -46,76 +57,49 @@ def sitemap_files(files: DataFrame) -> DataFrame:
 
 
 def sitemap_kind(files: DataFrame) -> DataFrame:
-    """(url, kind): sitemap_index or sitemap; what cannot be read counts as sitemap."""
-    return files.select("url", "content", _document(F.col("content")).alias("doc")).select(
-        "url",
-        F.when(
-            _readable(F.col("doc")) & _root(F.col("content")).endswith("sitemapindex"),
-            "sitemap_index",
-        )
-        .otherwise("sitemap")
-        .alias("kind"),
-    )
+    """(url, kind): sitemap_index or sitemap, by the root element; what is no XML counts as sitemap."""
+    index = F.coalesce(_root(F.col("content")).endswith("sitemapindex"), F.lit(False))
+    return files.select("url", F.when(index, "sitemap_index").otherwise("sitemap").alias("kind"))
 
 
 def sitemap_locs(files: DataFrame) -> DataFrame:
-    """(url, kind, position, loc) of a sitemap met inside the crawl: nothing if unreadable."""
-    parsed = files.select("url", "content", _document(F.col("content")).alias("doc"))
-    index = _root(F.col("content")).endswith("sitemapindex")
-    readable = _readable(F.col("doc"))
-    locs = F.when(readable & index, F.transform("doc.sitemap", lambda s: strip(s["loc"]))).when(
-        readable, F.transform("doc.url", lambda u: strip(u["loc"]))
-    )
+    """(url, kind, position, loc) of a sitemap met inside the crawl: the nested files of an index, else
+    the listed URLs."""
+    index = F.coalesce(_root(F.col("content")).endswith("sitemapindex"), F.lit(False))
+    parsed = files.select("url", index.alias("index"), _entries(F.col("content")).alias("found"))
+    own = F.filter("found", lambda e: e["loc"].isNotNull() & ((e["kind"] == "sitemap") == F.col("index")))
     return parsed.select(
         "url",
-        F.when(readable & index, "sitemap_index").otherwise("sitemap").alias("kind"),
-        F.posexplode(F.filter(locs, lambda l: F.coalesce(l, F.lit("")) != "")).alias("position", "loc"),
+        F.when(F.col("index"), "sitemap_index").otherwise("sitemap").alias("kind"),
+        F.posexplode(F.transform(own, lambda e: e["loc"])).alias("position", "loc"),
     )
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """(sitemap_url, nested array<string>, entries array<struct<loc, alternates>>).
+    """(sitemap_url, nested array<string>, entries array<struct<loc, alternates>>, unreadable).
 
     A file with any ``<sitemap>`` gives nested files only. A repeated loc keeps its first place and
-    its last alternates. An unreadable file is read again up to its last whole entry.
+    its last alternates. ``unreadable`` counts the entries without a loc that could be read.
     """
-    doc = F.col("doc")
-    parsed = (
-        sitemap_files(files)
-        .select("url", "content", _document(F.col("content")).alias("doc"))
-        .select(
-            F.col("url").alias("sitemap_url"),
-            F.when(_readable(doc), doc).otherwise(_document(_repaired(F.col("content")))).alias("doc"),
-        )
-    )
-    nested = F.filter(
-        F.transform("doc.sitemap", lambda s: strip(s["loc"])), lambda l: F.coalesce(l, F.lit("")) != ""
-    )
-    entries = F.filter(
-        F.transform(
-            "doc.url",
-            lambda u: F.struct(
-                strip(u["loc"]).alias("loc"),
-                F.filter(
-                    F.transform(
-                        F.coalesce(
-                            u["xhtml:link"],
-                            F.array().cast("array<struct<_hreflang:string,_href:string>>"),
-                        ),
-                        lambda l: F.struct(l["_hreflang"].alias("lang"), l["_href"].alias("href_url")),
-                    ),
-                    lambda l: (F.coalesce(l["lang"], F.lit("")) != "")
-                    & (F.coalesce(l["href_url"], F.lit("")) != ""),
-                ).alias("alternates"),
-            ),
+    parsed = sitemap_files(files).select(F.col("url").alias("sitemap_url"), _entries(F.col("content")).alias("found"))
+    whole = F.filter("found", lambda e: e["loc"].isNotNull())
+    nested = F.transform(F.filter(whole, lambda e: e["kind"] == "sitemap"), lambda e: e["loc"])
+    entries = F.transform(
+        F.filter(whole, lambda e: e["kind"] == "url"),
+        lambda e: F.struct(
+            e["loc"].alias("loc"),
+            F.filter(
+                F.transform(e["link"], lambda l: F.struct(l["_hreflang"].alias("lang"), l["_href"].alias("href_url"))),
+                lambda l: (F.coalesce(l["lang"], F.lit("")) != "") & (F.coalesce(l["href_url"], F.lit("")) != ""),
+            ).alias("alternates"),
         ),
-        lambda e: F.coalesce(e["loc"], F.lit("")) != "",
     )
-    is_index = F.size(F.coalesce(F.col("doc.sitemap"), F.array())) > 0
+    is_index = F.exists("found", lambda e: e["kind"] == "sitemap")
     return parsed.select(
         "sitemap_url",
-        F.when(is_index, nested).otherwise(F.array().cast("array<string>")).alias("nested"),
+        nested.alias("nested"),
         F.when(is_index, F.slice(entries, 1, 0)).otherwise(entries).alias("entries"),
+        (F.size("found") - F.size(whole)).alias("unreadable"),
     )
 
 
@@ -139,14 +123,14 @@ def sitemap_index_edges(files: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_visits(starts: DataFrame, files: DataFrame, max_rounds: int = 50) -> DataFrame:
+def sitemap_visits(starts: DataFrame, files: DataFrame) -> DataFrame:
     """(site, sitemap_url, level, trail): every file reached from the starts of a site, once.
 
     ``starts`` is (site, position, sitemap_url). ``trail`` holds the positions from the start to the
     file. Within a level, trails in array order are the order of a first-in first-out walk, so
     (level, trail) replaces a visit counter. A round touches only the files found by the round
-    before; rounds end when nothing new turns up, whatever the nesting depth, and more than
-    ``max_rounds`` levels are an error rather than a cut.
+    before; rounds end when nothing new turns up, whatever the nesting depth: a file already seen by
+    the site is not visited again.
     """
     edges = cut(sitemap_index_edges(files))
 
@@ -159,7 +143,7 @@ def sitemap_visits(starts: DataFrame, files: DataFrame, max_rounds: int = 50) ->
         )
     )
     seen = level
-    for depth in range(1, max_rounds + 1):
+    for depth in itertools.count(1):
         found = level.join(edges, level["sitemap_url"] == edges["parent"]).select(
             "site",
             F.col("child").alias("sitemap_url"),
@@ -173,7 +157,6 @@ def sitemap_visits(starts: DataFrame, files: DataFrame, max_rounds: int = 50) ->
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
-    raise RuntimeError(f"sitemap indexes nested deeper than {max_rounds} levels")
 
 
 def sitemap_closure(starts: DataFrame, files: DataFrame) -> DataFrame:
@@ -264,7 +247,3 @@ def hreflang_new_urls(hreflang: DataFrame, urls: DataFrame) -> DataFrame:
             url_classification(F.col("url"), netloc(F.col("url")), F.lit(True)).alias("classification"),
         )
     )
-
-
-def known_domains(robots: DataFrame) -> DataFrame:
-    return robots_files(robots).select("domain").distinct()

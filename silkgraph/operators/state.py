@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silkgraph.functions.urls import url_classification, url_normalize_storage
-from silkgraph.operators.scale import row_ranks
+from silkgraph.operators.scale import row_ranks, stored
 
 
 def newest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -23,21 +23,25 @@ def newest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the first one in ``order``."""
-    rest = [c for c in df.columns if c not in key]
-    return (
-        df.groupBy(*key)
-        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
-        .select(*key, "_first.*")
-        .select(*df.columns)
+def newest_bodies(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``newest`` for rows with page bodies: only the rows of keys that occur more than once move.
+
+    Keys are counted on their own columns alone and those that repeat are written, so the planner knows
+    their size and joins them where the bodies are, if they are few.
+    """
+    again = stored(
+        df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1).select(*key), "repeated-keys"
     )
+    same = [df[k].eqNullSafe(again[k]) for k in key]
+    settled = newest(df.join(again, same, "left_semi"), key, order)
+    return df.join(again, same, "left_anti").unionByName(settled)
 
 
 def upsert_pages(fetches: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """One row per URL; the newest fetch (fetched_at, then seq) wins on every column."""
     rows = fetches if stored is None else stored.unionByName(fetches)
-    return newest(rows, ["url"], ["fetched_at", "seq"])
+    wide = "html" in rows.columns or "text" in rows.columns
+    return (newest_bodies if wide else newest)(rows, ["url"], ["fetched_at", "seq"])
 
 
 def seed_urls(
@@ -157,13 +161,9 @@ def frontier_state(events: DataFrame, order: tuple[str, ...] = ("seq",)) -> Data
 
 
 def frontier_next_batch(frontier: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` queued URLs waiting longest, with depth and parent."""
-    return (
-        frontier.filter(F.col("status") == "queued")
-        .orderBy("enqueued_at", "url")
-        .limit(limit)
-        .select("url", "depth", "parent", "enqueued_at")
-    )
+    """The ``limit`` queued URLs waiting longest, with depth and parent; cut by distributed ranks."""
+    queued = frontier.filter(F.col("status") == "queued").select("url", "depth", "parent", "enqueued_at")
+    return first_pages(queued, [F.col("enqueued_at"), F.col("url")], limit)
 
 
 def frontier_mark_done(frontier: DataFrame, finished: DataFrame, at: Column) -> DataFrame:

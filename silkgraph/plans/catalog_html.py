@@ -33,16 +33,16 @@ def extract_links(spark, sf):
 
 @query(
     "extract_links_detailed",
-    oracle("stored_urls nav_links variant_links", "SELECT source_url, link_no, link_url AS target_url, anchor_text, raw_href AS href FROM variant_links"),
+    oracle("page_urls nav_links page_links", "SELECT source_url, link_no, link_url AS target_url, anchor_text, raw_href AS href FROM variant_links"),
 )
 def extract_links_detailed(spark, sf):
-    rows = links.extract_links_detailed(d.stored_variants(spark, sf), xpath=False)
+    rows = links.extract_links_detailed(d.keyed_variants(spark, sf), xpath=False)
     return rows.withColumn("link_no", long("link_no")).drop("xpath")
 
 
-@query("element_xpath", oracle("stored_urls nav_links variant_links", "SELECT source_url, link_no, xpath FROM variant_links"))
+@query("element_xpath", oracle("page_urls nav_links page_links", "SELECT source_url, link_no, xpath FROM variant_links"))
 def element_xpath(spark, sf):
-    return links.extract_links_detailed(d.stored_variants(spark, sf)).select(
+    return links.extract_links_detailed(d.keyed_variants(spark, sf)).select(
         "source_url", long("link_no").alias("link_no"), "xpath"
     )
 
@@ -126,10 +126,10 @@ JSON_LD = r""", json_ld AS (
              || CASE WHEN k % 4 <> 1 THEN ', "name": "' || name || '"' ELSE '' END
              || CASE WHEN k % 4 <> 2 THEN ', "offers": {"price": ' || k || ', "link": "https://shop.example.com/o/' || k || '"}' ELSE '' END
              || CASE WHEN k % 4 = 3 THEN ', "url": "part/' || k || '"}' ELSE ', "url": "https://shop.example.com/part/' || k || '"}' END END AS parsed_data,
-           CASE WHEN broken THEN 'JSON decode error' WHEN kind = 'ParseError' THEN 'Parse error' WHEN kind = 'Unknown' THEN ''
+           CASE WHEN broken THEN 'JSON decode error' WHEN kind = 'ParseError' THEN 'Parse error: ''list'' object has no attribute ''lower''' WHEN kind = 'Unknown' THEN ''
                 WHEN k % 4 = 1 THEN 'Product missing required ''name'' property'
                 WHEN k % 4 = 2 THEN 'Product missing required ''offers'' property'
-                WHEN k % 4 = 3 THEN 'Invalid URL format for url' ELSE '' END AS problem
+                WHEN k % 4 = 3 THEN 'Invalid URL format for url: part/' || k ELSE '' END AS problem
     FROM (SELECT *, CASE WHEN k % 7 = 6 THEN 'InvalidJSON' WHEN k % 11 = 10 THEN 'ParseError'
                          WHEN nth = 1 THEN 'Unknown' ELSE 'Product' END AS kind,
                  k % 7 = 6 AS broken,
@@ -148,13 +148,28 @@ MICRO = r""", element_items AS (
            '{"@type": "Organization", "' || CASE WHEN k % 4 = 1 THEN 'legalName' ELSE 'name' END || '": ' || to_json(brand)
            || ', "logoUrl": "' || CASE WHEN k % 4 = 2 THEN 'logo.png' ELSE 'https://shop.example.com/logo.png' END || '"}',
            CASE k % 4 WHEN 1 THEN 'Organization missing required ''name'' property'
-                      WHEN 2 THEN 'Invalid URL format for logoUrl' ELSE '' END FROM part_keys)"""
+                      WHEN 2 THEN 'Invalid URL format for logoUrl: logo.png' ELSE '' END FROM part_keys)"""
+
+# The source of the element items, written down from the markup of the input.
+RAW = r""", offer AS (SELECT k, '<div itemprop="offers" itemscope itemtype="http://schema.org/Offer"><meta itemprop="price" content="' || k
+           || '"><time itemprop="until" datetime="2024-01-01">soon</time></div>' AS html FROM part_keys),
+  raw AS (
+    SELECT k, 'Offer' AS type, html AS raw_data FROM offer
+    UNION ALL SELECT k, 'Product', '<div itemscope itemtype="https://schema.org/Product"><span itemprop="name"> ' || name || ' </span><a itemprop="url" href="/m/' || k
+           || '">x</a><i itemprop="tag">a</i><i itemprop="tag">b</i><div itemscope></div>' || html || '</div>' FROM offer JOIN part_keys USING (k)
+    UNION ALL SELECT k, 'Organization', '<div vocab="https://schema.org/" typeof="Organization"><b property="https://schema.org/'
+           || CASE WHEN k % 4 = 1 THEN 'legalName' ELSE 'name' END || '">' || brand || '</b><img property="logoUrl" src="'
+           || CASE WHEN k % 4 = 2 THEN 'logo.png' ELSE '/logo.png' END || '"></div>' FROM part_keys)"""
+
+
+def whole_text(error):
+    """An error text as it is; only the wording of the JSON decoder, which is the parser's own, is left out."""
+    return F.when(error.startswith("JSON decode error: "), "JSON decode error").otherwise(error)
 
 
 def _items(spark, sf, *formats):
     items = structured.structured_data(d.part_pages(spark, sf), formats or structured.FORMATS)
-    problems = F.transform("validation_errors", lambda e: F.substring_index(e, ": ", 1))
-    return items.withColumn("problem", bars(problems)).withColumn("position", long("position"))
+    return items.withColumn("problem", bars(F.transform("validation_errors", whole_text))).withColumn("position", long("position"))
 
 
 @query("json_ld_items", oracle("part_keys", JSON_LD + "SELECT url, kind AS type, position, parsed_data, problem = '' AS is_valid, problem FROM json_ld"))
@@ -167,9 +182,9 @@ def json_ld_type(spark, sf):
     return _items(spark, sf, "json-ld").groupBy("type").agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("microdata_items", oracle("part_keys", MICRO + "SELECT url, type, position FROM element_items WHERE format = 'microdata'"))
+@query("microdata_items", oracle("part_keys", MICRO + RAW + "SELECT url, type, position, raw_data FROM element_items JOIN raw USING (k, type) WHERE format = 'microdata'"))
 def microdata_items(spark, sf):
-    return _items(spark, sf, "microdata").select("url", "type", "position")
+    return _items(spark, sf, "microdata").select("url", "type", "position", "raw_data")
 
 
 @query("microdata_properties", oracle("part_keys", MICRO + "SELECT url, position, parsed_data FROM element_items WHERE format = 'microdata'"))
@@ -177,9 +192,9 @@ def microdata_properties(spark, sf):
     return _items(spark, sf, "microdata").select("url", "position", "parsed_data")
 
 
-@query("rdfa_items", oracle("part_keys", MICRO + "SELECT url, type, position, problem FROM element_items WHERE format = 'rdfa'"))
+@query("rdfa_items", oracle("part_keys", MICRO + RAW + "SELECT url, type, position, raw_data, problem FROM element_items JOIN raw USING (k, type) WHERE format = 'rdfa'"))
 def rdfa_items(spark, sf):
-    return _items(spark, sf, "rdfa").select("url", "type", "position", "problem")
+    return _items(spark, sf, "rdfa").select("url", "type", "position", "raw_data", "problem")
 
 
 @query("rdfa_properties", oracle("part_keys", MICRO + "SELECT url, position, parsed_data FROM element_items WHERE format = 'rdfa'"))
@@ -188,13 +203,13 @@ def rdfa_properties(spark, sf):
 
 
 ALL_ITEMS = JSON_LD + MICRO + """, items AS (
-    SELECT url, 'json-ld' AS format, kind AS type, position, problem FROM json_ld
-    UNION ALL SELECT url, format, type, position, problem FROM element_items)"""
+    SELECT url, 'json-ld' AS format, kind AS type, position, parsed_data, problem FROM json_ld
+    UNION ALL SELECT url, format, type, position, parsed_data, problem FROM element_items)"""
 
 
-@query("structured_data", oracle("part_keys", ALL_ITEMS + "SELECT url, format, type, position, problem = '' AS is_valid FROM items"))
+@query("structured_data", oracle("part_keys", ALL_ITEMS + "SELECT url, format, type, position, parsed_data, problem = '' AS is_valid, problem FROM items"))
 def structured_data(spark, sf):
-    return _items(spark, sf).select("url", "format", "type", "position", "is_valid")
+    return _items(spark, sf).select("url", "format", "type", "position", "parsed_data", "is_valid", "problem")
 
 
 @query("schema_normalize", oracle("part_keys", JSON_LD + "SELECT url, position, parsed_data->>'$.offers.link' AS link, parsed_data->>'$.url' AS target FROM json_ld WHERE parsed_data IS NOT NULL"))
@@ -229,18 +244,17 @@ def schema_statistics(spark, sf):
 )
 def schema_error_counts(spark, sf):
     counts = structured.schema_error_counts(_items(spark, sf))
-    return counts.groupBy(F.substring_index("validation_error", ": ", 1).alias("problem")).agg(
-        F.sum("occurrences").alias("occurrences")
-    )
+    # the decoder's wordings meet in one row; every other text is counted as it is
+    return counts.groupBy(whole_text(F.col("validation_error")).alias("problem")).agg(F.sum("occurrences").alias("occurrences"))
 
 
 # --- links -----------------------------------------------------------------------------------
 
-LINKS = "stored_urls nav_links variant_links site_urls"
+LINKS = "page_urls nav_links page_links site_urls"
 
 
 def _links(spark, sf):
-    return links.page_links(d.stored_variants(spark, sf))
+    return links.page_links(d.keyed_variants(spark, sf))
 
 
 @query(
@@ -261,19 +275,19 @@ COUNTS = """SELECT source_url, count(*) FILTER (WHERE classification = 'internal
         FROM variant_links GROUP BY source_url"""
 
 
-@query("link_counts", oracle("stored_urls nav_links variant_links", COUNTS))
+@query("link_counts", oracle("page_urls nav_links page_links", f"SELECT * EXCLUDE (page_id) FROM ({COUNTS.replace('SELECT source_url', 'SELECT page_id, source_url').replace('BY source_url', 'BY page_id, source_url')})"))
 def link_counts(spark, sf):
-    return links.page_link_counts(d.stored_variants(spark, sf))
+    return links.page_link_counts(d.keyed_variants(spark, sf))
 
 
-@query("link_counts_of_table", oracle("stored_urls nav_links variant_links", COUNTS))
+@query("link_counts_of_table", oracle("page_urls nav_links page_links", COUNTS))
 def link_counts_of_table(spark, sf):
     return links.link_counts(_links(spark, sf))
 
 
 @query(
     "inlink_counts",
-    oracle("stored_urls nav_links variant_links", """SELECT href AS url, count(*) AS inlinks_count, count(DISTINCT source_url) AS inlinks_unique_count
+    oracle("page_urls nav_links page_links", """SELECT href AS url, count(*) AS inlinks_count, count(DISTINCT source_url) AS inlinks_unique_count
         FROM variant_links WHERE classification = 'internal' GROUP BY href"""),
 )
 def inlink_counts(spark, sf):

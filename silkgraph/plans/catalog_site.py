@@ -38,17 +38,15 @@ def robots_match(spark, sf):
     rules = robots.rules_for_agent(d.robots_txt(spark, sf))
     tried = F.transform(
         "rules",
-        lambda r, i: F.struct(i.alias("i"), robots.rule_matches(F.col("path"), r["prefix"]).alias("matches")),
+        lambda r: F.struct(r["position"].alias("position"), robots.rule_matches(F.col("path"), r["prefix"]).alias("matches")),
     )
     pages = d.pages(spark, sf).select(
         "page_id", netloc(F.col("url")).alias("domain"), path(F.col("url")).alias("path")
     )
-    # Positions within the file: the third form has one rule of another agent in front.
-    ahead = F.when(F.length("domain") % 5 == 3, 1).otherwise(0)
     return (
         pages.join(rules, "domain")
         .select("page_id", "domain", F.explode(tried).alias("m"))
-        .select("page_id", long(F.col("m.i") + ahead).alias("position"), "m.matches")
+        .select("page_id", long("m.position").alias("position"), "m.matches")
     )
 
 
@@ -79,7 +77,8 @@ INDEX = f"""SELECT page_id, key_url AS url, {ALLOWED} AS robots_txt_allows, page
 
 
 def indexability_table(spark, sf):
-    return robots.indexability(page_content(d.stored_variants(spark, sf)), d.robots_txt(spark, sf))
+    content = d.settled(page_content(d.keyed_variants(spark, sf))).drop("page_id")
+    return robots.indexability(content, d.robots_txt(spark, sf))
 
 
 @query("indexability", oracle("stored_urls page_fields", f"SELECT * EXCLUDE (page_id) FROM ({INDEX})"))
@@ -147,6 +146,13 @@ def closure_table(spark, sf):
     return sitemaps.sitemap_closure(starts(spark, sf, files), files)
 
 
+@query("sitemap_unreadable", oracle(MAPS, """SELECT sitemap_url, CASE WHEN length(domain) % 3 = 1 THEN 1 ELSE 0 END AS unreadable FROM sitemap_rows GROUP BY ALL
+        UNION ALL SELECT 'https://' || domain || '/sitemap_index.xml', 0 FROM hosts
+        UNION ALL SELECT 'https://' || domain || '/sitemap.xml', 0 FROM hosts WHERE length(domain) % 3 <> 0"""))
+def sitemap_unreadable(spark, sf):
+    return sitemaps.read_files(d.sitemap_files(spark, sf)).select("sitemap_url", long("unreadable").alias("unreadable"))
+
+
 @query("sitemap_discovery", oracle("page_urls hosts", f"SELECT domain AS site, 0 AS position, {START} AS sitemap_url FROM hosts"))
 def sitemap_discovery(spark, sf):
     return starts(spark, sf, d.sitemap_files(spark, sf)).withColumn("position", long("position"))
@@ -156,20 +162,22 @@ VISITS = f""", files AS (
     SELECT 'https://' || domain || '/sitemap.xml' AS parent, unnest([0, 1]) AS position,
            unnest(['https://' || domain || '/sitemap.xml', 'https://' || domain || '/sitemap_index.xml']) AS child FROM hosts
     UNION ALL SELECT DISTINCT 'https://' || domain || '/sitemap_index.xml', chunk, sitemap_url FROM sitemap_rows),
-  walk(site, sitemap_url, level) AS (
+  visits(site, sitemap_url, level) USING KEY (site, sitemap_url) AS (
     SELECT domain, {START}, 0 FROM hosts
-    UNION SELECT site, child, level + 1 FROM walk JOIN files ON parent = sitemap_url WHERE level < 10),
-  visits AS (SELECT site, sitemap_url, min(level) AS level FROM walk GROUP BY site, sitemap_url)"""
+    UNION SELECT w.site, f.child, min(w.level) + 1 FROM visits w JOIN files f ON f.parent = w.sitemap_url
+    LEFT JOIN recurring.visits v ON v.site = w.site AND v.sitemap_url = f.child WHERE v.site IS NULL GROUP BY w.site, f.child)"""
 
 
 @query(
     "sitemap_closure",
-    oracle(MAPS, VISITS + """SELECT site, url AS loc, sitemap_url, level, position
+    oracle(MAPS, VISITS + """SELECT site, url AS loc, sitemap_url, level, position, CASE WHEN twice THEN 'fr ' || url || '/'
+          WHEN even THEN 'en ' || url || '|x-default https://' || domain || '/' ELSE '' END AS alternates
         FROM sitemap_rows JOIN visits USING (sitemap_url)""", recursive=True),
 )
 def sitemap_closure(spark, sf):
     return closure_table(spark, sf).select(
-        "site", "loc", "sitemap_url", long("level").alias("level"), long("position").alias("position")
+        "site", "loc", "sitemap_url", long("level").alias("level"), long("position").alias("position"),
+        bars(F.transform("alternates", lambda a: F.concat_ws(" ", a["lang"], a["href_url"]))).alias("alternates"),
     )
 
 

@@ -133,12 +133,12 @@ def url_upsert(spark, sf):
 
 @query(
     "url_discovery_log",
-    oracle("stored_urls nav_links", """SELECT key_url AS url, 'html' AS kind, origin || '/' AS discovered_from, 'upsert' AS op FROM page_urls
-        UNION ALL SELECT origin || href, CASE WHEN n % 2 = 0 THEN NULL ELSE 'other' END, CASE WHEN n % 2 = 0 THEN NULL ELSE key_url END,
+    oracle("page_urls nav_links", """SELECT url, 'html' AS kind, origin || '/' AS discovered_from, 'upsert' AS op FROM page_urls
+        UNION ALL SELECT origin || href, CASE WHEN n % 2 = 0 THEN NULL ELSE 'other' END, CASE WHEN n % 2 = 0 THEN NULL ELSE url END,
                CASE WHEN n % 2 = 0 THEN 'touch' ELSE 'upsert' END FROM nav_links"""),
 )
 def url_discovery_log(spark, sf):
-    pages = d.settled(d.pages(spark, sf))
+    pages = d.pages(spark, sf)
     found = links.extract_links(pages).select(
         "source_url", "target_url", F.col("link_no").alias("ord"), (F.col("link_no") % 2 == 0).alias("crawlable")
     )
@@ -283,10 +283,9 @@ def redirect_records(spark, sf):
 
 # --- reach and depth -------------------------------------------------------------------------
 
-DEPTH = 12
-REACH = f""", walk(t, depth) AS (
-    SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.t, walk.depth + 1 FROM walk JOIN link_edges e ON e.s = walk.t WHERE walk.depth < {DEPTH} AND (walk.t % 7 <> 0 OR walk.depth = 0)),
-  best AS (SELECT t, min(depth) AS depth FROM walk GROUP BY t),
+REACH = """, best(t, depth) USING KEY (t) AS (
+    SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.t, min(w.depth) + 1 FROM best w JOIN link_edges e ON e.s = w.t
+    LEFT JOIN recurring.best b ON b.t = e.t WHERE b.t IS NULL AND (w.t % 7 <> 0 OR w.depth = 0) GROUP BY e.t),
   reach AS (SELECT b.t, b.depth, (SELECT min('https://l.example.com/c/' || e.s) FROM link_edges e JOIN best p ON p.t = e.s
                  WHERE e.t = b.t AND p.depth = b.depth - 1 AND (p.t % 7 <> 0 OR p.depth = 0)) AS parent, b.t % 7 = 0 AND b.depth > 0 AS recorded FROM best b)"""
 
@@ -295,15 +294,15 @@ def reach_table(spark, sf):
     seeds = d.table(spark, sf, "customer").filter("c_custkey = 1").select(
         F.lit("https://l.example.com/c/1").alias("url")
     )
-    return reach.crawl_reachability(seeds, d.link_edges(spark, sf), max_depth=DEPTH)
+    return reach.crawl_reachability(seeds, d.link_edges(spark, sf))
 
 
 @query(
     "crawl_reachability",
-    oracle("link_edges", REACH + "SELECT 'https://l.example.com/c/' || t AS url, depth, parent, recorded FROM reach", recursive=True),
+    oracle("link_edges", REACH + "SELECT 'https://l.example.com/c/' || t AS url, depth, parent, NOT recorded AS crawled, recorded FROM reach", recursive=True),
 )
 def crawl_reachability(spark, sf):
-    return reach_table(spark, sf).select("url", long("depth").alias("depth"), "parent", "recorded")
+    return reach_table(spark, sf).select("url", long("depth").alias("depth"), "parent", "crawled", "recorded")
 
 
 @query(

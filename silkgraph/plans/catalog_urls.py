@@ -23,12 +23,12 @@ def url_split(spark, sf):
     return d.pages(spark, sf).select("page_id", urls.url_split(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
-@query("url_resolve", oracle("stored_urls nav_links variant_links", "SELECT source_url, link_no, raw_href, link_url FROM variant_links"))
+@query("url_resolve", oracle("page_urls nav_links page_links", "SELECT source_url, link_no, raw_href, link_url FROM variant_links"))
 def url_resolve(spark, sf):
     from silkgraph.operators.links import page_links
 
     # The raw href is resolved again by the Column function, apart from the staged operator.
-    links = page_links(d.stored_variants(spark, sf))
+    links = page_links(d.keyed_variants(spark, sf))
     return links.select(
         "source_url", long("link_no").alias("link_no"), "raw_href",
         urls.url_resolve(F.col("source_url"), F.col("raw_href")).alias("link_url"),

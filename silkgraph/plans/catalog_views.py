@@ -10,7 +10,7 @@ from silkgraph.operators.dom import CONTENT, scan_html
 from silkgraph.operators.scale import cut
 from silkgraph.functions.urls import host, url_classification, url_normalize_storage
 from silkgraph.plans import documented, views
-from silkgraph.plans.catalog_html import ALL_ITEMS, COUNTS, LINKS
+from silkgraph.plans.catalog_html import ALL_ITEMS, COUNTS, LINKS, whole_text
 from silkgraph.plans.catalog_site import HREFLANG, INDEX, LISTING, MAPS, hreflang_table, indexability_table, listing_table
 from silkgraph.plans.catalog_state import RECORDS, resolved_table
 from silkgraph.plans.registry import bars, long, query, stamp, stamp_sql
@@ -42,7 +42,8 @@ def page_frontier(spark, sf):
 
 def page_analysis_table(spark, sf):
     # The page table is written once; the three inputs below read it instead of the HTML.
-    content = cut(page_facts(d.stored_variants(spark, sf).select("url", "html", "headers")))
+    facts = page_facts(d.keyed_variants(spark, sf).select("page_id", "url", "html", "headers"))
+    content = cut(d.settled(facts).drop("page_id"))
     return views.page_analysis(
         d.site_urls(spark, sf),
         content,
@@ -75,7 +76,7 @@ def page_analysis(spark, sf):
 
 def internal_links_table(spark, sf):
     return links.internal_links(
-        links.page_links(d.stored_variants(spark, sf)), d.site_urls(spark, sf)
+        links.page_links(d.keyed_variants(spark, sf)), d.site_urls(spark, sf)
     )
 
 
@@ -120,18 +121,18 @@ def schema_table(spark, sf):
     return views.schema_analysis(items, urls)
 
 
-SCHEMA = ALL_ITEMS + """, analysis AS (SELECT url, type AS schema_type, format, position, problem = '' AS is_valid, problem
+SCHEMA = ALL_ITEMS + """, analysis AS (SELECT url, type AS schema_type, format, position, parsed_data, problem = '' AS is_valid, problem
     FROM items JOIN part_keys USING (url) WHERE k % 3 <> 2)"""
 
 
 def problem(errors="validation_errors"):
-    return bars(F.transform(errors, lambda e: F.substring_index(e, ": ", 1)))
+    return bars(F.transform(errors, whole_text))
 
 
-@query("schema_analysis", oracle("part_keys", SCHEMA + "SELECT url, schema_type, format, position, is_valid, problem FROM analysis"))
+@query("schema_analysis", oracle("part_keys", SCHEMA + "SELECT url, schema_type, format, position, parsed_data, is_valid, problem FROM analysis"))
 def schema_analysis(spark, sf):
     return schema_table(spark, sf).select(
-        "url", "schema_type", "format", long("position").alias("position"), "is_valid", problem().alias("problem")
+        "url", "schema_type", "format", long("position").alias("position"), "parsed_data", "is_valid", problem().alias("problem")
     )
 
 

@@ -100,7 +100,6 @@ def sitemap_statistics(listing: DataFrame, frontier: DataFrame, pages: DataFrame
             hits(F.col("http") == 200, "successful_urls"),
             hits(F.col("http") >= 400, "error_urls"),
         )
-        .orderBy(F.desc("total_urls"), "sitemap_url")
     )
 
 
@@ -114,7 +113,6 @@ def schema_analysis(items: DataFrame, urls: DataFrame) -> DataFrame:
             "url", F.col("type").alias("schema_type"), "format", "position", "is_valid",
             "validation_errors", "raw_data", "parsed_data", *time,
         )
-        .orderBy("url", "position")
     )
 
 

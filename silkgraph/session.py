@@ -11,8 +11,10 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # No call-site capture for every Column made in Python: these plans hold many of them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # Page bodies go to the Python workers in small batches.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # Page bodies go to the Python workers in batches bounded by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    # Checkpoint files go with the tables that they hold.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # transformWithState keeps its state in RocksDB.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -67,7 +67,10 @@ def frontier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    """The given pages; ``silkgraph.pages.partitions`` in the session spreads a small single file, off by default."""
+    partitions = spark.conf.get("silkgraph.pages.partitions", None)
+    rows = table(spark, sf_dir, "pages")
+    return rows.repartition(int(partitions)) if partitions else rows
 
 
 EXTRA_LINKS = (
@@ -137,9 +140,10 @@ def robots_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sitemap_entries_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(domain, chunk, again, page_id, xml): the entries of the sitemaps; every tenth page stands
-    twice, with other alternates the second time."""
+    twice, with other alternates the second time; some are not well-formed XML."""
     k, url = F.col("page_id"), F.col("url")
-    loc = F.replace(url, F.lit("&"), F.lit("&amp;"))
+    # every ninth page is listed with a bare ampersand
+    loc = F.when(k % 9 == 4, url).otherwise(F.replace(url, F.lit("&"), F.lit("&amp;")))
 
     def entry(links: Column) -> Column:
         return F.concat(F.lit("<url><loc> "), loc, F.lit("</loc>"), links, F.lit("</url>"))
@@ -174,7 +178,12 @@ def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "",
     )
-    sheets = entries.groupBy("domain", "chunk").agg(body.alias("body")).select(
+    n = F.length("domain")
+    sheets = entries.groupBy("domain", "chunk").agg(body.alias("body"))
+    # some files begin with an entry that cannot be read
+    sheets = sheets.withColumn("body", F.concat(F.when(n % 3 == 1, "<url><loc>cut <b></loc></url>").otherwise(""), F.col("body")))
+    sheets = sheets.select(
+        "domain",
         text("https://", F.col("domain"), "/sitemap-", F.col("chunk"), ".xml").alias("url"),
         F.lit(200).alias("status"),
         F.concat(
@@ -187,14 +196,18 @@ def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("</urlset>"),
         ).alias("content"),
     )
+    # some files write all names with a prefix, and others than usual
+    prefixed = F.regexp_replace(F.replace("content", F.lit("xhtml:"), F.lit("x:")), r"<(/?)(urlset|url|loc)\b", "<$1sm:$2")
+    sheets = sheets.select("url", "status", F.when(n % 2 == 1, prefixed).otherwise(F.col("content")).alias("content"))
     d = F.col("domain")
 
     def index_of(children: Column) -> Column:
-        return F.concat(
+        plain = F.concat(
             F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
             children,
             F.lit("</sitemapindex>"),
         )
+        return F.when(F.length(d) % 2 == 1, F.regexp_replace(plain, r"<(/?)(sitemapindex|sitemap|loc)\b", "<$1sm:$2")).otherwise(plain)
 
     def nested(url: Column) -> Column:
         return F.concat(F.lit("<sitemap><loc>"), url, F.lit("</loc></sitemap>"))
@@ -244,14 +257,15 @@ def site_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """Page rows under their storage keys, one row per key."""
-    return newest(rows.withColumn("url", F.substring_index("url", "#", 1)), ["url"], ["page_id"])
+def keyed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_variants`` under their storage keys."""
+    return page_variants(spark, sf_dir).withColumn("url", F.substring_index("url", "#", 1))
 
 
-def stored_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``page_variants`` as they are stored."""
-    return settled(page_variants(spark, sf_dir))
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows with (url, page_id), one row per storage key. What is wanted of a page body is to be taken from
+    it before, so that no body is moved."""
+    return newest(rows.withColumn("url", F.substring_index("url", "#", 1)), ["url"], ["page_id"])
 
 
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,10 +448,15 @@ ORACLE_INPUTS = {
         SELECT c_custkey AS s, unnest([2 * c_custkey, 2 * c_custkey + 1, c_nationkey + 1]) AS t, unnest([0, 1, 2]) AS ord FROM customer""",
 }
 
+# Stands in for variant_links where pages under the same key are told apart.
+ORACLE_INPUTS["page_links"] = (
+    ORACLE_INPUTS["variant_links"].replace("SELECT key_url AS source_url", "SELECT page_id, key_url AS source_url").replace("SELECT key_url, domain, link_no", "SELECT page_id, key_url, domain, link_no")
+)
+
 
 def oracle(inputs: str, body: str, recursive: bool = False) -> str:
     """DuckDB SQL with the named inputs, in order, as common table expressions."""
-    called = {"stored_urls": "page_urls"}
+    called = {"stored_urls": "page_urls", "page_links": "variant_links"}
     ctes = [f"{called.get(n, n)} AS ({ORACLE_INPUTS[n].strip()})" for n in inputs.split()]
     head = f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)}" if ctes else ""
     if body.lstrip().upper().startswith("WITH "):

@@ -32,9 +32,11 @@ def stream_fetch_log(
     return reader.load(path)
 
 
-def scan_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Stored pages; a filter on ``site`` prunes folders."""
-    return spark.read.schema(PAGES).format(fmt).load(path)
+def scan_pages(spark: SparkSession, path: str, fmt: str = "parquet", partitions: int | None = None) -> DataFrame:
+    """Stored pages; a filter on ``site`` prunes folders. ``partitions`` spreads few large files over
+    that many tasks, at the price of moving the bodies once; off by default."""
+    rows = spark.read.schema(PAGES).format(fmt).load(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def scan_sitemaps(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -73,7 +75,7 @@ def pages_from_log(log: DataFrame) -> DataFrame:
     """HTML fetch results as page rows, keys in storage form, one per URL (the newest)."""
     from silkgraph.functions.http import header, headers_normalize, is_retryable
     from silkgraph.functions.urls import site_key, url_kind, url_normalize_storage
-    from silkgraph.operators.state import newest
+    from silkgraph.operators.state import newest_bodies
 
     target = url_normalize_storage(F.coalesce("final_url", "url"))
     rows = log.filter(~is_retryable(F.col("status"))).select(
@@ -87,4 +89,4 @@ def pages_from_log(log: DataFrame) -> DataFrame:
         F.col("text").alias("html"),
     )
     html = rows.filter((F.col("kind") == "html") & (F.coalesce("html", F.lit("")) != ""))
-    return newest(html, ["url"], ["fetched_at", "seq"])
+    return newest_bodies(html, ["url"], ["fetched_at", "seq"])

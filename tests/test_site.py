@@ -42,6 +42,21 @@ def sitemap(spark, *pairs):
 URLSET = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">{}</urlset>'
 
 
+def test_sitemaps_lose_nothing_to_prefixes_and_bad_entries(spark):
+    prefixed = '<sm:urlset xmlns:sm="x" xmlns:alt="y"><sm:url><sm:loc>http://h/1</sm:loc><alt:link rel="alternate" hreflang="en" href="http://h/e?a=1&b=2"/></sm:url><!-- <sm:url><sm:loc>no</sm:loc></sm:url> --></sm:urlset>'
+    index = '<sm:sitemapindex xmlns:sm="x"><sm:sitemap><sm:loc>http://h/s</sm:loc></sm:sitemap></sm:sitemapindex>'
+    bare = "<urlset><url><loc>http://h/a?x=1&y=2</loc></url><url><loc>bad <b></loc></url><url/><url><loc><![CDATA[http://h/b?p&q]]></loc></url><url><loc>http://h/&#38;c&quot;</loc></url><url><lastmod>1</lastmod></url></urlset>"
+    cut = "<urlset><url><loc>http://h/1</loc></url><url><loc>http://h/2</lo"
+    rows = sitemap(spark, ("p", prefixed), ("i", index), ("b", bare), ("c", cut), ("n", None))
+    read = {r.sitemap_url: ([(e.loc, [tuple(a) for a in e.alternates]) for e in r.entries or []], r.nested, r.unreadable) for r in sitemaps.read_files(rows).collect()}
+    assert read["p"] == ([("http://h/1", [("en", "http://h/e?a=1&b=2")])], [], 0)
+    assert read["i"] == ([], ["http://h/s"], 0)
+    assert read["b"] == ([("http://h/a?x=1&y=2", []), ("http://h/b?p&q", []), ('http://h/&c"', [])], [], 2)
+    assert read["c"] == ([("http://h/1", [])], [], 1)
+    assert {r.url: r.kind for r in sitemaps.sitemap_kind(rows).collect()} == {"p": "sitemap", "i": "sitemap_index", "b": "sitemap", "c": "sitemap", "n": "sitemap"}
+    assert [r.loc for r in sitemaps.sitemap_locs(rows).filter("url = 'i'").collect()] == ["http://h/s"]
+
+
 def test_sitemap_entries(spark):
     body = (
         "<url><loc> http://h/1 </loc><xhtml:link rel='alternate' hreflang='en' href='http://h/en'/></url><url><loc></loc></url><url/>"
@@ -64,7 +79,7 @@ def test_broken_and_mixed_files(spark):
     assert read["junk"] == ([], []) and read["empty"] == ([], [])
     kinds = {r.url: r.kind for r in sitemaps.sitemap_kind(rows).collect()}
     assert set(kinds.values()) == {"sitemap"}
-    assert {r.url for r in sitemaps.sitemap_locs(rows).collect()} == {"mixed"}
+    assert {r.url for r in sitemaps.sitemap_locs(rows).collect()} == {"mixed", "cut"}
     index = "<?xml version='1.0'?><!-- c --><SitemapIndex><sitemap><loc>a</loc></sitemap></SitemapIndex>"
     assert sitemaps.sitemap_kind(sitemap(spark, ("i", index))).first()["kind"] == "sitemap_index"
 
