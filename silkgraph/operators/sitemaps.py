@@ -25,7 +25,7 @@ def _entries(content: Column) -> Column:
     """All ``<url>`` and ``<sitemap>`` entries: array of (kind, loc, link, unreadable).
 
     The text is cut at the opening tags, whatever their prefix, and every entry is read on its own, a
-    lone ``&`` in it standing for itself; so what is wrong in one entry, or behind the last whole one,
+    lone ``&`` outside CDATA standing for itself; so what is wrong in one entry, or behind the last whole one,
     leaves the others alone. An entry that cannot be read has no loc.
     """
     bare = F.regexp_replace(content, r"(?s)<!--.*?-->", "")
@@ -33,7 +33,7 @@ def _entries(content: Column) -> Column:
 
     def read(chunk: Column) -> Column:
         body = F.regexp_extract(chunk, rf"(?s)\A{_OPEN}(.*?){_CLOSE}", 1)
-        plain = F.regexp_replace(F.regexp_replace(body, r"<(/?)[\w.-]+:", "<$1"), r"&(?!#?\w+;)", "&amp;")
+        plain = F.regexp_replace(F.regexp_replace(body, r"<(/?)[\w.-]+:", "<$1"), r"&(?!#?\w+;)(?![^<]*\]\]>)", "&amp;")
         return F.struct(
             F.regexp_extract(chunk, r"\A<(?:[\w.-]+:)?(url|sitemap)", 1).alias("kind"),
             F.from_xml(F.concat(F.lit("<entry>"), plain, F.lit("</entry>")), F.lit(_ENTRY), _OPTIONS).alias("e"),
