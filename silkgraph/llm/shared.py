@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from silkgraph.operators.scale import stored as written
+
+__all__ = ["fold", "held_out", "line_fit", "sampled", "sigmoid", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,24 +26,6 @@ def held_out(key: Column | str, parts: int, rest: int = 0) -> Column:
     return F.coalesce(fold(key, parts) == rest, F.lit(True))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and go on from the written table.
-
-    Cuts lineage and survives lost executors. The folder is the one the session names in
-    ``spark.checkpoint.dir``; a temporary one is made only under a local master without that setting.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sampled(df: DataFrame, key: str, groups: str | None, bound: int) -> DataFrame:
     """A sample by key hash of about ``bound`` rows for each value of ``groups`` (of all rows if None).
 
