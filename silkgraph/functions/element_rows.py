@@ -36,7 +36,7 @@ NODE = pa.struct(
         ("attrs", pa.map_(pa.string(), pa.string())),
         ("text_pieces", pa.list_(pa.string())),
         ("xpath", pa.string()),
-        ("scopes", pa.list_(pa.int32())),
+        ("spans", pa.list_(pa.int32())),
         ("raw", pa.string()),
     ]
 )
@@ -168,14 +168,20 @@ class Tree(HTMLParser):
             out.append(f"{out[parent] if parent >= 0 else '/[document]'}/{step}")
         return out
 
-    def scopes(self, me):
-        """Enclosing structured-data items, outermost first."""
-        found, up = [], self.nodes[me][1]
-        while up >= 0:
-            if is_item(self.nodes[up][3]):
-                found.append(up)
-            up = self.nodes[up][1]
-        return found[::-1]
+    def spans(self):
+        """For an item, the part of the page's properties that lies inside it: its first microdata
+        property and their number, and the same for RDFa. Properties are in document order, so those
+        inside an element stand together."""
+        before = [[0], [0]]
+        for node in self.nodes:
+            for counts, name in zip(before, ("itemprop", "property")):
+                counts.append(counts[-1] + bool(node[3].get(name)))
+
+        def of(me):
+            end = self.nodes[me][2] + 1
+            return [x for counts in before for x in (counts[me + 1], counts[end] - counts[me + 1])]
+
+        return of
 
     def source(self, me):
         """Source slice of an item, end tag included when it closed the element."""
@@ -207,6 +213,7 @@ def page_record(html, want):
         return [], 0, False
     words = len("".join(tree.texts).split())
     paths = tree.xpaths() if want["xpath"] else None
+    spans = tree.spans() if want["raw"] else None
     nodes, any_tag, tags, names = [], want["tags"] is None, want["tags"] or (), want["attrs"]
     for me, (tag, parent, end, attrs, _, _, _) in enumerate(tree.nodes):
         block = bool(attrs) and is_json_ld(tag, attrs)
@@ -223,7 +230,7 @@ def page_record(html, want):
         nodes.append(
             (
                 me, parent, end, tag, list(attrs.items()), texts,
-                paths[me] if paths else None, tree.scopes(me) if prop else None, raw,
+                paths[me] if paths else None, spans(me) if spans and attrs and is_item(attrs) else None, raw,
             )
         )
     return nodes, words, True

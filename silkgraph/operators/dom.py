@@ -23,7 +23,7 @@ def dom_fields() -> list[T.StructField]:
             T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
             T.StructField("text_pieces", T.ArrayType(T.StringType())),
             T.StructField("xpath", T.StringType()),
-            T.StructField("scopes", T.ArrayType(T.IntegerType())),
+            T.StructField("spans", T.ArrayType(T.IntegerType())),
             T.StructField("raw", T.StringType()),
         ]
     )
@@ -71,7 +71,7 @@ def scan_html(pages: DataFrame, want: dict, html: str = "html") -> DataFrame:
 
 
 def html_nodes(pages: DataFrame, want: dict | None = None, html: str = "html") -> DataFrame:
-    """One row per element: ord, parent_ord, subtree_end, tag, attrs, text_pieces, xpath, scopes, raw."""
+    """One row per element: ord, parent_ord, subtree_end, tag, attrs, text_pieces, xpath, spans, raw."""
     scanned = scan_html(pages, want or wanted(), html)
     keys = [c for c in scanned.columns if c not in DOM_COLUMNS]
     return scanned.select(*keys, F.explode("nodes").alias("node")).select(*keys, "node.*")

@@ -82,12 +82,11 @@ def _property_value(node: Column, base: Column) -> Column:
 
 
 def element_properties(nodes: Column, attribute: str, base: Column, rename=lambda c: c) -> Column:
-    """Array of (scopes, name, value) of the property elements, in document order."""
+    """Array of (name, value) of the property elements, in document order."""
     named = F.filter(nodes, lambda n: _attr(n, attribute) != "")
     return F.transform(
         named,
         lambda n: F.struct(
-            n["scopes"].alias("scopes"),
             rename(_attr(n, attribute)).alias("name"),
             _property_value(n, base).alias("value"),
         ),
@@ -114,9 +113,13 @@ def _with_type(fields: Column, kind: Column) -> Column:
     return F.concat(F.array(first), F.filter(fields, lambda f: f["key"] != "@type"))
 
 
-def element_items(nodes: Column, scope: str, type_attribute: str, properties: Column) -> Column:
+def element_items(nodes: Column, scope: str, type_attribute: str, properties: Column, span: int) -> Column:
     """Array of (type, raw_data, position, values): elements with ``scope`` and a type. Properties
-    of nested items count for the outer item too; the position counts untyped elements."""
+    of nested items count for the outer item too; the position counts untyped elements.
+
+    ``span`` says where in an element's spans its part of ``properties`` begins, so an item takes its
+    properties as a slice and does not look at those of the others.
+    """
     numbered = F.transform(
         F.filter(nodes, lambda n: _has(n, scope)),
         lambda n, i: F.struct(n.alias("n"), i.alias("position")),
@@ -125,7 +128,7 @@ def element_items(nodes: Column, scope: str, type_attribute: str, properties: Co
 
     def item(e: Column, all_properties: Column) -> Column:
         kind = bare_type(_attr(e["n"], type_attribute))
-        mine = F.filter(all_properties, lambda p: F.array_contains(p["scopes"], e["n"]["ord"]))
+        mine = F.slice(all_properties, e["n"]["spans"][span] + 1, e["n"]["spans"][span + 1])
         return F.struct(
             kind.alias("type"),
             e["n"]["raw"].alias("raw_data"),
@@ -222,7 +225,7 @@ def items_of_scan(scanned: DataFrame, formats=FORMATS) -> DataFrame:
         parts.append(
             _labelled(
                 F.transform(
-                    element_items(nodes, "itemscope", "itemtype", F.col("micro_properties")),
+                    element_items(nodes, "itemscope", "itemtype", F.col("micro_properties"), 0),
                     _as_record,
                 ),
                 "microdata",
@@ -233,7 +236,7 @@ def items_of_scan(scanned: DataFrame, formats=FORMATS) -> DataFrame:
         parts.append(
             _labelled(
                 F.transform(
-                    element_items(nodes, "typeof", "typeof", F.col("rdfa_properties")), _as_record
+                    element_items(nodes, "typeof", "typeof", F.col("rdfa_properties"), 2), _as_record
                 ),
                 "rdfa",
             )
