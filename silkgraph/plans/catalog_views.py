@@ -36,40 +36,50 @@ def page_frontier(spark, sf):
     k = F.col("page_id")
     return d.page_keys(spark, sf).filter(k % 8 != 7).select(
         "url",
+        (k % 4).alias("depth"),
         F.when(k % 3 == 0, "queued").otherwise("done").alias("status"),
     )
 
 
+def internal_hrefs(spark, sf):
+    own = links.page_links(d.keyed_variants(spark, sf)).filter(F.col("classification") == "internal")
+    return own.select("source_url", "href")
+
+
 def page_analysis_table(spark, sf):
-    # The page table is written once; the three inputs below read it instead of the HTML.
+    # The page table is written once; the inputs below read it instead of the HTML.
     facts = page_facts(d.keyed_variants(spark, sf).select("page_id", "url", "html", "headers"))
     content = cut(d.settled(facts).drop("page_id"))
     return views.page_analysis(
         d.site_urls(spark, sf),
         content,
         robots.indexability(content, d.robots_txt(spark, sf)),
-        robots.canonicals(content),
         hreflang_table(spark, sf),
+        inlinks=links.inlink_counts(internal_hrefs(spark, sf), target="href"),
+        frontier=page_frontier(spark, sf),
     )
 
 
-ANALYSIS_INPUTS = "stored_urls hosts all_urls sitemap_rows sitemap_alternates site_urls nav_links variant_links page_fields"
+ANALYSIS_INPUTS = "stored_urls hosts all_urls sitemap_rows sitemap_alternates site_urls nav_links variant_links all_nav_links all_variant_links page_fields"
 ANALYSIS = f""", indexability AS ({INDEX}), counts AS ({COUNTS}),
-  analysis AS (SELECT u.url, u.kind, u.classification, f.page_id, f.title, f.meta_description, f.h1 AS h1_tags, f.word_count + 3 AS word_count, f.html_lang,
+  analysis AS (SELECT u.url, u.kind, u.classification, f.page_id, f.title, f.meta_description, f.h1 AS h1_tags, '' AS h2_tags, f.word_count + 3 AS word_count, f.html_lang,
          c.internal_links_count, c.external_links_count, c.internal_links_unique_count, c.external_links_unique_count,
          i.robots_txt_allows, i.html_meta_allows, i.http_header_allows, i.overall_indexable, i.robots_txt_directives, i.html_meta_directives, i.http_header_directives,
          f.canonical_url AS canonical_urls,
          CASE WHEN f.canonical_url IS NOT NULL THEN 'html_head' END AS canonical_sources,
+         n.inlinks_count, n.inlinks_unique_count, CASE WHEN f.page_id % 8 <> 7 THEN f.page_id % 4 END AS crawl_depth,
          (SELECT min(lang) FROM sitemap_alternates a WHERE a.url = u.url AND lang <> 'x-default'
              AND (href_url = u.url OR href_url = u.url || '/' OR u.url = href_url || '/')) AS self_hreflang
   FROM site_urls u JOIN page_fields f ON f.key_url = u.url JOIN counts c ON c.source_url = u.url JOIN indexability i ON i.page_id = f.page_id
+  LEFT JOIN (SELECT href, count(*) AS inlinks_count, count(DISTINCT source_url) AS inlinks_unique_count FROM all_variant_links
+             WHERE classification = 'internal' GROUP BY href) n ON n.href = u.url
   WHERE u.classification IN ('internal', 'network'))"""
 
 
 @query("page_analysis", oracle(ANALYSIS_INPUTS, ANALYSIS + "SELECT * EXCLUDE (page_id) FROM analysis"))
 def page_analysis(spark, sf):
-    rows = page_analysis_table(spark, sf).drop("h2_tags", "crawl_depth", "inlinks_count", "inlinks_unique_count")
-    for name in ("h1_tags", "robots_txt_directives", "html_meta_directives", "http_header_directives"):
+    rows = page_analysis_table(spark, sf).withColumn("crawl_depth", F.col("crawl_depth").cast("bigint"))
+    for name in ("h1_tags", "h2_tags", "robots_txt_directives", "html_meta_directives", "http_header_directives"):
         rows = rows.withColumn(name, bars(name))
     return rows.withColumn("word_count", long("word_count"))
 

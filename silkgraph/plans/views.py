@@ -24,39 +24,55 @@ def self_hreflang(hreflang: DataFrame) -> DataFrame:
 
 
 def page_analysis(
-    urls: DataFrame, content: DataFrame, indexability: DataFrame, canonicals: DataFrame,
-    hreflang: DataFrame,
+    urls: DataFrame, content: DataFrame, indexability: DataFrame, hreflang: DataFrame,
+    canonicals: DataFrame | None = None, inlinks: DataFrame | None = None, frontier: DataFrame | None = None,
 ) -> DataFrame:
     """Internal and network URLs with everything known about their page.
 
-    ``content``, ``indexability`` have one row per URL; canonicals and languages are reduced to one
-    row per URL before the join, so no join multiplies rows and no group-by follows.
+    ``content``, ``indexability``, ``inlinks`` (``links.inlink_counts``) and ``frontier`` have one row per URL
+    and languages are reduced to one before the join, so no join multiplies rows and no group-by follows.
+    A page names one canonical URL at most, in its own row; ``canonicals`` is only needed for a stored table
+    that may hold several.
     """
-    named = canonicals.groupBy("url").agg(
-        F.array_join(F.array_sort(F.collect_set("canonical_url")), ",").alias("canonical_urls"),
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("canonical_sources"),
-    )
+    named = F.coalesce("canonical_url", F.lit("")) != ""
     fields = content.select(
         "url", "title", "meta_description", "h1_tags", "h2_tags", "word_count", "html_lang",
         *[
             F.col(c) if c in content.columns else F.lit(None).cast("bigint").alias(c)
             for c in (
                 "internal_links_count", "external_links_count", "internal_links_unique_count",
-                "external_links_unique_count", "crawl_depth", "inlinks_count",
-                "inlinks_unique_count",
+                "external_links_unique_count",
             )
         ],
+        *([] if canonicals is not None else [
+            F.when(named, F.col("canonical_url")).alias("canonical_urls"), F.when(named, F.lit("html_head")).alias("canonical_sources"),
+        ]),
     )
-    return (
+    joined = (
         urls.filter(F.col("classification").isin("internal", "network"))
         .select("url", "kind", "classification")
         .join(fields, "url", "left")
         .join(indexability, "url", "left")
-        .join(named, "url", "left")
         .join(self_hreflang(hreflang), "url", "left")
         .withColumn("meta_description", F.when(F.col("meta_description") != "", F.col("meta_description")))
         .withColumn("html_lang", F.when(F.col("html_lang") != "", F.col("html_lang")))
     )
+    if canonicals is not None:
+        joined = joined.join(
+            canonicals.groupBy("url").agg(
+                F.array_join(F.array_sort(F.collect_set("canonical_url")), ",").alias("canonical_urls"),
+                F.array_join(F.array_sort(F.collect_set("source")), ",").alias("canonical_sources"),
+            ),
+            "url", "left",
+        )
+    counts = ("inlinks_count", "inlinks_unique_count")
+    if inlinks is not None:
+        joined = joined.join(inlinks.select("url", *counts), "url", "left")
+    else:
+        joined = joined.withColumns({c: F.lit(None).cast("bigint") for c in counts})
+    if frontier is not None:
+        return joined.join(frontier.select("url", F.col("depth").alias("crawl_depth")), "url", "left")
+    return joined.withColumn("crawl_depth", F.lit(None).cast("bigint"))
 
 
 def internal_links_analysis(internal_links: DataFrame) -> DataFrame:
@@ -117,18 +133,18 @@ def schema_analysis(items: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 VIEW_INPUTS = {
-    "page_analysis": (page_analysis, ("urls", "content", "indexability", "canonicals", "hreflang")),
-    "internal_links_analysis": (internal_links_analysis, ("internal_links",)),
-    "sitemap_statistics": (sitemap_statistics, ("sitemaps_listed", "frontier", "pages")),
-    "schema_analysis": (schema_analysis, ("schema_items", "urls")),
+    "page_analysis": (page_analysis, ("urls", "content", "indexability", "hreflang"), ("canonicals", "inlinks", "frontier")),
+    "internal_links_analysis": (internal_links_analysis, ("internal_links",), ()),
+    "sitemap_statistics": (sitemap_statistics, ("sitemaps_listed", "frontier", "pages"), ()),
+    "schema_analysis": (schema_analysis, ("schema_items", "urls"), ()),
 }
 
 
 def build_views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every view whose inputs are there."""
+    """Every view whose inputs are there; what it can do without is taken where it is given."""
     return {
-        name: build(*[tables[t] for t in inputs])
-        for name, (build, inputs) in VIEW_INPUTS.items()
+        name: build(*[tables[t] for t in inputs], **{t: tables[t] for t in more if t in tables})
+        for name, (build, inputs, more) in VIEW_INPUTS.items()
         if all(t in tables for t in inputs)
     }
 

@@ -448,6 +448,9 @@ ORACLE_INPUTS = {
         SELECT c_custkey AS s, unnest([2 * c_custkey, 2 * c_custkey + 1, c_nationkey + 1]) AS t, unnest([0, 1, 2]) AS ord FROM customer""",
 }
 
+# The links of all pages, beside those of the stored ones.
+ORACLE_INPUTS["all_nav_links"] = ORACLE_INPUTS["nav_links"].replace("FROM page_urls", "FROM all_urls")
+ORACLE_INPUTS["all_variant_links"] = ORACLE_INPUTS["variant_links"].replace("FROM page_urls", "FROM all_urls").replace("FROM nav_links", "FROM all_nav_links")
 # Stands in for variant_links where pages under the same key are told apart.
 ORACLE_INPUTS["page_links"] = (
     ORACLE_INPUTS["variant_links"].replace("SELECT key_url AS source_url", "SELECT page_id, key_url AS source_url").replace("SELECT key_url, domain, link_no", "SELECT page_id, key_url, domain, link_no")

@@ -1,8 +1,8 @@
-"""Site-partitioned storage."""
+"""Storage by site."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from silkgraph.functions.urls import site_key
 from silkgraph.sources.readers import PAGES  # noqa: F401  (the layout written here)
@@ -12,8 +12,30 @@ def with_site(df: DataFrame, url: str = "url") -> DataFrame:
     return df if "site" in df.columns else df.withColumn("site", site_key(df[url]))
 
 
+def write_bucket_tables(tables: dict[str, DataFrame], root: str, buckets: int = 1024, mode: str = "overwrite") -> None:
+    """Write every table to ``root/<name>/bucket=<n>/``, a bucket being a hash of the site, rows clustered by
+    site inside: the form for a web crawl of very many sites. Only the buckets present are replaced.
+    A filter on ``bucket_of(site)`` prunes folders, one on ``site`` prunes row groups by their statistics."""
+    for name, df in tables.items():
+        placed = with_site(df)
+        (
+            placed.withColumn("bucket", bucket_of(placed["site"], buckets))
+            .hint("rebalance", "bucket", "site")
+            .sortWithinPartitions("bucket", "site")
+            .write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket")
+            .parquet(f"{root}/{name}")
+        )
+
+
+def bucket_of(site: Column, buckets: int = 1024) -> Column:
+    return F.pmod(F.crc32(site.cast("binary")), F.lit(buckets)).cast("int")
+
+
 def write_site_tables(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
-    """Write every table to ``root/<name>/site=<site>/``; only the sites present are replaced.
+    """Write every table to ``root/<name>/site=<site>/``; only the sites present are replaced. One folder per
+    site suits up to some thousands of sites; for more see ``write_bucket_tables``.
 
     The rebalance hint lets AQE merge small sites into few files and split a site that holds a
     large part of the rows, so neither thousands of tiny files nor one huge task come up.

@@ -13,6 +13,7 @@ from silkgraph.operators.content import content_columns, has_content
 from silkgraph.operators.dom import CONTENT, LINKS_WITH_PATH, scan_html
 from silkgraph.operators.links import internal_links, links_of_scan
 from silkgraph.operators.redirects import redirect_records
+from silkgraph.operators.scale import stored
 from silkgraph.operators.state import newest, url_upsert
 from silkgraph.functions.urls import host, url_classification, url_kind, url_normalize_storage
 from silkgraph.sources.readers import pages_from_log
@@ -25,7 +26,7 @@ def batch_tables(
     """What a set of fetch results adds to the tables: the batch operators, side by side.
 
     ``hold`` is applied to the two intermediate results that several tables share, the settled page
-    rows and their scan; the ingest job persists them so that the HTML is read once.
+    rows and their scan; the ingest job writes them so that the HTML is read once.
     """
     pages = hold(pages_from_log(log))
     target = url_normalize_storage(F.coalesce("final_url", "url"))
@@ -77,18 +78,10 @@ def stream_ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = [batch.persist()]
-
-        def hold(df: DataFrame) -> DataFrame:
-            held.append(df.persist())
-            return held[-1]
-
-        try:
-            for name, df in batch_tables(batch, hold).items():
-                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
-        finally:
-            for df in held:
-                df.unpersist()
+        # what several tables share is written once to the shared folder, where every executor finds it
+        shared = stored(batch, "ingest-batch")
+        for name, df in batch_tables(shared, lambda part: stored(part, "ingest-part")).items():
+            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
 
     return (
         log.writeStream.foreachBatch(write)
@@ -104,6 +97,16 @@ def current_table(spark, root: str, name: str, key: list[str]) -> DataFrame:
     return newest(rows, key, ["batch"]).drop("batch")
 
 
+def current_links(spark, root: str) -> DataFrame:
+    """Links over all batches: those of each page's newest batch, so that a link taken off a page goes, with
+    targets resolved against the pages of all batches."""
+    pages = spark.read.parquet(f"{root}/pages").groupBy("url").agg(F.max("batch").alias("batch"))
+    rows = spark.read.parquet(f"{root}/links").drop("target_url")
+    own = rows.join(pages.withColumnRenamed("url", "source_url"), ["source_url", "batch"], "left_semi").drop("batch")
+    known = pages.select(F.col("url").alias("target_url"))
+    return own.join(known, own["href"] == known["target_url"], "left")
+
+
 def current_urls(spark, root: str) -> DataFrame:
     """The URL registry over all batches: the fold of the per-batch folds."""
     rows = spark.read.parquet(f"{root}/urls")
@@ -150,9 +153,10 @@ def stream_retry_state(
     )
 
 
-def status_counts(log: DataFrame, width: str = "10 minutes") -> DataFrame:
-    """Fetch outcomes per time window; on a stream, windows come out once the watermark passes."""
-    rows = log.withWatermark("fetched_at", "10 minutes") if log.isStreaming else log
+def status_counts(log: DataFrame, width: str = "10 minutes", delay: str = "1 day") -> DataFrame:
+    """Fetch outcomes per time window; on a stream, windows come out once the watermark passes, and an
+    outcome more than ``delay`` behind the newest one is dropped by Spark."""
+    rows = log.withWatermark("fetched_at", delay) if log.isStreaming else log
     return (
         rows.groupBy(F.window("fetched_at", width), status_class(F.col("status")).alias("status_class"))
         .agg(F.count(F.lit(1)).alias("fetches"))

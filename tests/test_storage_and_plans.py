@@ -21,6 +21,14 @@ def test_site_tables(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(site" in plan and "ReadSchema: struct<url:string>" in plan
 
 
+def test_bucket_tables(spark, tmp_path):
+    rows = [(f"http://s{i}.example/{k}", "x") for i in range(9) for k in range(3)]
+    writers.write_bucket_tables({"pages": spark.createDataFrame(rows, "url string, html string")}, str(tmp_path), buckets=4)
+    got = spark.read.parquet(f"{tmp_path}/pages")
+    assert {r.url for r in got.collect()} == {u for u, _ in rows}
+    assert got.filter(writers.bucket_of(F.col("site"), 4) != F.col("bucket")).count() == 0
+
+
 def test_raw_folders(spark, tmp_path):
     (tmp_path / "h.example.txt").write_text("User-agent: *\nDisallow: /a\n")
     (tmp_path / "m.xml").write_text("<urlset><url><loc>u</loc></url></urlset>")

@@ -92,6 +92,20 @@ def test_ingest_equals_batch(spark, tmp_path, files):
     same(jobs.current_table(spark, root, "content", ["url"]), whole["content"], "url", "title", F.concat_ws("|", "http_header_directives"))
     same(jobs.current_table(spark, root, "redirects", ["source_url"]), whole["redirects"], "source_url", "target_url", "chain_length")
     same(jobs.current_urls(spark, root), whole["urls"], "url", "kind", "first_seen", "last_seen")
-    newest_links = jobs.current_table(spark, root, "links", ["source_url", "xpath"])
-    same(newest_links, whole["links"], "source_url", "href", "anchor_text")
+    same(jobs.current_links(spark, root), whole["links"], *whole["links"].columns)
     assert whole["pages"].count() == 7
+
+
+def test_links_of_several_batches(spark, tmp_path):
+    """A target that was fetched in an earlier or later batch is known; a link taken off a page goes."""
+    def page(i, url, *hrefs):
+        html = "<html><head><title>t</title></head><body>" + "".join(f"<a href='{h}'>x</a>" for h in hrefs) + "</body></html>"
+        return (url, 200, url, {"Content-Type": "text/html"}, html, [(url, 200, {})], T0 + timedelta(minutes=i), i)
+
+    for row in (page(0, "http://h.example/b", "/gone", "/c"), page(1, "http://h.example/a", "/b"), page(2, "http://h.example/b", "/c"), page(3, "http://h.example/c")):
+        spark.createDataFrame([row], readers.FETCH_LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = readers.stream_fetch_log(spark, str(tmp_path / "in"), files_per_trigger=1)
+    jobs.stream_ingest(log, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r.source_url, r.href, r.target_url) for r in jobs.current_links(spark, str(tmp_path / "out")).collect()}
+    b, c = "http://h.example/b", "http://h.example/c"
+    assert got == {("http://h.example/a", b, b), (b, c, c)}
