@@ -88,21 +88,21 @@ def condition(rule: tuple[Condition, ...], stats: str = "stats") -> Column:
 
 
 def learn(
-    stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", bound: int = 20000,
-    trees: int = 12, depth: int = 3, penalty: float = 0.002,
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    bound: int = 20000, trees: int = 12, depth: int = 3, penalty: float = 0.002,
 ) -> Rules:
-    """Rules from labelled rows of ``stats`` (the key and the struct ``stats``).
+    """Rules from labelled rows of ``docs``.
 
-    ``bound`` is the documented size of the labelled sample of each class. Labels other than 0 and 1 are
+    ``bound`` is the documented size of the labelled sample of each class; it bounds the keys that are
+    broadcast, and statistics are taken of these rows only. Labels other than 0 and 1 are
     passed over; a key labelled twice counts once, as its smaller label. Without rows of both classes
     there are no rules and every text is accepted.
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     marks = marks.filter(F.col("key").isNotNull() & F.col("label").isin(0, 1)).groupBy("key").agg(F.min("label").alias("label"))
     picked = sampled(marks, "key", "label", bound)
-    sample = written(
-        stats.select(F.col(key).alias("key"), "stats").join(F.broadcast(picked), "key").dropDuplicates(["key"]), "quality-sample"
-    )
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
+    sample = written(with_statistics(rows, "text").drop("text").dropDuplicates(["key"]), "quality-sample")
     names = sample.schema["stats"].dataType.names
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -127,3 +127,14 @@ def score(rules: Rules, stats: str = "stats") -> Column:
     for rule, weight in rules.weights:
         total = total + F.when(condition(rule, stats), F.lit(weight)).otherwise(F.lit(0.0))
     return sigmoid(total)
+
+
+def score_quality(docs: DataFrame, rules: Rules, text: str = "text", out: str = "quality") -> DataFrame:
+    """All rows of ``docs`` with the column ``out``; no shuffle, extra columns stay.
+
+    The statistics of a text are taken once: they are computed in a projection that also numbers the
+    rows, and the optimizer does not copy expressions of such a projection into a filter above it.
+    """
+    own = docs.drop(out).select(F.struct("*").alias("own"), F.col(text).alias("text"))
+    taken = with_statistics(own, "text").withColumn("row", F.monotonically_increasing_id())
+    return taken.select("own.*", score(rules).alias(out))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate, languages, licenses, lm, mixing, neighbours, quality, similar, toxicity, url_filter
 from .registry import ORACLES, QUERIES, query
-from .shared import held_out, table, written
+from .shared import held_out, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -24,10 +24,8 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stats = written(quality.with_statistics(docs, "text").drop("text"), "quality-statistics")
-    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5))
-    rules = quality.learn(stats, labels)
-    found = stats.select("doc_id", held_out("doc_id", 5).alias("held_out"), quality.score(rules).alias("score"))
+    rules = quality.learn(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5)))
+    found = quality.score_quality(docs, rules, out="score").select("doc_id", held_out("doc_id", 5).alias("held_out"), "score")
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

@@ -14,10 +14,9 @@ from .shared import held_out, table, written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
-    stats = written(quality.with_statistics(docs.select("doc_id", "text"), "text", "stats").drop("text"), "quality-statistics")
-    rules = quality.learn(stats, table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5)))
+    rules = quality.learn(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5)))
     own = docs.select(F.struct("*").alias("own"), F.col("text").alias("text"))
-    return quality.with_statistics(own, "text", "stats").filter(quality.score(rules) >= 0.3).select("own.*")
+    return quality.score_quality(own, rules, out="score").filter(F.col("score") >= 0.3).select("own.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

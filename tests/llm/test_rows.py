@@ -102,8 +102,12 @@ def test_quality_rules_compile_to_what_they_say(spark, odd):
     rule = (("words", False, 1.0), ("upper", True, 0.1))
     rows = quality.with_statistics(spark.createDataFrame([("A",), ("b",), ("A A A A",), (None,)], "text string"), "text")
     assert [r[0] for r in rows.select(quality.condition(rule)).collect()] == [True, False, False, False]
-    none = quality.learn(quality.with_statistics(odd, "text"), table(spark, SMALL, "labels").limit(0))
-    assert quality.with_statistics(odd, "text").filter(quality.score(none) >= 0.3).count() == odd.count()
+    none = quality.learn(odd, table(spark, SMALL, "labels").limit(0))
+    assert quality.score_quality(odd, none).filter("quality >= 0.3").count() == odd.count()
+    rules = quality.Rules([(rule, 2.0)], -1.0)
+    plan = quality.score_quality(odd, rules).filter("quality >= 0.3")._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("split(" in line for line in filters)  # statistics are not copied into the filter
 
 
 def test_toxicity_on_held_out_labels(spark):
