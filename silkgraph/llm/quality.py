@@ -132,9 +132,10 @@ def score(rules: Rules, stats: str = "stats") -> Column:
 def score_quality(docs: DataFrame, rules: Rules, text: str = "text", out: str = "quality") -> DataFrame:
     """All rows of ``docs`` with the column ``out``; no shuffle, extra columns stay.
 
-    The statistics of a text are taken once: they are computed in a projection that also numbers the
-    rows, and the optimizer does not copy expressions of such a projection into a filter above it.
+    The statistics of a text are taken once: their struct also holds a row number, and the optimizer
+    does not copy an expression with such a number into a filter or into each rule above it.
     """
     own = docs.drop(out).select(F.struct("*").alias("own"), F.col(text).alias("text"))
-    taken = with_statistics(own, "text").withColumn("row", F.monotonically_increasing_id())
+    values = [v.cast("double").alias(k) for k, v in statistics(F.col("text")).items()]
+    taken = own.select("own", F.struct(F.monotonically_increasing_id().alias("row"), *values).alias("stats"))
     return taken.select("own.*", score(rules).alias(out))
