@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from silkgraph.functions.urls import crawl_policy, host, url_classification, url_normalize_storage
+from silkgraph.operators.robots import robots_allowed
 
 from silkgraph.operators.scale import cut
 from silkgraph.operators.state import first_pages
@@ -64,3 +67,29 @@ def crawl_reachability(
             break
         seen = seen.unionByName(level.select("url"))
     return out.select("url", "depth", "parent", "crawled", "recorded")
+
+
+def crawl_edges(
+    links: DataFrame, robots: DataFrame, listed: DataFrame | None = None, base_domain: Column | None = None,
+    agent: str = "*", allow_external: bool = False, respect_robots: bool = True,
+) -> DataFrame:
+    """(source_url, target_url, ord, crawlable): the edges that a crawl follows or only records.
+
+    ``links`` are page links and ``listed`` the children of sitemap files, both (source_url, target_url, ord).
+    Targets are taken in storage form and classified against ``base_domain`` (the host of the source, if
+    not given); robots.txt is asked once for each distinct target, whatever the number of its links.
+    """
+    base = host(F.col("source_url")) if base_domain is None else base_domain
+
+    def edges(rows: DataFrame, sitemap: bool) -> DataFrame:
+        target = url_normalize_storage(F.col("target_url"))
+        return rows.select("source_url", target.alias("target_url"), "ord").withColumn(
+            "classification", url_classification(F.col("target_url"), base, F.lit(sitemap))
+        )
+
+    every = edges(links, False)
+    if listed is not None:
+        every = every.unionByName(edges(listed, True))
+    answered = robots_allowed(every.select("target_url").distinct(), robots, agent, url="target_url")
+    crawlable = crawl_policy(F.col("classification"), F.col("robots_allowed"), allow_external, respect_robots)
+    return every.join(answered, "target_url", "left").select("source_url", "target_url", "ord", crawlable.alias("crawlable"))

@@ -37,7 +37,8 @@ def redirect_hops(responses: DataFrame) -> DataFrame:
 def redirect_resolve(
     starts: DataFrame, responses: DataFrame, max_requests: int = MAX_REQUESTS
 ) -> DataFrame:
-    """(url, final_url, status, redirect_chain) for every start URL.
+    """(url, final_url, status, redirect_chain, capped) for every start URL; ``capped`` marks the chains that
+    were stopped at ``max_requests``.
 
     Only redirecting responses take part in the rounds, and only chains still open: a round joins
     the open chains with the hops, and chains that left the hops are set aside. One more join gives
@@ -71,6 +72,7 @@ def redirect_resolve(
         F.col("current").alias("final_url"),
         F.element_at("redirect_chain", -1)["status"].alias("status"),
         "redirect_chain",
+        F.lit(True).alias("capped"),
     )
     answers = responses.select(
         F.col("url").alias("current"),
@@ -84,6 +86,7 @@ def redirect_resolve(
         F.when(got, F.concat("redirect_chain", F.array("answer")))
         .otherwise(F.col("redirect_chain"))
         .alias("redirect_chain"),
+        F.lit(False).alias("capped"),
     )
     return final.unionByName(capped)
 

@@ -217,3 +217,23 @@ def hreflang_sitemap(spark, sf):
 )
 def hreflang_new_urls(spark, sf):
     return sitemaps.hreflang_new_urls(hreflang_table(spark, sf), d.site_urls(spark, sf))
+
+
+@query(
+    "crawl_edges",
+    oracle(MAPS + " nav_links", f"""SELECT DISTINCT source_url, target_url, {ALLOWED} AS crawlable FROM (
+        SELECT url AS source_url, origin || href AS target_url, href AS path, length(domain) % 5 AS form FROM nav_links
+        UNION ALL SELECT sitemap_url, split_part(url, '#', 1), regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), length(domain) % 5 FROM sitemap_rows
+        UNION ALL SELECT 'https://' || domain || '/sitemap_index.xml', sitemap_url, '/', length(domain) % 5 FROM sitemap_rows
+        UNION ALL SELECT 'https://' || domain || '/sitemap.xml', 'https://' || domain || unnest(['/sitemap.xml', '/sitemap_index.xml']), '/', length(domain) % 5 FROM hosts)"""),
+)
+def crawl_edges(spark, sf):
+    """Edges from page links and sitemap children, under robots.txt and the crawl policy."""
+    from silkgraph.operators.links import extract_links
+    from silkgraph.operators.reach import crawl_edges as edges_of
+
+    found = extract_links(d.pages(spark, sf)).withColumnRenamed("link_no", "ord")
+    listed = sitemaps.sitemap_locs(d.sitemap_files(spark, sf)).select(
+        F.col("url").alias("source_url"), F.col("loc").alias("target_url"), F.col("position").alias("ord")
+    )
+    return edges_of(found, d.robots_txt(spark, sf), listed).select("source_url", "target_url", "crawlable").distinct()

@@ -260,12 +260,12 @@ def resolved_table(spark, sf):
 
 @query(
     "redirect_resolve",
-    oracle("redirect_responses", CHAINS + "SELECT url, final_url, status, steps, 'https://r.example.com/p/' || last_key AS last_request FROM resolved", recursive=True),
+    oracle("redirect_responses", CHAINS + "SELECT url, final_url, status, steps, last_key % 2 = 0 AS capped, 'https://r.example.com/p/' || last_key AS last_request FROM resolved", recursive=True),
 )
 def redirect_resolve(spark, sf):
     chain = F.col("redirect_chain")
     return resolved_table(spark, sf).select(
-        "url", "final_url", long("status").alias("status"), long(F.size(chain)).alias("steps"),
+        "url", "final_url", long("status").alias("status"), long(F.size(chain)).alias("steps"), "capped",
         F.element_at(chain, -1)["url"].alias("last_request"),
     )
 
