@@ -10,11 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from silkgraph.functions.http import header, is_retryable, is_success, status_class
 from silkgraph.operators.content import content_columns, has_content
-from silkgraph.operators.dom import CONTENT, LINKS_WITH_PATH, scan_html
-from silkgraph.operators.links import internal_links, links_of_scan
+from silkgraph.operators.dom import EVERYTHING, scan_html
+from silkgraph.operators.links import inlink_counts, internal_links, links_of_scan
+from silkgraph.operators.reach import crawl_edges, crawl_reachability
 from silkgraph.operators.redirects import redirect_records
+from silkgraph.operators.retry import retry_state
+from silkgraph.operators.robots import canonicals, indexability, robots_directives
 from silkgraph.operators.scale import stored
 from silkgraph.operators.state import newest, url_upsert
+from silkgraph.operators.structured import items_of_scan
 from silkgraph.functions.urls import host, url_classification, url_kind, url_normalize_storage
 from silkgraph.sources.readers import pages_from_log
 from silkgraph.streaming.retry_processor import STATE_OUTPUT, RetryProcessor
@@ -51,18 +55,23 @@ def batch_tables(
                 F.create_map(F.lit("x-robots-tag"), "x_robots_tag").alias("headers"),
                 "html",
             ),
-            {**LINKS_WITH_PATH, "tags": CONTENT["tags"] | {"a"}},
+            EVERYTHING,
         )
     )
-    content = content_columns(scanned.drop("source_url", "_from", "_site"))
+    content = has_content(content_columns(scanned.drop("source_url", "_from", "_site")))
     chains = log.filter(F.size("redirect_chain") > 1).select(
         "url", F.coalesce("final_url", "url").alias("final_url"), "status", "redirect_chain", "fetched_at"
     )
     return {
         "pages": pages,
         "urls": url_upsert(observed, ("fetched_at", "seq")),
-        "content": has_content(content),
-        "links": internal_links(links_of_scan(scanned), pages.select("url")),
+        "content": content,
+        "links": internal_links(links_of_scan(scanned.drop("url", "headers")), pages.select("url")),
+        "children": links_of_scan(scanned.drop("url", "headers")).select("source_url", F.col("link_url").alias("target_url"), F.col("link_no").alias("ord")),
+        "directives": robots_directives(content),
+        "canonicals": canonicals(content),
+        "schema_items": items_of_scan(scanned.select("url", "nodes", "word_count", "parsed")),
+        "outcomes": log.select(url.alias("url"), "status", "fetched_at", "seq"),
         "redirects": redirect_records(chains, "fetched_at"),
     }
 
@@ -97,16 +106,52 @@ def current_table(spark, root: str, name: str, key: list[str]) -> DataFrame:
     return newest(rows, key, ["batch"]).drop("batch")
 
 
+def of_newest_pages(spark, root: str, name: str, url: str = "url") -> DataFrame:
+    """Rows of a table of page parts (content, links, items, directives...) that belong to the newest batch
+    of their page, so that what was taken off a page goes."""
+    pages = spark.read.parquet(f"{root}/pages").groupBy(F.col("url").alias(url)).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{root}/{name}").join(pages, [url, "batch"], "left_semi").drop("batch")
+
+
 def current_links(spark, root: str) -> DataFrame:
-    """Links over all batches: those of each page's newest batch, so that a link taken off a page goes, with
-    targets resolved against the pages of all batches."""
-    pages = spark.read.parquet(f"{root}/pages").groupBy("url").agg(F.max("batch").alias("batch"))
-    rows = spark.read.parquet(f"{root}/links").drop("target_url")
-    own = rows.join(pages.withColumnRenamed("url", "source_url"), ["source_url", "batch"], "left_semi").drop("batch")
-    known = pages.select(F.col("url").alias("target_url"))
+    """Links over all batches, with targets resolved against the pages of all batches."""
+    own = of_newest_pages(spark, root, "links", "source_url").drop("target_url")
+    known = spark.read.parquet(f"{root}/pages").select(F.col("url").alias("target_url")).distinct()
     return own.join(known, own["href"] == known["target_url"], "left")
 
 
+def current_failures(spark, root: str, delay: float = 1.0, factor: float = 2.0) -> DataFrame:
+    """Failed URLs after all batches, whatever the order in which their outcomes came."""
+    return retry_state(spark.read.parquet(f"{root}/outcomes").drop("batch"), delay, factor)
+
+
+def current_frontier(spark, root: str, seeds: DataFrame, robots: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """(url, depth, parent, crawled, recorded, status): the crawl from ``seeds`` over the stored children and the
+    ``listed`` sitemap children; a URL whose page is stored is done."""
+    edges = crawl_edges(of_newest_pages(spark, root, "children", "source_url"), robots, listed)
+    done = spark.read.parquet(f"{root}/pages").select("url").distinct().withColumn("done", F.lit(True))
+    reached = crawl_reachability(seeds, edges).join(done, "url", "left")
+    return reached.withColumn("status", F.when(F.col("done"), "done").otherwise("queued")).drop("done")
+
+
+def current_tables(spark, root: str, robots: DataFrame, hreflang: DataFrame, seeds: DataFrame, listed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The inputs of the views, from the tables that ``stream_ingest`` has stored."""
+    content = of_newest_pages(spark, root, "content")
+    links = current_links(spark, root)
+    return {
+        "pages": current_table(spark, root, "pages", ["url"]),
+        "urls": current_urls(spark, root),
+        "content": content,
+        "indexability": indexability(content, robots),
+        "canonicals": of_newest_pages(spark, root, "canonicals"),
+        "hreflang": hreflang,
+        "internal_links": links,
+        "inlinks": inlink_counts(links),
+        "schema_items": of_newest_pages(spark, root, "schema_items"),
+        "frontier": current_frontier(spark, root, seeds, robots, listed),
+    }
+
+
 def current_urls(spark, root: str) -> DataFrame:
     """The URL registry over all batches: the fold of the per-batch folds."""
     rows = spark.read.parquet(f"{root}/urls")

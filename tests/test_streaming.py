@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_state import LOG, T0, log_rows, retry_by_hand
 
+from silkgraph.operators.retry import retry_state
+from silkgraph.plans import views
 from silkgraph.sources import readers
 from silkgraph.streaming import jobs
 
@@ -57,7 +59,7 @@ def test_first_sight(spark, tmp_path):
 
 def test_status_windows_stream_equals_batch(spark, tmp_path):
     rows = log_rows(300)
-    closing = ("end", 200, T0 + timedelta(days=1), 10**6)
+    closing = ("end", 200, T0 + timedelta(days=3), 10**6)
     log_files(spark, str(tmp_path / "in"), [*rows, closing], LOG, 3)
     out = jobs.run_to_table(jobs.status_counts(stream(spark, str(tmp_path / "in"), LOG)), f"t{uuid.uuid4().hex}", str(tmp_path / "cp"))
     batch = jobs.status_counts(spark.createDataFrame(rows, LOG))
@@ -93,6 +95,21 @@ def test_ingest_equals_batch(spark, tmp_path, files):
     same(jobs.current_table(spark, root, "redirects", ["source_url"]), whole["redirects"], "source_url", "target_url", "chain_length")
     same(jobs.current_urls(spark, root), whole["urls"], "url", "kind", "first_seen", "last_seen")
     same(jobs.current_links(spark, root), whole["links"], *whole["links"].columns)
+    for name in ("content", "directives", "canonicals", "schema_items"):
+        same(jobs.of_newest_pages(spark, root, name), whole[name], *whole[name].columns)
+    same(jobs.of_newest_pages(spark, root, "children", "source_url"), whole["children"], "source_url", "target_url", "ord")
+    same(jobs.current_failures(spark, root), retry_state(whole["outcomes"]), "url", "status_code", "retry_count", "next_retry_at")
+    robots_files = spark.createDataFrame([("h.example", 200, "User-agent: *\nDisallow: /n11\n")], "domain string, status int, content string")
+    alternates = spark.createDataFrame([("http://h.example/p1", "en", "http://h.example/p1")], "url string, lang string, href_url string")
+    seeds = spark.createDataFrame([("http://h.example/p1",)], "url string")
+    tables = jobs.current_tables(spark, root, robots_files, alternates, seeds)
+    built = views.build_views(tables)
+    assert set(built) == {"page_analysis", "internal_links_analysis", "schema_analysis"}
+    page = {r.url: r for r in built["page_analysis"].collect()}
+    assert len(page) == 7 and page["http://h.example/p1"].self_hreflang == "en" and page["http://h.example/p1"].crawl_depth == 0
+    assert all(r.title and r.robots_txt_allows and r.overall_indexable is False for r in page.values())
+    reached = {r.url: (r.depth, r.recorded, r.status) for r in tables["frontier"].collect()}
+    assert reached == {"http://h.example/p1": (0, False, "done"), "http://h.example/n8": (1, False, "queued")}
     assert whole["pages"].count() == 7
 
 
