@@ -142,8 +142,8 @@ def drained(spark, rows, build, mode):
 
 @query("stream_url_dedupe", oracle("fetch_log", "SELECT DISTINCT url FROM fetch_log"))
 def stream_url_dedupe(spark, sf):
-    """First sight of every URL, with a delay beyond the span of the log."""
-    return drained(spark, d.fetch_log(spark, sf), lambda log: jobs.stream_url_dedupe(log, "40000 days"), "append").select("url")
+    """First sight of every URL, from a drained stream."""
+    return drained(spark, d.fetch_log(spark, sf), jobs.stream_url_dedupe, "append").select("url")
 
 
 @query(

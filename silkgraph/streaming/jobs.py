@@ -166,13 +166,13 @@ def current_urls(spark, root: str) -> DataFrame:
     )
 
 
-def stream_url_dedupe(log: DataFrame, delay: str = "1 day", time: str = "fetched_at") -> DataFrame:
-    """First sight of every URL. State lasts for ``delay``; later rows are dropped by Spark."""
-    return (
-        log.withColumn("url", url_normalize_storage(F.col("url")))
-        .withWatermark(time, delay)
-        .dropDuplicatesWithinWatermark(["url"])
-    )
+def stream_url_dedupe(log: DataFrame, delay: str | None = None, time: str = "fetched_at") -> DataFrame:
+    """First sight of every URL, once and for all: every URL stays in the state. With ``delay`` the state is
+    bounded instead: a URL is forgotten after it (and then new again), and rows that late are dropped by Spark."""
+    rows = log.withColumn("url", url_normalize_storage(F.col("url")))
+    if delay is None:
+        return rows.dropDuplicates(["url"])
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["url"])
 
 
 def stream_retry_state(

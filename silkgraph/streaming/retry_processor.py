@@ -14,60 +14,69 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STATE_OUTPUT = (
     "url string, event string, status_code int, retry_count bigint, last_s bigint, next_s bigint"
 )
-STATE = "failed boolean, status int, retry_count bigint, last_s bigint, next_s bigint, seen_us bigint, seen_seq bigint"
 
 
 class RetryProcessor(StatefulProcessor):
-    """One row of state per URL. Rows of a micro-batch are taken in (fetched_at, seq) order; a row
-    older than the state's last one is late and changes nothing."""
+    """State of a URL: the place (fetched_at, seq) of its last success and the failures behind it.
+
+    Rows may come in any order within the watermark: a failure counts iff it lies behind the last success,
+    as in the batch form. A success frees the failures before it; when the watermark has passed the last
+    success of a URL without failures, nothing older can come and its state is freed as a whole.
+    """
 
     def __init__(self, delay: float, factor: float):
         self.delay, self.factor = delay, factor
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("retry", STATE)
+        self.success = handle.getValueState("success", "us bigint, seq bigint")
+        self.failures = handle.getListState("failures", "us bigint, seq bigint, status int")
+
+    def _shown(self, failures):
+        """What a reader sees of the state: None, or status, retry count, last and next time."""
+        if not failures:
+            return None
+        us, _, status = max(failures)
+        count, last = len(failures) - 1, us // 1_000_000
+        return status, count, last, last + int(self.delay * self.factor**count)
 
-    def _row(self, url, event, held):
-        _, status, count, last, due = held[:5]
-        row = {"url": [url], "event": [event]}
-        row["status_code"] = pd.array([status], dtype="Int32")
+    def _row(self, url, event, shown):
+        status, count, last, due = shown or (None, None, None, None)
+        row = {"url": [url], "event": [event], "status_code": pd.array([status], dtype="Int32")}
         for name, value in (("retry_count", count), ("last_s", last), ("next_s", due)):
             row[name] = pd.array([value], dtype="Int64")
-        return row
+        return pd.DataFrame(row)
 
-    def _timer(self, due):
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        success = tuple(self.success.get()) if self.success.exists() else (-1, -1)
+        held = [tuple(f) for f in self.failures.get()] if self.failures.exists() else []
+        before, known = self._shown(held), self.success.exists() or bool(held)
+        for frame in rows:
+            good = (frame["status"] >= 200) & (frame["status"] <= 299)
+            success = max([success, *((int(u), int(s)) for u, s in zip(frame["us"][good], frame["seq"][good]))])
+            bad = frame[~good]
+            held += [(int(u), int(s), int(c)) for u, s, c in zip(bad["us"], bad["seq"], bad["status"])]
+            held = [f for f in held if f[:2] > success]
+        shown = self._shown(held)
+        if held:
+            self.failures.put(held)
+        else:
+            self.failures.clear()
+        if success > (-1, -1):
+            self.success.update(success)
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if due is not None:
-            self.handle.registerTimer(due * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        held = tuple(held) if held is not None else (False, None, None, None, None, -1, -1)
-        before = held
-        frame = pd.concat(rows).sort_values(["us", "seq"])
-        for us, seq, status in zip(frame["us"], frame["seq"], frame["status"]):
-            us, seq, status = int(us), int(seq), int(status)
-            if (us, seq) <= held[5:]:
-                continue
-            if 200 <= status <= 299:
-                held = (False, None, None, None, None, us, seq)
-            else:
-                count = held[2] + 1 if held[0] else 0
-                last = us // 1_000_000
-                due = last + int(self.delay * self.factor**count)
-                held = (True, status, count, last, due, us, seq)
-        if held == before:
-            return
-        self.state.update(held)
-        self._timer(held[4])
-        yield pd.DataFrame(self._row(key[0], "failed" if held[0] else "cleared", held))
+        self.handle.registerTimer(shown[3] * 1000 if shown else success[0] // 1000 + 1)
+        if shown != before or not known:
+            yield self._row(key[0], "failed" if shown else "cleared", shown)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        if held is not None and held[0]:
-            yield pd.DataFrame(self._row(key[0], "ready", tuple(held)))
+        shown = self._shown([tuple(f) for f in self.failures.get()] if self.failures.exists() else [])
+        if shown:
+            yield self._row(key[0], "ready", shown)
+        else:
+            self.success.clear()
+            self.failures.clear()
 
     def close(self) -> None:
         pass

@@ -1,3 +1,4 @@
+import random
 import uuid
 from datetime import timedelta
 
@@ -24,11 +25,16 @@ def stream(spark, folder, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-@pytest.mark.parametrize("files", [1, 3])
-def test_retry_stream_equals_batch(spark, tmp_path, files):
+@pytest.mark.parametrize(("files", "shuffled"), [(1, False), (3, False), (3, True)])
+def test_retry_stream_equals_batch(spark, tmp_path, files, shuffled):
     rows = [r for r in log_rows(400, urls=8) if r[3] % 3 == 0]
-    log_files(spark, str(tmp_path / "in"), rows, LOG, files)
-    out = jobs.stream_retry_state(stream(spark, str(tmp_path / "in"), LOG), 1.0, 1.1, "1 day")
+    if shuffled:  # places in the log do not follow the order in which the rows come
+        mixed = random.Random(5).sample(rows, len(rows))
+        for i in range(files):
+            spark.createDataFrame(mixed[i::files], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    else:
+        log_files(spark, str(tmp_path / "in"), rows, LOG, files)
+    out = jobs.stream_retry_state(stream(spark, str(tmp_path / "in"), LOG), 1.0, 1.1, "30 days")
     name = f"t{uuid.uuid4().hex}"
     got = jobs.run_to_table(out, name, str(tmp_path / "cp"), "update").toPandas()
     last = {}
