@@ -122,7 +122,7 @@ def mixture(
         .groupBy("source").agg(F.min(F.struct("turn", "block", "before")).alias("at")).select(F.col("source").alias("s"), "at.*"),
         "mix-cuts",
     )
-    inner = placed.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("s")) & (placed["block"] == cut["block"])).select("s", "spot", "tokens", "rest", "before")
+    inner = placed.join(cut, F.col("source").eqNullSafe(F.col("s")) & (placed["block"] == cut["block"])).select("s", "spot", "tokens", "rest", "before")
     inner = inner.groupBy("s", "spot").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("before").alias("before"))
     along = Window.partitionBy("s").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
     taken = inner.withColumn("done", F.col("before") + F.coalesce(F.sum("tokens").over(along), F.lit(0)))
