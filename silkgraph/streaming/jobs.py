@@ -17,7 +17,7 @@ from silkgraph.operators.redirects import redirect_records
 from silkgraph.operators.retry import retry_state
 from silkgraph.operators.robots import canonicals, indexability, robots_directives
 from silkgraph.operators.scale import stored
-from silkgraph.operators.state import newest, url_upsert
+from silkgraph.operators.state import newest, newest_bodies, url_upsert
 from silkgraph.operators.structured import items_of_scan
 from silkgraph.functions.urls import host, url_classification, url_kind, url_normalize_storage
 from silkgraph.sources.readers import pages_from_log
@@ -101,15 +101,19 @@ def stream_ingest(
 
 
 def current_table(spark, root: str, name: str, key: list[str]) -> DataFrame:
-    """The newest row per key over all batches of a table written by ``stream_ingest``."""
+    """The newest row per key over all batches of a table written by ``stream_ingest``: by the time of the
+    fetch where the table has it, whatever the batch in which it came."""
     rows = spark.read.parquet(f"{root}/{name}")
-    return newest(rows, key, ["batch"]).drop("batch")
+    times = [c for c in ("fetched_at", "discovered_at", "seq") if c in rows.columns]
+    wide = "html" in rows.columns
+    return (newest_bodies if wide else newest)(rows, key, [*times, "batch"]).drop("batch")
 
 
 def of_newest_pages(spark, root: str, name: str, url: str = "url") -> DataFrame:
-    """Rows of a table of page parts (content, links, items, directives...) that belong to the newest batch
-    of their page, so that what was taken off a page goes."""
-    pages = spark.read.parquet(f"{root}/pages").groupBy(F.col("url").alias(url)).agg(F.max("batch").alias("batch"))
+    """Rows of a table of page parts (content, links, items, directives...) that belong to the newest fetch
+    of their page, so that what was taken off a page goes, whatever the batch in which a fetch came."""
+    pages = spark.read.parquet(f"{root}/pages").select(F.col("url").alias(url), "fetched_at", "seq", "batch")
+    pages = pages.groupBy(url).agg(F.max_by("batch", F.struct("fetched_at", "seq")).alias("batch"))
     return spark.read.parquet(f"{root}/{name}").join(pages, [url, "batch"], "left_semi").drop("batch")
 
 
