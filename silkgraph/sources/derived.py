@@ -66,13 +66,18 @@ def frontier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given pages; ``silkgraph.pages.partitions`` in the session spreads a small single file, off by default."""
+def page_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that pages come from; ``silkgraph.pages.partitions`` in the session spreads a small single
+    file, off by default."""
     partitions = spark.conf.get("silkgraph.pages.partitions", None)
-    rows = table(spark, sf_dir, "pages")
+    rows = table(spark, sf_dir, name)
     return rows.repartition(int(partitions)) if partitions else rows
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_source(spark, sf_dir, "pages")
+
+
 EXTRA_LINKS = (
     '<a href="?page=2">next</a><a href="#top">top</a>'
     '<a href="https://www.facebook.com/share?u=1">fb</a><a href="//cdn.example.org/a.png">cdn</a>'
@@ -338,7 +343,7 @@ def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 1, "legalName").otherwise("name"), '">', F.col("p_brand"),
         '</b><img property="logoUrl" src="', F.when(k % 4 == 2, "logo.png").otherwise("/logo.png"), '"></div>',
     )
-    return table(spark, sf_dir, "part").select(
+    return page_source(spark, sf_dir, "part").select(
         text("https://shop.example.com/part/", k).alias("url"),
         F.concat(
             F.lit("<html><head><title>"), name,
