@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, languages, licenses, lm, mixing, neighbours, quality, similar, toxicity, url_filter
+from . import (
+    decontaminate, languages, licenses, lm, mixing, neighbours, oracles, prefix_trie, quality, similar, simhash, spelling, toxicity,
+    url_filter,
+)
 from .registry import ORACLES, QUERIES, query
-from .shared import held_out, table
+from .shared import fold, held_out, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -84,3 +87,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("hits").alias("h")).select(
         "doc_id", F.col("h.item").alias("item_id"), "h.first_word", "h.words", "h.score", "h.question", "h.answer"
     )
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", oracles.PREFIX_TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the conversations rebuilt as forks: up to 8 turns come from the conversation that starts their five."""
+    turns = written(prefix_trie.turn_rows(table(spark, sf_dir, "conversations")), "trie-turns")
+    conv = F.col("conv_id")
+    return prefix_trie.prefix_trie(*prefix_trie.forked(turns, conv - conv % 5, fold(conv, 9), 8)).drop("id")
+
+
+@query("op13_spelling", oracles.SPELLING)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))

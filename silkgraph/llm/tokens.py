@@ -34,8 +34,9 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_up = _powers(BASE, PIECE)
-_down = _powers(pow(BASE, -1, 1 << 64), PIECE)
+# grown in the tasks, which get this module's functions by value
+_up = _powers(BASE, 1)
+_down = _powers(pow(BASE, -1, 1 << 64), 1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -104,7 +105,7 @@ def words(raw: np.ndarray, at: np.ndarray, apart: np.ndarray = BLANKS) -> tuple[
         piece = raw[pos:end]
         size = len(piece)
         if size > len(_up):
-            _up, _down = _powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)
+            _up, _down = _powers(BASE, max(size, PIECE)), _powers(pow(BASE, -1, 1 << 64), max(size, PIECE))
         gap = apart[piece]
         fresh = ends[pos:end].copy()
         fresh[0] = True
