@@ -16,6 +16,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark import cloudpickle
 
+from silkgraph.functions.json_items import script_parts
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Elements without content, and elements whose text is not page text.
@@ -27,6 +29,8 @@ SIDE_TEXT = frozenset(["script", "style", "template", "rt", "rp"])
 KEEP_SPACE = frozenset(["pre", "textarea"])
 SPACES = " \n\t\f\r"
 
+# The objects of a JSON-LD script: place in its list, text, error.
+PART = pa.struct([("at", pa.int32()), ("data", pa.string()), ("error", pa.string())])
 NODE = pa.struct(
     [
         ("ord", pa.int32()),
@@ -38,6 +42,7 @@ NODE = pa.struct(
         ("xpath", pa.string()),
         ("spans", pa.list_(pa.int32())),
         ("raw", pa.string()),
+        ("parts", pa.list_(PART)),
     ]
 )
 DOM = [("nodes", pa.list_(NODE)), ("word_count", pa.int32()), ("parsed", pa.bool_())]
@@ -204,8 +209,8 @@ def is_json_ld(tag, attrs):
     return tag == "script" and attrs.get("type") == "application/ld+json"
 
 
-def page_record(html, want):
-    """(node dicts, word count, parsed) of one page; no nodes if the parser gives up."""
+def page_record(html, want, base=""):
+    """(node dicts, word count, parsed) of one page at ``base``; no nodes if the parser gives up."""
     html = html or ""
     try:
         tree = Tree().read(html)
@@ -215,6 +220,7 @@ def page_record(html, want):
     paths = tree.xpaths() if want["xpath"] else None
     spans = tree.spans() if want["raw"] else None
     nodes, any_tag, tags, names = [], want["tags"] is None, want["tags"] or (), want["attrs"]
+    every_text = want["text_tags"] is None
     for me, (tag, parent, end, attrs, _, _, _) in enumerate(tree.nodes):
         block = bool(attrs) and is_json_ld(tag, attrs)
         if not (
@@ -225,12 +231,14 @@ def page_record(html, want):
         ):
             continue
         prop = is_property(attrs)
-        texts = tree.pieces(me) if tag in want["text_tags"] or prop or block else None
+        texts = tree.pieces(me) if every_text or tag in want["text_tags"] or prop or block else None
         raw = tree.source(me) if want["raw"] and me in tree.starts else None
+        script = "".join(texts).strip() if block and want["json_ld"] else ""
         nodes.append(
             (
                 me, parent, end, tag, list(attrs.items()), texts,
                 paths[me] if paths else None, spans(me) if spans and attrs and is_item(attrs) else None, raw,
+                script_parts(script, base) if script else None,
             )
         )
     return nodes, words, True
@@ -255,16 +263,28 @@ def to_arrays(records):
 
 
 def scan_batches(batches, want):
-    """Arrow batches (kept columns..., html) -> (kept columns..., nodes, word_count, parsed)."""
+    """Arrow batches (kept columns..., html) -> (kept columns..., nodes, word_count, parsed). Relative values of
+    JSON-LD are taken against the column ``url``."""
     for batch in batches:
         html = batch.column(batch.num_columns - 1)
+        bases = batch.column("url") if want["json_ld"] else None
         start, records, size = 0, [], 0
         for row in range(batch.num_rows):
             text = html[row].as_py()
-            records.append(page_record(text, want))
+            records.append(page_record(text, want, (bases[row].as_py() or "") if bases else ""))
             size += len(text or "")
             if size >= FLUSH_CHARS or row == batch.num_rows - 1:
                 kept = batch.slice(start, row + 1 - start).columns[:-1]
                 names = batch.schema.names[:-1] + [n for n, _ in DOM]
                 yield pa.RecordBatch.from_arrays([*kept, *to_arrays(records)], names=names)
                 start, records, size = row + 1, [], 0
+
+
+class HtmlNodes:
+    """Table function of one page: a row for every element, in document order."""
+
+    WANT = {"tags": None, "attrs": (), "text_tags": None, "xpath": True, "json_ld": False, "raw": False}
+
+    def eval(self, html: str):
+        for me, parent, end, tag, attrs, texts, path, *_ in page_record(html, self.WANT)[0]:
+            yield me, parent, end, tag, dict(attrs), "".join(texts).strip(), path

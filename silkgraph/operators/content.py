@@ -98,12 +98,14 @@ def page_content(pages: DataFrame, gate: bool = True) -> DataFrame:
     return has_content(out) if gate else out
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """``page_content`` with the four link counts of the page, in one pass over the HTML.
+def page_facts(pages: DataFrame, gate: bool = True, hrefs: bool = False) -> DataFrame:
+    """``page_content`` with the four link counts of the page, in one pass over the HTML; with ``hrefs`` also the
+    targets of its internal links.
 
     ``pages`` is (url, html, headers). Every column is computed in the page row.
     """
     scanned = scan_html(pages, {**CONTENT, "tags": CONTENT["tags"] | {"a"}})
-    counted = scanned.withColumn("_counts", count_columns(F.col("url"), host(F.col("url"))))
-    fields = has_content(content_columns(counted))
+    counted = scanned.withColumn("_counts", count_columns(F.col("url"), host(F.col("url")), hrefs))
+    fields = content_columns(counted)
+    fields = has_content(fields) if gate else fields
     return fields.select(*[c for c in fields.columns if c != "_counts"], "_counts.*")

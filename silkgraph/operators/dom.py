@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from silkgraph.functions.element_rows import scan_batches
+from silkgraph.functions.element_rows import HtmlNodes, scan_batches
 from silkgraph.functions.text import joined_text
 
 DOM_COLUMNS = ("nodes", "word_count", "parsed")
@@ -25,6 +25,9 @@ def dom_fields() -> list[T.StructField]:
             T.StructField("xpath", T.StringType()),
             T.StructField("spans", T.ArrayType(T.IntegerType())),
             T.StructField("raw", T.StringType()),
+            T.StructField("parts", T.ArrayType(T.StructType([
+                T.StructField("at", T.IntegerType()), T.StructField("data", T.StringType()), T.StructField("error", T.StringType()),
+            ]))),
         ]
     )
     types = [T.ArrayType(node), T.IntegerType(), T.BooleanType()]
@@ -39,11 +42,11 @@ ITEM_ATTRIBUTES = ("itemscope", "typeof", "itemprop", "property")
 def wanted(
     tags=None, attributes=(), text_tags=TEXT_TAGS, xpath=False, json_ld=False, raw=False
 ) -> dict:
-    """What the scan hands back: the column pruning of the HTML pass. ``tags=None`` means all."""
+    """What the scan hands back: the column pruning of the HTML pass. None means all tags, or the text of all tags."""
     return {
         "tags": None if tags is None else frozenset(tags),
         "attrs": tuple(attributes),
-        "text_tags": frozenset(text_tags),
+        "text_tags": None if text_tags is None else frozenset(text_tags),
         "xpath": xpath,
         "json_ld": json_ld,
         "raw": raw,
@@ -71,12 +74,21 @@ def scan_html(pages: DataFrame, want: dict, html: str = "html") -> DataFrame:
 
 
 def html_nodes(pages: DataFrame, want: dict | None = None, html: str = "html") -> DataFrame:
-    """One row per element: ord, parent_ord, subtree_end, tag, attrs, text_pieces, xpath, spans, raw."""
+    """One row per element: ord, parent_ord, subtree_end, tag, attrs, text_pieces, xpath, spans, raw, parts."""
     scanned = scan_html(pages, want or wanted(), html)
     keys = [c for c in scanned.columns if c not in DOM_COLUMNS]
     return scanned.select(*keys, F.explode("nodes").alias("node")).select(*keys, "node.*")
 
 
+NODE_COLUMNS = "ord int, parent_ord int, subtree_end int, tag string, attrs map<string,string>, text string, xpath string"
+
+
+def register_html_nodes(spark: SparkSession, name: str = "html_nodes") -> None:
+    """Make ``html_nodes(html)`` a table function of the session's SQL: one row for each element of a page, to be
+    joined by ``LATERAL``. A page that the parser gives up, or NULL, has no rows. Rows come in Arrow batches."""
+    spark.udtf.register(name, F.udtf(HtmlNodes, returnType=NODE_COLUMNS, useArrow=True))
+
+
 def with_tag(nodes: Column, tag: str, test=None) -> Column:
     """The elements of a tag, optionally those for which ``test(attrs)`` holds."""
     return F.filter(

@@ -76,19 +76,22 @@ def extract_links_detailed(pages: DataFrame, base: str = "url", xpath: bool = Tr
     )
 
 
-def page_links(pages: DataFrame, base_domain: Column | None = None, base: str = "url") -> DataFrame:
+def page_links(
+    pages: DataFrame, base_domain: Column | None = None, base: str = "url", columns: list[str] | None = None
+) -> DataFrame:
     """All links with components and classification, ``target_key`` being the key of the target in
-    the URL table. ``base_domain`` defaults to the host of the page."""
+    the URL table. ``base_domain`` defaults to the host of the page. Only the named ``columns`` are built, if given."""
     slim = pages.select(
         F.col("url").alias("source_url"),
         F.col(base).alias("_from"),
         (host(F.col("url")) if base_domain is None else base_domain).alias("_site"),
         "html",
     )
-    return links_of_scan(scan_html(slim, LINKS_WITH_PATH))
+    want = LINKS_WITH_PATH if columns is None or "xpath" in columns else LINKS if "anchor_text" in columns else LINKS_WITHOUT_TEXT
+    return links_of_scan(scan_html(slim, want), columns)
 
 
-def links_of_scan(scanned: DataFrame) -> DataFrame:
+def links_of_scan(scanned: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``page_links`` for a table scanned already (columns source_url, _from, _site, nodes)."""
     site = F.col("_site")
 
@@ -98,37 +101,37 @@ def links_of_scan(scanned: DataFrame) -> DataFrame:
             joined,
             lambda v: let(
                 components_from(h, v["j"]),
-                lambda c: F.struct(
-                    n["attrs"]["href"].alias("raw_href"),
-                    unsplit(v["t"]).alias("link_url"),
-                    unsplit(v["t"], lower_host=True).alias("target_key"),
-                    stripped_pieces(n["text_pieces"]).alias("anchor_text"),
-                    n["xpath"].alias("xpath"),
-                    c["href"].alias("href"),
-                    c["url_fragment"].alias("url_fragment"),
-                    c["url_parameters"].alias("url_parameters"),
-                    host_classification(v["t"]["netloc"], site).alias("classification"),
-                    url_classification(c["href"], site).alias("href_classification"),
-                ),
+                lambda c: F.struct(*[value().alias(name) for name, value in {
+                    "raw_href": lambda: n["attrs"]["href"],
+                    "link_url": lambda: unsplit(v["t"]),
+                    "target_key": lambda: unsplit(v["t"], lower_host=True),
+                    "anchor_text": lambda: stripped_pieces(n["text_pieces"]),
+                    "xpath": lambda: n["xpath"],
+                    "href": lambda: c["href"],
+                    "url_fragment": lambda: c["url_fragment"],
+                    "url_parameters": lambda: c["url_parameters"],
+                    "classification": lambda: host_classification(v["t"]["netloc"], site),
+                    "href_classification": lambda: url_classification(c["href"], site),
+                }.items() if columns is None or name in columns]),
             ),
         )
 
     return _link_rows(scanned, ["source_url"], F.col("_from"), describe)
 
 
-def internal_links(links: DataFrame, urls: DataFrame) -> DataFrame:
-    """Internal links with the target filled in when the URL is known.
+def internal_links(links: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Internal links with the target filled in when the URL is known; without ``urls`` the target is left out.
 
     One page row per source makes (source, XPath) unique by construction, because every element has
     its own path; so nothing has to be grouped. The known URLs join on their unique key, and no
     aggregation follows, so AQE may split a target that very many links share.
     """
-    known = urls.select(F.col("url").alias("target_url"))
     own = links.filter(F.col("classification") == "internal")
-    return own.join(known, own["href"] == known["target_url"], "left").select(
-        "source_url", "target_url", "anchor_text", "xpath", "href", "href_classification",
-        "url_fragment", "url_parameters", "link_no",
-    )
+    columns = ["anchor_text", "xpath", "href", "href_classification", "url_fragment", "url_parameters", "link_no"]
+    if urls is None:
+        return own.select("source_url", *columns)
+    known = urls.select(F.col("url").alias("target_url"))
+    return own.join(known, own["href"] == known["target_url"], "left").select("source_url", "target_url", *columns)
 
 
 COUNTS = (
@@ -137,14 +140,16 @@ COUNTS = (
 )
 
 
-def count_columns(base: Column, site: Column) -> Column:
-    """Struct of the four link counts of a scanned page (needs ``nodes``), computed in its row."""
+def count_columns(base: Column, site: Column, hrefs: bool = False) -> Column:
+    """Struct of the four link counts of a scanned page (needs ``nodes``), computed in its row; with ``hrefs`` also
+    the targets of its internal links, repeats included."""
 
     def counts(seen: Column) -> Column:
         own = F.transform(F.filter(seen, lambda s: s["internal"]), lambda s: s["href"])
         other = F.transform(F.filter(seen, lambda s: ~s["internal"]), lambda s: s["href"])
         sizes = [F.size(own), F.size(other), F.size(F.array_distinct(own)), F.size(F.array_distinct(other))]
-        return F.struct(*[v.cast("bigint").alias(n) for n, v in zip(COUNTS, sizes)])
+        more = [own.alias("internal_hrefs")] if hrefs else []
+        return F.struct(*[v.cast("bigint").alias(n) for n, v in zip(COUNTS, sizes)], *more)
 
     def seen(b: Column, h: Column) -> Column:
         joined = F.struct(join_parts(b, h).alias("t"), join_parts(b, bare_parts(h)).alias("j"))

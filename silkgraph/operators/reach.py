@@ -9,10 +9,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from silkgraph.functions.urls import crawl_policy, host, url_classification, url_normalize_storage
 from silkgraph.operators.robots import robots_allowed
 
-from silkgraph.operators.scale import cut
+from silkgraph.operators.scale import BucketTable, cut, stored
 from silkgraph.operators.state import first_pages
 
 
+#: Edges of a source from which on they are not kept in its bucket, where one task would read them.
+MANY = 100_000
+
+
+def found_by(done: DataFrame, edges: list[DataFrame], seen: DataFrame) -> DataFrame:
+    """(url, parent, crawlable) of the targets of the pages ``done`` (url) that are not in ``seen`` (url)."""
+    ahead = None
+    for part in edges:
+        rows = part.join(done.select(F.col("url").alias("source_url")), "source_url")
+        ahead = rows if ahead is None else ahead.unionByName(rows)
+    met = ahead.groupBy(F.col("target_url").alias("url")).agg(
+        F.min("source_url").alias("parent"), F.max("crawlable").alias("crawlable")
+    )
+    return met.join(seen.select("url"), "url", "left_anti")
+
+
 def crawl_reachability(
     seeds: DataFrame, links: DataFrame, max_depth: int | None = None, max_pages: int = 0
 ) -> DataFrame:
@@ -21,51 +37,57 @@ def crawl_reachability(
     ``links`` is (source_url, target_url, crawlable). Levels follow until no new page turns up, or, if
     the caller sets ``max_depth``, pages of lesser depth are expanded. A link that may not be crawled is
     recorded and not queued. ``max_pages`` cuts the processed pages in queue order (depth, then URL);
-    queued pages beyond it have crawled = false.
-    The smallest parent URL wins a tie. Edges are reduced to one per (source, target) and stored
-    once; a round joins only the pages found by the round before.
+    queued pages beyond it have crawled = false. The smallest parent URL wins a tie.
+
+    Edges are reduced to one per (source, target) and stored once in buckets of their source; everything
+    seen is stored in buckets of its URL, a level after the other. A level therefore reads both where
+    they lie, and only the (target, source) pairs of the pages found by the level before are exchanged. Edges
+    of a source that has very many stand in a table without buckets, whose joins may be split.
     """
-    edges = cut(
+    spark = seeds.sparkSession
+    reduced = stored(
         links.select("source_url", "target_url", "crawlable")
         .groupBy("source_url", "target_url")
-        .agg(F.max("crawlable").alias("crawlable"))
+        .agg(F.max("crawlable").alias("crawlable")),
+        "crawl-edges",
     )
-    level = seeds.select(
-        "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"),
-        F.lit(False).alias("recorded"),
-    ).dropDuplicates(["url"])
-    level = cut(level)
-    seen, left, out = level.select("url"), max_pages, None
-    for depth in itertools.count():
-        queued = level.filter(~F.col("recorded"))
-        capped = max_pages > 0 and left <= 0
-        if capped:
-            done = queued.select("url").limit(0)
-        elif max_pages > 0:
-            done = cut(first_pages(queued.select("url"), [F.col("url")], left))
-            left -= done.count()
-        else:
-            done = queued.select("url")
-        marked = level.join(done.withColumn("crawled", F.lit(True)), "url", "left").withColumn(
-            "crawled", F.coalesce("crawled", F.lit(False))
-        )
-        out = marked if out is None else out.unionByName(marked)
-        if capped or depth == max_depth:
-            break
-        found = (
-            edges.join(done.withColumnRenamed("url", "source_url"), "source_url")
-            .groupBy(F.col("target_url").alias("url"))
-            .agg(F.min("source_url").alias("parent"), F.max("crawlable").alias("crawlable"))
-            .join(seen, "url", "left_anti")
-        )
-        level = cut(
-            found.select(
+    busy = stored(reduced.groupBy("source_url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("source_url"), "crawl-busy")
+    some = not busy.isEmpty()
+    near, seen = BucketTable(spark, "crawl_edges", "source_url"), BucketTable(spark, "crawl_seen", "url")
+    try:
+        edges = [near.add(reduced.join(busy, "source_url", "left_anti") if some else reduced)]
+        if some:
+            edges.append(stored(reduced.join(busy, "source_url", "left_semi"), "crawl-busy-edges"))
+        level = seeds.select(
+            "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"),
+            F.lit(False).alias("recorded"),
+        ).dropDuplicates(["url"])
+        left, ranked = max_pages, None
+        for depth in itertools.count():
+            rows = seen.add(level)
+            level = rows.filter(F.col("depth") == depth)
+            if level.isEmpty():
+                break
+            done = level.filter(~F.col("recorded")).select("url")
+            if max_pages > 0:
+                if left <= 0:
+                    break
+                done = cut(first_pages(done, [F.col("url")], left))
+                left -= done.count()
+                ranked = done if ranked is None else ranked.unionByName(done)
+            if depth == max_depth:
+                break
+            level = found_by(done, edges, rows).select(
                 "url", F.lit(depth + 1).alias("depth"), "parent", (~F.col("crawlable")).alias("recorded")
             )
-        )
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level.select("url"))
+        out = seen.read()
+    finally:
+        near.close()
+        seen.close()
+    if max_pages > 0 and ranked is not None:
+        out = out.join(ranked.withColumn("crawled", F.lit(True)), "url", "left").withColumn("crawled", F.coalesce("crawled", F.lit(False)))
+    else:
+        out = out.withColumn("crawled", ~F.col("recorded"))
     return out.select("url", "depth", "parent", "crawled", "recorded")
 
 

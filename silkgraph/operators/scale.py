@@ -31,6 +31,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class RunFolder:
+    """Written tables of one run, below the shared folder; all of them go when the run ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> RunFolder:
+        return self
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class BucketTable:
+    """A table in the shared folder whose rows lie in hash buckets of a key, sorted by it inside each file.
+
+    There are as many buckets as shuffle partitions, so that joins and aggregations by the key read it
+    without an exchange, on whichever side it stands. ``add`` appends; every file holds rows of one bucket.
+    The catalog entry only serves to plan with the buckets and goes with ``close``, the files stay.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, key: str):
+        self.spark, self.key = spark, key
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/{self.name}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        writer = rows.write.format("parquet").mode("append").bucketBy(self.buckets, self.key).sortBy(self.key)
+        writer.option("path", self.path).saveAsTable(self.name)
+        return self.read()
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from the written rows. The files go when
     the result is no longer referenced (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from silkgraph.functions.text import strip
 from silkgraph.functions.urls import netloc, url_classification, url_normalize_storage
 from silkgraph.operators.robots import robots_files, robots_sitemaps
-from silkgraph.operators.scale import cut, row_ranks
+from silkgraph.operators.scale import cut, row_ranks, stored
 
 # One entry, prefixes taken off its tags.
 _ENTRY = "loc string, link array<struct<_hreflang:string,_href:string>>, unreadable string"
@@ -103,28 +103,30 @@ def read_files(files: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_entries(files: DataFrame) -> DataFrame:
-    """(sitemap_url, position, loc, alternates) of the plain sitemaps, one row per loc.
+def entries_of(read: DataFrame) -> DataFrame:
+    """(sitemap_url, position, loc, alternates) of the plain sitemaps among files read, one row per loc.
 
     The aggregate is per (file, loc): repeats meet inside the task that reads the file.
     """
-    rows = read_files(files).select("sitemap_url", F.posexplode("entries").alias("at", "e"))
+    rows = read.select("sitemap_url", F.posexplode("entries").alias("at", "e"))
     return rows.groupBy("sitemap_url", F.col("e.loc").alias("loc")).agg(
         F.min("at").alias("position"), F.max_by("e.alternates", "at").alias("alternates")
     )
 
 
-def sitemap_index_edges(files: DataFrame) -> DataFrame:
-    """(parent, position, child) of the sitemap indexes. Only files with a ``<sitemap>`` tag are
-    parsed, which leaves the many plain sitemaps to the pass that reads their entries."""
-    indexes = files.filter(F.col("content").rlike(r"<(\w+:)?sitemap[\s/>]"))
-    return read_files(indexes).select(
-        F.col("sitemap_url").alias("parent"), F.posexplode("nested").alias("position", "child")
-    )
+def sitemap_entries(files: DataFrame) -> DataFrame:
+    """(sitemap_url, position, loc, alternates) of the plain sitemaps, one row per loc."""
+    return entries_of(read_files(files))
+
 
+def edges_of(read: DataFrame) -> DataFrame:
+    """(parent, position, child) of the sitemap indexes among files read."""
+    return read.select(F.col("sitemap_url").alias("parent"), F.posexplode("nested").alias("position", "child"))
 
-def sitemap_visits(starts: DataFrame, files: DataFrame) -> DataFrame:
-    """(site, sitemap_url, level, trail): every file reached from the starts of a site, once.
+
+def sitemap_visits(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site, sitemap_url, level, trail): every file reached from the starts of a site, once, by the ``edges`` of
+    the indexes (parent, position, child).
 
     ``starts`` is (site, position, sitemap_url). ``trail`` holds the positions from the start to the
     file. Within a level, trails in array order are the order of a first-in first-out walk, so
@@ -132,7 +134,6 @@ def sitemap_visits(starts: DataFrame, files: DataFrame) -> DataFrame:
     before; rounds end when nothing new turns up, whatever the nesting depth: a file already seen by
     the site is not visited again.
     """
-    edges = cut(sitemap_index_edges(files))
 
     def first(found: DataFrame) -> DataFrame:
         return found.groupBy("site", "sitemap_url").agg(F.min("trail").alias("trail"))
@@ -161,9 +162,13 @@ def sitemap_visits(starts: DataFrame, files: DataFrame) -> DataFrame:
 
 def sitemap_closure(starts: DataFrame, files: DataFrame) -> DataFrame:
     """(site, loc, sitemap_url, alternates, level, trail, position): every URL listed in the files
-    reached by a site. Place from its first listing, source file and alternates from its last."""
-    visits = sitemap_visits(starts, files)
-    listed = visits.join(sitemap_entries(files), "sitemap_url").withColumn(
+    reached by a site. Place from its first listing, source file and alternates from its last.
+
+    Every file is parsed once: what was read is written, and both the edges and the entries come from that table.
+    """
+    read = stored(read_files(files), "sitemaps-read")
+    visits = sitemap_visits(starts, stored(edges_of(read), "sitemap-edges"))
+    listed = visits.join(entries_of(read), "sitemap_url").withColumn(
         "at", F.struct("level", "trail", "position")
     )
     return (

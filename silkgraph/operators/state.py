@@ -6,6 +6,8 @@ observations is reduced where its rows are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silkgraph.functions.urls import url_classification, url_normalize_storage
@@ -23,15 +25,16 @@ def newest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def newest_bodies(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def newest_bodies(
+    df: DataFrame, key: list[str], order: list[str], hold: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``newest`` for rows with page bodies: only the rows of keys that occur more than once move.
 
-    Keys are counted on their own columns alone and those that repeat are written, so the planner knows
-    their size and joins them where the bodies are, if they are few.
+    Keys are counted on their own columns alone and those that repeat are written (by ``hold``, if given), so
+    the planner knows their size and joins them where the bodies are, if they are few.
     """
-    again = stored(
-        df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1).select(*key), "repeated-keys"
-    )
+    again = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1).select(*key)
+    again = hold(again) if hold else stored(again, "repeated-keys")
     same = [df[k].eqNullSafe(again[k]) for k in key]
     settled = newest(df.join(again, same, "left_semi"), key, order)
     return df.join(again, same, "left_anti").unionByName(settled)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from silkgraph.functions.json_items import page_items
+from silkgraph.functions.json_items import item_records
 from silkgraph.functions.text import json_string, strip, stripped_pieces
 from silkgraph.functions.urls import join_parts, let, unsplit, url_parts
 from silkgraph.operators.dom import ITEMS, scan_html
@@ -43,7 +43,7 @@ def _attr(node: Column, name: str) -> Column:
 
 
 def json_ld_scripts(nodes: Column) -> Column:
-    """Array of (number, text, raw) of the non-blank JSON-LD scripts."""
+    """Array of (number, text, raw, parts) of the non-blank JSON-LD scripts."""
     blocks = F.filter(
         nodes, lambda n: (n["tag"] == "script") & (_attr(n, "type") == "application/ld+json")
     )
@@ -53,9 +53,10 @@ def json_ld_scripts(nodes: Column) -> Column:
             i.alias("number"),
             strip(F.array_join(n["text_pieces"], "")).alias("text"),
             n["raw"].alias("raw"),
+            n["parts"].alias("parts"),
         ),
     )
-    return F.filter(numbered, lambda s: s["text"] != "")
+    return F.filter(numbered, lambda s: s["parts"].isNotNull())
 
 
 def _property_value(node: Column, base: Column) -> Column:
@@ -210,8 +211,7 @@ def items_of_scan(scanned: DataFrame, formats=FORMATS) -> DataFrame:
     nodes, base = F.col("nodes"), F.col("base")
     staged, parts = [], []
     if "json-ld" in formats:
-        read_scripts = F.pandas_udf(page_items, f"array<{RECORD}>")
-        staged.append(read_scripts(json_ld_scripts(nodes), F.col("url")).alias("json_ld"))
+        staged.append(item_records(json_ld_scripts(nodes), let).cast(f"array<{RECORD}>").alias("json_ld"))
         parts.append(
             _labelled(
                 F.transform(

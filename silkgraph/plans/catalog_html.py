@@ -23,6 +23,49 @@ def html_nodes(spark, sf):
     return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("elements"))
 
 
+# A stack over the tokens of a page, for all pages at once: the order and the parent of every element, and the texts inside.
+NODE_TOKENS = r""", decoded AS (
+  SELECT page_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM (
+    SELECT page_id, regexp_extract_all(replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '"</p>"', '"' || chr(1) || '/p>"'), '<[^>]*>|[^<]+') AS tokens FROM pages)),
+  tokens AS (
+  SELECT page_id, i, token, regexp_extract(token, '^</?([a-z][a-z0-9]*)', 1) AS tag,
+         CASE WHEN token LIKE '</%' THEN 'end' WHEN token LIKE '<!%' THEN 'other' WHEN token LIKE '<%' THEN 'start' ELSE 'text' END AS kind,
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(token, chr(1), '<'), '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g') AS plain FROM decoded),
+  walk(page_id, i, kind, ord, parent_ord, tag, plain, open, tags, n) AS (
+    SELECT page_id, CAST(-1 AS BIGINT), 'other', NULL::BIGINT, NULL::BIGINT, '', '', []::BIGINT[], []::VARCHAR[], CAST(0 AS BIGINT) FROM pages
+    UNION ALL
+    SELECT t.page_id, t.i, t.kind, CASE WHEN t.kind = 'start' THEN n END, CASE WHEN t.kind = 'start' THEN coalesce(open[-1], -1) END, t.tag, t.plain,
+           CASE WHEN t.kind = 'start' AND t.tag NOT IN ('meta', 'br') THEN list_append(open, n)
+                WHEN t.kind = 'end' AND list_contains(tags, t.tag) THEN open[1:len(tags) - list_position(list_reverse(tags), t.tag)] ELSE open END,
+           CASE WHEN t.kind = 'start' AND t.tag NOT IN ('meta', 'br') THEN list_append(tags, t.tag)
+                WHEN t.kind = 'end' AND list_contains(tags, t.tag) THEN tags[1:len(tags) - list_position(list_reverse(tags), t.tag)] ELSE tags END,
+           CASE WHEN t.kind = 'start' THEN n + 1 ELSE n END
+    FROM walk w JOIN tokens t ON t.page_id = w.page_id AND t.i = w.i + 1),
+  texts AS (
+    SELECT page_id, ord, string_agg(plain, '' ORDER BY i) AS text FROM (
+      SELECT page_id, i, plain, unnest(CASE WHEN tags[-1] IN ('script', 'style') THEN [open[-1]] ELSE open END) AS ord
+      FROM walk WHERE kind = 'text')
+    GROUP BY page_id, ord)"""
+NODES_QUESTION = """
+SELECT p.page_id, n.ord, n.parent_ord, n.tag, array_join(transform(map_entries(n.attrs), e -> e.key || '=' || e.value), ' ') AS attributes, n.text
+FROM page_bodies p, LATERAL html_nodes(p.html) n
+"""
+
+
+@query(
+    "html_nodes_in_sql",
+    "WITH RECURSIVE " + NODE_TOKENS.lstrip(", ") + r""", sides AS (SELECT DISTINCT page_id, ord, text FROM texts)
+        SELECT w.page_id, w.ord, w.parent_ord, w.tag, regexp_replace(array_to_string(regexp_extract_all(w.plain, '[a-z-]+="[^"]*"'), ' '), '"', '', 'g') AS attributes,
+               regexp_replace(coalesce(s.text, ''), '^\s+|\s+$', '', 'g') AS text
+        FROM walk w LEFT JOIN sides s USING (page_id, ord) WHERE w.kind = 'start'""",
+)
+def html_nodes_in_sql(spark, sf):
+    dom.register_html_nodes(spark)
+    d.pages(spark, sf).select("page_id", "html").createOrReplaceTempView("page_bodies")
+    nodes = spark.sql(NODES_QUESTION)
+    return nodes.withColumn("ord", long("ord")).withColumn("parent_ord", long("parent_ord"))
+
+
 @query(
     "extract_links",
     oracle("page_urls nav_links", "SELECT url AS source_url, n AS link_no, origin || href AS target_url FROM nav_links"),
@@ -291,7 +334,7 @@ def link_counts_of_table(spark, sf):
         FROM variant_links WHERE classification = 'internal' GROUP BY href"""),
 )
 def inlink_counts(spark, sf):
-    own = _links(spark, sf).filter(F.col("classification") == "internal")
+    own = links.page_links(d.keyed_variants(spark, sf), columns=["href", "classification"]).filter(F.col("classification") == "internal")
     return links.inlink_counts(own, target="href")
 
 

@@ -14,8 +14,12 @@ from silkgraph.streaming.jobs import status_counts
 NOW = "2024-01-20 12:00:00"
 
 
-def now():
-    return F.lit(NOW).cast("timestamp")
+#: The moment of the retry questions: some time before the last fetch, so that some retries are due and some are not.
+NOW_SQL = "(SELECT max(fetched_at) - INTERVAL 2 HOUR FROM fetch_log)"
+
+
+def now(spark, sf):
+    return d.fetch_log(spark, sf).agg(F.max("fetched_at") - F.expr("INTERVAL 2 HOURS")).scalar()
 
 
 @query("scan_fetch_log", oracle("fetch_log", f"SELECT url, status, {stamp_sql('fetched_at')} AS fetched_at, seq FROM fetch_log"))
@@ -215,20 +219,20 @@ def retry_state(spark, sf):
 
 @query(
     "retry_ready",
-    oracle("fetch_log", FAILED + f"SELECT url, {stamp_sql('next_retry_at')} AS next_retry_at, retry_count FROM failed WHERE next_retry_at <= TIMESTAMP '{NOW}' AND retry_count < 3"),
+    oracle("fetch_log", FAILED + f"SELECT url, {stamp_sql('next_retry_at')} AS next_retry_at, retry_count FROM failed WHERE next_retry_at <= {NOW_SQL} AND retry_count < 3"),
 )
 def retry_ready(spark, sf):
-    return retry.retry_ready(failed_table(spark, sf), now()).withColumn("next_retry_at", stamp("next_retry_at"))
+    return retry.retry_ready(failed_table(spark, sf), now(spark, sf)).withColumn("next_retry_at", stamp("next_retry_at"))
 
 
 @query(
     "retry_statistics",
     oracle("fetch_log", FAILED + f"""SELECT CASE WHEN grouping(status_code) = 0 THEN 'status_code' WHEN grouping(retry_count) = 0 THEN 'retry_count' ELSE 'total' END AS level,
-        CAST(coalesce(status_code, retry_count) AS VARCHAR) AS value, count(*) AS failed, count(*) FILTER (WHERE next_retry_at <= TIMESTAMP '{NOW}') AS ready
+        CAST(coalesce(status_code, retry_count) AS VARCHAR) AS value, count(*) AS failed, count(*) FILTER (WHERE next_retry_at <= {NOW_SQL}) AS ready
         FROM failed GROUP BY GROUPING SETS ((status_code), (retry_count), ())"""),
 )
 def retry_statistics(spark, sf):
-    stats = retry.retry_statistics(failed_table(spark, sf), now())
+    stats = retry.retry_statistics(failed_table(spark, sf), now(spark, sf))
     value = F.coalesce(F.col("status_code").cast("string"), F.col("retry_count").cast("string"))
     return stats.select("level", value.alias("value"), "failed", "ready")
 
@@ -244,13 +248,13 @@ def stream_status_counts(spark, sf):
 
 # --- redirects -------------------------------------------------------------------------------
 
-CHAINS = """, chain(k, at_key, steps) AS (
-    SELECT k, k, 1 FROM redirect_responses
-    UNION ALL SELECT k, at_key // 2, steps + 1 FROM chain WHERE at_key % 2 = 0 AND steps < 10),
-  ends AS (SELECT k, arg_max(at_key, steps) AS last_key, max(steps) AS steps FROM chain GROUP BY k),
-  resolved AS (SELECT 'https://r.example.com/p/' || k AS url, steps, last_key,
-         CASE WHEN last_key % 2 = 0 THEN 301 WHEN last_key % 10 = 5 THEN 503 ELSE 200 END AS status,
-         'https://r.example.com/p/' || CASE WHEN last_key % 2 = 0 THEN last_key // 2 ELSE last_key END AS final_url FROM ends)"""
+CHAINS = """, chain(k, at_key, steps, trail) AS (
+    SELECT k, k, 1, url || '|' || status || '|' || header FROM redirect_responses
+    UNION ALL SELECT c.k, r.ahead, steps + 1, trail || ' > ' || n.url || '|' || n.status || '|' || n.header
+    FROM chain c JOIN redirect_responses r ON r.k = c.at_key JOIN redirect_responses n ON n.k = r.ahead WHERE at_key % 2 = 0 AND steps < 10),
+  ends AS (SELECT k, arg_max(at_key, steps) AS last_key, max(steps) AS steps, arg_max(trail, steps) AS trail FROM chain GROUP BY k),
+  resolved AS (SELECT 'https://r.example.com/p/' || ends.k AS url, steps, last_key, trail, r.status,
+         'https://r.example.com/p/' || CASE WHEN last_key % 2 = 0 THEN r.ahead ELSE last_key END AS final_url FROM ends JOIN redirect_responses r ON r.k = last_key)"""
 
 
 def resolved_table(spark, sf):
@@ -260,13 +264,14 @@ def resolved_table(spark, sf):
 
 @query(
     "redirect_resolve",
-    oracle("redirect_responses", CHAINS + "SELECT url, final_url, status, steps, last_key % 2 = 0 AS capped, 'https://r.example.com/p/' || last_key AS last_request FROM resolved", recursive=True),
+    oracle("redirect_responses", CHAINS + "SELECT url, final_url, status, steps, last_key % 2 = 0 AS capped, trail FROM resolved", recursive=True),
 )
 def redirect_resolve(spark, sf):
     chain = F.col("redirect_chain")
+    headers = lambda step: F.array_join(F.transform(F.map_entries(step["headers"]), lambda h: F.concat_ws("=", h["key"], h["value"])), ";")
+    trail = F.transform(chain, lambda step: F.concat_ws("|", step["url"], step["status"].cast("string"), headers(step)))
     return resolved_table(spark, sf).select(
-        "url", "final_url", long("status").alias("status"), long(F.size(chain)).alias("steps"), "capped",
-        F.element_at(chain, -1)["url"].alias("last_request"),
+        "url", "final_url", long("status").alias("status"), long(F.size(chain)).alias("steps"), "capped", F.array_join(trail, " > ").alias("trail"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 
@@ -12,6 +13,7 @@ from silkgraph.operators import robots, state
 from silkgraph.operators.scale import row_ranks, shared_folder
 from silkgraph.plans import documented, views
 from silkgraph.plans.catalog_html import ALL_ITEMS
+from silkgraph.plans.catalog_state import FAILED, NOW_SQL
 from silkgraph.plans.registry import long, query, stamp, stamp_sql
 from silkgraph.sources import derived as d, readers, writers
 from silkgraph.sources.derived import oracle
@@ -127,11 +129,22 @@ def stream_ingest_links(spark, sf):
     return jobs.current_links(spark, f"{root}/tables").select("source_url", "target_url", "anchor_text", "xpath", "href")
 
 
-def drained(spark, rows, build, mode):
-    """``rows`` written as files, read as a stream, and what ``build`` makes of it, written batch by batch."""
-    source, root = folder(spark), folder(spark)
-    rows.write.parquet(source)
-    stream = build(spark.readStream.schema(rows.schema).parquet(source))
+def in_files(spark, rows, part, parts):
+    """A folder with the rows as ``parts`` files, written one after the other by the number ``part``, an SQL expression."""
+    source = folder(spark)
+    for i in range(parts):
+        rows.filter(F.expr(part) == i).coalesce(1).write.mode("append").parquet(source)
+    return source
+
+
+def as_stream(spark, rows, source):
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def drained(spark, rows, build, mode, part="0", parts=1):
+    """``rows`` written as files, read as a stream one file at a time, and what ``build`` makes of it, written batch by batch."""
+    root = folder(spark)
+    stream = build(as_stream(spark, rows, in_files(spark, rows, part, parts)))
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={batch_id}")
@@ -142,8 +155,83 @@ def drained(spark, rows, build, mode):
 
 @query("stream_url_dedupe", oracle("fetch_log", "SELECT DISTINCT url FROM fetch_log"))
 def stream_url_dedupe(spark, sf):
-    """First sight of every URL, from a drained stream."""
-    return drained(spark, d.fetch_log(spark, sf), jobs.stream_url_dedupe, "append").select("url")
+    """First sight of every URL, from a log that comes in four batches; a URL is remembered for 60 days, which bounds the state."""
+    build = lambda log: jobs.stream_url_dedupe(log, "60 days")
+    return drained(spark, d.fetch_log(spark, sf), build, "append", "seq % 4", 4).select("url")
+
+
+#: The log in four slices of time; each slice comes as a file, in no order, and some rows come a slice later.
+SLICE = "least(3, (dayofmonth(fetched_at) - 1) div 8)"
+#: A row of the last hour of a day comes with the next day's; a watermark of two hours waits for it.
+LATER = "CASE WHEN seq % 5 = 0 AND hour(fetched_at) = 23 THEN least(3, dayofmonth(fetched_at) div 8) ELSE {} END"
+
+
+@query(
+    "stream_retry_state",
+    oracle("fetch_log", FAILED + f"""SELECT url, status_code, CASE status_code WHEN 0 THEN 'Connection/timeout error' ELSE 'Server error 503' END AS failure_reason,
+        retry_count, {stamp_sql('last_retry_at')} AS last_retry_at, {stamp_sql('next_retry_at')} AS next_retry_at, {stamp_sql('created_at')} AS created_at,
+        next_retry_at > (SELECT max(fetched_at) - INTERVAL 2 HOUR FROM fetch_log) AS waiting FROM failed"""),
+)
+def stream_retry_state(spark, sf):
+    """Retry bookkeeping of a log that comes in four unordered batches, read from the state and the timers of the ended stream."""
+    return retry_tables(spark, sf)
+
+
+@query(
+    "stream_retry_ready",
+    oracle("fetch_log", FAILED + f"SELECT url, {stamp_sql('next_retry_at')} AS next_retry_at, retry_count FROM failed WHERE next_retry_at <= {NOW_SQL} AND retry_count < 3"),
+)
+def stream_retry_ready(spark, sf):
+    """The retries that are due, by the timers of the ended stream: those whose timer the watermark has passed."""
+    return retry_tables(spark, sf).filter("not waiting and retry_count < 3").select("url", "next_retry_at", "retry_count")
+
+
+def retry_tables(spark, sf):
+    log, checkpoint = d.fetch_log(spark, sf), folder(spark)
+    source = in_files(spark, log.sortWithinPartitions(F.xxhash64("seq")), LATER.format(SLICE), 4)
+    with rocksdb(spark):
+        stream = jobs.stream_retry_state(as_stream(spark, log, source), watermark="2 hours")
+        query = stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        state = jobs.retry_state_of(spark, checkpoint).withColumn("status_code", long("status_code"))
+    for name in ("last_retry_at", "next_retry_at", "created_at"):
+        state = state.withColumn(name, stamp(name))
+    return state
+
+
+@contextlib.contextmanager
+def rocksdb(spark):
+    """The state store that transformWithState needs, for the stream started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+LATE = "seq % 13 = 0 AND dayofmonth(fetched_at) < 20"
+
+
+@query(
+    "stream_status_appended",
+    oracle("fetch_log", f""", first AS (SELECT max(fetched_at) AS at FROM fetch_log WHERE dayofmonth(fetched_at) <= 15 AND NOT ({LATE})),
+        rows AS (SELECT *, time_bucket(INTERVAL '10 minutes', fetched_at) AS w, {LATE} AND time_bucket(INTERVAL '10 minutes', fetched_at) + INTERVAL 10 MINUTE <= first.at - INTERVAL 1 DAY AS dropped
+                 FROM fetch_log, first),
+        closed AS (SELECT max(fetched_at) - INTERVAL 1 DAY AS at FROM fetch_log)
+        SELECT {stamp_sql('w')} AS window_start, CASE WHEN status = 0 THEN '0' ELSE (status // 100) || 'xx' END AS status_class, count(*) AS fetches
+        FROM rows, closed WHERE NOT dropped AND w + INTERVAL 10 MINUTE <= closed.at GROUP BY 1, 2
+        UNION ALL SELECT NULL, 'dropped', count(*) FROM rows WHERE dropped"""),
+)
+def stream_status_appended(spark, sf):
+    """Final windows of a log in three batches, the third late, and how many outcomes came too late for their window."""
+    log = d.fetch_log(spark, sf)
+    part = f"CASE WHEN {LATE} THEN 2 WHEN dayofmonth(fetched_at) <= 15 THEN 0 ELSE 1 END"
+    root = folder(spark)
+    windows, dropped, _ = jobs.drain_status_counts(as_stream(spark, log, in_files(spark, log, part, 3)), f"{root}/windows", f"{root}/state")
+    count = spark.range(1).select(F.lit(None).cast("string").alias("window_start"), F.lit("dropped").alias("status_class"), F.lit(dropped).cast("bigint").alias("fetches"))
+    return windows.withColumn("window_start", stamp("window_start")).unionByName(count)
 
 
 @query(

@@ -41,21 +41,17 @@ def page_frontier(spark, sf):
     )
 
 
-def internal_hrefs(spark, sf):
-    own = links.page_links(d.keyed_variants(spark, sf)).filter(F.col("classification") == "internal")
-    return own.select("source_url", "href")
-
-
 def page_analysis_table(spark, sf):
-    # The page table is written once; the inputs below read it instead of the HTML.
-    facts = page_facts(d.keyed_variants(spark, sf).select("page_id", "url", "html", "headers"))
-    content = cut(d.settled(facts).drop("page_id"))
+    # One pass over the HTML; what it found is written once, and the inputs below read that.
+    facts = cut(page_facts(d.keyed_variants(spark, sf).select("page_id", "url", "html", "headers"), gate=False, hrefs=True))
+    own = facts.select(F.col("url").alias("source_url"), F.explode("internal_hrefs").alias("href"))
+    content = cut(d.settled(has_content(facts.drop("internal_hrefs"))).drop("page_id"))
     return views.page_analysis(
         d.site_urls(spark, sf),
         content,
         robots.indexability(content, d.robots_txt(spark, sf)),
         hreflang_table(spark, sf),
-        inlinks=links.inlink_counts(internal_hrefs(spark, sf), target="href"),
+        inlinks=links.inlink_counts(own, target="href"),
         frontier=page_frontier(spark, sf),
     )
 

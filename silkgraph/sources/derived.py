@@ -54,9 +54,10 @@ def url_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, depth, parent, op, at, seq) from ``events``."""
+    """(url, depth, parent, op, at, seq) from ``events``; every seventh fetch also queues a page that no fetch ends."""
     seq = F.col("seq")
-    return fetch_log(spark, sf_dir).select(
+    log = fetch_log(spark, sf_dir)
+    own = log.select(
         "url",
         (seq % 4).cast("int").alias("depth"),
         F.when(seq % 5 != 0, text("https://s0.example.com/from/", seq % 100)).alias("parent"),
@@ -64,6 +65,11 @@ def frontier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("fetched_at").alias("at"),
         "seq",
     )
+    found = log.filter(seq % 7 == 3).select(
+        text("https://s0.example.com/new/", seq % 1000).alias("url"), (seq % 4 + 1).cast("int").alias("depth"),
+        F.col("url").alias("parent"), F.lit("enqueue").alias("op"), F.col("fetched_at").alias("at"), "seq",
+    )
+    return own.unionByName(found)
 
 
 def page_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -212,7 +218,9 @@ def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             children,
             F.lit("</sitemapindex>"),
         )
-        return F.when(F.length(d) % 2 == 1, F.regexp_replace(plain, r"<(/?)(sitemapindex|sitemap|loc)\b", "<$1sm:$2")).otherwise(plain)
+        names = r"<(/?)(sitemapindex|sitemap|loc)\b"
+        dashed, dotted = F.regexp_replace(plain, names, "<$1s-m:$2"), F.regexp_replace(plain, names, "<$1s.m:$2")
+        return F.when(F.length(d) % 4 == 1, dashed).when(F.length(d) % 4 == 3, dotted).otherwise(plain)
 
     def nested(url: Column) -> Column:
         return F.concat(F.lit("<sitemap><loc>"), url, F.lit("</loc></sitemap>"))
@@ -290,13 +298,13 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redirect_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, status, location, headers) from ``part``: even keys lead to their half, odd ones end;
-    key 0 leads to itself; halves ending in 5 were answered with 503."""
+    """(url, status, location, headers) from ``part``: even keys lead to their half, odd ones end; keys that
+    leave 46 and 48 (mod 50) lead to each other, a loop; halves ending in 5 were answered with 503."""
     k = F.col("p_partkey")
-    half = F.floor(k / 2)
+    ahead = F.when(k % 50 == 46, k + 2).when(k % 50 == 48, k - 2).otherwise(F.floor(k / 2))
     location = F.when(
         k % 2 == 0,
-        F.when(k % 4 == 0, text("/p/", half)).otherwise(text("https://r.example.com/p/", half)),
+        F.when(k % 4 == 0, text("/p/", ahead)).otherwise(text("https://r.example.com/p/", ahead)),
     )
     return table(spark, sf_dir, "part").select(
         text("https://r.example.com/p/", k).alias("url"),
@@ -376,7 +384,8 @@ ORACLE_INPUTS = {
         SELECT url, seq % 4 AS depth,
                CASE WHEN seq % 5 <> 0 THEN 'https://s0.example.com/from/' || (seq % 100) END AS parent,
                CASE WHEN status IN (200, 404) THEN 'done' ELSE 'enqueue' END AS op,
-               fetched_at AS at_time, seq FROM fetch_log""",
+               fetched_at AS at_time, seq FROM fetch_log
+        UNION ALL SELECT 'https://s0.example.com/new/' || (seq % 1000), seq % 4 + 1, url, 'enqueue', fetched_at, seq FROM fetch_log WHERE seq % 7 = 3""",
     "page_urls": PAGE_URLS,
     "all_urls": PAGE_URLS,
     # Stands in for page_urls where the pages are stored: one per key.
@@ -447,8 +456,9 @@ ORACLE_INPUTS = {
               FROM page_urls)""",
     "part_keys": "SELECT p_partkey AS k, p_name AS name, p_brand AS brand, 'https://shop.example.com/part/' || p_partkey AS url FROM part",
     "redirect_responses": """
-        SELECT p_partkey AS k, 'https://r.example.com/p/' || p_partkey AS url,
-               CASE WHEN p_partkey % 2 = 0 THEN 301 WHEN p_partkey % 10 = 5 THEN 503 ELSE 200 END AS status FROM part""",
+        SELECT k, 'https://r.example.com/p/' || k AS url, CASE WHEN k % 2 = 0 THEN 301 WHEN k % 10 = 5 THEN 503 ELSE 200 END AS status, ahead,
+               CASE WHEN k % 2 = 1 THEN 'server=nginx' WHEN k % 4 = 0 THEN 'location=/p/' || ahead ELSE 'location=https://r.example.com/p/' || ahead END AS header
+        FROM (SELECT p_partkey AS k, CASE p_partkey % 50 WHEN 46 THEN p_partkey + 2 WHEN 48 THEN p_partkey - 2 ELSE p_partkey // 2 END AS ahead FROM part)""",
     "link_edges": """
         SELECT c_custkey AS s, unnest([2 * c_custkey, 2 * c_custkey + 1, c_nationkey + 1]) AS t, unnest([0, 1, 2]) AS ord FROM customer""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FETCH_LOG = (
@@ -71,8 +73,8 @@ def scan_robots_folder(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pages_from_log(log: DataFrame) -> DataFrame:
-    """HTML fetch results as page rows, keys in storage form, one per URL (the newest)."""
+def pages_from_log(log: DataFrame, hold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """HTML fetch results as page rows, keys in storage form, one per URL (the newest). ``hold``: as of ``newest_bodies``."""
     from silkgraph.functions.http import header, headers_normalize, is_retryable
     from silkgraph.functions.urls import site_key, url_kind, url_normalize_storage
     from silkgraph.operators.state import newest_bodies
@@ -89,4 +91,4 @@ def pages_from_log(log: DataFrame) -> DataFrame:
         F.col("text").alias("html"),
     )
     html = rows.filter((F.col("kind") == "html") & (F.coalesce("html", F.lit("")) != ""))
-    return newest_bodies(html, ["url"], ["fetched_at", "seq"])
+    return newest_bodies(html, ["url"], ["fetched_at", "seq"], hold)

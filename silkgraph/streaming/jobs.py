@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from silkgraph.functions.http import header, is_retryable, is_success, status_class
+from silkgraph.functions.http import failure_reason, header, is_retryable, is_success, status_class
 from silkgraph.operators.content import content_columns, has_content
 from silkgraph.operators.dom import EVERYTHING, scan_html
 from silkgraph.operators.links import inlink_counts, internal_links, links_of_scan
 from silkgraph.operators.reach import crawl_edges, crawl_reachability
 from silkgraph.operators.redirects import redirect_records
-from silkgraph.operators.retry import retry_state
+from silkgraph.operators.retry import next_retry_at, retry_state
 from silkgraph.operators.robots import canonicals, indexability, robots_directives
-from silkgraph.operators.scale import stored
+from silkgraph.operators.scale import RunFolder
 from silkgraph.operators.state import newest, newest_bodies, url_upsert
 from silkgraph.operators.structured import items_of_scan
 from silkgraph.functions.urls import host, url_classification, url_kind, url_normalize_storage
@@ -32,7 +34,7 @@ def batch_tables(
     ``hold`` is applied to the two intermediate results that several tables share, the settled page
     rows and their scan; the ingest job writes them so that the HTML is read once.
     """
-    pages = hold(pages_from_log(log))
+    pages = hold(pages_from_log(log, hold))
     target = url_normalize_storage(F.coalesce("final_url", "url"))
     url = url_normalize_storage(F.col("url"))
     observed = log.filter(~is_retryable(F.col("status"))).select(
@@ -66,7 +68,7 @@ def batch_tables(
         "pages": pages,
         "urls": url_upsert(observed, ("fetched_at", "seq")),
         "content": content,
-        "links": internal_links(links_of_scan(scanned.drop("url", "headers")), pages.select("url")),
+        "links": internal_links(links_of_scan(scanned.drop("url", "headers"))),
         "children": links_of_scan(scanned.drop("url", "headers")).select("source_url", F.col("link_url").alias("target_url"), F.col("link_no").alias("ord")),
         "directives": robots_directives(content),
         "canonicals": canonicals(content),
@@ -87,10 +89,11 @@ def stream_ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # what several tables share is written once to the shared folder, where every executor finds it
-        shared = stored(batch, "ingest-batch")
-        for name, df in batch_tables(shared, lambda part: stored(part, "ingest-part")).items():
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        # what several tables share is written once to the shared folder, where every executor finds it,
+        # and goes as soon as the tables of the batch are there
+        with RunFolder(batch.sparkSession, "ingest") as run:
+            for name, df in batch_tables(run.stored(batch), run.stored).items():
+                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
 
     return (
         log.writeStream.foreachBatch(write)
@@ -119,7 +122,7 @@ def of_newest_pages(spark, root: str, name: str, url: str = "url") -> DataFrame:
 
 def current_links(spark, root: str) -> DataFrame:
     """Links over all batches, with targets resolved against the pages of all batches."""
-    own = of_newest_pages(spark, root, "links", "source_url").drop("target_url")
+    own = of_newest_pages(spark, root, "links", "source_url")
     known = spark.read.parquet(f"{root}/pages").select(F.col("url").alias("target_url")).distinct()
     return own.join(known, own["href"] == known["target_url"], "left")
 
@@ -170,13 +173,13 @@ def current_urls(spark, root: str) -> DataFrame:
     )
 
 
-def stream_url_dedupe(log: DataFrame, delay: str | None = None, time: str = "fetched_at") -> DataFrame:
+def stream_url_dedupe(log: DataFrame, delay: str | None = None, at: str = "fetched_at") -> DataFrame:
     """First sight of every URL, once and for all: every URL stays in the state. With ``delay`` the state is
     bounded instead: a URL is forgotten after it (and then new again), and rows that late are dropped by Spark."""
     rows = log.withColumn("url", url_normalize_storage(F.col("url")))
     if delay is None:
         return rows.dropDuplicates(["url"])
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["url"])
+    return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(["url"])
 
 
 def stream_retry_state(
@@ -202,6 +205,90 @@ def stream_retry_state(
     )
 
 
+def retry_state_of(spark: SparkSession, checkpoint: str, delay: float = 1.0, factor: float = 2.0) -> DataFrame:
+    """``retry_state`` as a running or ended retry stream holds it, read from its state store: the columns of the
+    batch form and ``waiting``, whether its timer still stands, that is whether the watermark has not come to
+    ``next_retry_at`` yet.
+
+    Every variable of the state is read as a table of its own; they meet by URL, each reduced to one row.
+    """
+    def variable(name: str) -> DataFrame:
+        rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+        return rows.select(F.col("key.url").alias("url"), F.col("list_element" if "list_element" in rows.columns else "value").alias("v"))
+
+    settled = variable("settled").filter(F.col("v").isNotNull()).select("url", "v.n", "v.first_us", F.struct("v.us", "v.seq", "v.status").alias("last"))
+    held = variable("open").select("url", F.lit(1).cast("long").alias("n"), F.col("v.us").alias("first_us"), F.struct("v.us", "v.seq", "v.status").alias("last"))
+    timers = spark.read.format("statestore").option("readRegisteredTimers", True).load(checkpoint)
+    waiting = timers.select(F.col("key.url").alias("url")).distinct().withColumn("waiting", F.lit(True))
+    failed = settled.unionByName(held).groupBy("url").agg(F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last").alias("last"))
+    count = F.col("n") - 1
+    last = F.timestamp_seconds(F.floor(F.col("last.us") / 1_000_000))
+    return failed.join(waiting, "url", "left").select(
+        "url", F.col("last.status").alias("status_code"), failure_reason(F.col("last.status")).alias("failure_reason"),
+        count.alias("retry_count"), last.alias("last_retry_at"), next_retry_at(last, count, delay, factor).alias("next_retry_at"),
+        F.timestamp_seconds(F.floor(F.col("first_us") / 1_000_000)).alias("created_at"), F.coalesce("waiting", F.lit(False)).alias("waiting"),
+    )
+
+
+class FetchCounts(StreamingQueryListener):
+    """What a stream of outcome windows says of its batches: rows seen (observed under ``name``), and the rows
+    of the aggregation that came after their window was closed."""
+
+    def __init__(self, name: str):
+        self.name, self.batches = name, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            late = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+            self.batches[event.progress.batchId] = (seen["rows"], late)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    @property
+    def seen(self) -> int:
+        return sum(rows for rows, _ in self.batches.values())
+
+
+def drain_status_counts(
+    log: DataFrame, path: str, checkpoint: str, width: str = "10 minutes", delay: str = "1 day"
+) -> tuple[DataFrame, int, FetchCounts]:
+    """Windows of ``status_counts`` written once they are final, the number of outcomes that came too late for
+    theirs, and the counts of the batches.
+
+    Every outcome is in a final window, in one that is still open, or it was dropped: the rows seen are
+    observed while the stream runs, the open windows are read from its state store. What is left is the number dropped.
+    """
+    spark = log.sparkSession
+    counts = FetchCounts(f"fetches-{uuid.uuid4().hex}")
+    spark.streams.addListener(counts)
+    try:
+        seen = log.observe(counts.name, F.count(F.lit(1)).alias("rows"))
+        query = (
+            status_counts(seen, width, delay).writeStream.format("parquet").outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        last = query.lastProgress.batchId
+        for _ in range(100):  # progress comes to listeners a little later than the query ends
+            if last in counts.batches:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counts)
+    final = spark.read.schema("window_start timestamp, status_class string, fetches bigint").parquet(path)
+    still = spark.read.format("statestore").load(checkpoint).agg(F.coalesce(F.sum("value.count"), F.lit(0))).first()[0]
+    done = final.agg(F.coalesce(F.sum("fetches"), F.lit(0))).first()[0]
+    return final, counts.seen - done - still, counts
+
+
 def status_counts(log: DataFrame, width: str = "10 minutes", delay: str = "1 day") -> DataFrame:
     """Fetch outcomes per time window; on a stream, windows come out once the watermark passes, and an
     outcome more than ``delay`` behind the newest one is dropped by Spark."""

@@ -14,13 +14,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STATE_OUTPUT = (
     "url string, event string, status_code int, retry_count bigint, last_s bigint, next_s bigint"
 )
+#: Failures that no row to come can stand before: their number, the first time, the last place and status.
+SETTLED = "n bigint, first_us bigint, us bigint, seq bigint, status int"
+OPEN = "us bigint, seq bigint, status int"
+SUCCESS = "us bigint, seq bigint"
 
 
 class RetryProcessor(StatefulProcessor):
     """State of a URL: the place (fetched_at, seq) of its last success and the failures behind it.
 
     Rows may come in any order within the watermark: a failure counts iff it lies behind the last success,
-    as in the batch form. A success frees the failures before it; when the watermark has passed the last
+    as in the batch form. Failures that the watermark has passed are kept as a number with their first and last
+    place, since a later success ends all of them together; only those ahead of the watermark are
+    kept one by one. A success frees the failures before it; when the watermark has passed the last
     success of a URL without failures, nothing older can come and its state is freed as a whole.
     """
 
@@ -29,15 +35,21 @@ class RetryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.success = handle.getValueState("success", "us bigint, seq bigint")
-        self.failures = handle.getListState("failures", "us bigint, seq bigint, status int")
+        self.success = handle.getValueState("success", SUCCESS)
+        self.settled = handle.getValueState("settled", SETTLED)
+        self.open = handle.getListState("open", OPEN)
 
-    def _shown(self, failures):
+    def _failures(self):
+        """(settled failures or None, the others)."""
+        settled = tuple(self.settled.get()) if self.settled.exists() else None
+        return settled, [tuple(f) for f in self.open.get()] if self.open.exists() else []
+
+    def _shown(self, settled, held):
         """What a reader sees of the state: None, or status, retry count, last and next time."""
-        if not failures:
+        if not settled and not held:
             return None
-        us, _, status = max(failures)
-        count, last = len(failures) - 1, us // 1_000_000
+        us, _, status = max(held) if held else settled[2:]
+        count, last = (settled[0] if settled else 0) + len(held) - 1, us // 1_000_000
         return status, count, last, last + int(self.delay * self.factor**count)
 
     def _row(self, url, event, shown):
@@ -49,34 +61,47 @@ class RetryProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         success = tuple(self.success.get()) if self.success.exists() else (-1, -1)
-        held = [tuple(f) for f in self.failures.get()] if self.failures.exists() else []
-        before, known = self._shown(held), self.success.exists() or bool(held)
+        settled, held = self._failures()
+        before, known = self._shown(settled, held), self.success.exists() or bool(settled or held)
         for frame in rows:
             good = (frame["status"] >= 200) & (frame["status"] <= 299)
             success = max([success, *((int(u), int(s)) for u, s in zip(frame["us"][good], frame["seq"][good]))])
             bad = frame[~good]
             held += [(int(u), int(s), int(c)) for u, s, c in zip(bad["us"], bad["seq"], bad["status"])]
             held = [f for f in held if f[:2] > success]
-        shown = self._shown(held)
+        if settled and settled[2:4] < success:
+            settled = None
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        old = sorted(f for f in held if f[0] < passed)
+        if old:
+            held = [f for f in held if f[0] >= passed]
+            n, first, *last = settled or (0, old[0][0], *old[-1])
+            settled = (n + len(old), min(first, old[0][0]), *max(tuple(last), old[-1]))
+        shown = self._shown(settled, held)
+        if settled:
+            self.settled.update(settled)
+        else:
+            self.settled.clear()
         if held:
-            self.failures.put(held)
+            self.open.put(held)
         else:
-            self.failures.clear()
+            self.open.clear()
         if success > (-1, -1):
             self.success.update(success)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         self.handle.registerTimer(shown[3] * 1000 if shown else success[0] // 1000 + 1)
         if shown != before or not known:
             yield self._row(key[0], "failed" if shown else "cleared", shown)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        shown = self._shown([tuple(f) for f in self.failures.get()] if self.failures.exists() else [])
+        shown = self._shown(*self._failures())
         if shown:
             yield self._row(key[0], "ready", shown)
         else:
             self.success.clear()
-            self.failures.clear()
+            self.settled.clear()
+            self.open.clear()
 
     def close(self) -> None:
         pass

@@ -43,6 +43,8 @@ def check(name, run, sql, spark, sf_dir, con) -> str | None:
     want_names, want = rows_of_oracle(con, sql)
     if names != want_names:
         return f"columns {names} != {want_names}"
+    if not want:
+        return "nothing to compare: no rows on both sides"
     if got != want:
         extra = [r for r in got if r not in set(want)][:2] if len(got) < 50000 else []
         missing = [r for r in want if r not in set(got)][:2] if len(got) < 50000 else []

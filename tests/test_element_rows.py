@@ -12,9 +12,10 @@ WANT = {**EVERYTHING, "tags": None}
 def check(html):
     nodes, words, parsed = e.page_record(html, WANT)
     assert words >= 0 and (parsed or not nodes)
-    for at, (me, parent, end, tag, attrs, texts, path, scopes, raw) in enumerate(nodes):
+    for at, (me, parent, end, tag, attrs, texts, path, scopes, raw, parts) in enumerate(nodes):
         assert me == at and parent < me <= end < len(nodes)
         assert path.startswith("/[document]/") and (parent < 0 or nodes[parent][2] >= end)
+        assert parts is None or tag == "script"
         assert raw is None or (raw in html and raw.startswith("<"))
 
 
