@@ -1,20 +1,20 @@
 """LM scoring by a hashed maximum-entropy model with class-factored softmax.
 
-Counts of all words of the training texts are gathered first. The ``FREQUENT`` most common words (and the
-end of a text) fall into classes by frequency, every other word into a class by its first bytes; both kinds
-are the classes of one softmax over hashed features of the real words before: the word before (n-gram), the
-word before that (skip) and both (n-gram). The rows of these features follow the number of words, up to
-``MOST_BUCKETS``. Inside a class a second softmax chooses the word. Its base is a dense one over the symbol
-before for common words and the smoothed share for others; every pair of neighbouring words that the corpus
-has, unless both are common, adds a weight of its own. Words that never followed keep weight 0, so the
-normaliser of a word and a class is 1 plus a sum over the pairs seen.
-
-The likelihood depends on the corpus only through how often a class follows two words and a word a word.
-These events are counted over all training texts and stand in Spark tables that grow with the corpus. The
-class weights are trained by gradient updates, each over one slice of the events (all of them if they are
-few), that Spark computes in parts, sums by blocks of rows and sends once. The weights of a pair depend only
-on the pairs of the same word and class, which are solved where they are. Scoring is one pass in numpy
-batches; the counts of words too rare for the tasks' dictionary and the weights of pairs are joined afterwards.
+Counts of all words of the training texts are gathered first, in a table that grows with the corpus. Words fall into
+classes by their spelling: the closest of ``CLASSES`` centroids of letter pairs, found by k-means over that table. The
+end of a text is a class of its own. A word's probability has three factors:
+
+1. its class, a softmax over features of the words before it: the word before (n-gram), the word before that (skip),
+   both (n-gram), and their classes, the one before them included. Words are hashed into the rows of one table of weights.
+2. its slot in the class, a softmax over the word before and its class, each with the class. The most common words of a
+   class have a slot of their own, the next ones share some, and all words outside the tasks' dictionary the last.
+3. its smoothed share of the slot.
+
+Both softmaxes start from the counts and are trained by gradient updates. A step sees one slice of the texts, and all
+slices but one are seen once: tasks sum the gradient over their texts, blocks of rows are summed in a shuffle, and the driver
+moves the weights by the sums, damped so that what was seen a few times stays near zero (``DAMPING`` is the penalty).
+The last slice tells how far the weights of hashed words may be trusted: the best of ``TRUST`` scales them.
+Scoring is one pass in numpy batches; only the counts of words outside the dictionary are joined afterwards.
 """
 
 from __future__ import annotations
@@ -27,342 +27,339 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import written
+from .shared import written, written_by
 from .tokens import BLANKS, LOWER, looked_up, mixed, rows_of, slices, words
 
-FREQUENT = 500
-CLASSES = 24
-RARE = 32
-#: Rows of the class features, at least and at most; in between one for ``SHARE`` different words.
-BUCKETS, MOST_BUCKETS, SHARE = 1 << 13, 1 << 15, 8
-#: Different events of a gradient task, words of the texts for a task that solves pairs, rows of a sum.
-PART_EVENTS, PART_WORDS, BLOCK_ROWS = 1 << 20, 1 << 20, 1 << 9
-#: Variance of the prior of a pair's weight, and the steps of its solution.
-VARIANCE, STEPS = 1.5, 15
-DICTIONARY = 1 << 18
+CLASSES = 32
+SLOTS, OWN = 64, 40
+#: Rows of hashed words; classes before have rows of their own behind them.
+ROWS = 1 << 14
+#: Kinds of letter pairs, rounds of the k-means, and the common words among which its centroids begin.
+PAIRS, ROUNDS, SEEDS = 256, 6, 4096
+DICTIONARY, LONGEST = 1 << 18, 64
+STEPS, RATE, DAMPING = 12, 0.5, 60.0
+TRUST = (0.0, 0.5, 1.0)
 #: Smoothing of word counts, the same as in the base score.
 ADD = 0.1
 END = np.uint64(0)
 #: Stands before the first word.
 START = np.uint64(1)
-#: Bits of a word in a context, and of a class beside it.
-WORD_BITS, CLASS_BITS = 28, 7
+#: Tokens that are worked on together, and the rows of a block of sums.
+BLOCK, SUM_ROWS = 1 << 14, 1 << 12
+#: Sums travel as half floats, divided by this.
+SCALE = 64.0
 
 
 @dataclass
 class Model:
-    """Dictionary (sorted hashes, counts, symbols), classes and weights. Symbol 0 is the end of a text, then
-    come the common words, then the classes of the others; the last number marks the start of a text."""
+    """Dictionary (sorted hashes with count, class and slot), spelling centroids, and weights. Class ``CLASSES`` is
+    the end of a text, and as a context also its start."""
 
     keys: np.ndarray
     counts: np.ndarray
-    symbols: np.ndarray
+    classes: np.ndarray
+    slots: np.ndarray
     tokens: int
     types: int
     end_count: int
-    class_of: np.ndarray
-    rare_total: np.ndarray
-    weights: np.ndarray
-    bias: np.ndarray
-    inner: np.ndarray
-    #: Table of the pairs' keys and weights; stays on the driver.
-    pairs: DataFrame | None = None
+    letters: np.ndarray
+    mass: np.ndarray
+    class_bias: np.ndarray
+    slot_bias: np.ndarray
+    class_weights: np.ndarray
+    slot_weights: np.ndarray
 
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "pairs": None}
 
-    @property
-    def common(self) -> int:
-        return len(self.class_of)
+def hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, where each word begins, and the first word of each row."""
+    h, place, first = words(raw, at)
+    h[h <= START] = np.uint64(2)
+    return h, place, first
+
+
+def spelled(raw: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes of the words that begin at ``place``, and their offsets."""
+    stop = BLANKS[raw]
+    bounds = np.union1d(np.flatnonzero(stop), at)
+    size = bounds[np.searchsorted(bounds, place, side="right")] - place
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return LOWER[raw[np.arange(offsets[-1]) + np.repeat(place - offsets[:-1], size)]], offsets
+
+
+def letter_pairs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of all letter pairs of words, their blank ends included, and the word of each."""
+    size = np.diff(offsets)
+    word = np.repeat(np.arange(len(size)), size + 1)
+    place = np.arange(len(word)) - np.repeat(offsets[:-1] + np.arange(len(size)), size + 1)
+    at = np.repeat(offsets[:-1], size + 1) + place
+    total = np.repeat(size, size + 1)
+    padded = np.append(raw, np.uint8(32)).astype(np.int64)
+    left = np.where(place == 0, 32, padded[np.maximum(at - 1, 0)])
+    right = np.where(place == total, 32, padded[np.minimum(at, len(raw))])
+    return (left * 181 + right * 59 + (left ^ right) // 8) % PAIRS, word
+
+
+def spelling_class(raw: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The closest centroid of each word; words in slices of bounded bytes."""
+    out = np.zeros(len(offsets) - 1, dtype=np.int64)
+    low = 0
+    while low < len(out):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (1 << 17), side="right")) - 1)
+        kind, word = letter_pairs(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        out[low:high] = np.add.reduceat(letters[kind], starts, axis=0).argmax(axis=1)
+        low = high
+    return out
 
-    @property
-    def size(self) -> int:
-        return self.common + RARE
 
-    @property
-    def classes(self) -> int:
-        return int(self.class_of.max(initial=0)) + 1 + RARE
+def letter_vectors(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of letter pairs, a row of length one for each word."""
+    kind, word = letter_pairs(raw, offsets)
+    out = np.bincount(word * PAIRS + kind, minlength=(len(offsets) - 1) * PAIRS).reshape(-1, PAIRS).astype(np.float32)
+    return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
 
 
-def hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes whose lowest bits are the word's spelling class, and the first word of each row."""
-    h, place, first = words(raw, at)
-    if not len(h):
-        return h, first
-    ends = np.zeros(len(raw) + 1, dtype=bool)
-    ends[at] = True
-    one = LOWER[raw[place]].astype(np.int64)
-    after = np.minimum(place + 1, len(raw) - 1)
-    two = np.where(ends[place + 1] | BLANKS[raw[after]], 0, LOWER[raw[after]]).astype(np.int64)
-    spelled = (one * 37 + two * 11 + (two >> 4)) % RARE
-    h = (h & ~np.uint64(RARE - 1)) | spelled.astype(np.uint64)
-    h[h == END] = np.uint64(RARE)
-    return h, first
-
-
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
-
-
-class Tally:
-    """Counts of keys, handed on whenever they take more than ``most`` entries."""
-
-    def __init__(self, most: int = 1 << 20):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held, self.most = 0, most
-
-    def add(self, keys: np.ndarray) -> None:
-        found, n = np.unique(keys, return_counts=True)
-        self.parts.append((found, n))
-        self.held += len(found)
-
-    def full(self) -> bool:
-        if self.held > self.most:
-            self.parts = [merged(self.parts)]
-            self.held = len(self.parts[0][0])
-        return self.held > self.most // 2
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = merged(self.parts) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.parts, self.held = [], 0
-        return out
+def _text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = column.cast(pa.binary())
+    at = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[at[0] : at[-1]] if raw.buffers()[2] is not None and len(raw) else np.zeros(0, np.uint8)
+    return data, at - at[0]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally, rows = Tally(), 0
-
-    def out() -> pa.RecordBatch:
-        keys, n = tally.take()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
-
+    """(h, word, n) of all words, summed inside slices; h 0 counts the texts."""
+    rows = 0
+    names = ["h", "word", "n"]
     for batch in batches:
         rows += batch.num_rows
         for _, _, raw, at in slices(batch.column("text")):
-            tally.add(hashed(raw, at)[0])
-            if tally.full():
-                yield out()
-    yield out()
+            h, place, _ = hashed(raw, at)
+            if len(h):
+                every, one, n = np.unique(h, return_index=True, return_counts=True)
+                data, offsets = spelled(raw, at, place[one])
+                text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(every), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), text.cast(pa.large_string()).cast(pa.string()), pa.array(n)], names=names)
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([rows])], names=["h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([""]), pa.array([rows])], names=names)
+
+
+def _cluster(letters: np.ndarray):
+    """Task function: sums of the vectors nearest to each centroid, weighted by the root of their counts."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(letters.T), PAIRS))
+        for batch in batches:
+            for low in range(0, len(batch), 4096):
+                part = batch.slice(low, 4096)
+                vectors = letter_vectors(*_text_buffers(part.column("word")))
+                nearest = (vectors @ letters).argmax(axis=1)
+                weight = np.sqrt(part.column("n").to_numpy())[:, None]
+                order = np.argsort(nearest, kind="stable")
+                heads = np.flatnonzero(np.diff(nearest[order], prepend=-1))
+                out[nearest[order][heads]] += np.add.reduceat((vectors * weight)[order], heads, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["sums"])
+
+    return sums
+
+
+def centroids(counts: DataFrame, common: pa.Array) -> np.ndarray:
+    """Spelling classes as columns of letter-pair weights: k-means by cosine over all words of at most ``LONGEST``
+    bytes, from the farthest among common ones. A task returns one sum for each class."""
+    vectors = letter_vectors(*_text_buffers(common))
+    chosen = [0]
+    near = vectors @ vectors[0]
+    while len(chosen) < CLASSES:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, vectors @ vectors[chosen[-1]])
+    out = vectors[chosen].T.copy()
+    rows = counts.filter((F.col("h") != 0) & (F.octet_length("word") <= LONGEST)).select("word", "n")
+    for _ in range(ROUNDS):
+        total = np.zeros((CLASSES, PAIRS))
+        for r in rows.mapInArrow(_cluster(out), "sums binary").toLocalIterator():
+            total += np.frombuffer(r["sums"], dtype="<f8").reshape(CLASSES, PAIRS)
+        length = np.sqrt((total**2).sum(axis=1, keepdims=True))
+        out = np.where(length > 0, total / np.maximum(length, 1e-12), out.T).T.astype(np.float32)
+    return out
 
 
 @dataclass
 class Tokens:
-    """All tokens with the end of each row put in: symbol, symbol before, hash, hash before, context (the two
-    words before as one number), count (-1 if it is not in the dictionary, ends included) and row."""
-
-    s0: np.ndarray
-    s1: np.ndarray
-    h0: np.ndarray
-    h1: np.ndarray
-    context: np.ndarray
+    """All tokens with the end of each row put in: hash, class, slot, count (-1 outside the dictionary), row, the two
+    hashes before, and the three classes before."""
+
+    h: np.ndarray
+    kind: np.ndarray
+    slot: np.ndarray
     count: np.ndarray
     row: np.ndarray
+    before: list[np.ndarray]
+    kinds: list[np.ndarray]
 
-    def paired(self, m: Model) -> np.ndarray:
-        """Tokens whose pair with the word before has a weight of its own: not both are common."""
-        return (self.s0 >= m.common) | ((self.s1 >= m.common) & (self.s1 < m.size))
 
-
-def stream(h: np.ndarray, first: np.ndarray, m: Model) -> Tokens:
+def stream(raw: np.ndarray, at: np.ndarray, m: Model) -> Tokens:
+    h, place, first = hashed(raw, at)
     where, known = looked_up(m.keys, h)
-    symbol = m.common + (h & np.uint64(RARE - 1)).astype(np.int64)
-    count = np.full(len(h), -1, dtype=np.int64)
+    kind, slot, count = np.zeros(len(h), np.int64), np.full(len(h), SLOTS - 1), np.full(len(h), -1)
     if len(m.keys):
-        count[known] = m.counts[where[known]]
-        own = m.symbols[where]
-        symbol = np.where(known & (own > 0), own, symbol)
+        kind[known], slot[known], count[known] = m.classes[where[known]], m.slots[where[known]], m.counts[where[known]]
+    away = np.flatnonzero(~known)
+    if len(away):
+        _, one, back = np.unique(h[away], return_index=True, return_inverse=True)
+        kind[away] = spelling_class(*spelled(raw, at, place[away[one]]), m.letters)[back]
     rows = len(first) - 1
-    spot = np.arange(len(h)) + rows_of(first)
-    last = first[1:] + np.arange(rows)
     total = len(h) + rows
-    s0, c, h0 = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64), np.full(total, END, dtype=np.uint64)
-    s0[spot], c[spot], h0[spot] = symbol, count, h
-    c[last] = m.end_count
-    row = np.zeros(total, dtype=np.int64)
-    row[spot], row[last] = rows_of(first), np.arange(rows)
+    spot, last = np.arange(len(h)) + rows_of(first), first[1:] + np.arange(rows)
     begin = first[:-1] + np.arange(rows)
-    second = begin[np.diff(first) > 0] + 1
-    s1, h1, h2 = np.full(total, m.size, dtype=np.int64), np.full(total, START, dtype=np.uint64), np.full(total, START, dtype=np.uint64)
-    s1[1:], h1[1:], h2[2:] = s0[:-1], h0[:-1], h0[:-2]
-    s1[begin], h1[begin], h2[begin], h2[second] = m.size, START, START, START
-    shift = np.uint64(64 - WORD_BITS)
-    one, two = ((x * np.uint64(0xD1B54A32D192ED03)) >> shift for x in (h1, h2))
-    return Tokens(s0, s1, h0, h1, ((two << np.uint64(WORD_BITS)) | one).astype(np.int64), c, row)
-
-
-def feature_rows(context: np.ndarray, m: Model) -> list[np.ndarray]:
-    """Rows of the features of contexts (two words as one number): n-gram, skip, both."""
-    out = []
-    for kind, value in enumerate((context & ((1 << WORD_BITS) - 1), context >> WORD_BITS, context)):
-        h = mixed((value.astype(np.uint64) * np.uint64(3) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15))
-        out.append((h & np.uint64(len(m.weights) - 1)).astype(np.int64))
-    return out
+    row = np.repeat(np.arange(rows), np.diff(first) + 1)
 
+    def whole(values: np.ndarray, end) -> np.ndarray:
+        out = np.full(total, end, dtype=values.dtype)
+        out[spot] = values
+        return out
+
+    def behind(values: np.ndarray, steps: int, start) -> np.ndarray:
+        out = np.full(total, start, dtype=values.dtype)
+        out[steps:] = values[: total - steps]
+        for step in range(steps):
+            early = begin + step
+            early = early[early <= last]
+            out[early] = start
+        return out
+
+    h, kind, slot, count = whole(h, END), whole(kind, CLASSES), whole(slot, 0), whole(count, m.end_count)
+    return Tokens(h, kind, slot, count, row, [behind(h, k, START) for k in (1, 2)], [behind(kind, k, CLASSES) for k in (1, 2, 3)])
+
+
+def class_rows(t: Tokens, own: slice) -> list[np.ndarray]:
+    """Rows of the features of a class: hashed words first, then classes."""
+    one, two = (b[own] for b in t.before)
+    c1, c2, c3 = (k[own] for k in t.kinds)
+    wide = CLASSES + 1
+    both = mixed(two * np.uint64(0x9E3779B97F4A7C15) + one)
+    hashes = [(mixed(x * np.uint64(3) + np.uint64(k)) & np.uint64(ROWS - 1)).astype(np.int64) for k, x in enumerate((one, two, both))]
+    return [*hashes, ROWS + c1, ROWS + wide + c1 * wide + c2, ROWS + wide + wide**2 + c2 * wide + c3]
+
+
+def slot_rows(t: Tokens, own: slice) -> list[np.ndarray]:
+    """Rows of the features of a slot, which know the class."""
+    kind = t.kind[own]
+    word = (mixed(t.before[0][own] * np.uint64(CLASSES + 1) + kind.astype(np.uint64)) & np.uint64(ROWS - 1)).astype(np.int64)
+    return [word, ROWS + t.kinds[0][own] * (CLASSES + 1) + kind]
 
-def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Keys of a word and the word after it, or (numbers below 2^32) the class after it."""
-    return mixed(before * np.uint64(0x2545F4914F6CDD1D) + mixed(after * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
 
+#: Rows of the two tables.
+CLASS_ROWS = ROWS + (CLASSES + 1) + 2 * (CLASSES + 1) ** 2
+SLOT_ROWS = ROWS + (CLASSES + 1) ** 2
 
-def class_logs(context: np.ndarray, m: Model) -> np.ndarray:
-    """Log-probabilities of all classes, a row per context."""
-    z = m.bias + sum(m.weights[f] for f in feature_rows(context, m))
-    z -= z.max(axis=1, keepdims=True)
+
+def softmax_logs(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def inner_logs(m: Model) -> np.ndarray:
-    """Log-probability of each common word inside its class, a row per symbol before it."""
-    out = m.inner.astype(np.float64).copy()
-    for c in range(int(m.class_of.max(initial=0)) + 1):
-        own = m.class_of == c
-        z = out[:, own] - out[:, own].max(axis=1, keepdims=True)
-        out[:, own] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return out
+def factor_logs(t: Tokens, own: slice, m: Model) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Log-probabilities of all classes and of all slots of the token's class, and the rows that they come from."""
+    first, second = class_rows(t, own), slot_rows(t, own)
+    classes = softmax_logs(sum((m.class_weights[f] for f in first), m.class_bias))
+    slots = softmax_logs(sum((m.slot_weights[f] for f in second), m.slot_bias[t.kind[own]]))
+    return classes, slots, first, second
 
 
-def symbol_class(symbol: np.ndarray, m: Model) -> np.ndarray:
-    table = np.concatenate([m.class_of, int(m.class_of.max(initial=0)) + 1 + np.arange(RARE)])
-    return table[symbol]
+def blocks_of(t: Tokens) -> Iterator[slice]:
+    for low in range(0, len(t.h), BLOCK):
+        yield slice(low, min(low + BLOCK, len(t.h)))
 
 
-def event_counter(shared):
-    """Task function: counts of (context, class), ``grp`` 0, and of (symbol before, common word), ``grp`` 1."""
+def added(sums: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    order = np.argsort(rows, kind="stable")
+    heads = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    sums[rows[order][heads]] += np.add.reduceat(values[order], heads, axis=0)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        tallies = Tally(), Tally()
 
-        def out(kind: int) -> pa.RecordBatch:
-            keys, n = tallies[kind].take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["grp", "key", "n"])
+def gradient(t: Tokens, m: Model, class_sums: np.ndarray, slot_sums: np.ndarray) -> None:
+    """Add the gradient of the log-likelihood of tokens to the sums."""
+    for own in blocks_of(t):
+        classes, slots, first, second = factor_logs(t, own, m)
+        at = np.arange(len(classes))
+        miss = -np.exp(classes)
+        miss[at, t.kind[own]] += 1
+        for f in first:
+            added(class_sums, f, miss)
+        words_only = np.flatnonzero(t.kind[own] < CLASSES)  # the end of a text has one slot
+        miss = -np.exp(slots[words_only])
+        miss[np.arange(len(miss)), t.slot[own][words_only]] += 1
+        for f in second:
+            added(slot_sums, f[words_only], miss)
+
 
+def _gradients(shared):
+    """Task function: the gradient over the texts of a part, by blocks of rows of the two tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        sums = [np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32)]
+        seen = False
         for batch in batches:
             for _, _, raw, at in slices(batch.column("text")):
-                t = stream(*hashed(raw, at), m)
-                tallies[0].add(((t.context << CLASS_BITS) | symbol_class(t.s0, m)).astype(np.uint64))
-                common = t.s0 < m.common
-                tallies[1].add((t.s1[common] * m.common + t.s0[common]).astype(np.uint64))
-                for kind in (0, 1):
-                    if tallies[kind].full():
-                        yield out(kind)
-        yield out(0)
-        yield out(1)
+                gradient(stream(raw, at, m), m, *sums)
+                seen = True
+        if seen:
+            places = [(k, low) for k, x in enumerate(sums) for low in range(0, len(x), SUM_ROWS)]
+            blobs = [packed(sums[k][low : low + SUM_ROWS]) for k, low in places]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in places], pa.int32()), pa.array([low for _, low in places], pa.int32()), pa.array(blobs, pa.binary())], names=["side", "low", "sums"]
+            )
 
-    return count
+    return run
 
 
-def class_gradient(shared):
-    """Task function: blocks of rows of the gradient of the log-likelihood over the (context, class) events of a
-    part; the last block is that of the bias."""
+def packed(x: np.ndarray) -> bytes:
+    return (x / SCALE).astype("<f2").tobytes()
 
-    def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        key, times = table.column("key").to_numpy(), table.column("n").to_numpy().astype(float)
-        classes = m.classes
-        weights, bias = np.zeros_like(m.weights), np.zeros(classes)
-        order = np.argsort(key)
-        key, times = key[order], times[order]
-        every, at = np.unique(key >> CLASS_BITS, return_inverse=True)
-        kind = key & ((1 << CLASS_BITS) - 1)
-        step = 1 << 14
-        for low in range(0, len(every), step):  # contexts in blocks, so that memory stays bounded
-            context = every[low : low + step]
-            i, j = np.searchsorted(at, [low, low + len(context)])
-            seen = np.bincount((at[i:j] - low) * classes + kind[i:j], times[i:j], len(context) * classes).reshape(-1, classes)
-            miss = seen - seen.sum(axis=1, keepdims=True) * np.exp(class_logs(context, m))
-            bias += miss.sum(axis=0)
-            for f in feature_rows(context, m):
-                o = np.argsort(f, kind="stable")
-                heads = np.flatnonzero(np.diff(f[o], prepend=-1))
-                weights[f[o][heads]] += np.add.reduceat(miss[o], heads, axis=0)
-        starts = range(0, len(weights), BLOCK_ROWS)
-        blobs = [weights[k : k + BLOCK_ROWS].astype("<f4").tobytes() for k in starts] + [bias.astype("<f4").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "sums"])
-
-    return gradient
-
-
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype="<f2").astype(np.float32) * SCALE
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of blobs by block; all of a block are in this task."""
-    sums: dict[int, np.ndarray] = {}
+    sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-            part = np.frombuffer(blob.as_buffer(), dtype="<f4").astype(float)
-            sums[block] = sums[block] + part if block in sums else part
-    blobs = [x.astype("<f4").tobytes() for x in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "sums"])
+        for side, low, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            sums[side, low] = sums.get((side, low), 0) + unpacked(blob)
+    for (side, low), x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([low], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], names=["side", "low", "sums"])
 
 
-def pair_counter(shared):
-    """Task function: counts of pairs of words, with the class of the second and the one of both whose pairs
-    may meet in a task: the second, or before a common word the first."""
+SUMS = "side int, low int, sums binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for _, _, raw, at in slices(batch.column("text")):
-                t = stream(*hashed(raw, at), m)
-                own = np.flatnonzero(t.paired(m))
-                _, one, n = np.unique(pair_keys(t.h1[own], t.h0[own]), return_index=True, return_counts=True)
-                own = own[one]
-                a, b, kind = t.h1[own], t.h0[own], symbol_class(t.s0[own], m)
-                home = np.where(t.s0[own] < m.common, a, b)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.view(np.int64)) for x in (home, a, b)), pa.array(kind.astype(np.int32)), pa.array(n)], names=["home", "a", "b", "kind", "n"]
-                )
 
-    return count
+def trusted(m: Model, scale: float) -> Model:
+    """The model with the weights of hashed words taken times ``scale``."""
+    out = Model(**m.__dict__)
+    out.class_weights, out.slot_weights = m.class_weights.copy(), m.slot_weights.copy()
+    out.class_weights[:ROWS] *= scale
+    out.slot_weights[:ROWS] *= scale
+    return out
 
 
-def solved(a: np.ndarray, kind: np.ndarray, n: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of pairs sorted by (a, kind), the first pair of each such group and the logarithm of its
-    normaliser. ``base`` is the probability of the second word in its class without weights."""
-    heads = np.flatnonzero((np.diff(a.view(np.int64), prepend=0) != 0) | (np.diff(kind, prepend=-1) != 0) | (np.arange(len(a)) == 0))
-    size = np.diff(np.append(heads, len(a)))
-    total = np.repeat(np.add.reduceat(n, heads), size)
-    # what the words without a weight keep; below it stays what a smoothed unseen word has
-    rest = np.maximum(1 - np.add.reduceat(base, heads), 0.0)
-    weight = np.zeros(len(a))
-    for _ in range(STEPS):
-        mass = base * np.exp(weight)
-        norm = rest + np.add.reduceat(mass, heads)
-        expected = total * mass / np.repeat(norm, size)
-        weight += np.clip((n - expected - weight / VARIANCE) / (expected + 1 / VARIANCE), -1, 1)
-    return weight, heads, np.log(rest + np.add.reduceat(base * np.exp(weight), heads))
+def _likelihoods(shared):
+    """Task function: the log-likelihood of a part's classes and slots for each scale of ``TRUST``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [trusted(shared.value, s) for s in TRUST]
+        sums = [0.0] * len(models)
+        for batch in batches:
+            for _, _, raw, at in slices(batch.column("text")):
+                t = stream(raw, at, models[0])
+                for own in blocks_of(t):
+                    at_own = np.arange(own.stop - own.start)
+                    for i, m in enumerate(models):
+                        classes, slots, _, _ = factor_logs(t, own, m)
+                        sums[i] += float(classes[at_own, t.kind[own]].sum() + slots[at_own, t.slot[own]].sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["scale", "value"])
 
-def pair_solver(shared):
-    """Task function: of all pairs of a word and a class the keys with weight less normaliser, and for the
-    words that never followed the key of word and class with the normaliser alone; as log10."""
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        a, b = (table.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
-        kind, n, c = (table.column(c).to_numpy() for c in ("kind", "n", "c"))
-        order = np.lexsort((b, kind, a))
-        a, b, kind, n, c = a[order], b[order], kind[order].astype(np.int64), n[order].astype(float), c[order]
-        first_rare = m.classes - RARE
-        base = (c + ADD) / m.rare_total[np.maximum(kind - first_rare, 0)]
-        common = np.flatnonzero(kind < first_rare)
-        if len(common):
-            where, known = looked_up(m.keys, b[common])
-            word = np.where(known, m.symbols[where], 0) if len(m.keys) else np.zeros(len(common), np.int64)
-            base[common] = np.exp(inner_logs(m)[m.common + (a[common] & np.uint64(RARE - 1)).astype(np.int64), word])
-        weight, heads, norm = solved(a, kind, n, base)
-        value = (weight - np.repeat(norm, np.diff(np.append(heads, len(a))))) / math.log(10)
-        for k, v in ((pair_keys(a, b), value), (pair_keys(a[heads], kind[heads].astype(np.uint64)), -norm / math.log(10))):
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(v)], names=["k", "v"])
-
-    return solve
+    return run
 
 
 def dictionary(counts: DataFrame, most: int) -> pa.Table:
@@ -377,175 +374,132 @@ def dictionary(counts: DataFrame, most: int) -> pa.Table:
     return counts.filter(level >= least if least is not None else F.lit(False)).toArrow()
 
 
-def learn(docs: DataFrame, text: str = "text", rounds: int = 16, rate: float = 0.2) -> tuple[Model, DataFrame]:
-    """Model and the table of word counts (h, n) from all rows of ``docs``.
+def slots_of(classes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Slot of each dictionary word in its class: one for each of the most common, equal shares for the others."""
+    out = np.zeros(len(n), dtype=np.int64)
+    shared = SLOTS - 1 - OWN
+    for c in np.unique(classes):
+        own = np.flatnonzero(classes == c)
+        own = own[np.lexsort((own, -n[own]))]
+        out[own[:OWN]] = np.arange(min(OWN, len(own)))
+        rest = own[OWN:]
+        if len(rest):
+            out[rest] = OWN + np.minimum((np.cumsum(n[rest]) / n[rest].sum() * shared).astype(np.int64), shared - 1)
+    return out
+
 
-    What is sent to the driver and to tasks at once is bounded: ``DICTIONARY`` words, ``MOST_BUCKETS`` times the
-    classes, and the common words squared. The tables of events and of pairs grow with the corpus. NULL and
-    blank texts count as texts without words.
+def _rest_mass(keys: np.ndarray, letters: np.ndarray):
+    """Task function: by class, the counts and the number of the words outside the dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, types = np.zeros(CLASSES), np.zeros(CLASSES)
+        for batch in batches:
+            _, known = looked_up(keys, batch.column("h").to_numpy().view(np.uint64))
+            away = np.flatnonzero(~known)
+            if len(away):
+                kind = spelling_class(*_text_buffers(batch.column("word").take(pa.array(away))), letters)
+                total += np.bincount(kind, batch.column("n").to_numpy()[away], CLASSES)
+                types += np.bincount(kind, minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(total), pa.array(types)], names=["kind", "total", "types"])
+
+    return run
+
+
+def learn(docs: DataFrame, text: str = "text", steps: int = STEPS) -> tuple[Model, DataFrame]:
+    """Model and the table of word counts (h, word, n) from all rows of ``docs``.
+
+    What is sent to the driver and to tasks at once is bounded: ``DICTIONARY`` words of ``LONGEST`` bytes and the rows
+    of the two tables of weights. The table of words and what is summed for the gradients grow with the corpus. NULL
+    and blank texts count as texts without words.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(text).alias("text"))
-    counts = written(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
+    # dealt in turn to the slices of the steps; the last slice is kept aside
+    texts = docs.select(F.col(text).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(steps + 1)).cast("int").alias("turn"))
+    counts = texts.select("text").mapInArrow(_word_counts, "h long, word string, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "lm-words")
     whole = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).first()
-    top = dictionary(counts.filter("h <> 0"), DICTIONARY)
+    top = dictionary(counts.filter((F.col("h") != 0) & (F.octet_length("word") <= LONGEST)), DICTIONARY)
     keys, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.lexsort((keys, -n))[:FREQUENT]
-    end = counts.filter("h = 0").collect()
-    end_count = end[0]["n"] if end else 0
-    # classes of equal share of the root of frequency, 64 words at most; the end of a text is a class alone
-    root = np.sqrt(n[order].astype(float))
-    class_of = np.zeros(len(order) + 1, dtype=np.int64)
-    if len(order):
-        place = np.minimum((np.cumsum(root) / root.sum() * CLASSES).astype(np.int64), CLASSES - 1)
-        members = np.arange(len(order)) - np.searchsorted(place, place)
-        split = place * (FREQUENT // 64 + 1) + members // 64
-        class_of[1:] = np.unique(split, return_inverse=True)[1] + 1
-    symbols = np.zeros(len(keys), dtype=np.int64)
-    symbols[order] = np.arange(1, len(order) + 1)
-    spelled = counts.filter("h <> 0").groupBy(F.col("h").bitwiseAND(F.lit(RARE - 1)).alias("kind")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
-    total, types = np.zeros(RARE), np.zeros(RARE)
-    for r in spelled:
-        total[r["kind"]], types[r["kind"]] = r["n"], r["types"]
-    np.subtract.at(total, (keys[order] & np.uint64(RARE - 1)).astype(np.int64), n[order])
-    np.subtract.at(types, (keys[order] & np.uint64(RARE - 1)).astype(np.int64), 1)
-    by_key = np.argsort(keys)
-    common = len(class_of)
-    classes = int(class_of.max(initial=0)) + 1 + RARE
-    buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << (whole["types"] // SHARE).bit_length()))
-    model = Model(
-        keys[by_key], n[by_key], symbols[by_key], int(whole["tokens"] or 0), int(whole["types"]), int(end_count), class_of,
-        total + ADD * (types + 1), np.zeros((buckets, classes), np.float32), np.zeros(classes), np.zeros((common + RARE + 1, common), np.float32),
-    )
-    mass = np.concatenate([[end_count], n[order]]).astype(float) + ADD
-    model.bias = np.log(np.concatenate([np.bincount(class_of, mass), total + ADD]))
-    model.inner += np.log(mass)
-    if not model.tokens:
-        return model, counts
-    shared = spark.sparkContext.broadcast(model)
-    events = written(
-        texts.mapInArrow(event_counter(shared), "grp int, key long, n long").groupBy("grp", "key").agg(F.sum("n").alias("n")), "lm-events"
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    spelling = pa.concat_arrays([*top.column("word").chunks, pa.array([], pa.string())]).take(pa.array(order))
+    end = counts.filter("h = 0").agg(F.sum("n")).first()[0] or 0
+    best = np.lexsort((keys, -n))[:SEEDS]
+    letters = centroids(counts, spelling.take(pa.array(best))) if len(keys) else np.zeros((PAIRS, CLASSES), np.float32)
+    classes = spelling_class(*_text_buffers(spelling), letters) if len(keys) else np.zeros(0, np.int64)
+    slots = slots_of(classes, n)
+    mass = np.zeros((CLASSES + 1, SLOTS))
+    np.add.at(mass, (classes, slots), n + ADD)
+    rest = counts.filter("h <> 0").mapInArrow(_rest_mass(keys, letters), "kind int, total double, types double")
+    for r in rest.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("types").alias("types")).collect():
+        mass[r["kind"], SLOTS - 1] += r["total"] + ADD * r["types"]
+    mass[:CLASSES, SLOTS - 1] += ADD  # a word that was never seen
+    mass[CLASSES, 0] = end + ADD
+    with np.errstate(divide="ignore"):
+        slot_bias = np.maximum(np.log(mass), -1e3)
+    m = Model(
+        keys, n, classes, slots, int(whole["tokens"] or 0), int(whole["types"]), int(end), letters, mass, np.log(mass.sum(axis=1)), slot_bias,
+        np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32),
     )
-    shared.unpersist()
-    inner_fit(model, events.filter("grp = 1").select("key", "n").toArrow(), rounds, rate)
-    contexts = events.filter("grp = 0").select("key", "n")
-    number = contexts.count()
-    # a step sees all events if they are few, else a slice of them; every event is seen
-    turns = min(rounds, max(1, math.ceil(number / PART_EVENTS)))
-    parts = max(1, math.ceil(number / turns / PART_EVENTS))
-    turn = F.pmod(F.xxhash64(F.shiftright("key", CLASS_BITS)), F.lit(turns))
-    state = [np.zeros(model.weights.size + classes, np.float32) for _ in range(2)]
-    for step in range(1, rounds + 1):
-        shared = spark.sparkContext.broadcast(model)
-        gradients = contexts.filter(turn == (step - 1) % turns).coalesce(parts).mapInArrow(class_gradient(shared), "block int, sums binary")
-        if parts > 1:
-            gradients = gradients.repartition("block").mapInArrow(summed, "block int, sums binary")
-        gradient = np.zeros_like(state[0])
-        for r in gradients.toLocalIterator():
-            low = r["block"] * BLOCK_ROWS * classes
-            own = np.frombuffer(r["sums"], dtype="<f4")
-            gradient[low : low + len(own)] += own
+    if not m.tokens:
+        return m, counts
+    sliced = written_by(texts, "lm-slices", "turn")
+    squares = [np.zeros_like(m.class_weights), np.zeros_like(m.slot_weights)]
+    for step in range(steps):
+        shared = spark.sparkContext.broadcast(m)
+        parts = sliced.filter(F.col("turn") == step).select("text").mapInArrow(_gradients(shared), SUMS)
+        sums = [np.zeros_like(x) for x in squares]
+        for r in parts.repartition("side", "low").mapInArrow(_summed, SUMS).toLocalIterator():
+            block = np.frombuffer(r["sums"], dtype="<f4").reshape(-1, sums[r["side"]].shape[1])
+            sums[r["side"]][r["low"] : r["low"] + len(block)] += block
         shared.unpersist()
-        gradient *= turns / model.tokens
-        now = np.concatenate([model.weights.ravel(), model.bias.astype(np.float32)]) + adam(state, gradient, step, rounds, rate)
-        model.weights = now[: model.weights.size].reshape(model.weights.shape).astype(np.float32)
-        model.bias = now[model.weights.size :].astype(float)
-    shared = spark.sparkContext.broadcast(model)
-    pairs = texts.mapInArrow(pair_counter(shared), "home long, a long, b long, kind int, n long").repartition("home").groupBy("home", "a", "b", "kind").agg(F.sum("n").alias("n"))
-    pairs = pairs.join(counts.select(F.col("h").alias("home"), F.col("n").alias("c")), "home").select("a", "b", "kind", "n", "c")
-    pairs = pairs.repartition(model.tokens // PART_WORDS + 1, "a", "kind")
-    model.pairs = written(pairs.mapInArrow(pair_solver(shared), "k long, v double"), "lm-pairs")
+        for weights, square, change in zip((m.class_weights, m.slot_weights), squares, sums, strict=True):
+            square += change**2
+            weights += RATE * change / np.sqrt(square + DAMPING**2)
+    shared = spark.sparkContext.broadcast(m)
+    aside = sliced.filter(F.col("turn") == steps).select("text").mapInArrow(_likelihoods(shared), "scale int, value double")
+    values = {r["scale"]: r["value"] for r in aside.groupBy("scale").agg(F.sum("value").alias("value")).collect()}
     shared.unpersist()
-    return model, counts
-
-
-def adam(state: list[np.ndarray], gradient: np.ndarray, step: int, rounds: int, rate: float) -> np.ndarray:
-    """The update of a step; ``state`` holds the running means."""
-    state[0] = 0.9 * state[0] + 0.1 * gradient
-    state[1] = 0.98 * state[1] + 0.02 * gradient**2
-    pace = rate * (1 - (step - 1) / rounds) ** 0.5
-    return pace * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.98**step)) + 1e-7)
-
-
-def inner_fit(m: Model, events: pa.Table, rounds: int, rate: float) -> None:
-    """Weights of common words after a symbol; symbols times common words is all there is to count."""
-    seen = np.zeros(m.inner.size)
-    np.add.at(seen, events.column("key").to_numpy(), events.column("n").to_numpy())
-    seen = seen.reshape(m.inner.shape)
-    state = [np.zeros(m.inner.shape) for _ in range(2)]
-    for step in range(1, rounds + 1):
-        logs = inner_logs(m)
-        gradient = seen.copy()
-        for c in range(int(m.class_of.max(initial=0)) + 1):
-            own = m.class_of == c
-            gradient[:, own] -= seen[:, own].sum(axis=1, keepdims=True) * np.exp(logs[:, own])
-        m.inner = (m.inner + adam(state, gradient / m.tokens, step, rounds, rate)).astype(np.float32)
+    if values:
+        m = trusted(m, TRUST[max(values, key=lambda s: (values[s], s))])
+    return m, counts
 
 
 def scorer(shared):
-    """Task function: a row of sums for each text (h and k NULL), a row for each of its words outside the
-    dictionary, and a row for each of its pairs of words (k the pair, h the first word and the class)."""
+    """Task function: a row of sums for each text, with the counts of its words outside the dictionary."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        inside = inner_logs(m) / math.log(10)
         whole = math.log10(m.tokens + ADD * (m.types + 1))
-        rest = np.log10(m.rare_total)
+        with np.errstate(divide="ignore"):
+            share = np.log10(m.mass)
         for batch in batches:
             for i, j, raw, at in slices(batch.column("text")):
-                h, first = hashed(raw, at)
-                t = stream(h, first, m)
-                s0, s1, c, row = t.s0, t.s1, t.count, t.row
-                rows = j - i
-                every, where = np.unique(t.context, return_inverse=True)
-                order, kind, value = np.argsort(where, kind="stable"), symbol_class(s0, m), np.zeros(len(s0))
-                for k in range(0, len(every), 1 << 14):
-                    own = order[slice(*np.searchsorted(where[order], [k, k + (1 << 14)]))]
-                    value[own] = class_logs(every[k : k + (1 << 14)], m)[where[own] - k, kind[own]] / math.log(10)
-                common = s0 < m.common
-                value[common] += inside[s1[common], s0[common]]
-                value[~common] -= rest[s0[~common] - m.common]
-                counted = c >= 0
-                log_c = np.log10(np.maximum(c, 0) + ADD)
-                value[~common & counted] += log_c[~common & counted]
-                base = np.where(counted, log_c, 0.0) - whole
-                sums = [
-                    np.bincount(row, minlength=rows), np.bincount(row, counted & (c > 0), rows), np.bincount(row, base, rows), np.bincount(row, value, rows)
-                ]
-                rid = batch.column("rid").slice(i, rows)
+                t = stream(raw, at, m)
+                rows, value = j - i, np.zeros(len(t.h))
+                for own in blocks_of(t):
+                    classes, slots, _, _ = factor_logs(t, own, m)
+                    k = np.arange(len(classes))
+                    value[own] = (classes[k, t.kind[own]] + slots[k, t.slot[own]]) / math.log(10)
+                counted = t.count >= 0
+                log_c = np.where(counted, np.log10(np.maximum(t.count, 0) + ADD), 0.0)
+                value += log_c - share[t.kind, t.slot]
+                sums = [np.bincount(t.row, minlength=rows), np.bincount(t.row, counted & (t.count > 0), rows), np.bincount(t.row, log_c - whole, rows), np.bincount(t.row, value, rows)]
+                away = np.flatnonzero(~counted)
+                r, h = t.row[away], t.h[away]
+                order = np.lexsort((h, r))
+                r, h = r[order], h[order]
+                heads = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(h.view(np.int64), prepend=0) != 0))
+                n = np.diff(np.append(heads, len(r)))
+                pairs = pa.StructArray.from_arrays([pa.array(h[heads].view(np.int64)), pa.array(n)], ["h", "n"])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(r[heads], minlength=rows))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rid, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
-                        pa.array(sums[2]), pa.array(sums[3]),
+                        batch.column("own").slice(i, rows), batch.column("no").slice(i, rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
+                        pa.array(sums[2]), pa.array(sums[3]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
                     ],
-                    names=["rid", "k", "h", "n", "known", "base", "value"],
-                )
-                # pairs of words, once for each text
-                own = np.flatnonzero(t.paired(m))
-                k = pair_keys(t.h1[own], t.h0[own])
-                own = own[np.lexsort((k, row[own]))]
-                k = pair_keys(t.h1[own], t.h0[own])
-                heads = np.flatnonzero((np.diff(row[own], prepend=-1) != 0) | (np.diff(k.view(np.int64), prepend=0) != 0))
-                n, own, k = np.diff(np.append(heads, len(own))), own[heads], k[heads]
-                group, empty = pair_keys(t.h1[own], kind[own].astype(np.uint64)), pa.nulls(len(own), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [rid.take(pa.array(row[own])), pa.array(k.view(np.int64)), pa.array(group.view(np.int64)), pa.array(n), pa.nulls(len(own), pa.int64()), empty, empty],
-                    names=["rid", "k", "h", "n", "known", "base", "value"],
+                    names=["own", "no", "n", "known", "base", "value", "rare"],
                 )
-                # words outside the dictionary, once for each text
-                spot = np.arange(len(h)) + rows_of(first)
-                away = np.flatnonzero(c[spot] < 0) if len(h) else np.zeros(0, np.int64)
-                if len(away):
-                    r, k = rows_of(first)[away], h[away]
-                    order = np.lexsort((k, r))
-                    r, k = r[order], k[order]
-                    heads = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(k.view(np.int64), prepend=0) != 0))
-                    n = np.diff(np.append(heads, len(r)))
-                    empty = pa.nulls(len(heads), pa.float64())
-                    yield pa.RecordBatch.from_arrays(
-                        [rid.take(pa.array(r[heads])), pa.nulls(len(heads), pa.int64()), pa.array(k[heads].view(np.int64)), pa.array(n), pa.nulls(len(heads), pa.int64()), empty, empty],
-                        names=["rid", "k", "h", "n", "known", "base", "value"],
-                    )
 
     return score
 
@@ -555,40 +509,25 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text: str = "t
     base_score (unigram with add-0.1 counts) and score (the model), both log10 of the whole text.
 
     Texts are read once. Rows, also repeated ones and those with NULL keys, are told apart by a row number
-    given in that pass.
+    given in that pass; only it goes with the words whose counts are joined.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in (text, out)]
     own = F.struct(*(keep or [F.lit(0).alias("none")]))
-    numbered = docs.select(F.struct(own.alias("own"), F.monotonically_increasing_id().alias("no")).alias("rid"), F.col(text).alias("text"))
-    kind = numbered.schema["rid"].dataType.simpleString()
-    found = written(numbered.mapInArrow(scorer(shared), f"rid {kind}, k long, h long, n long, known long, base double, value double"), "lm-scores")
-    rare = found.filter("h is not null and k is null").select(F.col("rid.no").alias("no"), "h", "n")
-    rare = rare.join(counts.withColumnRenamed("n", "c"), "h", "left").select("no", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    numbered = docs.select(own.alias("own"), F.monotonically_increasing_id().alias("no"), F.col(text).alias("text"))
+    kind = numbered.schema["own"].dataType.simpleString()
+    schema = f"own {kind}, no long, n long, known long, base double, value double, rare array<struct<h:long,n:long>>"
+    found = written(numbered.mapInArrow(scorer(shared), schema), "lm-scores")
+    rare = found.select("no", F.explode("rare").alias("x")).select("no", "x.h", "x.n")
+    rare = rare.join(counts.select("h", F.col("n").alias("c")), "h", "left").select("no", "n", F.coalesce("c", F.lit(0)).alias("c"))
     rare = rare.groupBy("no").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + ADD)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known")
     )
-    if model.pairs is not None:
-        weights = model.pairs
-        asked = found.filter("k is not null").select(F.col("rid.no").alias("no"), "k", F.col("h").alias("g"), "n")
-        # pairs that were never seen, in one list for each text, ask for the normaliser of word and class
-        asked = written(
-            asked.join(weights, "k", "left").groupBy("no").agg(
-                F.sum(F.col("n") * F.col("v")).alias("pairs"), F.collect_list(F.when(F.col("v").isNull(), F.struct("g", "n"))).alias("away")
-            ), "lm-asked",
-        )
-        away = asked.select("no", F.explode("away").alias("away")).select("no", "away.*").join(weights.withColumnRenamed("k", "g"), "g")
-        pairs = asked.select("no", "pairs").unionByName(away.select("no", (F.col("n") * F.col("v")).alias("pairs")))
-        pairs = pairs.groupBy("no").agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"))
-    else:
-        pairs = rare.select("no", F.lit(0.0).alias("pairs")).limit(0)
-    sums = found.filter("h is null").select("rid.*", F.struct("n", "known", "base", "value").alias("sums"))
-    sums = sums.join(rare, "no", "left").join(pairs, "no", "left")
     more: Column = F.coalesce("more", F.lit(0.0))
-    return sums.select(
+    return found.drop("rare").join(rare, "no", "left").select(
         *[F.col("own")[c].alias(c) for c in keep],
         F.struct(
-            F.col("sums.n").alias("n_tokens"), (F.col("sums.known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-            F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("sums.base") + more).alias("base_score"), (F.col("sums.value") + more + F.coalesce("pairs", F.lit(0.0))).alias("score"),
+            F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+            F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("value") + more).alias("score"),
         ).alias(out),
     )

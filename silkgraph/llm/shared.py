@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from silkgraph.operators.scale import stored as written
+from silkgraph.operators.scale import shared_folder, stored as written
 
-__all__ = ["fold", "held_out", "line_fit", "sampled", "sigmoid", "table", "written"]
+__all__ = ["fold", "held_out", "line_fit", "sampled", "sigmoid", "table", "written", "written_by"]
+
+
+def written_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written to the shared folder with a folder for each value of ``column``, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

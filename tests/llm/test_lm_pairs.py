@@ -1,6 +1,4 @@
-"""Pairs of all words in the language model."""
-
-import collections
+"""What the language model learns, and how its sums are taken."""
 
 import numpy as np
 import pytest
@@ -8,72 +6,67 @@ import pytest
 from silkgraph.llm import lm
 
 
-
-def test_lm_learns_pairs_of_words_outside_the_common_ones(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 8)
-    # a rare word always follows one of two rare words; spelling and counts of both orders are the same
+def test_lm_learns_what_follows_a_rare_word(spark):
+    """Rare words of like spelling, told apart only by the hashed word before."""
     rng = np.random.default_rng(2)
-    frequent = [f"the{i}" for i in range(8)]
     docs = []
-    for k in range(400):
-        words = [frequent[i] for i in rng.integers(0, 8, 20)]
-        if k % 10 == 0:
-            words[7:9] = ["amber", "zyzzyva1"]
-            words[12:14] = ["azure", "zyzzyva2"]
+    for k in range(600):
+        words = [f"the{i}" for i in rng.integers(0, 8, 20)]
+        words[7:9] = ["amber", "zyzzyva"] if k % 2 else ["ambre", "qwopqwop"]
         docs.append((k, " ".join(words)))
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    model, counts = lm.learn(frame, rounds=4)
-    asked = spark.createDataFrame([(0, "the0 amber zyzzyva1"), (1, "the0 azure zyzzyva1")], "doc_id long, text string")
+    model, counts = lm.learn(spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = spark.createDataFrame([(0, "the0 amber zyzzyva"), (1, "the0 ambre zyzzyva")], "doc_id long, text string")
     got = {r["doc_id"]: r["lm"] for r in lm.score_texts(asked, model, counts).collect()}
     assert got[0]["base_score"] == pytest.approx(got[1]["base_score"])
     assert got[0]["score"] > got[1]["score"] + 0.3
 
 
-def test_lm_pairs_leave_a_distribution_over_all_words(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 3)
-    docs = [(k, f"one{k % 7} two{k % 5} one{k % 3} three{k}") for k in range(60)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    model, counts = lm.learn(frame, rounds=2)
-    logs = {np.uint64(r["k"] & (2**64 - 1)): r["v"] for r in model.pairs.collect()}
-    words = [(np.uint64(r["h"] & (2**64 - 1)), r["n"]) for r in counts.filter("h <> 0").collect()]
-    symbol = dict(zip(model.keys.tolist(), model.symbols.tolist(), strict=True))
-    inside = np.exp(lm.inner_logs(model))
-    checked = 0
-    for a, _ in words[:20]:
-        sums = collections.Counter()
-        before = symbol[int(a)] or model.common + int(a) % lm.RARE
-        for b, n in [*words, (lm.END, 60)]:
-            s = symbol.get(int(b), 0) if b else 0
-            common = s > 0 or not b
-            if common and before < model.common:
-                continue
-            kind = int(lm.symbol_class(np.array([s if common else model.common + int(b) % lm.RARE]), model)[0])
-            base = inside[before, s] if common else (n + lm.ADD) / model.rare_total[int(b) % lm.RARE]
-            pair, group = (lm.pair_keys(np.array([a]), np.array([x], dtype=np.uint64))[0] for x in (b, kind))
-            sums[kind] += base * 10 ** logs.get(pair, logs.get(group, 0.0))
-            checked += pair in logs
-        for kind, total in sums.items():
-            if kind >= model.classes - lm.RARE:  # one unseen word is left
-                group = lm.pair_keys(np.array([a]), np.array([kind], dtype=np.uint64))[0]
-                total += lm.ADD / model.rare_total[kind - model.classes + lm.RARE] * 10 ** logs.get(group, 0.0)
-            assert total == pytest.approx(1, abs=1e-5)
-    assert checked > 20
+def test_lm_word_table_grows_with_the_corpus(spark):
+    def words(n):
+        frame = spark.createDataFrame([(k, " ".join(f"w{k * 31 + i} v{i}" for i in range(30))) for k in range(n)], "doc_id long, text string")
+        return lm.learn(frame, steps=1)[1].count()
 
+    assert words(2000) > 15 * words(100)
+
+
+def test_lm_gradient_of_many_parts_equals_that_of_one(spark):
+    frame = spark.createDataFrame([(k, f"one{k % 7} two{k % 5} three{k}") for k in range(90)], "doc_id long, text string")
+    texts = [r["text"] for r in frame.collect()]
+    model, _ = lm.learn(frame.coalesce(1), steps=1)
+
+    def sums(parts):
+        total = [np.zeros_like(model.class_weights), np.zeros_like(model.slot_weights)]
+        for part in parts:
+            raw = np.frombuffer("".join(part).encode(), dtype=np.uint8)
+            at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in part])])
+            lm.gradient(lm.stream(raw, at, model), model, *total)
+        return total
+
+    for one, many in zip(sums([texts]), sums([texts[:20], texts[20:21], texts[21:]]), strict=True):
+        assert np.abs(one).max() > 0 and many == pytest.approx(one, abs=1e-4)
 
-def test_lm_tables_grow_with_the_vocabulary(spark):
-    def learned(n):
-        frame = spark.createDataFrame([(k, " ".join(f"w{k * 31 + i} v{i}" for i in range(30))) for k in range(n)], "doc_id long, text string")
-        return lm.learn(frame, rounds=1)[0]
 
-    small, large = learned(100), learned(4000)
-    assert large.pairs.count() > 20 * small.pairs.count()
-    assert len(large.weights) > len(small.weights)
+def test_lm_gradient_is_the_slope_of_its_likelihood(spark):
+    frame = spark.createDataFrame([(k, f"one{k % 7} two{k % 5} three{k}") for k in range(60)], "doc_id long, text string")
+    model, _ = lm.learn(frame, steps=2)
+    text = "one1 two2 three7 one2"
+    raw, at = np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)])
+    t = lm.stream(raw, at, model)
+    own = slice(0, len(t.h))
+    sums = [np.zeros_like(model.class_weights), np.zeros_like(model.slot_weights)]
+    lm.gradient(t, model, *sums)
 
+    def value():
+        classes, slots, _, _ = lm.factor_logs(t, own, model)
+        return classes[range(5), t.kind].sum() + slots[range(5), t.slot].sum()
 
-def test_lm_gradient_of_many_parts_equals_that_of_one(spark, monkeypatch):
-    frame = spark.createDataFrame([(k, f"one{k % 7} two{k % 5} three{k}") for k in range(90)], "doc_id long, text string").repartition(6)
-    single, _ = lm.learn(frame, rounds=1)
-    monkeypatch.setattr(lm, "PART_EVENTS", 20)  # parts follow the number of events
-    several, _ = lm.learn(frame, rounds=1)
-    assert several.weights == pytest.approx(single.weights, abs=1e-4)
-    assert several.bias == pytest.approx(single.bias, abs=1e-4)
+    for weights, change in zip((model.class_weights, model.slot_weights), sums, strict=True):
+        row = int(np.abs(change).sum(axis=1).argmax())
+        for column in np.abs(change[row]).argsort()[-3:]:
+            before = float(weights[row, column])
+            weights[row, column] = before + 0.01
+            up = value()
+            weights[row, column] = before - 0.01
+            down = value()
+            weights[row, column] = before
+            assert (up - down) / 0.02 == pytest.approx(float(change[row, column]), abs=0.02)
