@@ -6,12 +6,13 @@ inside the page row. One explode at the end makes the item table, so no shuffle
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from silkgraph.functions.json_items import item_records
 from silkgraph.functions.text import json_string, strip, stripped_pieces
 from silkgraph.functions.urls import join_parts, let, unsplit, url_parts
 from silkgraph.operators.dom import ITEMS, scan_html
+from silkgraph.operators.scale import stored
 
 FIELDS = "array<struct<key:string,truthy:boolean,text:string>>"
 RECORD = f"struct<type:string,raw_data:string,parsed_data:string,position:int,error:string,fields:{FIELDS}>"
@@ -26,6 +27,10 @@ REQUIRED = {
     "BreadcrumbList": ["itemListElement"],
 }
 MEDIA_TAGS = ["img", "audio", "video", "source"]
+# A key that holds this holds a URL, and how its text may begin.
+URL_KEY = "url"
+URL_STARTS = ["http://", "https://", "/"]
+
 
 def bare_type(name: Column) -> Column:
     """Type or property name without the schema.org prefix."""
@@ -171,41 +176,66 @@ def _labelled(records: Column, name: str) -> Column:
     return F.transform(records, lambda r: F.struct(F.lit(name).alias("format"), r.alias("r")))
 
 
-def validation_errors(kind: Column, fields: Column) -> Column:
-    """Messages for missing required fields, then for texts that are no URL under a url key."""
+RULES = "type string, rule string, property string, position int"
+RULE_SET = "struct<name:string,required:array<string>,urls:array<string>>"
+
+
+def built_in_rules(spark: SparkSession) -> DataFrame:
+    """The rules of the four known types as rows (type, rule, property, position): ``required`` properties, and keys
+    whose texts must be URLs (``url``: a part of the key, for every type when the type is NULL)."""
+    rows = [(name, "required", r, i) for name, required in REQUIRED.items() for i, r in enumerate(required)]
+    return spark.createDataFrame([*rows, (None, "url", URL_KEY, 0)], RULES)
+
+
+def rule_sets(rules: DataFrame) -> DataFrame:
+    """One row per type in lower case: the rules of the type and those of every type."""
+    places = F.struct("position", "property")
+    listed = lambda rule, some: F.transform(F.array_sort(F.collect_list(F.when((F.col("rule") == rule) & some, places))), lambda p: p["property"])
+    of_type = F.col("type").isNotNull()
+    sets = rules.filter(of_type).groupBy(F.lower("type").alias("low")).agg(
+        F.min("type").alias("name"), listed("required", F.lit(True)).alias("required"), listed("url", F.lit(True)).alias("own_urls")
+    )
+    every = rules.filter(~of_type).agg(listed("url", F.lit(True)).alias("urls")).select("urls").scalar()
+    return sets.select("low", F.struct("name", "required", F.array_union(every, F.col("own_urls")).alias("urls")).cast(RULE_SET).alias("rules")).unionByName(
+        # what holds for a type without rules of its own
+        rules.filter(~of_type).agg(listed("url", F.lit(True)).alias("urls")).select(
+            F.lit(None).cast("string").alias("low"), F.struct(F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("required"), "urls").cast(RULE_SET).alias("rules")
+        )
+    )
+
+
+def known_rules(kind: Column) -> Column:
+    """The built-in rule set of a type, as a column; no join."""
     low = F.lower(kind)
-    missing = None
+    urls = F.array(F.lit(URL_KEY))
+    out = F.struct(F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("required"), urls.alias("urls")).cast(RULE_SET)
     for name, required in REQUIRED.items():
-        found = F.transform(
-            F.filter(
-                F.array(*map(F.lit, required)),
-                lambda r: ~F.exists(fields, lambda f: (f["key"] == r) & f["truthy"]),
-            ),
-            lambda r: F.concat(F.lit(f"{name} missing required '"), r, F.lit("' property")),
+        own = F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, required)).alias("required"), urls.alias("urls")).cast(RULE_SET)
+        out = F.when(low == name.lower(), own).otherwise(out)
+    return out
+
+
+def validation_errors(rules: Column, fields: Column) -> Column:
+    """Messages for missing required fields, then for texts that are no URL under a key that must hold one."""
+    def errors(rules: Column) -> Column:
+        missing = F.filter(rules["required"], lambda r: ~F.exists(fields, lambda f: (f["key"] == r) & f["truthy"]))
+        bad_urls = F.filter(
+            fields,
+            lambda f: F.exists(rules["urls"], lambda u: F.lower(f["key"]).contains(u))
+            & f["text"].isNotNull()
+            & ~F.exists(F.array(*map(F.lit, URL_STARTS)), lambda s: f["text"].startswith(s)),
         )
-        is_type = low == name.lower()
-        missing = F.when(is_type, found) if missing is None else missing.when(is_type, found)
-    bad_urls = F.filter(
-        fields,
-        lambda f: F.lower(f["key"]).contains("url")
-        & f["text"].isNotNull()
-        & ~(
-            f["text"].startswith("http://")
-            | f["text"].startswith("https://")
-            | f["text"].startswith("/")
-        ),
-    )
-    return F.concat(
-        missing.otherwise(F.array().cast("array<string>")),
-        F.transform(
-            bad_urls,
-            lambda f: F.concat(F.lit("Invalid URL format for "), f["key"], F.lit(": "), f["text"]),
-        ),
-    )
+        return F.concat(
+            F.transform(missing, lambda r: F.concat(rules["name"], F.lit(" missing required '"), r, F.lit("' property"))),
+            F.transform(bad_urls, lambda f: F.concat(F.lit("Invalid URL format for "), f["key"], F.lit(": "), f["text"])),
+        )
+
+    return let(rules, errors)
 
 
-def items_of_scan(scanned: DataFrame, formats=FORMATS) -> DataFrame:
-    """Item rows of a scanned page table; ``url`` is the base of relative values."""
+def items_of_scan(scanned: DataFrame, formats=FORMATS, rules: DataFrame | None = None) -> DataFrame:
+    """Item rows of a scanned page table; ``url`` is the base of relative values. Items are checked against ``rules``
+    (rows as of ``built_in_rules``), joined by type; without them the built-in rules stand in the plan."""
     keys = [c for c in scanned.columns if c not in ("nodes", "word_count", "parsed")]
     step = scanned.select(*keys, "nodes", url_parts(F.col("url")).alias("base"))
     nodes, base = F.col("nodes"), F.col("base")
@@ -244,7 +274,8 @@ def items_of_scan(scanned: DataFrame, formats=FORMATS) -> DataFrame:
     items = step.select(*keys, "nodes", *staged).select(
         *keys, F.explode(F.concat(*parts)).alias("i")
     )
-    checked = items.select(
+    held = items.withColumn("rules", known_rules(F.col("i.r.type"))) if rules is None else with_rules(items, rules)
+    checked = held.select(
         *keys,
         F.col("i.r.type").alias("type"),
         F.col("i.format").alias("format"),
@@ -252,16 +283,26 @@ def items_of_scan(scanned: DataFrame, formats=FORMATS) -> DataFrame:
         F.col("i.r.parsed_data").alias("parsed_data"),
         F.col("i.r.position").alias("position"),
         F.when(F.col("i.r.error").isNotNull(), F.array("i.r.error"))
-        .otherwise(validation_errors(F.col("i.r.type"), F.col("i.r.fields")))
+        .otherwise(validation_errors(F.col("rules"), F.col("i.r.fields")))
         .alias("validation_errors"),
     )
     return checked.withColumn("is_valid", F.size("validation_errors") == 0)
 
 
-def structured_data(pages: DataFrame, formats=FORMATS) -> DataFrame:
+def with_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """Items with the rule set of their type. The sets are written, so the planner knows their size: few types
+    are sent to the items, and items of a type that very many have are not moved; else both are dealt by type."""
+    sets = stored(rule_sets(rules), "schema-rules")
+    general = sets.filter("low is null").select("rules").scalar()
+    own = sets.filter("low is not null").withColumnRenamed("rules", "own_rules")
+    joined = items.join(own, F.lower(F.col("i.r.type")) == own["low"], "left")
+    return joined.withColumn("rules", F.coalesce("own_rules", general)).drop("low", "own_rules")
+
+
+def structured_data(pages: DataFrame, formats=FORMATS, rules: DataFrame | None = None) -> DataFrame:
     """All structured items of the pages: (url, type, format, raw_data, parsed_data, position,
-    validation_errors, is_valid)."""
-    return items_of_scan(scan_html(pages.select("url", "html"), ITEMS), formats)
+    validation_errors, is_valid); ``rules`` as of ``items_of_scan``."""
+    return items_of_scan(scan_html(pages.select("url", "html"), ITEMS), formats, rules)
 
 
 def schema_statistics(items: DataFrame) -> DataFrame:

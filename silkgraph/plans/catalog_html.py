@@ -210,8 +210,8 @@ def whole_text(error):
     return F.when(error.startswith("JSON decode error: "), "JSON decode error").otherwise(error)
 
 
-def _items(spark, sf, *formats):
-    items = structured.structured_data(d.part_pages(spark, sf), formats or structured.FORMATS)
+def _items(spark, sf, *formats, rules=None):
+    items = structured.structured_data(d.part_pages(spark, sf), formats or structured.FORMATS, rules)
     return items.withColumn("problem", bars(F.transform("validation_errors", whole_text))).withColumn("position", long("position"))
 
 
@@ -269,6 +269,18 @@ def schema_validate(spark, sf):
     return _items(spark, sf).filter(~F.col("is_valid")).select("url", "format", "position", "problem")
 
 
+OFFER_RULES = [("Offer", "required", "price", 0), ("Offer", "required", "seller", 1), ("Organization", "url", "logo", 1)]
+
+
+@query("schema_validate_rules", oracle("part_keys", ALL_ITEMS + """, checked AS (
+        SELECT url, format, position, CASE WHEN type = 'Offer' THEN 'Offer missing required ''seller'' property' ELSE problem END AS problem FROM items)
+        SELECT url, format, position, problem FROM checked WHERE problem <> ''"""))
+def schema_validate_rules(spark, sf):
+    """Validation by a table of rules: the built-in ones, a fifth type and one more URL key added as rows."""
+    rules = structured.built_in_rules(spark).unionByName(spark.createDataFrame(OFFER_RULES, structured.RULES))
+    return _items(spark, sf, rules=rules).filter(~F.col("is_valid")).select("url", "format", "position", "problem")
+
+
 @query(
     "schema_statistics",
     oracle("part_keys", ALL_ITEMS + """SELECT CASE WHEN grouping(format) = 0 THEN 'format' WHEN grouping(type) = 0 THEN 'type' ELSE 'total' END AS level,
