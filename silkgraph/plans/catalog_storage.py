@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from silkgraph.functions.urls import host
-from silkgraph.operators import robots, state
+from silkgraph.operators import robots, sitemaps, state
 from silkgraph.operators.scale import row_ranks, shared_folder
 from silkgraph.plans import documented, views
 from silkgraph.plans.catalog_html import ALL_ITEMS
@@ -49,6 +49,28 @@ def write_bucket_tables(spark, sf):
     return spark.read.parquet(f"{root}/pages").select("site", "url", "html")
 
 
+# The second batch: the sites of every eleventh host length, one minute later, with another body.
+SECOND = "length(domain) % 11 = 3"
+
+
+@query("upsert_pages_stored", oracle("page_urls", f"""SELECT url, CASE WHEN {SECOND} THEN 304 ELSE 200 END AS status, CASE WHEN {SECOND} THEN '<p>' || page_id || '</p>' ELSE html END AS html,
+        {SECOND} AS replaced FROM page_urls"""))
+def upsert_pages_stored(spark, sf):
+    """Pages in a bucket store, some of which a second batch replaces; ``replaced``: by the versions of their buckets."""
+    rows = page_rows(spark, sf).withColumn("seq", F.lit(0))
+    store = writers.BucketStore(spark, folder(spark), buckets=4096)
+    store.upsert(rows)
+    first = store.manifest()[1]
+    again = d.pages(spark, sf).filter(F.length(host(F.col("url"))) % 11 == 3).select("url", F.concat(F.lit("<p>"), "page_id", F.lit("</p>")).alias("html"))
+    later = rows.drop("html", "status").join(again, "url").withColumns({
+        "status": F.lit(304), "fetched_at": F.timestamp_seconds(F.unix_timestamp("fetched_at") + 60), "seq": F.lit(1),
+    })
+    store.upsert(later.select(*rows.columns))
+    changed = [b for b, version in store.manifest()[1].items() if first.get(b) != version]
+    own = writers.bucket_of(F.col("site"), 4096).isin(changed)
+    return store.read().select("url", long("status").alias("status"), "html", own.alias("replaced"))
+
+
 def fetch_results(spark, sf):
     """The page variants as fetch results, in the layout of the captured log."""
     return d.keyed_variants(spark, sf).select(
@@ -79,6 +101,21 @@ def scan_robots_stored(spark, sf):
     return robots.robots_files(readers.scan_robots(spark, root)).select("domain", "content")
 
 
+@query("scan_sitemap_folder", oracle("page_urls hosts all_urls sitemap_rows", """SELECT md5(sitemap_url) AS name, position, url AS loc, CASE WHEN twice THEN 'fr ' || url || '/'
+        WHEN even THEN 'en ' || url || '|x-default https://' || domain || '/' ELSE '' END AS alternates FROM sitemap_rows"""))
+def scan_sitemap_folder(spark, sf):
+    """Entries of sitemap files written to a folder, half of them gzipped, and read back through the reader."""
+    root = folder(spark)
+    files = sitemaps.sitemap_files(d.sitemap_files(spark, sf)).select(F.md5("url").alias("name"), "content")
+    for packed in ("none", "gzip"):
+        half = files.filter((F.col("name") < "8") == (packed == "gzip"))
+        half.write.mode("append").partitionBy("name").option("compression", packed).text(root)
+    read = readers.scan_sitemap_folder(spark, root)
+    entries = sitemaps.sitemap_entries(read).withColumn("name", F.regexp_extract("sitemap_url", "name=([0-9a-f]+)/", 1))
+    alternates = F.array_join(F.array_sort(F.transform("alternates", lambda a: F.concat_ws(" ", a["lang"], a["href_url"]))), "|")
+    return entries.select("name", long("position").alias("position"), "loc", alternates.alias("alternates"))
+
+
 @query("register_views", oracle("part_keys", ALL_ITEMS + "SELECT type AS schema_type, format, count(*) AS count FROM items JOIN part_keys USING (url) WHERE k % 3 <> 2 GROUP BY type, format"))
 def register_views(spark, sf):
     """A documented question as plain SQL over the registered views."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silkgraph.operators import links, redirects, robots, structured
-from silkgraph.operators.content import content_columns, has_content, page_facts
+from silkgraph.operators import dictionary, links, redirects, robots, structured
+from silkgraph.operators.content import content_columns, has_content, page_content, page_facts
 from silkgraph.operators.dom import CONTENT, scan_html
-from silkgraph.operators.scale import cut
+from silkgraph.operators.scale import cut, stored
 from silkgraph.functions.urls import host, url_classification, url_normalize_storage
 from silkgraph.plans import documented, views
 from silkgraph.plans.catalog_html import ALL_ITEMS, COUNTS, LINKS, whole_text
@@ -95,6 +95,53 @@ def internal_links_analysis(spark, sf):
     return views.internal_links_analysis(internal_links_table(spark, sf))
 
 
+# --- the same tables with ids in place of texts ------------------------------------------------
+
+
+def data_model(spark, sf):
+    """The tables whose texts have dictionaries."""
+    content = page_content(d.page_variants(spark, sf))
+    return {
+        "internal_links": internal_links_table(spark, sf),
+        "directives": robots.robots_directives(content),
+        "content": content,
+        "hreflang": hreflang_table(spark, sf),
+        "schema_items": structured.structured_data(d.part_pages(spark, sf)),
+    }
+
+
+@query(
+    "encode_dictionaries",
+    oracle("page_urls nav_links page_links site_urls page_fields hosts all_urls sitemap_rows sitemap_alternates part_keys", ALL_ITEMS + """, texts AS (
+        SELECT 'anchor_texts' AS dictionary, anchor_text AS value FROM variant_links WHERE classification = 'internal'
+        UNION SELECT 'xpaths', xpath FROM variant_links WHERE classification = 'internal'
+        UNION SELECT 'robots_directive_strings', unnest(string_split(meta_robots, '|')) FROM page_fields WHERE meta_robots <> ''
+        UNION SELECT 'robots_directive_strings', unnest(string_split(header_robots, '|')) FROM page_fields WHERE header_robots <> ''
+        UNION SELECT 'meta_descriptions', meta_description FROM page_fields WHERE meta_description <> ''
+        UNION SELECT 'html_languages', html_lang FROM page_fields WHERE html_lang <> ''
+        UNION SELECT 'hreflang_languages', lang FROM sitemap_alternates WHERE lang = 'fr' OR loc NOT IN (SELECT loc FROM sitemap_alternates WHERE lang = 'fr')
+        UNION SELECT 'schema_types', type FROM items)
+        SELECT dictionary, row_number() OVER (PARTITION BY dictionary ORDER BY value) AS id, value FROM texts"""),
+)
+def encode_dictionaries(spark, sf):
+    """All seven dictionaries of the data model."""
+    return dictionary.encode_dictionaries(data_model(spark, sf))
+
+
+def through_ids(spark, sf, name):
+    """A table written with ids, beside the dictionaries, and read back through them."""
+    rows = cut(data_model(spark, sf)[name])
+    ids = stored(dictionary.encode_dictionaries({name: rows}), "dictionaries")
+    coded = stored(dictionary.encoded_table(name, rows, ids), f"coded-{name}")
+    return dictionary.decoded_table(name, coded, ids)
+
+
+@query("internal_links_analysis_decoded", oracle(LINKS, INTERNAL))
+def internal_links_analysis_decoded(spark, sf):
+    """The view over the links as they are exported: anchor texts and XPaths as ids."""
+    return views.internal_links_analysis(through_ids(spark, sf, "internal_links"))
+
+
 @query(
     "sitemap_statistics",
     oracle(MAPS, LISTING + f""", rows AS (SELECT l.sitemap_url, l.url, p.page_id, l.sitemap_position FROM listing l
@@ -118,8 +165,8 @@ def sitemap_statistics(spark, sf):
     return table.withColumn("first_discovered", utc("first_discovered")).withColumn("last_discovered", utc("last_discovered"))
 
 
-def schema_table(spark, sf):
-    items = cut(structured.structured_data(d.part_pages(spark, sf)))
+def schema_table(spark, sf, items=None):
+    items = cut(structured.structured_data(d.part_pages(spark, sf))) if items is None else items
     k = F.regexp_extract("url", r"(\d+)\z", 1).cast("bigint")
     urls = d.part_pages(spark, sf).select(
         "url", F.when(k % 3 == 0, "network").when(k % 3 == 1, "internal").otherwise("external").alias("classification")
@@ -135,6 +182,14 @@ def problem(errors="validation_errors"):
     return bars(F.transform(errors, whole_text))
 
 
+@query("schema_analysis_decoded", oracle("part_keys", SCHEMA + "SELECT url, schema_type, format, position, parsed_data, is_valid, problem FROM analysis"))
+def schema_analysis_decoded(spark, sf):
+    """The view over items whose types are ids."""
+    return schema_table(spark, sf, through_ids(spark, sf, "schema_items")).select(
+        "url", "schema_type", "format", long("position").alias("position"), "parsed_data", "is_valid", problem().alias("problem")
+    )
+
+
 @query("schema_analysis", oracle("part_keys", SCHEMA + "SELECT url, schema_type, format, position, parsed_data, is_valid, problem FROM analysis"))
 def schema_analysis(spark, sf):
     return schema_table(spark, sf).select(

@@ -58,7 +58,11 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_sitemap_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Raw XML files as (url, status, content), the file location standing for the URL."""
+    """Raw XML files, gzipped ones included, as (url, status, content), the file location standing for the URL.
+
+    A file is one row: the sitemap protocol bounds it at 50 MB, and an entry that is no XML would take the rest of
+    the file with it in a reader of XML rows. Folders of many files spread over the tasks by themselves.
+    """
     return _whole_files(spark, path).select(
         F.col("file").alias("url"), F.lit(200).alias("status"), "content"
     )
