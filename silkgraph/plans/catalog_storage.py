@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from silkgraph.functions import http
 from silkgraph.functions.urls import host
 from silkgraph.operators import robots, sitemaps, state
 from silkgraph.operators.scale import row_ranks, shared_folder
@@ -15,7 +16,7 @@ from silkgraph.plans import documented, views
 from silkgraph.plans.catalog_html import ALL_ITEMS
 from silkgraph.plans.catalog_state import FAILED, NOW_SQL
 from silkgraph.plans.registry import long, query, stamp, stamp_sql
-from silkgraph.sources import derived as d, readers, writers
+from silkgraph.sources import captures, derived as d, readers, writers
 from silkgraph.sources.derived import oracle
 from silkgraph.streaming import jobs
 
@@ -155,6 +156,35 @@ def frontier_mark_finished(spark, sf):
     return marked.select("url", "status", stamp("updated_at").alias("updated_at"))
 
 
+def captured(spark, sf):
+    """A folder with the pages as archived responses, in three files."""
+    root = folder(spark)
+    captures.write_captures(page_rows(spark, sf).withColumnRenamed("html", "text").repartition(3, "url"), root)
+    captures.register_captures(spark)
+    return root
+
+
+@query(
+    "scan_captures",
+    f"""SELECT url, 200 AS status, md5(html) AS digest, 'nginx' AS server, {stamp_sql('make_timestamp((1700000000 + page_id) * 1000000)')} AS fetched_at FROM pages""",
+)
+def scan_captures(spark, sf):
+    """Archived responses read back, each file by many tasks."""
+    rows = spark.read.format("captures").option("rangeBytes", 20_000).load(captured(spark, sf))
+    utc = F.date_format(F.to_utc_timestamp("fetched_at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return rows.select("url", long("status").alias("status"), F.md5("text").alias("digest"), http.header(F.col("headers"), "server").alias("server"), utc.alias("fetched_at"))
+
+
+@query("stream_captures", "SELECT split_part(url, '#', 1) AS url, arg_max(md5(html), page_id) AS digest FROM pages GROUP BY 1")
+def stream_captures(spark, sf):
+    """The archived responses as a stream, drained through the ingest; the pages that it stored."""
+    root = folder(spark)
+    log = spark.readStream.format("captures").option("rangeBytes", 50_000).load(captured(spark, sf))
+    log = log.withColumn("headers", F.map_concat("headers", F.create_map(F.lit("Content-Type"), F.lit("text/html"))))
+    jobs.stream_ingest(log, f"{root}/tables", f"{root}/state").awaitTermination()
+    return jobs.current_table(spark, f"{root}/tables", "pages", ["url"]).select("url", F.md5("html").alias("digest"))
+
+
 @query("stream_ingest_links", oracle("stored_urls nav_links variant_links", """SELECT source_url, u.key_url AS target_url, anchor_text, xpath, href
         FROM variant_links LEFT JOIN page_urls u ON u.key_url = href WHERE variant_links.classification = 'internal'"""))
 def stream_ingest_links(spark, sf):
