@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import written, written_by
 from .tokens import BLANKS, LOWER, looked_up, mixed, rows_of, slices, words
 
-CLASSES = 32
-SLOTS, OWN = 64, 40
+CLASSES = 28
+SLOTS, OWN = 32, 20
 #: Rows of hashed words; classes before have rows of their own behind them.
 ROWS = 1 << 14
 #: Kinds of letter pairs, rounds of the k-means, and the common words among which its centroids begin.
@@ -45,7 +45,7 @@ END = np.uint64(0)
 #: Stands before the first word.
 START = np.uint64(1)
 #: Tokens that are worked on together, and the rows of a block of sums.
-BLOCK, SUM_ROWS = 1 << 14, 1 << 12
+BLOCK, SUM_ROWS = 1 << 15, 1 << 12
 #: Sums travel as half floats, divided by this.
 SCALE = 64.0
 
@@ -79,8 +79,10 @@ def hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def spelled(raw: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes of the words that begin at ``place``, and their offsets."""
-    stop = BLANKS[raw]
-    bounds = np.union1d(np.flatnonzero(stop), at)
+    ends = np.zeros(len(raw) + 1, dtype=bool)
+    ends[: len(raw)] = BLANKS[raw]
+    ends[at] = True
+    bounds = np.flatnonzero(ends)
     size = bounds[np.searchsorted(bounds, place, side="right")] - place
     offsets = np.concatenate([[0], np.cumsum(size)])
     return LOWER[raw[np.arange(offsets[-1]) + np.repeat(place - offsets[:-1], size)]], offsets
@@ -252,17 +254,28 @@ CLASS_ROWS = ROWS + (CLASSES + 1) + 2 * (CLASSES + 1) ** 2
 SLOT_ROWS = ROWS + (CLASSES + 1) ** 2
 
 
-def softmax_logs(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def powers(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Sums of the bias and of rows of weights, a column for each token, less the largest of the column."""
+    z = bias + weights.take(rows[0], axis=0)
+    for f in rows[1:]:
+        z += weights.take(f, axis=0)
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(axis=0)
+    return z
 
 
-def factor_logs(t: Tokens, own: slice, m: Model) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Log-probabilities of all classes and of all slots of the token's class, and the rows that they come from."""
+def factors(t: Tokens, own: slice, m: Model) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For the class and for the slot of each token: the powers of all choices, the choice, and the rows."""
     first, second = class_rows(t, own), slot_rows(t, own)
-    classes = softmax_logs(sum((m.class_weights[f] for f in first), m.class_bias))
-    slots = softmax_logs(sum((m.slot_weights[f] for f in second), m.slot_bias[t.kind[own]]))
-    return classes, slots, first, second
+    return [
+        (powers(m.class_weights, m.class_bias, first), t.kind[own], first),
+        (powers(m.slot_weights, m.slot_bias.take(t.kind[own], axis=0), second), t.slot[own], second),
+    ]
+
+
+def chosen_logs(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Log-probability of the choice of each column."""
+    return z[choice, np.arange(len(choice))] - np.log(np.exp(z).sum(axis=0))
 
 
 def blocks_of(t: Tokens) -> Iterator[slice]:
@@ -270,26 +283,19 @@ def blocks_of(t: Tokens) -> Iterator[slice]:
         yield slice(low, min(low + BLOCK, len(t.h)))
 
 
-def added(sums: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    heads = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    sums[rows[order][heads]] += np.add.reduceat(values[order], heads, axis=0)
-
-
 def gradient(t: Tokens, m: Model, class_sums: np.ndarray, slot_sums: np.ndarray) -> None:
-    """Add the gradient of the log-likelihood of tokens to the sums."""
+    """Add the gradient of the log-likelihood of tokens to the sums, which hold a line for each class or slot."""
     for own in blocks_of(t):
-        classes, slots, first, second = factor_logs(t, own, m)
-        at = np.arange(len(classes))
-        miss = -np.exp(classes)
-        miss[at, t.kind[own]] += 1
-        for f in first:
-            added(class_sums, f, miss)
-        words_only = np.flatnonzero(t.kind[own] < CLASSES)  # the end of a text has one slot
-        miss = -np.exp(slots[words_only])
-        miss[np.arange(len(miss)), t.slot[own][words_only]] += 1
-        for f in second:
-            added(slot_sums, f[words_only], miss)
+        for sums, (z, choice, rows) in zip((class_sums, slot_sums), factors(t, own, m), strict=True):
+            np.exp(z, out=z)
+            miss = (z / -z.sum(axis=0)).astype(float)
+            miss[choice, np.arange(len(choice))] += 1
+            for f in rows:
+                low = int(f.min())
+                f = f - low
+                size = int(f.max()) + 1
+                for k, line in enumerate(miss):
+                    sums[k, low : low + size] += np.bincount(f, line, size)
 
 
 def _gradients(shared):
@@ -297,13 +303,14 @@ def _gradients(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        sums = [np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32)]
+        sums = [np.zeros((CLASSES + 1, CLASS_ROWS)), np.zeros((SLOTS, SLOT_ROWS))]
         seen = False
         for batch in batches:
             for _, _, raw, at in slices(batch.column("text")):
                 gradient(stream(raw, at, m), m, *sums)
                 seen = True
         if seen:
+            sums = [x.T for x in sums]
             places = [(k, low) for k, x in enumerate(sums) for low in range(0, len(x), SUM_ROWS)]
             blobs = [packed(sums[k][low : low + SUM_ROWS]) for k, low in places]
             yield pa.RecordBatch.from_arrays(
@@ -353,10 +360,8 @@ def _likelihoods(shared):
             for _, _, raw, at in slices(batch.column("text")):
                 t = stream(raw, at, models[0])
                 for own in blocks_of(t):
-                    at_own = np.arange(own.stop - own.start)
                     for i, m in enumerate(models):
-                        classes, slots, _, _ = factor_logs(t, own, m)
-                        sums[i] += float(classes[at_own, t.kind[own]].sum() + slots[at_own, t.slot[own]].sum())
+                        sums[i] += sum(float(chosen_logs(z, choice).sum()) for z, choice, _ in factors(t, own, m))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["scale", "value"])
 
     return run
@@ -438,7 +443,8 @@ def learn(docs: DataFrame, text: str = "text", steps: int = STEPS) -> tuple[Mode
     with np.errstate(divide="ignore"):
         slot_bias = np.maximum(np.log(mass), -1e3)
     m = Model(
-        keys, n, classes, slots, int(whole["tokens"] or 0), int(whole["types"]), int(end), letters, mass, np.log(mass.sum(axis=1)), slot_bias,
+        keys, n, classes, slots, int(whole["tokens"] or 0), int(whole["types"]), int(end), letters, mass,
+        np.log(mass.sum(axis=1)).astype(np.float32), slot_bias.astype(np.float32),
         np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32),
     )
     if not m.tokens:
@@ -478,9 +484,7 @@ def scorer(shared):
                 t = stream(raw, at, m)
                 rows, value = j - i, np.zeros(len(t.h))
                 for own in blocks_of(t):
-                    classes, slots, _, _ = factor_logs(t, own, m)
-                    k = np.arange(len(classes))
-                    value[own] = (classes[k, t.kind[own]] + slots[k, t.slot[own]]) / math.log(10)
+                    value[own] = sum(chosen_logs(z, choice) for z, choice, _ in factors(t, own, m)) / math.log(10)
                 counted = t.count >= 0
                 log_c = np.where(counted, np.log10(np.maximum(t.count, 0) + ADD), 0.0)
                 value += log_c - share[t.kind, t.slot]

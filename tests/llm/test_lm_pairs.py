@@ -35,7 +35,7 @@ def test_lm_gradient_of_many_parts_equals_that_of_one(spark):
     model, _ = lm.learn(frame.coalesce(1), steps=1)
 
     def sums(parts):
-        total = [np.zeros_like(model.class_weights), np.zeros_like(model.slot_weights)]
+        total = [np.zeros_like(model.class_weights.T, float), np.zeros_like(model.slot_weights.T, float)]
         for part in parts:
             raw = np.frombuffer("".join(part).encode(), dtype=np.uint8)
             at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in part])])
@@ -53,14 +53,14 @@ def test_lm_gradient_is_the_slope_of_its_likelihood(spark):
     raw, at = np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)])
     t = lm.stream(raw, at, model)
     own = slice(0, len(t.h))
-    sums = [np.zeros_like(model.class_weights), np.zeros_like(model.slot_weights)]
+    model.class_weights, model.slot_weights = model.class_weights.astype(float), model.slot_weights.astype(float)
+    sums = [np.zeros_like(model.class_weights.T), np.zeros_like(model.slot_weights.T)]
     lm.gradient(t, model, *sums)
 
     def value():
-        classes, slots, _, _ = lm.factor_logs(t, own, model)
-        return classes[range(5), t.kind].sum() + slots[range(5), t.slot].sum()
+        return sum(lm.chosen_logs(z, choice).sum() for z, choice, _ in lm.factors(t, own, model))
 
-    for weights, change in zip((model.class_weights, model.slot_weights), sums, strict=True):
+    for weights, change in zip((model.class_weights, model.slot_weights), (x.T for x in sums), strict=True):
         row = int(np.abs(change).sum(axis=1).argmax())
         for column in np.abs(change[row]).argsort()[-3:]:
             before = float(weights[row, column])
