@@ -30,15 +30,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import written, written_by
 from .tokens import BLANKS, LOWER, looked_up, mixed, rows_of, slices, words
 
-CLASSES = 28
-SLOTS, OWN = 32, 20
+CLASSES = 24
+SLOTS, OWN = 24, 14
 #: Rows of hashed words; classes before have rows of their own behind them.
 ROWS = 1 << 14
 #: Kinds of letter pairs, rounds of the k-means, and the common words among which its centroids begin.
 PAIRS, ROUNDS, SEEDS = 256, 6, 4096
 DICTIONARY, LONGEST = 1 << 18, 64
 STEPS, RATE, DAMPING = 12, 0.5, 60.0
-TRUST = (0.0, 0.5, 1.0)
+TRUST = (0.5, 1.0)
 #: Smoothing of word counts, the same as in the base score.
 ADD = 0.1
 END = np.uint64(0)
@@ -146,7 +146,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cluster(letters: np.ndarray):
-    """Task function: sums of the vectors nearest to each centroid, weighted by the root of their counts."""
+    """Task function: (kind, pair, value) of the sums of the vectors nearest to each centroid, weighted by the root of
+    their counts."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(letters.T), PAIRS))
@@ -159,14 +160,15 @@ def _cluster(letters: np.ndarray):
                 order = np.argsort(nearest, kind="stable")
                 heads = np.flatnonzero(np.diff(nearest[order], prepend=-1))
                 out[nearest[order][heads]] += np.add.reduceat((vectors * weight)[order], heads, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["sums"])
+        kind, pair = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(out[kind, pair])], names=["kind", "pair", "value"])
 
     return sums
 
 
 def centroids(counts: DataFrame, common: pa.Array) -> np.ndarray:
     """Spelling classes as columns of letter-pair weights: k-means by cosine over all words of at most ``LONGEST``
-    bytes, from the farthest among common ones. A task returns one sum for each class."""
+    bytes, from the farthest among common ones. What comes back is a sum for each class and kind of pair."""
     vectors = letter_vectors(*_text_buffers(common))
     chosen = [0]
     near = vectors @ vectors[0]
@@ -177,8 +179,8 @@ def centroids(counts: DataFrame, common: pa.Array) -> np.ndarray:
     rows = counts.filter((F.col("h") != 0) & (F.octet_length("word") <= LONGEST)).select("word", "n")
     for _ in range(ROUNDS):
         total = np.zeros((CLASSES, PAIRS))
-        for r in rows.mapInArrow(_cluster(out), "sums binary").toLocalIterator():
-            total += np.frombuffer(r["sums"], dtype="<f8").reshape(CLASSES, PAIRS)
+        sums = rows.mapInArrow(_cluster(out), "kind int, pair int, value double").groupBy("kind", "pair").agg(F.sum("value").alias("value")).toArrow()
+        total[sums.column("kind").to_numpy(), sums.column("pair").to_numpy()] = sums.column("value").to_numpy()
         length = np.sqrt((total**2).sum(axis=1, keepdims=True))
         out = np.where(length > 0, total / np.maximum(length, 1e-12), out.T).T.astype(np.float32)
     return out
@@ -233,13 +235,13 @@ def stream(raw: np.ndarray, at: np.ndarray, m: Model) -> Tokens:
 
 
 def class_rows(t: Tokens, own: slice) -> list[np.ndarray]:
-    """Rows of the features of a class: hashed words first, then classes."""
+    """Rows of the features of a class: hashed words first, then pairs of classes."""
     one, two = (b[own] for b in t.before)
     c1, c2, c3 = (k[own] for k in t.kinds)
     wide = CLASSES + 1
     both = mixed(two * np.uint64(0x9E3779B97F4A7C15) + one)
     hashes = [(mixed(x * np.uint64(3) + np.uint64(k)) & np.uint64(ROWS - 1)).astype(np.int64) for k, x in enumerate((one, two, both))]
-    return [*hashes, ROWS + c1, ROWS + wide + c1 * wide + c2, ROWS + wide + wide**2 + c2 * wide + c3]
+    return [*hashes, ROWS + c1 * wide + c2, ROWS + wide**2 + c2 * wide + c3]
 
 
 def slot_rows(t: Tokens, own: slice) -> list[np.ndarray]:
@@ -250,17 +252,17 @@ def slot_rows(t: Tokens, own: slice) -> list[np.ndarray]:
 
 
 #: Rows of the two tables.
-CLASS_ROWS = ROWS + (CLASSES + 1) + 2 * (CLASSES + 1) ** 2
+CLASS_ROWS = ROWS + 2 * (CLASSES + 1) ** 2
 SLOT_ROWS = ROWS + (CLASSES + 1) ** 2
 
 
 def powers(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Sums of the bias and of rows of weights, a column for each token, less the largest of the column."""
-    z = bias + weights.take(rows[0], axis=0)
+    """Sums of the bias and of rows of weights, a row for each token. The largest bias is 0 and weights are sums of a few
+    steps, so their exponentials stay in range."""
+    z = weights.take(rows[0], axis=0)
     for f in rows[1:]:
         z += weights.take(f, axis=0)
-    z = np.ascontiguousarray(z.T)
-    z -= z.max(axis=0)
+    z += bias
     return z
 
 
@@ -274,8 +276,8 @@ def factors(t: Tokens, own: slice, m: Model) -> list[tuple[np.ndarray, np.ndarra
 
 
 def chosen_logs(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    """Log-probability of the choice of each column."""
-    return z[choice, np.arange(len(choice))] - np.log(np.exp(z).sum(axis=0))
+    """Log-probability of the choice of each row."""
+    return z[np.arange(len(choice)), choice] - np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
 
 
 def blocks_of(t: Tokens) -> Iterator[slice]:
@@ -288,7 +290,8 @@ def gradient(t: Tokens, m: Model, class_sums: np.ndarray, slot_sums: np.ndarray)
     for own in blocks_of(t):
         for sums, (z, choice, rows) in zip((class_sums, slot_sums), factors(t, own, m), strict=True):
             np.exp(z, out=z)
-            miss = (z / -z.sum(axis=0)).astype(float)
+            miss = np.empty(z.shape[::-1])
+            np.divide(z.T, -(z @ np.ones(z.shape[1], z.dtype)), out=miss)
             miss[choice, np.arange(len(choice))] += 1
             for f in rows:
                 low = int(f.min())
@@ -444,7 +447,7 @@ def learn(docs: DataFrame, text: str = "text", steps: int = STEPS) -> tuple[Mode
         slot_bias = np.maximum(np.log(mass), -1e3)
     m = Model(
         keys, n, classes, slots, int(whole["tokens"] or 0), int(whole["types"]), int(end), letters, mass,
-        np.log(mass.sum(axis=1)).astype(np.float32), slot_bias.astype(np.float32),
+        *((x - x.max(axis=-1, keepdims=True)).astype(np.float32) for x in (np.log(mass.sum(axis=1)), slot_bias)),
         np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32),
     )
     if not m.tokens:
@@ -455,7 +458,7 @@ def learn(docs: DataFrame, text: str = "text", steps: int = STEPS) -> tuple[Mode
         shared = spark.sparkContext.broadcast(m)
         parts = sliced.filter(F.col("turn") == step).select("text").mapInArrow(_gradients(shared), SUMS)
         sums = [np.zeros_like(x) for x in squares]
-        for r in parts.repartition("side", "low").mapInArrow(_summed, SUMS).toLocalIterator():
+        for r in parts.repartition("side", "low").mapInArrow(_summed, SUMS).collect():
             block = np.frombuffer(r["sums"], dtype="<f4").reshape(-1, sums[r["side"]].shape[1])
             sums[r["side"]][r["low"] : r["low"] + len(block)] += block
         shared.unpersist()

@@ -296,7 +296,7 @@ def plain_score(text, m, known):
         c3, c2, c1 = kinds[-3:]
         both = (scalar_mix(two * 0x9E3779B97F4A7C15 + one & mask))
         rows = [scalar_mix(x * 3 + k & mask) % lm.ROWS for k, x in enumerate((one, two, both))]
-        rows += [lm.ROWS + c1, lm.ROWS + wide + c1 * wide + c2, lm.ROWS + wide + wide**2 + c2 * wide + c3]
+        rows += [lm.ROWS + c1 * wide + c2, lm.ROWS + wide**2 + c2 * wide + c3]
         z = m.class_bias + sum(m.class_weights[r].astype(float) for r in rows)
         total += z[kind] - math.log(np.exp(z).sum())
         rows = [scalar_mix(one * wide + kind & mask) % lm.ROWS, lm.ROWS + c1 * wide + kind]
