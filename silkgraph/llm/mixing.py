@@ -69,6 +69,28 @@ def exponent(sources: DataFrame, tokens: str, entropy_share: float, most_passes:
     return found, measured([found])[0][0]
 
 
+#: Slices of [0, 1) that running sums are taken over first.
+SLICES = 1024
+
+
+def running(rows: DataFrame, by: str, spot: str, order: list[str]) -> DataFrame:
+    """Of ``rows`` (``by``, ``spot`` in [0, 1), ``rest``, tokens, ...) those around the place where the running sum of tokens
+    reaches ``rest``, with ``before``, the sum before each.
+
+    Sums of slices come first: a group has ``SLICES`` of them at most, whatever its rows, and only the rows of the
+    slice that holds the place are then put in order, a part in about ``SLICES`` of the group.
+    """
+    cut = rows.withColumn("slice", F.floor(F.col(spot) * SLICES).cast("int"))
+    slices = cut.groupBy(by, "slice").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
+    along = Window.partitionBy(by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("base", F.coalesce(F.sum("tokens").over(along), F.lit(0)))
+    held = slices.filter((F.col("base") < F.col("rest")) & (F.col("base") + F.col("tokens") >= F.col("rest")))
+    held = held.groupBy(by).agg(F.min(F.struct("slice", "base")).alias("at")).select(F.col(by).alias("group"), "at.*")
+    near = cut.alias("c").join(held.withColumnRenamed("slice", "here"), F.col(f"c.{by}").eqNullSafe(F.col("group")) & (F.col("slice") == F.col("here")))
+    inside = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return near.withColumn("before", F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).drop("slice", "here", "group", "base")
+
+
 def mixture(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", entropy_share: float = 0.5,
     most_passes: float = 4.0, ratio: float = 1.0, block_tokens: int = 1 << 16, prefix: str = "mix_",
@@ -115,8 +137,7 @@ def mixture(
     )
     blocks = placed.groupBy("source", "full", "rest", "block").agg(F.sum("tokens").alias("tokens"))
     blocks = blocks.withColumn("turn", unit(F.col("source"), F.col("full"), F.col("block")))
-    order = Window.partitionBy("source").orderBy("turn", "block")
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = running(blocks, "source", "turn", ["turn", "block"])
     cut = written(
         blocks.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("tokens") >= F.col("rest")))
         .groupBy("source").agg(F.min(F.struct("turn", "block", "before")).alias("at")).select(F.col("source").alias("s"), "at.*"),
