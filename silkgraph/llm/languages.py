@@ -46,6 +46,8 @@ def gram_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     letters = np.where(gap, np.uint8(32), letters)
     keep = ~gap
     keep[1:] |= ~gap[:-1]
+    heads = at[:-1][np.diff(at) > 0]  # a text begins without a boundary, whatever stands before it in the batch
+    keep[heads] = ~gap[heads]
     row = np.repeat(np.arange(rows), np.diff(at))[keep]
     a = letters[keep].astype(np.uint32)
     out = np.zeros(rows * BUCKETS, dtype=np.float32)
@@ -84,12 +86,14 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, rows = np.zeros(BUCKETS), 0
+    """(kind, n): texts that have each kind of n-gram; kind -1 counts the texts."""
+    seen, rows = np.zeros(BUCKETS, dtype=np.int64), 0
     for batch in batches:
         for block in batch.column("counts"):
             seen += np.frombuffer(block.as_buffer(), dtype="<f4") > 0
             rows += 1
-    yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([seen.tobytes()], pa.binary())], names=["rows", "seen"])
+    some = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(seen[some], rows))], names=["kind", "n"])
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +124,11 @@ def learn(docs: DataFrame, text: str, lang: str, key: str, bound: int = 600, per
     known = known.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sample = sampled(known, "key", "lang", bound)
     vectors = written(sample.mapInArrow(_vectors, "lang string, counts binary"), "language-sample")
-    rows = vectors.mapInArrow(_frequencies, "rows long, seen binary").collect()
-    seen = sum((np.frombuffer(r["seen"]) for r in rows), np.zeros(BUCKETS))
-    idf = np.log((1 + sum(r["rows"] for r in rows)) / (1 + seen)).astype(np.float32) + 1
+    # summed in Spark: a number for each kind of n-gram comes back, whatever the number of files
+    found = vectors.mapInArrow(_frequencies, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    sums = {r["kind"]: r["n"] for r in found}
+    seen = np.array([sums.get(k, 0) for k in range(BUCKETS)], dtype=float)
+    idf = np.log((1 + sums.get(-1, 0)) / (1 + seen)).astype(np.float32) + 1
 
     def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
         x = weighted(np.stack([np.frombuffer(b, dtype="<f4") for b in pdf["counts"]]), idf)
