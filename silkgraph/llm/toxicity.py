@@ -1,7 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One model is learned from toxic rows and one from ordinary rows, from as many rows of each, every bigram
-counted once per text. A word's probability backs off from the class's bigrams to the class's words, and at
+One model is learned from toxic rows and one from ordinary rows, every bigram counted once per text. A word's probability backs off from the class's bigrams to the class's words, and at
 last to shared continuation counts: in how many contexts a word stands in both classes. Discounts are those
 of modified Kneser-Ney, estimated from the counts. Bigrams of fewer than ``CUT`` texts, or whose first word
 either class hardly knows, leave it to the words, and no word or bigram falls below half a count; so an
@@ -194,16 +193,16 @@ def _statistic_columns(text: Column, model: Difference, spark) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = 2500) -> Difference:
     """Models and calibration from labelled rows.
 
-    ``bound`` is the documented size of the sample of each class (the size of the smaller class, if less, so
-    that both models rest on as much text). Two thirds of the sample (by key hash)
-    teach the models, the rest the calibration. Labels other than 0 and 1 are passed over; a key labelled
+    ``bound`` is the documented size of the sample of each class, whatever that of the other; both models are
+    distributions, and the calibration is weighted to the true shares. Two thirds of the sample (by key hash)
+    teach the models, the rest the calibration. Repeated rows count once. Labels other than 0 and 1 are passed over; a key labelled
     twice counts once, as its larger label. Without rows of both classes every text gets the same low score.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic"))
     marks = marks.filter(F.col("key").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("key").agg(F.max("toxic").alias("toxic"))
     share = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    picked = sampled(marks, "key", "toxic", min(bound, max(1, min(share.get(0, 0), share.get(1, 0)))))
+    picked = sampled(marks, "key", "toxic", bound)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col(text).isNotNull())
     sample = written(rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]).dropDuplicates(["text"]), "toxicity-sample")
     part = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(3))
