@@ -35,7 +35,7 @@ SLOTS, OWN = 24, 14
 #: Rows of hashed words; classes before have rows of their own behind them.
 ROWS = 1 << 14
 #: Kinds of letter pairs, rounds of the k-means, and the common words among which its centroids begin.
-PAIRS, ROUNDS, SEEDS = 256, 6, 4096
+PAIRS, ROUNDS, SEEDS = 256, 5, 4096
 DICTIONARY, LONGEST = 1 << 18, 64
 STEPS, RATE, DAMPING = 12, 0.5, 60.0
 TRUST = (0.5, 1.0)
@@ -146,20 +146,20 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cluster(letters: np.ndarray):
-    """Task function: (kind, pair, value) of the sums of the vectors nearest to each centroid, weighted by the root of
-    their counts."""
+    """Task function: (kind, pair, value) of the sums of the words nearest to each centroid, as letter pairs of length one
+    together, weighted by the root of the word's count."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((len(letters.T), PAIRS))
+        out = np.zeros(CLASSES * PAIRS)
         for batch in batches:
-            for low in range(0, len(batch), 4096):
-                part = batch.slice(low, 4096)
-                vectors = letter_vectors(*_text_buffers(part.column("word")))
-                nearest = (vectors @ letters).argmax(axis=1)
-                weight = np.sqrt(part.column("n").to_numpy())[:, None]
-                order = np.argsort(nearest, kind="stable")
-                heads = np.flatnonzero(np.diff(nearest[order], prepend=-1))
-                out[nearest[order][heads]] += np.add.reduceat((vectors * weight)[order], heads, axis=0)
+            for low in range(0, len(batch), 8192):
+                part = batch.slice(low, 8192)
+                raw, offsets = _text_buffers(part.column("word"))
+                nearest = spelling_class(raw, offsets, letters)
+                kind, word = letter_pairs(raw, offsets)
+                weight = np.sqrt(part.column("n").to_numpy() / (np.diff(offsets) + 1))
+                out += np.bincount(nearest[word] * PAIRS + kind, weight[word], CLASSES * PAIRS)
+        out = out.reshape(CLASSES, PAIRS)
         kind, pair = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(out[kind, pair])], names=["kind", "pair", "value"])
 
@@ -277,7 +277,7 @@ def factors(t: Tokens, own: slice, m: Model) -> list[tuple[np.ndarray, np.ndarra
 
 def chosen_logs(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
     """Log-probability of the choice of each row."""
-    return z[np.arange(len(choice)), choice] - np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
+    return z[np.arange(len(choice)), choice] - np.log(np.einsum("ij->i", np.exp(z)))
 
 
 def blocks_of(t: Tokens) -> Iterator[slice]:
@@ -291,7 +291,7 @@ def gradient(t: Tokens, m: Model, class_sums: np.ndarray, slot_sums: np.ndarray)
         for sums, (z, choice, rows) in zip((class_sums, slot_sums), factors(t, own, m), strict=True):
             np.exp(z, out=z)
             miss = np.empty(z.shape[::-1])
-            np.divide(z.T, -(z @ np.ones(z.shape[1], z.dtype)), out=miss)
+            np.divide(z.T, -np.einsum("ij->i", z), out=miss)
             miss[choice, np.arange(len(choice))] += 1
             for f in rows:
                 low = int(f.min())
