@@ -55,7 +55,8 @@ def crawl_reachability(
     some = not busy.isEmpty()
     near, seen = BucketTable(spark, "crawl_edges", "source_url"), BucketTable(spark, "crawl_seen", "url")
     try:
-        edges = [near.add(reduced.join(busy, "source_url", "left_anti") if some else reduced)]
+        near.add(reduced.join(busy, "source_url", "left_anti") if some else reduced)
+        edges = [near.read()]
         if some:
             edges.append(stored(reduced.join(busy, "source_url", "left_semi"), "crawl-busy-edges"))
         level = seeds.select(
@@ -64,10 +65,10 @@ def crawl_reachability(
         ).dropDuplicates(["url"])
         left, ranked = max_pages, None
         for depth in itertools.count():
-            rows = seen.add(level)
-            level = rows.filter(F.col("depth") == depth)
-            if level.isEmpty():
+            if not seen.add(level):
                 break
+            rows = seen.read()
+            level = rows.filter(F.col("depth") == depth)
             done = level.filter(~F.col("recorded")).select("url")
             if max_pages > 0:
                 if left <= 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,10 +64,13 @@ class BucketTable:
         self.path = f"{shared_folder(spark)}/{self.name}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def add(self, rows: DataFrame) -> DataFrame:
+    def add(self, rows: DataFrame) -> int:
+        """Append rows; their number, observed while they are written."""
+        seen = Observation()
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         writer = rows.write.format("parquet").mode("append").bucketBy(self.buckets, self.key).sortBy(self.key)
         writer.option("path", self.path).saveAsTable(self.name)
-        return self.read()
+        return seen.get["rows"]
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

@@ -14,7 +14,7 @@ from silkgraph.operators import robots, sitemaps, state
 from silkgraph.operators.scale import row_ranks, shared_folder
 from silkgraph.plans import documented, views
 from silkgraph.plans.catalog_html import ALL_ITEMS
-from silkgraph.plans.catalog_state import FAILED, NOW_SQL
+from silkgraph.plans.catalog_state import FAILED, NOW_SQL, RECORDS, resolved_table
 from silkgraph.plans.registry import long, query, stamp, stamp_sql
 from silkgraph.sources import captures, derived as d, readers, writers
 from silkgraph.sources.derived import oracle
@@ -185,15 +185,79 @@ def stream_captures(spark, sf):
     return jobs.current_table(spark, f"{root}/tables", "pages", ["url"]).select("url", F.md5("html").alias("digest"))
 
 
+def ingested(spark, sf):
+    """The folder of the tables that the ingest stream fills from the fetch results, in three batches."""
+    source, root = folder(spark), folder(spark)
+    fetch_results(spark, sf).repartition(3, "url").write.parquet(source)
+    log = readers.stream_fetch_log(spark, source, files_per_trigger=1)
+    jobs.stream_ingest(log, f"{root}/tables", f"{root}/state").awaitTermination()
+    return f"{root}/tables"
+
+
+@query("stream_ingest_content", oracle("stored_urls page_fields", "SELECT key_url AS url, title, meta_description, h1 FROM page_fields"))
+def stream_ingest_content(spark, sf):
+    """Page fields drained through the ingest stream, those of the newest fetch of a page."""
+    rows = jobs.of_newest_pages(spark, ingested(spark, sf), "content")
+    return rows.select("url", "title", "meta_description", F.array_join("h1_tags", "|").alias("h1"))
+
+
+@query(
+    "stream_ingest_directives",
+    oracle("stored_urls page_fields", """SELECT key_url AS url, 'html_meta' AS source, unnest(string_split(meta_robots, '|')) AS directive FROM page_fields WHERE meta_robots <> ''
+        UNION ALL SELECT key_url, 'http_header', unnest(string_split(header_robots, '|')) FROM page_fields WHERE header_robots <> ''"""),
+)
+def stream_ingest_directives(spark, sf):
+    return jobs.of_newest_pages(spark, ingested(spark, sf), "directives").select("url", "source", "directive")
+
+
+@query("stream_ingest_canonicals", oracle("stored_urls page_fields", "SELECT key_url AS url, canonical_url, 'html_head' AS source FROM page_fields WHERE canonical_url IS NOT NULL"))
+def stream_ingest_canonicals(spark, sf):
+    return jobs.of_newest_pages(spark, ingested(spark, sf), "canonicals").select("url", "canonical_url", "source")
+
+
+@query("stream_ingest_urls", oracle("page_urls", f"""SELECT key_url AS url, 'html' AS kind, 'internal' AS classification,
+        {stamp_sql('make_timestamp((1700000000 + min(page_id)) * 1000000)')} AS first_seen, {stamp_sql('make_timestamp((1700000000 + max(page_id)) * 1000000)')} AS last_seen
+        FROM page_urls GROUP BY key_url"""))
+def stream_ingest_urls(spark, sf):
+    utc = lambda c: F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    rows = jobs.current_urls(spark, ingested(spark, sf))
+    return rows.select("url", "kind", "classification", utc("first_seen").alias("first_seen"), utc("last_seen").alias("last_seen"))
+
+
+@query("stream_ingest_failures", oracle("fetch_log", FAILED + f"""SELECT url, status_code, retry_count, {stamp_sql('next_retry_at')} AS next_retry_at FROM failed"""))
+def stream_ingest_failures(spark, sf):
+    """Failed URLs from the outcomes that the ingest stream stored, in four batches out of order."""
+    log, root = d.fetch_log(spark, sf), folder(spark)
+    none = F.lit(None)
+    full = log.select(
+        "url", "status", none.cast("string").alias("final_url"), none.cast("map<string,string>").alias("headers"), none.cast("string").alias("text"),
+        none.cast("array<struct<url:string,status:int,headers:map<string,string>>>").alias("redirect_chain"), "fetched_at", "seq",
+    )
+    source = in_files(spark, full, "seq % 4", 4)
+    jobs.stream_ingest(readers.stream_fetch_log(spark, source, files_per_trigger=1), f"{root}/tables", f"{root}/state").awaitTermination()
+    failed = jobs.current_failures(spark, f"{root}/tables")
+    return failed.select("url", long("status_code").alias("status_code"), "retry_count", stamp("next_retry_at").alias("next_retry_at"))
+
+
+@query("stream_ingest_redirects", oracle("redirect_responses", RECORDS, recursive=True))
+def stream_ingest_redirects(spark, sf):
+    """Redirect chains of captured fetches, drained through the ingest stream."""
+    chains, root = resolved_table(spark, sf), folder(spark)
+    fetched = chains.select(
+        "url", "status", "final_url", F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("text"), "redirect_chain",
+        F.timestamp_seconds(F.lit(1_700_000_000)).alias("fetched_at"), F.crc32(F.col("url").cast("binary")).alias("seq"),
+    )
+    source = in_files(spark, fetched, "seq % 2", 2)
+    jobs.stream_ingest(readers.stream_fetch_log(spark, source, files_per_trigger=1), f"{root}/tables", f"{root}/state").awaitTermination()
+    rows = jobs.current_table(spark, f"{root}/tables", "redirects", ["source_url"])
+    return rows.select("source_url", "target_url", long("chain_length").alias("chain_length"), long("final_status").alias("final_status"))
+
+
 @query("stream_ingest_links", oracle("stored_urls nav_links variant_links", """SELECT source_url, u.key_url AS target_url, anchor_text, xpath, href
         FROM variant_links LEFT JOIN page_urls u ON u.key_url = href WHERE variant_links.classification = 'internal'"""))
 def stream_ingest_links(spark, sf):
     """Fetch results drained through the ingest stream; links read back over all batches."""
-    source, root = folder(spark), folder(spark)
-    fetch_results(spark, sf).repartition(3).write.parquet(source)
-    log = readers.stream_fetch_log(spark, source, files_per_trigger=1)
-    jobs.stream_ingest(log, f"{root}/tables", f"{root}/state").awaitTermination()
-    return jobs.current_links(spark, f"{root}/tables").select("source_url", "target_url", "anchor_text", "xpath", "href")
+    return jobs.current_links(spark, ingested(spark, sf)).select("source_url", "target_url", "anchor_text", "xpath", "href")
 
 
 def in_files(spark, rows, part, parts):

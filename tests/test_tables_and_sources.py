@@ -74,8 +74,9 @@ def test_a_crawl_level_leaves_the_edges_where_they_are(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     edges, seen = scale.BucketTable(spark, "edges", "source_url"), scale.BucketTable(spark, "seen", "url")
     try:
-        near = edges.add(spark.range(200).select(F.col("id").cast("string").alias("source_url"), (F.col("id") + 1).cast("string").alias("target_url"), F.lit(True).alias("crawlable")))
-        rows = seen.add(spark.range(3).select(F.col("id").cast("string").alias("url"), F.lit(0).alias("depth")))
+        assert edges.add(spark.range(200).select(F.col("id").cast("string").alias("source_url"), (F.col("id") + 1).cast("string").alias("target_url"), F.lit(True).alias("crawlable"))) == 200
+        assert seen.add(spark.range(3).select(F.col("id").cast("string").alias("url"), F.lit(0).alias("depth"))) == 3
+        near, rows = edges.read(), seen.read()
         level = rows.filter("depth = 0").select("url")
         found = reach.found_by(level, [near], rows)
         plan = plan_of(found)
