@@ -35,7 +35,7 @@ SLOTS, OWN = 24, 14
 #: Rows of hashed words; classes before have rows of their own behind them.
 ROWS = 1 << 14
 #: Kinds of letter pairs, rounds of the k-means, and the common words among which its centroids begin.
-PAIRS, ROUNDS, SEEDS = 256, 5, 4096
+PAIRS, ROUNDS, SEEDS = 256, 3, 4096
 DICTIONARY, LONGEST = 1 << 18, 64
 STEPS, RATE, DAMPING = 12, 0.5, 60.0
 TRUST = (0.5, 1.0)
@@ -155,8 +155,8 @@ def _cluster(letters: np.ndarray):
             for low in range(0, len(batch), 8192):
                 part = batch.slice(low, 8192)
                 raw, offsets = _text_buffers(part.column("word"))
-                nearest = spelling_class(raw, offsets, letters)
-                kind, word = letter_pairs(raw, offsets)
+                kind, word = letter_pairs(raw, offsets)  # words of at most LONGEST bytes
+                nearest = np.add.reduceat(letters[kind], np.flatnonzero(np.diff(word, prepend=-1)), axis=0).argmax(axis=1)
                 weight = np.sqrt(part.column("n").to_numpy() / (np.diff(offsets) + 1))
                 out += np.bincount(nearest[word] * PAIRS + kind, weight[word], CLASSES * PAIRS)
         out = out.reshape(CLASSES, PAIRS)
