@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from silkgraph.functions import http
 from silkgraph.functions.urls import host
 from silkgraph.operators import robots, sitemaps, state
-from silkgraph.operators.scale import row_ranks, shared_folder
+from silkgraph.operators.scale import row_ranks, shared_folder, stored
 from silkgraph.plans import documented, views
 from silkgraph.plans.catalog_html import ALL_ITEMS
 from silkgraph.plans.catalog_state import FAILED, NOW_SQL, RECORDS, resolved_table
@@ -157,9 +157,10 @@ def frontier_mark_finished(spark, sf):
 
 
 def captured(spark, sf):
-    """A folder with the pages as archived responses, in three files."""
+    """A folder with the pages as archived responses, in a file for every core, three at least."""
     root = folder(spark)
-    captures.write_captures(page_rows(spark, sf).withColumnRenamed("html", "text").repartition(3, "url"), root)
+    files = max(3, spark.sparkContext.defaultParallelism)
+    captures.write_captures(page_rows(spark, sf).withColumnRenamed("html", "text").repartition(files, "url"), root)
     captures.register_captures(spark)
     return root
 
@@ -185,11 +186,17 @@ def stream_captures(spark, sf):
     return jobs.current_table(spark, f"{root}/tables", "pages", ["url"]).select("url", F.md5("html").alias("digest"))
 
 
+#: Pages of a file of the fetch results at least.
+PAGES_PER_FILE = 50
+
+
 def ingested(spark, sf):
     """The folder of the tables that the ingest stream fills from the fetch results, in three batches."""
     source, root = folder(spark), folder(spark)
-    fetch_results(spark, sf).repartition(3, "url").write.parquet(source)
-    log = readers.stream_fetch_log(spark, source, files_per_trigger=1)
+    # a batch has a file for every core, and all fetches of a page stand in one file
+    files = max(1, min(spark.sparkContext.defaultParallelism, d.pages(spark, sf).count() // PAGES_PER_FILE // 3))
+    fetch_results(spark, sf).repartition(3 * files, "url").write.parquet(source)
+    log = readers.stream_fetch_log(spark, source, files_per_trigger=files)
     jobs.stream_ingest(log, f"{root}/tables", f"{root}/state").awaitTermination()
     return f"{root}/tables"
 
@@ -233,8 +240,8 @@ def stream_ingest_failures(spark, sf):
         "url", "status", none.cast("string").alias("final_url"), none.cast("map<string,string>").alias("headers"), none.cast("string").alias("text"),
         none.cast("array<struct<url:string,status:int,headers:map<string,string>>>").alias("redirect_chain"), "fetched_at", "seq",
     )
-    source = in_files(spark, full, "seq % 4", 4)
-    jobs.stream_ingest(readers.stream_fetch_log(spark, source, files_per_trigger=1), f"{root}/tables", f"{root}/state").awaitTermination()
+    source, files = in_files(spark, full, "seq % 4", 4)
+    jobs.stream_ingest(readers.stream_fetch_log(spark, source, files_per_trigger=files), f"{root}/tables", f"{root}/state").awaitTermination()
     failed = jobs.current_failures(spark, f"{root}/tables")
     return failed.select("url", long("status_code").alias("status_code"), "retry_count", stamp("next_retry_at").alias("next_retry_at"))
 
@@ -247,8 +254,8 @@ def stream_ingest_redirects(spark, sf):
         "url", "status", "final_url", F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("text"), "redirect_chain",
         F.timestamp_seconds(F.lit(1_700_000_000)).alias("fetched_at"), F.crc32(F.col("url").cast("binary")).alias("seq"),
     )
-    source = in_files(spark, fetched, "seq % 2", 2)
-    jobs.stream_ingest(readers.stream_fetch_log(spark, source, files_per_trigger=1), f"{root}/tables", f"{root}/state").awaitTermination()
+    source, files = in_files(spark, fetched, "seq % 2", 2)
+    jobs.stream_ingest(readers.stream_fetch_log(spark, source, files_per_trigger=files), f"{root}/tables", f"{root}/state").awaitTermination()
     rows = jobs.current_table(spark, f"{root}/tables", "redirects", ["source_url"])
     return rows.select("source_url", "target_url", long("chain_length").alias("chain_length"), long("final_status").alias("final_status"))
 
@@ -260,22 +267,32 @@ def stream_ingest_links(spark, sf):
     return jobs.current_links(spark, ingested(spark, sf)).select("source_url", "target_url", "anchor_text", "xpath", "href")
 
 
+#: Rows of a file of a batch at least, so that none of the files of a batch stays empty.
+ROWS_PER_FILE = 1000
+
+
 def in_files(spark, rows, part, parts):
-    """A folder with the rows as ``parts`` files, written one after the other by the number ``part``, an SQL expression."""
+    """A folder with the rows as ``parts`` batches, written one after the other by the number ``part``, an SQL expression,
+    and the number of files of each batch: one for every core, fewer if a batch is small."""
     source = folder(spark)
+    kept = stored(rows.withColumn("_part", F.expr(part)), "stream-rows")
+    sizes = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}
+    cores = spark.sparkContext.defaultParallelism
+    files = max(1, min(cores, min(sizes.get(i, 0) for i in range(parts)) // ROWS_PER_FILE))
     for i in range(parts):
-        rows.filter(F.expr(part) == i).coalesce(1).write.mode("append").parquet(source)
-    return source
+        batch = kept.filter(F.col("_part") == i).drop("_part")
+        (batch.repartition(files) if files > 1 else batch.coalesce(1)).write.mode("append").parquet(source)
+    return source, files
 
 
-def as_stream(spark, rows, source):
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+def as_stream(spark, rows, source, files=1):
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
 
 
 def drained(spark, rows, build, mode, part="0", parts=1):
     """``rows`` written as files, read as a stream one file at a time, and what ``build`` makes of it, written batch by batch."""
     root = folder(spark)
-    stream = build(as_stream(spark, rows, in_files(spark, rows, part, parts)))
+    stream = build(as_stream(spark, rows, *in_files(spark, rows, part, parts)))
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={batch_id}")
@@ -319,9 +336,9 @@ def stream_retry_ready(spark, sf):
 
 def retry_tables(spark, sf):
     log, checkpoint = d.fetch_log(spark, sf), folder(spark)
-    source = in_files(spark, log.sortWithinPartitions(F.xxhash64("seq")), LATER.format(SLICE), 4)
+    source, files = in_files(spark, log.sortWithinPartitions(F.xxhash64("seq")), LATER.format(SLICE), 4)
     with rocksdb(spark):
-        stream = jobs.stream_retry_state(as_stream(spark, log, source), watermark="2 hours")
+        stream = jobs.stream_retry_state(as_stream(spark, log, source, files), watermark="2 hours")
         query = stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         state = jobs.retry_state_of(spark, checkpoint).withColumn("status_code", long("status_code"))
@@ -360,7 +377,7 @@ def stream_status_appended(spark, sf):
     log = d.fetch_log(spark, sf)
     part = f"CASE WHEN {LATE} THEN 2 WHEN dayofmonth(fetched_at) <= 15 THEN 0 ELSE 1 END"
     root = folder(spark)
-    windows, dropped, _ = jobs.drain_status_counts(as_stream(spark, log, in_files(spark, log, part, 3)), f"{root}/windows", f"{root}/state")
+    windows, dropped, _ = jobs.drain_status_counts(as_stream(spark, log, *in_files(spark, log, part, 3)), f"{root}/windows", f"{root}/state")
     count = spark.range(1).select(F.lit(None).cast("string").alias("window_start"), F.lit("dropped").alias("status_class"), F.lit(dropped).cast("bigint").alias("fetches"))
     return windows.withColumn("window_start", stamp("window_start")).unionByName(count)
 

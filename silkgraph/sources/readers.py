@@ -94,5 +94,6 @@ def pages_from_log(log: DataFrame, hold: Callable[[DataFrame], DataFrame] | None
         header(F.col("headers"), "x-robots-tag").alias("x_robots_tag"),
         F.col("text").alias("html"),
     )
-    html = rows.filter((F.col("kind") == "html") & (F.coalesce("html", F.lit("")) != ""))
+    # the body is asked first: the kind of a URL costs far more
+    html = rows.filter((F.coalesce("html", F.lit("")) != "") & (F.col("kind") == "html"))
     return newest_bodies(html, ["url"], ["fetched_at", "seq"], hold)

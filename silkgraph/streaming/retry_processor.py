@@ -62,7 +62,8 @@ class RetryProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         success = tuple(self.success.get()) if self.success.exists() else (-1, -1)
         settled, held = self._failures()
-        before, known = self._shown(settled, held), self.success.exists() or bool(settled or held)
+        stored = (success, settled, list(held))
+        before, known = self._shown(settled, held), success > (-1, -1) or bool(settled or held)
         for frame in rows:
             good = (frame["status"] >= 200) & (frame["status"] <= 299)
             success = max([success, *((int(u), int(s)) for u, s in zip(frame["us"][good], frame["seq"][good]))])
@@ -78,19 +79,19 @@ class RetryProcessor(StatefulProcessor):
             n, first, *last = settled or (0, old[0][0], *old[-1])
             settled = (n + len(old), min(first, old[0][0]), *max(tuple(last), old[-1]))
         shown = self._shown(settled, held)
-        if settled:
-            self.settled.update(settled)
-        else:
-            self.settled.clear()
-        if held:
-            self.open.put(held)
-        else:
-            self.open.clear()
-        if success > (-1, -1):
+        # a call to the state is a round trip of its own, so only what has changed is written
+        if settled != stored[1]:
+            self.settled.update(settled) if settled else self.settled.clear()
+        if held != stored[2]:
+            self.open.put(held) if held else self.open.clear()
+        if success != stored[0]:
             self.success.update(success)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(shown[3] * 1000 if shown else success[0] // 1000 + 1)
+        due, timers = shown[3] * 1000 if shown else success[0] // 1000 + 1, list(self.handle.listTimers())
+        for timer in timers:
+            if timer != due:
+                self.handle.deleteTimer(timer)
+        if due not in timers:
+            self.handle.registerTimer(due)
         if shown != before or not known:
             yield self._row(key[0], "failed" if shown else "cleared", shown)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from silkgraph.llm import url_filter
 from silkgraph.plans.catalog import QUERIES
-from silkgraph.sources import derived as d
+from silkgraph.plans.catalog_storage import as_stream, in_files
+from silkgraph.sources import captures, derived as d
 
 
 def part_table(spark, folder, rows):
@@ -28,3 +30,42 @@ def test_view_over_items_keeps_repeated_pages(spark, tmp_path):
     rows = QUERIES["schema_analysis"](spark, sf).collect()
     own = [r for r in rows if r["url"].endswith("/9") and r["format"] == "rdfa"]
     assert len(own) == 2 and not [r for r in rows if r["url"].endswith("/8")]
+
+
+def test_batches_of_a_stream_are_files_for_all_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(2 * 2000 * cores).withColumn("half", F.col("id") % 2)
+    source, files = in_files(spark, rows, "half", 2)
+    assert files == cores
+    assert len(spark.read.parquet(source).inputFiles()) == 2 * cores
+    seen = []
+
+    def note(batch, _):
+        seen.append((batch.count(), [r[0] for r in batch.select("half").distinct().collect()]))
+
+    as_stream(spark, rows, source, files).writeStream.foreachBatch(note).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(2000 * cores, [0]), (2000 * cores, [1])]
+
+
+def test_a_small_or_missing_batch_is_one_file(spark):
+    source, files = in_files(spark, spark.range(5000), "CASE WHEN id < 3 THEN 1 WHEN id > 9 THEN 0 END", 3)
+    assert files == 1 and spark.read.parquet(source).count() == 4993 and len(spark.read.parquet(source).inputFiles()) == 3
+
+
+def test_small_ranges_of_large_files_stay_bounded_in_number():
+    files = [(0, "a", 1 << 30), (0, "b", 5)]
+    found = captures.ranges(files, 20_000)
+    assert len(found) <= captures.TASKS + len(files)
+    assert all(a.end == b.start for a, b in zip(found, found[1:]) if a.path == b.path)
+    assert (found[0].start, found[-2].end, found[-1].end) == (0, 1 << 30, 5)
+    assert len(captures.ranges([(0, "a", 100_000)], 20_000)) == 5
+
+
+def test_url_models_learn_from_all_labelled_urls(spark, monkeypatch):
+    seen = []
+    learn = url_filter.weights
+    monkeypatch.setattr(url_filter, "weights", lambda urls: seen.append(urls.count()) or learn(urls))
+    urls = spark.range(8000).select(F.concat(F.lit("http://a.com/"), "id").alias("url"))
+    urls = urls.unionByName(spark.range(50).select(F.concat(F.lit("http://b.net/es/"), "id").alias("url")))
+    url_filter.filter_urls(urls).count()
+    assert seen[0] > 8050 / 2
