@@ -26,7 +26,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VERSION = b"WARC/1."
 BREAK = b"\r\n\r\n"
 RANGE = 64 << 20
-CHUNK = 1 << 20
+CHUNK, FIRST_CHUNK = 1 << 20, 1 << 16
+# Small ranges are widened up to RANGE where files would give more tasks than this.
+TASKS = 1000
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 STEP = pa.struct([("url", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string()))])
@@ -57,6 +59,8 @@ def listed(path: str) -> list[tuple[int, str, int]]:
 
 
 def ranges(files: list[tuple[int, str, int]], size: int) -> list[Range]:
+    """The byte ranges of the files, of ``size`` bytes; wider ones for files that have very many of them."""
+    size = max(size, min(RANGE, -(-sum(whole for _, _, whole in files) // TASKS)))
     return [Range(path, low, min(low + size, whole)) for _, path, whole in files for low in range(0, whole, size)]
 
 
@@ -99,11 +103,11 @@ class Records:
         """Where the first record at or behind ``at`` begins."""
         if at == 0 and self.head(0):
             return 0
-        low, held = max(0, at - len(BREAK)), b""
+        low, held, step = max(0, at - len(BREAK)), b"", FIRST_CHUNK
         mark = BREAK + VERSION
         while True:
-            more = self.bytes_at(low + len(held), CHUNK)
-            held += more
+            more = self.bytes_at(low + len(held), step)
+            held, step = held + more, min(2 * step, CHUNK)
             place = held.find(mark)
             while place >= 0:
                 start = low + place + len(BREAK)
@@ -209,7 +213,7 @@ class CaptureStream(DataSourceStreamReader):
 class Captures(DataSource):
     """``spark.read.format("captures").load(path)``: the responses of uncompressed WARC files as fetch results.
 
-    Option ``rangeBytes``: bytes of a task. The path may be local to all machines or any that Arrow's file systems
+    Option ``rangeBytes``: bytes of a task, more where that would be thousands of tasks. The path may be local to all machines or any that Arrow's file systems
     open. ``seq`` is the place of the record in its file. Records of other kinds, and broken or cut-off ones, give no row. A body
     that itself holds a whole record between the same breaks may be taken for one by a range that begins inside it.
     """
