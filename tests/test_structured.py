@@ -1,6 +1,8 @@
 import json
 
-from silkgraph.operators.structured import schema_error_counts, schema_statistics, structured_data
+from silkgraph.functions.element_rows import page_record
+from silkgraph.operators.dom import wanted_items
+from silkgraph.operators.structured import FORMATS, schema_error_counts, schema_statistics, structured_data
 
 URL = "http://h.example/dir/p"
 
@@ -94,3 +96,24 @@ def test_statistics(spark):
     assert stats[("total", None)] == (4, 2, 2)
     assert stats[("format", "json-ld")] == (2, 0, 2) and stats[("type", "Product")] == (2, 1, 1)
     assert schema_error_counts(found).count() == 3
+
+
+MIXED = """<html>
+<p itemprop=x property=y>out</p><div itemscope>
+<div itemscope
+ itemtype=http://schema.org/Offer typeof=Offer property=offers><b itemprop=price>1</b>
+<i property=price>2</i><img itemprop=logo property=logo src=/l></div></div>
+<script type="application/ld+json">{"@type":"Article"}</script><span property=late>3</span></html>"""
+
+
+def test_one_format_alone_is_what_it_is_among_all(spark):
+    every = items(spark, MIXED)
+    for name in FORMATS:
+        assert items(spark, MIXED, name) == [i for i in every if i["format"] == name] != []
+    (offer,) = items(spark, MIXED, "microdata")
+    assert offer["position"] == 1 and offer["raw_data"].startswith("<div itemscope\n itemtype=") and offer["raw_data"].endswith("src=/l></div>")
+
+
+def test_elements_of_other_formats_stay_in_the_task():
+    tags = {name: [n[3] for n in page_record(MIXED, wanted_items((name,)), URL)[0]] for name in FORMATS}
+    assert tags == {"json-ld": ["script"], "microdata": ["p", "div", "div", "b", "img"], "rdfa": ["p", "div", "i", "img", "span"]}
