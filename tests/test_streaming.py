@@ -10,6 +10,7 @@ from silkgraph.operators.retry import retry_state
 from silkgraph.plans import views
 from silkgraph.sources import readers
 from silkgraph.streaming import jobs
+from silkgraph.streaming.retry_processor import RetryProcessor
 
 PAGE = "<html><head><title>t{0}</title></head><body><h1>h</h1><a href='/n{0}'>x</a></body></html>"
 
@@ -132,3 +133,49 @@ def test_links_of_several_batches(spark, tmp_path):
     got = {(r.source_url, r.href, r.target_url) for r in jobs.current_links(spark, str(tmp_path / "out")).collect()}
     b, c = "http://h.example/b", "http://h.example/c"
     assert got == {("http://h.example/a", b, b), (b, c, c)}
+
+
+def test_a_url_of_the_retry_stream_costs_no_frame_operations(monkeypatch):
+    """Rows of a URL are read as lists: no frame is filtered or compared, which costs more than the rows themselves."""
+    import pandas as pd
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        put = update
+
+        def clear(self):
+            self.held = None
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    class Handle(dict):
+        def getValueState(self, name, _):
+            return self.setdefault(name, Value())
+
+        getListState = getValueState
+
+        def listTimers(self):
+            return iter(())
+
+        def registerTimer(self, due):
+            self["due"] = due
+
+    frame = pd.DataFrame({"us": [1_000_000, 3_000_000, 3_000_000, 2_000_000], "seq": [1, 4, 3, 2], "status": [503, 0, 503, 200]})
+    handle, processor = Handle(), RetryProcessor(1.0, 2.0)
+    processor.init(handle)
+    monkeypatch.setattr(pd.Series, "__ge__", lambda *_: (_ for _ in ()).throw(AssertionError("frame operation")))
+    (row,) = processor.handleInputRows(("u",), iter([frame]), Times())
+    assert row.values.tolist() == [["u", "failed", 0, 1, 3, 5]]
+    assert handle["success"].held == (2_000_000, 2) and handle["open"].held == [(3_000_000, 4, 0), (3_000_000, 3, 503)] and handle["due"] == 5000
