@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from silkgraph.llm import url_filter
+from silkgraph.plans import catalog_storage
 from silkgraph.plans.catalog import QUERIES
 from silkgraph.plans.catalog_storage import as_stream, in_files
 from silkgraph.sources import captures, derived as d
@@ -25,6 +29,43 @@ def test_pages_of_one_small_file_are_read_by_all_cores(spark, tmp_path):
     assert max(r["count"] for r in dealt) < 60
 
 
+@pytest.mark.parametrize("name", [
+    "q_schema_invalid", "q_schema_valid", "register_views", "schema_analysis", "schema_statistics", "json_ld_type", "json_ld_items", "rdfa_items", "microdata_properties",
+])
+def test_items_of_one_small_file_are_made_by_all_cores(spark, tmp_path, name):
+    plan = QUERIES[name](spark, part_table(spark, tmp_path, 9))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    dealt = re.search(r"RoundRobinPartitioning\((\d+)\)", below[: below.index("FileScan")])
+    assert dealt and int(dealt[1]) >= spark.sparkContext.defaultParallelism
+
+
+def test_fetch_results_of_a_batch_are_files_for_all_cores(spark, tmp_path, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    rows = 3 * cores * catalog_storage.PAGES_PER_FILE
+    url = F.concat(F.lit("https://a.example.com/en/"), F.col("id") % (rows - 1))  # one page is fetched twice
+    spark.range(rows).select(F.col("id").alias("page_id"), url.alias("url"), F.lit("<html><head></head><body></body></html>").alias("html")).coalesce(1).write.parquet(
+        str(tmp_path / "pages.parquet")
+    )
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def noted(session, path, files_per_trigger):
+        seen.append((path, files_per_trigger))
+        raise Enough
+
+    monkeypatch.setattr(catalog_storage.readers, "stream_fetch_log", noted)
+    with pytest.raises(Enough):
+        catalog_storage.ingested(spark, str(tmp_path))
+    source, files = seen[0]
+    assert files == cores
+    written = spark.read.parquet(source).select("url", F.input_file_name().alias("file")).collect()
+    assert len(written) == rows and len({r["file"] for r in written}) > 2 * cores
+    twice = [r["file"] for r in written if r["url"].endswith("/0")]
+    assert len(twice) == 2 and len(set(twice)) == 1
+
+
 def test_view_over_items_keeps_repeated_pages(spark, tmp_path):
     sf = part_table(spark, tmp_path, 9)
     rows = QUERIES["schema_analysis"](spark, sf).collect()
