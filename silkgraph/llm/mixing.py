@@ -1,7 +1,7 @@
 """Mixing sources to target weights by temperature.
 
-Weights are token shares to the power of an exponent. The exponent is found by bisection (in sixteen parts
-at once, one small aggregation over the sources each time) so that the entropy of the weights meets its
+Weights are token shares to the power of an exponent. The exponent is found by bisection (in 256 parts at
+once, one small aggregation over the table of sources each time) so that the entropy of the weights meets its
 target; if that would repeat a source more often than allowed, a second bisection takes the exponent back
 to the limit. A source's quota then becomes full passes and a rest. Documents of a source are dealt into
 blocks of bounded tokens by key hash; every pass takes the blocks in an order of its own, and the rest is
@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import written
 
 SPACE = 1 << 60
-WAYS = 16
+WAYS = 256
 
 
 def unit(*parts: Column) -> Column:
@@ -34,22 +35,22 @@ def token_count(text: Column) -> Column:
 
 
 def exponent(sources: DataFrame, tokens: str, entropy_share: float, most_passes: float, ratio: float) -> tuple[float, float]:
-    """Exponent and the sum of powered shares, for ``sources`` with positive ``tokens``."""
+    """Exponent and the sum of powered shares, for ``sources`` with positive ``tokens``: a written table, since each step reads it.
+
+    The exponents of a step are rows, not expressions: every step has the same small plan, compiled once, whatever ``WAYS``.
+    """
     share = F.col("share")
     total = sources.agg(F.sum(tokens)).first()[0]
     table = sources.select((F.col(tokens) / F.lit(total)).alias("share"))
 
     def measured(exponents: list[float]) -> list[tuple[float, float, float]]:
         """Powered sum, entropy and largest number of passes at each exponent; only scalars come back."""
-        asked = []
-        for x in exponents:
-            asked += [F.sum(F.pow(share, F.lit(x))), F.sum(F.pow(share, F.lit(x)) * F.log(share) * x), F.max(F.pow(share, F.lit(x - 1)))]
-        row = table.agg(*[a.alias(f"a{i}") for i, a in enumerate(asked)]).first()
-        out = []
-        for i in range(len(exponents)):
-            z, slope, top = row[3 * i : 3 * i + 3]
-            out.append((z, math.log(z) - slope / z, top / z * ratio))
-        return out
+        tried = table.select(share, F.posexplode(F.lit(np.array(exponents))).alias("i", "x"))
+        power = F.pow(share, F.col("x"))
+        found = tried.groupBy("i").agg(
+            F.sum(power).alias("z"), F.sum(power * F.log(share) * F.col("x")).alias("slope"), F.max(F.pow(share, F.col("x") - 1)).alias("top")
+        )
+        return [(r["z"], math.log(r["z"]) - r["slope"] / r["z"], r["top"] / r["z"] * ratio) for r in sorted(found.collect())]
 
     def search(low: float, high: float, enough) -> float:
         """Where ``enough`` turns from false at ``low`` to true at ``high``, to a billionth."""
@@ -63,10 +64,12 @@ def exponent(sources: DataFrame, tokens: str, entropy_share: float, most_passes:
     now, flat = measured([1.0, 0.0])
     target = now[1] + entropy_share * (flat[1] - now[1])
     found = 1.0 if flat[1] - now[1] < 1e-12 or entropy_share <= 0 else search(1.0, 0.0, lambda m: m[1] >= target)
-    if measured([found])[0][2] > most_passes:
+    norm, _, top = measured([found])[0]
+    if top > most_passes:
         # back towards the natural shares, where every source is passed ``ratio`` times
         found = 1.0 if ratio >= most_passes else search(found, 1.0, lambda m: m[2] <= most_passes)
-    return found, measured([found])[0][0]
+        norm = measured([found])[0][0]
+    return found, norm
 
 
 #: Slices of [0, 1) that running sums are taken over first.
@@ -110,10 +113,10 @@ def mixture(
     counted = written(
         docs.select(F.col(source).alias("source"), F.col(key).cast("string").alias("key"), token_count(F.col(text)).alias("tokens")), "mix-counts"
     )
-    sources = counted.groupBy("source").agg(F.sum("tokens").alias("total"))
+    sources = written(counted.groupBy("source").agg(F.sum("tokens").alias("total")), "mix-totals")
     some = sources.filter("total > 0")
     names = [prefix + c for c in ("epoch", "block", "position", "tokens")]
-    corpus = some.agg(F.sum("total")).first()[0] if not some.isEmpty() else 0
+    corpus = some.agg(F.sum("total")).first()[0] or 0
     if corpus:
         power, norm = exponent(some, "total", entropy_share, most_passes, ratio)
         quota = F.pow(F.col("total") / corpus, F.lit(power)) / norm * (ratio * corpus)

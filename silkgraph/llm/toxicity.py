@@ -93,10 +93,13 @@ def fitted(counts: dict[str, np.ndarray]) -> Difference:
     """Both models from the bigram counts of a bounded sample, folded into weights."""
     t, n = counts["toxic"], counts["n"].astype(float)
     a, b = counts["a"].view(np.uint64), counts["b"].view(np.uint64)
-    vocabulary, place = np.unique(np.concatenate([b, a]), return_inverse=True)
+    # places by search, since those of np.unique take three times the memory of the counts
+    vocabulary = np.unique(np.concatenate([b, a]))
     size = len(vocabulary)
-    b_at, a_at = place[: len(b)], place[len(b) :]
-    pair, pair_at = np.unique((a * PAIR + b) * np.uint64(0x9E3779B97F4A7C15), return_inverse=True)
+    b_at, a_at = np.searchsorted(vocabulary, b), np.searchsorted(vocabulary, a)
+    pair_key = (a * PAIR + b) * np.uint64(0x9E3779B97F4A7C15)
+    pair = np.unique(pair_key)
+    pair_at = np.searchsorted(pair, pair_key)
     pair_a, pair_b = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
     pair_a[pair_at], pair_b[pair_at] = a_at, b_at
 

@@ -141,6 +141,23 @@ def plain_differences(toxic, clean):
     return difference
 
 
+def test_toxicity_models_take_little_of_the_driver():
+    """Beside the counts, no more than two and a half times their bytes."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    words = r.integers(-(2**63), 2**63 - 1, 10_000)
+    a, b = (words[np.minimum(r.zipf(1.3, 100_000), len(words)) - 1] for _ in range(2))
+    counts = {"toxic": r.integers(0, 2, len(a)), "a": a, "b": b, "n": r.integers(1, 9, len(a))}
+    tracemalloc.start()
+    try:
+        toxicity.fitted(counts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2.5 * sum(x.nbytes for x in counts.values())
+
+
 def test_toxicity_models_by_definition():
     """Bigrams, words and the shared backoff; texts of very unequal numbers on both sides."""
     import pyarrow as pa

@@ -207,6 +207,35 @@ def test_mixture_equals_its_definition(spark, entropy_share, most, ratio):
     assert got.filter("mix_position < 0 or mix_position >= 1").count() == 0
 
 
+def test_the_exponent_takes_few_jobs(spark):
+    """The same as a plain bisection, by steps that are few: each plan and its tasks lie in the driver's memory."""
+    sizes = [7**i + i for i in range(7)]
+    sources = stages.written(spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, total long"), "test")
+    sc = spark.sparkContext
+    sc.setJobGroup("exponent", "exponent")
+    try:
+        power, norm = mixing.exponent(sources, "total", 0.5, 4.0, 1.0)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("exponent"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    share = np.array(sizes) / sum(sizes)
+
+    def entropy(x):
+        w = share**x / (share**x).sum()
+        return -(w * np.log(w)).sum()
+
+    def bisect(low, high, enough):
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if enough(mid) else (mid, high)
+        return high
+
+    even = bisect(1.0, 0.0, lambda x: entropy(x) >= (entropy(1) + entropy(0)) / 2)
+    high = bisect(even, 1.0, lambda x: (share ** (x - 1)).max() <= 4 * (share**x).sum())
+    assert power == pytest.approx(high, abs=2e-9) and norm == pytest.approx((share**power).sum(), rel=1e-9)
+    assert jobs <= 30
+
+
 def test_mixture_of_odd_tables(spark, odd):
     assert set(odd.columns) <= set(mixing.mixture(odd).columns)
     assert mixing.mixture(odd.limit(0)).count() == 0
