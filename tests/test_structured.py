@@ -1,8 +1,11 @@
 import json
+from collections import Counter
 
 from silkgraph.functions.element_rows import page_record
 from silkgraph.operators.dom import wanted_items
 from silkgraph.operators.structured import FORMATS, schema_error_counts, schema_statistics, structured_data
+from silkgraph.plans.catalog import QUERIES
+from silkgraph.sources import derived as d
 
 URL = "http://h.example/dir/p"
 
@@ -98,6 +101,34 @@ def test_statistics(spark):
     assert schema_error_counts(found).count() == 3
 
 
+def listed_errors(rows):
+    return Counter({r.validation_error: r.total for r in rows if r.level == "validation_error"})
+
+
+def test_statistics_list_every_error_of_the_invalid_items(spark):
+    rows = [
+        ("json-ld", "A", False, ["e", "f"]), ("json-ld", "A", False, ["e"]), ("rdfa", "B", True, ["of a valid item"]),
+        ("rdfa", "B", False, None), ("rdfa", "e", False, []), ("rdfa", "e", False, ["e", "e"]), (None, None, None, ["g"]),
+    ]
+    found = spark.createDataFrame(rows, "format string, type string, is_valid boolean, validation_errors array<string>")
+    got = schema_statistics(found).collect()
+    assert listed_errors(got) == Counter(e=4, f=1, g=1)
+    stats = {(r.level, r.format, r.type, r.validation_error): (r.total, r.valid_count, r.invalid_count) for r in got}
+    assert len(stats) == len(got) == 11
+    assert stats[("total", None, None, None)] == (7, 1, 6) and stats[("format", "rdfa", None, None)] == (4, 1, 3)
+    assert stats[("type", None, "e", None)] == (2, 0, 2) and stats[("validation_error", None, None, "e")] == (4, 0, 4)
+    assert stats[("format", "unknown", None, None)] == stats[("type", None, "unknown", None)] == (1, 0, 1)
+
+
+def test_query_of_statistics_lists_whole_errors_as_often_as_they_occur(spark, tmp_path):
+    parts = [(k, f"name {k}", "Brand#1") for k in [*range(90), 6, 89, None]]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    items = structured_data(d.part_pages(spark, str(tmp_path))).collect()
+    got = listed_errors(QUERIES["schema_statistics"](spark, str(tmp_path)).collect())
+    assert got == Counter(e for i in items for e in i["validation_errors"])
+    assert max(got.values()) > 20 and sum(1 for e in got if e.startswith("JSON decode error: Extra data: line 1 column ")) > 1
+
+
 MIXED = """<html>
 <p itemprop=x property=y>out</p><div itemscope>
 <div itemscope
